@@ -44,14 +44,14 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         keyed = state.withColumn("size", F.octet_length(content)).withColumn("digit", F.substring(content, offset + 1, width))
         groups = keyed.groupBy("node", "size", "digit").agg(F.count("*").alias("n"), F.max("id").alias("keep_id")).where("n > 1")
         groups = scratch.save(groups.withColumn("child", F.monotonically_increasing_id()))
-        joined = keyed.join(groups, ["node", "size", "digit"], "left").withColumn("ended", F.col("size") <= offset + width)
+        joined = keyed.join(groups.hint("merge"), ["node", "size", "digit"], "left").withColumn("ended", F.col("size") <= offset + width)
         level = scratch.save(joined.select("rec", "id", F.when(F.col("child").isNotNull() & ~F.col("ended"), F.col("body")).alias("body"), F.col("child").alias("node"), "n", "keep_id", "ended", F.monotonically_increasing_id().alias("uid")))
         scratch.drop(groups)
         done.append(level.where("node is null").select("rec", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")))
         ended = level.where("node is not null and ended")
         # one row of each group stays even where rows are repeated with the same id
         stays = ended.where("id <=> keep_id").groupBy("node").agg(F.max("uid").alias("stays"))
-        done.append(ended.join(stays, "node").select("rec", "keep_id", F.col("n").alias("group_size"), (F.col("uid") == F.col("stays")).alias("kept")))
+        done.append(ended.join(stays.hint("merge"), "node").select("rec", "keep_id", F.col("n").alias("group_size"), (F.col("uid") == F.col("stays")).alias("kept")))
         active = level.where("node is not null and not ended")
         if active.isEmpty():
             return reduce(DataFrame.unionAll, done)
