@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from . import queries_dedup as dedup
+from . import queries_mixing as mixing
+from . import queries_models as models
+from . import queries_quality as quality
 
 QUERIES = {
+    "op3_simhash_dedup": dedup.op3_simhash_dedup,
     "op4_exact_dedup": dedup.op4_exact_dedup,
+    "op5_mix_sources": mixing.op5_mix_sources,
+    "op7_toxicity": models.op7_toxicity,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLE = {
     "op4_exact_dedup": dedup.OP4_SQL,
+    "op5_mix_sources": mixing.OP5_SQL,
 }
