@@ -50,7 +50,7 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         done.append(level.where("node is null").select("rec", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")))
         ended = level.where("node is not null and ended")
         # one row of each group stays even where rows are repeated with the same id
-        stays = ended.where("id <=> keep_id").groupBy("node").agg(F.max("uid").alias("stays"))
+        stays = scratch.save(ended.where("id <=> keep_id").groupBy("node").agg(F.max("uid").alias("stays")))
         done.append(ended.join(stays.hint("merge"), "node").select("rec", "keep_id", F.col("n").alias("group_size"), (F.col("uid") == F.col("stays")).alias("kept")))
         active = level.where("node is not null and not ended")
         if active.isEmpty():
