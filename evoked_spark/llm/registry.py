@@ -6,8 +6,11 @@ from . import queries_dedup as dedup
 from . import queries_mixing as mixing
 from . import queries_models as models
 from . import queries_quality as quality
+from . import queries_text as text
 
 QUERIES = {
+    "op2_warc_fixity": text.op2_warc_fixity,
+    "op6_chat_format": text.op6_chat_format,
     "op3_simhash_dedup": dedup.op3_simhash_dedup,
     "op4_exact_dedup": dedup.op4_exact_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
@@ -16,6 +19,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_warc_fixity": text.OP2_SQL,
+    "op6_chat_format": text.OP6_SQL,
     "op4_exact_dedup": dedup.OP4_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
 }
