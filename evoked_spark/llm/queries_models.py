@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import hmm, toxicity
 
 
 def fold(divisor: int) -> Column:
@@ -20,3 +20,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.scored(docs, model)
     held_out = F.coalesce(fold(3) == 1, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op9_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    held_out = F.coalesce(fold(10) == 0, F.lit(False))
+    return hmm.scored(docs, held_out).withColumnRenamed("id", "doc_id")
