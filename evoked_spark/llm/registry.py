@@ -15,6 +15,7 @@ QUERIES = {
     "op4_exact_dedup": dedup.op4_exact_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op7_toxicity": models.op7_toxicity,
+    "op8_substring_dedup": dedup.op8_substring_dedup,
     "op9_hmm_scoring": models.op9_hmm_scoring,
     "op10_quality_rules": quality.op10_quality_rules,
 }
