@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pathlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, warc
+from . import chat, pieces, warc
 from .common import Scratch
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -67,3 +69,16 @@ SELECT page_id, archive,
        record_length, sha256(record) AS record_sha256, substr(m, 1, 2) = '00' AND length(html) > 0 AS corrupt
 FROM placed
 """
+
+
+#: Where the public tokenizers lie; a parameter of the query.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
+    """Ids of every whole text as count and digest, and whether decoding them gives the text back."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = pathlib.Path(model_path).read_bytes()
+    rows = pieces.decoded(pieces.encoded(docs, model, carry=["doc_id", "text"]), model)
+    text = F.coalesce("rec.text", F.lit(""))
+    return rows.select("rec.doc_id", F.length(text).cast("long").alias("n_chars"), F.col("n_chunks").cast("long").alias("n_chunks"), F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxhash64"), (F.col("decoded") == text).alias("round_trip"))

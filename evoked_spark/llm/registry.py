@@ -9,6 +9,7 @@ from . import queries_quality as quality
 from . import queries_text as text
 
 QUERIES = {
+    "op1_sentencepiece": text.op1_sentencepiece,
     "op2_warc_fixity": text.op2_warc_fixity,
     "op6_chat_format": text.op6_chat_format,
     "op3_simhash_dedup": dedup.op3_simhash_dedup,
