@@ -2,5 +2,492 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import codes as C
+
+from .operators import artifacts, averages, epochs, ica, labels, markers, qc, signal, tfr
+from .params import Contrast, Ica, Rejection, Tfr, Window
+from .plans import jobs
+from .sources import tables as T
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+KEEP = (110, 111, 210, 211)
+CONTRAST = Contrast(standard=(110, 210), deviant=(111, 211), keep=KEEP)
+#: Thresholds that suit these tables: vectors of unit length read as microvolts times 100.
+LIMITS = Rejection(ptp=60.0, width_ms=200.0, step_ms=12.5, positive=40.0, negative=-40.0)
+HOURS12 = 43_200.0
+GAPS = (3600.0, 7200.0, 21600.0, 43200.0, 86400.0)
+TAPS = signal.lowpass_taps(10.0, 33.0, T.SFREQ)
+GRID = Tfr(fmin=4.0, fmax=12.0, fstep=4.0)
+MORE = (Window("early", 0.05, 0.15), Window())
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def fixed(c: Column | str, places: int = 6) -> Column:
+    """Rounded, without a negative zero: sums differ in their last digits from plan to plan."""
+    return F.round(F.col(c) if isinstance(c, str) else c, places) + F.lit(0.0)
+
+
+MK = """mk AS (SELECT CAST(user_id AS VARCHAR) AS recording, event_id AS mk, event_type AS d,
+  epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS pos, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS t FROM events),
+gp AS (SELECT *, t - lag(t) OVER w AS previous, lead(t) OVER w - t AS next FROM mk WINDOW w AS (PARTITION BY recording ORDER BY pos, mk))"""
+CD = """cd AS (SELECT CAST(o_custkey AS VARCHAR) AS recording, l_orderkey * 10 + l_linenumber AS row_id,
+  CAST(100 * (1 + (l_linenumber - 1) % 4) + CASE WHEN CAST(l_quantity AS INT) % 10 = 0 THEN 0 ELSE 10 END + CASE WHEN CAST(l_quantity AS INT) % 5 = 1 THEN 1 ELSE 0 END AS INT) AS code
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+EP = """vec AS (SELECT vec_id // 5 AS e, ['Fp1', 'Fz', 'F3', 'Cz', 'F4'][vec_id % 5 + 1] AS channel, embedding FROM embeddings),
+sm AS (SELECT CAST((e // 2) % 10 AS VARCHAR) AS recording, e AS epoch_id, CASE e % 2 WHEN 0 THEN 'Standard' ELSE 'Deviant' END AS condition,
+  channel, unnest(range(64)) - 16 AS rel, CAST(unnest(embedding) AS DOUBLE) * 1e-4 AS v FROM vec)"""
+BL = """vec AS (SELECT vec_id // 5 AS e, ['Fp1', 'Fz', 'F3', 'Cz', 'F4'][vec_id % 5 + 1] AS channel, embedding FROM embeddings),
+sg AS (SELECT CAST(e // 50 AS VARCHAR) AS recording, channel, e % 50 AS block, (e % 50) * 64 + unnest(range(64)) AS s, CAST(unnest(embedding) AS DOUBLE) * 1e-4 AS v FROM vec)"""
+EV = EP + """,
+ev AS (SELECT recording, condition, channel, rel, avg(v) AS value, count(*) AS n_epochs FROM sm GROUP BY ALL)"""
+DF = EV + """,
+dv AS (SELECT a.recording, 'MMN_DEV_MINUS_STD' AS condition, a.channel, a.rel, a.value - b.value AS value, least(a.n_epochs, b.n_epochs) AS n_epochs, a.n_epochs + b.n_epochs AS n_sum
+  FROM ev a JOIN ev b USING (recording, channel, rel) WHERE a.condition = 'Deviant' AND b.condition = 'Standard')"""
+R = "round({}, 6) + 0.0".format
+
+
+# 2.2 projections and predicates
+
+
+@query("SELECT event_id, CAST(user_id AS VARCHAR) AS recording FROM events")
+def prj1_recording_number(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id")
+    return e.select("event_id", C.recording_number(F.concat(F.lit(" S"), F.col("user_id").cast("string"))).alias("recording"))
+
+
+@query(f"WITH {MK} SELECT recording, mk FROM mk WHERE recording IN ('7', '11', '42')")
+def prj2_requested_recordings(spark, d):
+    return labels.only_recordings(T.markers(spark, d), ["7", "11", "42"]).select("recording", "mk")
+
+
+@query(f"WITH {CD} SELECT recording, row_id, code FROM cd WHERE code IN (110, 111, 210, 211)")
+def prj3_keep_codes(spark, d):
+    return labels.only_codes(T.codes(spark, d), KEEP)
+
+
+@query(f"""WITH {CD}, x AS (SELECT *, code // 100 AS a, code // 10 % 10 AS b, code % 10 AS c FROM cd),
+y AS (SELECT *, CASE WHEN a IN (1, 3) THEN 'token1' WHEN a IN (2, 4) THEN 'token2' ELSE 'NA' END AS standard_role,
+  CASE WHEN a IN (1, 3) THEN 'token2' WHEN a IN (2, 4) THEN 'token1' ELSE 'NA' END AS deviant_role FROM x),
+z AS (SELECT *, CASE WHEN c = 0 THEN standard_role ELSE deviant_role END AS trial_role FROM y)
+SELECT recording, row_id, code, CAST(a AS INT) AS digit_a, CAST(b AS INT) AS digit_b, CAST(c AS INT) AS digit_c, b = 1 AS is_true, b = 0 AS is_buffer, c = 0 AS is_standard, c = 1 AS is_deviant,
+  a IN (8, 9) AS is_practice, a NOT IN (8, 9) AS is_main, CASE WHEN a IN (3, 4, 8) THEN 'reduced' WHEN a IN (1, 2, 9) THEN 'full' ELSE 'other' END AS variant,
+  standard_role, deviant_role, trial_role, CASE standard_role WHEN 'token1' THEN 'EH' WHEN 'token2' THEN 'IH' ELSE standard_role END AS standard_label,
+  CASE deviant_role WHEN 'token1' THEN 'EH' WHEN 'token2' THEN 'IH' ELSE deviant_role END AS deviant_label,
+  CASE trial_role WHEN 'token1' THEN 'EH' WHEN 'token2' THEN 'IH' ELSE trial_role END AS trial_label FROM z""")
+def prj4_to_8_trial_labels(spark, d):
+    return labels.with_trial_labels(T.codes(spark, d), {"token1": "EH", "token2": "IH"})
+
+
+@query(f"""WITH {CD} SELECT recording, row_id, code, CAST(CASE WHEN code IN (110, 210) THEN 1 ELSE 2 END AS INT) AS condition_id,
+CASE WHEN code IN (110, 210) THEN 'Standard' ELSE 'Deviant' END AS condition FROM cd WHERE code IN (110, 111, 210, 211)""")
+def prj9_conditions(spark, d):
+    return labels.conditions(T.codes(spark, d), CONTRAST)
+
+
+@query(f"WITH {EP} SELECT DISTINCT recording, epoch_id, channel, CASE channel WHEN 'Fp1' THEN 'eog' ELSE 'eeg' END AS kind FROM sm WHERE channel IN ('Fp1', 'Fz', 'Cz')")
+def prj10_pick_channels(spark, d):
+    picked = labels.pick_channels(T.epochs(spark, d), wanted=["Fp1", "Fz", "Cz", "Pz"], aux=["F4"], eog=["Fp1"])
+    return picked.select("recording", "epoch_id", "channel", "kind")
+
+
+@query(f"WITH {EP} SELECT epoch_id, channel, CAST(rel AS INT) AS rel, {R('v * 1e6')} AS uv FROM sm WHERE rel BETWEEN -16 AND 24 AND rel % 2 = 0")
+def prj11_to_13_crop_decimate(spark, d):
+    long = epochs.decimate(epochs.samples(epochs.in_microvolts(epochs.crop(T.epochs(spark, d), -0.2, 0.3))), 2)
+    return long.select("epoch_id", "channel", "rel", fixed("v").alias("uv"))
+
+
+# 2.3 joins
+
+
+@query(f"""WITH {CD}, c AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS recording FROM customer)
+SELECT recording, CASE WHEN recording NOT IN (SELECT recording FROM cd) THEN 'SKIP_MISSING_SUBJECT_CSV'
+  WHEN recording NOT IN (SELECT CAST(user_id AS VARCHAR) FROM events) THEN 'SKIP_MISSING_VMRK' ELSE 'OK' END AS status FROM c""")
+def join1_missing_files(spark, d):
+    recordings = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("recording"))
+    return markers.missing_files(recordings, T.codes(spark, d), T.markers(spark, d), "skip", "skip")
+
+
+ALIGNED = f"""{MK}, {CD}, k AS (SELECT * FROM cd WHERE code IN (110, 111, 210, 211)),
+nm AS (SELECT recording, count(*) AS m, count(DISTINCT pos) AS u FROM mk GROUP BY 1), nc AS (SELECT recording, count(*) AS n FROM k GROUP BY 1),
+st AS (SELECT recording, coalesce(m, 0) AS markers_original, coalesce(n, 0) AS n_codes, coalesce(m, 0) >= coalesce(n, 0) AND coalesce(n, 0) > 0 AND coalesce(m = u, true) AS ok FROM nm FULL JOIN nc USING (recording)),
+rk AS (SELECT gp.*, row_number() OVER (PARTITION BY recording ORDER BY greatest(coalesce(previous, 'inf'::DOUBLE), coalesce(next, 'inf'::DOUBLE)), pos, mk) AS rank FROM gp),
+kept AS (SELECT rk.recording, pos, mk, row_number() OVER (PARTITION BY rk.recording ORDER BY pos, mk) AS seq FROM rk JOIN st USING (recording) WHERE ok AND rank <= n_codes)"""
+
+
+def _aligned(spark, d):
+    codes = labels.only_codes(T.codes(spark, d), KEEP)
+    return codes, *markers.alignment(T.markers(spark, d), codes)
+
+
+@query(f"""WITH {ALIGNED}, ks AS (SELECT recording, code, row_number() OVER (PARTITION BY recording ORDER BY row_id, code) AS seq FROM k)
+SELECT recording, CAST(seq AS INT) AS seq, pos, code FROM kept JOIN ks USING (recording, seq)""")
+def join2_events(spark, d):
+    codes, kept, _ = _aligned(spark, d)
+    return markers.events(kept, codes)
+
+
+CUT = """ev0 AS (SELECT DISTINCT recording, block * 64 + 40 + block % 7 AS pos, block AS seq FROM sg)"""
+
+
+def _cut_events(spark, d):
+    b = T.blocks(spark, d)
+    return b, b.select("recording", F.col("block").alias("seq"), (F.col("block") * T.BLOCK + 40 + F.col("block") % 7).alias("pos")).distinct()
+
+
+@query(f"""WITH {BL}, {CUT}, x AS (SELECT e.recording, seq AS epoch_id, pos, channel, s - pos AS rel, v, count(*) OVER (PARTITION BY e.recording, seq, channel) AS n
+FROM ev0 e JOIN sg g ON e.recording = g.recording AND g.s BETWEEN pos - 16 AND pos + 48)
+SELECT recording, epoch_id, channel, CAST(rel AS INT) AS rel, {R('v * 1e6')} AS uv FROM x WHERE n = 65""")
+def join3_cut_epochs(spark, d):
+    cut = epochs.cut(*_cut_events(spark, d), -0.2, 0.6, T.BLOCK)
+    return epochs.samples(cut).select("recording", "epoch_id", "channel", "rel", fixed(F.col("v") * 1e6).alias("uv"))
+
+
+@query(f"WITH {DF} SELECT recording, channel, CAST(rel AS INT) AS rel, {R('value * 1e6')} AS uv, n_epochs FROM dv")
+def join4_difference_wave(spark, d):
+    w = averages.difference(averages.evoked(T.epochs(spark, d)))
+    return w.select("recording", "channel", "rel", fixed(F.col("value") * 1e6).alias("uv"), "n_epochs")
+
+
+BAD = "b AS (SELECT epoch_id FROM (SELECT epoch_id, max(v) OVER (PARTITION BY epoch_id, channel ORDER BY rel ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) - min(v) OVER (PARTITION BY epoch_id, channel ORDER BY rel ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS p, rel FROM sm WHERE channel = 'Fp1' AND rel BETWEEN -16 AND 24) WHERE rel <= 9 AND p * 1e6 >= 60 GROUP BY 1), m AS (SELECT DISTINCT epoch_id FROM sm WHERE rel BETWEEN -16 AND 24 AND abs(v) * 1e6 >= 40)"
+
+
+def _masks(spark, d):
+    e = T.epochs(spark, d)
+    return e, artifacts.blinks(e, LIMITS), artifacts.voltage(e, LIMITS)
+
+
+@query(f"WITH {EP}, {BAD} SELECT DISTINCT recording, epoch_id, channel FROM sm WHERE epoch_id NOT IN (SELECT epoch_id FROM b) AND epoch_id NOT IN (SELECT epoch_id FROM m)")
+def join7_reject_epochs(spark, d):
+    e, blink, muscle = _masks(spark, d)
+    return epochs.reject(epochs.reject(e, blink), muscle).select("recording", "epoch_id", "channel")
+
+
+@query(f"""WITH {BL}, {CUT}, x AS (SELECT e.recording, seq, pos, channel, count(*) AS n FROM ev0 e JOIN sg g ON e.recording = g.recording AND g.s BETWEEN pos - 16 AND pos + 48 GROUP BY ALL),
+bad AS (SELECT recording, seq * 64 AS f, seq * 64 + 30 AS t FROM ev0 WHERE seq % 5 = 2)
+SELECT recording, seq AS epoch_id, channel FROM x WHERE n = 65 AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.recording = x.recording AND f <= pos + 48 AND t > pos - 16)""")
+def join8_bad_spans(spark, d):
+    blocks, events = _cut_events(spark, d)
+    spans = events.where("seq % 5 = 2").select("recording", F.lit("Bad_segment").alias("desc"), (F.col("seq") * T.BLOCK).alias("pos"), F.lit(30).alias("size"))
+    return epochs.drop_bad_spans(epochs.cut(blocks, events, -0.2, 0.6, T.BLOCK), spans).select("recording", "epoch_id", "channel")
+
+
+# 2.4 aggregations
+
+
+@query(f"""WITH {MK} SELECT recording, count(*) AS n, {R('min(previous)')} AS gap_min, {', '.join(f"{R(f'quantile_cont(previous, {p / 100})')} AS gap_p{p}" for p in markers.PERCENTILES)}, {R('max(previous)')} AS gap_max FROM gp GROUP BY 1""")
+def agg1_gap_stats(spark, d):
+    g = markers.gap_stats(T.markers(spark, d))
+    return g.select("recording", "n", *[fixed(c).alias(c) for c in g.columns[2:]])
+
+
+@query(f"WITH {MK} SELECT recording, gap_s, count(*) FILTER (previous <= gap_s AND next <= gap_s) AS kept FROM gp, (VALUES {', '.join(f'({g}::DOUBLE)' for g in GAPS)}) AS g(gap_s) GROUP BY ALL")
+def agg2_candidate_gaps(spark, d):
+    return markers.candidate_gaps(T.markers(spark, d), GAPS)
+
+
+@query(f"WITH {CD} SELECT recording, code, count(*) AS n FROM cd GROUP BY ALL")
+def agg3_value_counts(spark, d):
+    return markers.value_counts(T.codes(spark, d), "code")
+
+
+@query(f"""WITH {MK}, f AS (SELECT recording, d, min(ROW(pos, mk)) AS fst FROM mk GROUP BY ALL)
+SELECT recording, count(*) AS n_descriptions, string_agg(d, ',' ORDER BY fst) AS descriptions FROM f GROUP BY 1""")
+def agg4_first_descriptions(spark, d):
+    return markers.first_descriptions(T.markers(spark, d)).withColumn("descriptions", F.concat_ws(",", "descriptions"))
+
+
+@query(f"""WITH {BL}, m AS (SELECT recording, s, avg(v) AS m FROM sg WHERE channel <> 'Fp1' GROUP BY ALL)
+SELECT recording, channel, s, {R('(CASE channel WHEN $$Fp1$$ THEN v ELSE v - m END) * 1e6')} AS uv FROM sg JOIN m USING (recording, s)""")
+def agg5_average_reference(spark, d):
+    b = signal.average_reference(T.blocks(spark, d))
+    long = b.select("recording", "channel", "start", F.posexplode("values").alias("i", "v"))
+    return long.select("recording", "channel", (F.col("start") + F.col("i")).alias("s"), fixed(F.col("v") * 1e6).alias("uv"))
+
+
+@query(f"WITH {EP} SELECT epoch_id, channel, CAST(rel AS INT) AS rel, {R('(v - avg(v) FILTER (rel BETWEEN -16 AND 0) OVER (PARTITION BY epoch_id, channel)) * 1e6')} AS uv FROM sm")
+def agg6_baseline(spark, d):
+    long = epochs.samples(epochs.baseline(T.epochs(spark, d), -0.2, 0.0))
+    return long.select("epoch_id", "channel", "rel", fixed(F.col("v") * 1e6).alias("uv"))
+
+
+@query(f"WITH {EV} SELECT recording, condition, channel, CAST(rel AS INT) AS rel, {R('value * 1e6')} AS uv, n_epochs FROM ev")
+def agg7_condition_average(spark, d):
+    w = averages.evoked(T.epochs(spark, d))
+    return w.select("recording", "condition", "channel", "rel", fixed(F.col("value") * 1e6).alias("uv"), "n_epochs")
+
+
+@query(f"WITH {EV} SELECT condition, channel, CAST(rel AS INT) AS rel, {R('avg(value) * 1e6')} AS uv, count(*) AS n_recordings FROM ev GROUP BY ALL")
+def agg8_grand_average(spark, d):
+    g = averages.grand_average(averages.evoked(T.epochs(spark, d)))
+    return g.select("condition", "channel", "rel", fixed(F.col("value") * 1e6).alias("uv"), "n_recordings")
+
+
+@query(f"""WITH {DF}, w(window_name, lo, hi, tmin, tmax) AS (VALUES ('early', 4, 12, 0.05::DOUBLE, 0.15::DOUBLE), ('MMN_150_250', 12, 20, 0.15::DOUBLE, 0.25::DOUBLE)),
+a AS (SELECT recording, condition, channel, rel, value, n_epochs FROM ev UNION ALL SELECT recording, condition, channel, rel, value, n_sum FROM dv)
+SELECT recording AS subject, condition, channel, window_name AS "window", tmin, tmax, {R('avg(value) * 1e6')} AS "mean_uV", max(n_epochs) AS n_epochs, 'OK' AS status
+FROM a JOIN w ON rel BETWEEN lo AND hi GROUP BY ALL""")
+def agg9_window_amplitude(spark, d):
+    m = averages.erp_metrics(T.epochs(spark, d), MORE)
+    return m.withColumn("mean_uV", fixed("mean_uV"))
+
+
+@query(f"WITH {EP}, {BAD} SELECT DISTINCT recording, epoch_id FROM sm JOIN m USING (epoch_id)")
+def agg10_voltage(spark, d):
+    return artifacts.voltage(T.epochs(spark, d), LIMITS)
+
+
+@query(f"""WITH {BL}, r AS (SELECT a.recording, abs(corr(a.v, b.v)) AS r FROM sg a JOIN sg b ON a.recording = b.recording AND a.s = b.s WHERE a.channel = 'Fp1' AND b.channel <> 'Fp1' GROUP BY a.recording, b.channel)
+SELECT recording, {R('max(r)')} AS eog_corr_max, {R('avg(r)')} AS eog_corr_mean FROM r GROUP BY 1""")
+def agg11_eog_correlation(spark, d):
+    c = artifacts.eog_correlation(T.blocks(spark, d))
+    return c.select("recording", fixed("eog_corr_max").alias("eog_corr_max"), fixed("eog_corr_mean").alias("eog_corr_mean"))
+
+
+COUNTS = f"""{EP}, {BAD}, e AS (SELECT DISTINCT recording, epoch_id, condition FROM sm),
+f AS (SELECT *, epoch_id IN (SELECT epoch_id FROM b) AS bl, epoch_id IN (SELECT epoch_id FROM m) AS mu FROM e),
+q AS (SELECT recording, count(*) AS n_epochs_before_artifact, count(*) FILTER (bl) AS n_blink_bad, count(*) FILTER (mu) AS n_muscle_bad, count(*) FILTER (bl OR mu) AS n_epochs_dropped,
+  count(*) FILTER (NOT (bl OR mu)) AS n_epochs_final, count(*) FILTER (NOT (bl OR mu) AND condition = 'Standard') AS n_standard_final, count(*) FILTER (NOT (bl OR mu) AND condition = 'Deviant') AS n_deviant_final,
+  {R('count(*) FILTER (bl OR mu) / count(*)')} AS epoch_reject_rate FROM f GROUP BY 1),
+qs AS (SELECT *, CASE WHEN n_epochs_final = 0 THEN 'SKIP_EMPTY_EPOCHS' WHEN n_standard_final = 0 OR n_deviant_final = 0 THEN 'SKIP_EMPTY_CONDITION' ELSE 'OK' END AS status FROM q)"""
+
+
+@query(f"WITH {COUNTS} SELECT * FROM qs")
+def agg12_epoch_counts(spark, d):
+    e, blink, muscle = _masks(spark, d)
+    return qc.with_epoch_status(qc.epoch_counts(e, blink, muscle)).withColumn("epoch_reject_rate", fixed("epoch_reject_rate"))
+
+
+PTP = """w AS (SELECT recording, channel, s, max(v) OVER x - min(v) OVER x AS p, count(*) OVER x AS n FROM sg WHERE channel = 'Fp1' WINDOW x AS (PARTITION BY recording, channel ORDER BY s ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)),
+fl AS (SELECT recording, s AS i, p * 1e6 >= 60 AS flag FROM w WHERE n = 16),
+cl AS (SELECT recording, count(*) FILTER (flag AND NOT coalesce(before, false)) AS clusters FROM (SELECT *, lag(flag) OVER (PARTITION BY recording ORDER BY i) AS before FROM fl) GROUP BY 1)"""
+
+
+def _blink_flags(spark, d):
+    b = T.blocks(spark, d)
+    return b, artifacts.continuous_ptp(b.where("kind = 'eog'"), LIMITS, T.BLOCK)
+
+
+@query(f"WITH {BL}, {PTP} SELECT recording, {R('clusters / ((SELECT max(s) FROM sg g WHERE g.recording = cl.recording) / 80.0 / 60)')} AS blinks_per_min FROM cl")
+def agg13_blink_rate(spark, d):
+    b, flags = _blink_flags(spark, d)
+    return artifacts.blink_rate(flags, b).select("recording", fixed("blinks_per_min").alias("blinks_per_min"))
+
+
+def _taps_sql() -> str:
+    rows = []
+    for f in GRID.freqs:
+        w = tfr.morlet(f, f / GRID.cycles_divisor, T.SFREQ)
+        rows += [f"({f}::DOUBLE, {k - len(w) // 2}, {z.real:.17g}::DOUBLE, {z.imag:.17g}::DOUBLE)" for k, z in enumerate(w)]
+    return f"wl(f, k, re, im) AS (VALUES {', '.join(rows)})"
+
+
+TF = f"""{_taps_sql()},
+z AS (SELECT recording, condition, channel, epoch_id, f, rel + k AS rel, sum(v * re) AS re, sum(v * im) AS im FROM sm, wl WHERE rel + k BETWEEN -16 AND 47 GROUP BY ALL),
+tf AS (SELECT recording, condition, channel, f AS frequency, rel, avg(re * re + im * im) AS power, sqrt(avg(re / sqrt(re * re + im * im)) ** 2 + avg(im / sqrt(re * re + im * im)) ** 2) AS itc, count(*) AS n_epochs FROM z GROUP BY ALL)"""
+
+
+@query(f"WITH {EP}, {TF} SELECT recording, condition, channel, frequency, CAST(rel AS INT) AS rel, {R('power * 1e12')} AS power, {R('itc')} AS itc, n_epochs FROM tf")
+def agg14_total_power_and_coherence(spark, d):
+    t = tfr.sums(T.epochs(spark, d), GRID)
+    return t.select("recording", "condition", "channel", "frequency", "rel", fixed(F.col("power") * 1e12).alias("power"), fixed("itc").alias("itc"), "n_epochs")
+
+
+EPW = """ze AS (SELECT recording, condition, channel, f AS frequency, rel + k AS rel, sum(value * re) AS re, sum(value * im) AS im FROM ev, wl WHERE rel + k BETWEEN -16 AND 47 GROUP BY ALL)"""
+
+
+@query(f"WITH {EV}, {_taps_sql()}, {EPW} SELECT recording, condition, channel, frequency, CAST(rel AS INT) AS rel, {R('(re * re + im * im) * 1e12')} AS power FROM ze")
+def agg15_evoked_power(spark, d):
+    t = tfr.evoked_power(averages.evoked(T.epochs(spark, d)), GRID)
+    return t.select("recording", "condition", "channel", "frequency", "rel", fixed(F.col("evoked") * 1e12).alias("power"))
+
+
+# 2.5 windows
+
+
+@query(f"WITH {MK} SELECT recording, mk FROM gp WHERE previous <= {HOURS12} AND next <= {HOURS12}")
+def win1_gap_filter(spark, d):
+    return markers.keep_by_gap(T.markers(spark, d), HOURS12).select("recording", "mk")
+
+
+@query(f"WITH {MK} SELECT recording, mk FROM (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY greatest(coalesce(previous, 'inf'::DOUBLE), coalesce(next, 'inf'::DOUBLE)), pos, mk) AS rank FROM gp) WHERE rank <= 40")
+def win2_trim_to_count(spark, d):
+    return markers.densest(T.markers(spark, d), F.lit(40)).select("recording", "mk")
+
+
+@query(f"WITH {ALIGNED} SELECT recording, markers_original, CAST(0 AS BIGINT) AS markers_dropped_by_gap, CASE WHEN ok THEN markers_original - n_codes ELSE 0 END AS markers_dropped_by_auto, n_codes, CASE WHEN ok THEN 'OK' ELSE 'SKIP_ALIGNMENT_FAILED' END AS status FROM st")
+def win3_alignment(spark, d):
+    return _aligned(spark, d)[2]
+
+
+@query(f"WITH {EP}, {BAD} SELECT DISTINCT recording, epoch_id FROM sm JOIN b USING (epoch_id)")
+def win4_moving_ptp(spark, d):
+    return artifacts.blinks(T.epochs(spark, d), LIMITS)
+
+
+@query(f"WITH {BL}, {PTP} SELECT recording, clusters FROM cl")
+def win5_clusters(spark, d):
+    return artifacts.clusters(_blink_flags(spark, d)[1], ["recording"], "i")
+
+
+@query(f"""WITH {BL}, h(k, c) AS (VALUES {', '.join(f'({k - len(TAPS) // 2}, {c:.17g}::DOUBLE)' for k, c in enumerate(TAPS))}),
+n AS (SELECT recording, channel, max(s) AS last FROM sg GROUP BY ALL),
+x AS (SELECT recording, channel, s, v FROM sg
+  UNION ALL SELECT a.recording, a.channel, -a.s, 2 * b.v - a.v FROM sg a JOIN sg b ON a.recording = b.recording AND a.channel = b.channel AND b.s = 0 WHERE a.s BETWEEN 1 AND {len(TAPS) // 2}
+  UNION ALL SELECT a.recording, a.channel, 2 * last - a.s, 2 * b.v - a.v FROM sg a JOIN n USING (recording, channel) JOIN sg b ON a.recording = b.recording AND a.channel = b.channel AND b.s = last WHERE a.s BETWEEN last - {len(TAPS) // 2} AND last - 1)
+SELECT x.recording, x.channel, s + k AS s, {R('sum(v * c) * 1e6')} AS uv FROM x CROSS JOIN h JOIN n ON x.recording = n.recording AND x.channel = n.channel WHERE s + k BETWEEN 0 AND last GROUP BY ALL""")
+def win6_zero_phase_filter(spark, d):
+    b = signal.fir(T.blocks(spark, d), TAPS, T.BLOCK)
+    long = b.select("recording", "channel", "start", F.posexplode("values").alias("i", "v"))
+    return long.select("recording", "channel", (F.col("start") + F.col("i")).alias("s"), fixed(F.col("v") * 1e6).alias("uv"))
+
+
+RANKED = f"""{BL}, r AS (SELECT b.recording, CASE b.channel WHEN 'Fz' THEN 0 WHEN 'F3' THEN 1 WHEN 'Cz' THEN 2 ELSE 3 END AS component, corr(a.v, b.v) AS r FROM sg a JOIN sg b ON a.recording = b.recording AND a.s = b.s
+  WHERE a.channel = 'Fp1' AND b.channel <> 'Fp1' GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY abs(r) DESC, component) AS rank FROM r)"""
+
+
+@query(f"""WITH {RANKED} SELECT recording, coalesce(string_agg(CAST(component AS VARCHAR), ',' ORDER BY rank) FILTER (rank <= 3 AND abs(r) >= 0.01), '') AS exclude,
+string_agg(CAST(component AS VARCHAR), ',' ORDER BY rank) AS ranked FROM rk GROUP BY 1""")
+def win7_rank_components(spark, d):
+    b = T.blocks(spark, d)
+    order = F.when(F.col("b") == "Fz", 0).when(F.col("b") == "F3", 1).when(F.col("b") == "Cz", 2).otherwise(3)
+    r = artifacts.pair_correlations(b.where("kind = 'eog'"), b.where("kind = 'eeg'")).select("recording", order.alias("component"), "r")
+    few, many = ica.rank(r, Ica(threshold=0.01)), ica.rank(r, Ica(threshold=0.0, most=10))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return few.select("recording", text("exclude").alias("exclude")).join(many.select("recording", text("exclude").alias("ranked")), "recording")
+
+
+# 2.6 sorts and sets
+
+
+@query(f"""WITH {MK}, c AS (SELECT recording, d, count(*) AS n FROM mk GROUP BY ALL)
+SELECT recording, d AS "desc", n, CAST(row_number() OVER (PARTITION BY recording ORDER BY n DESC, d) AS INT) AS rank FROM c QUALIFY rank <= 10""")
+def sort1_top_descriptions(spark, d):
+    return markers.top_descriptions(T.markers(spark, d))
+
+
+@query(f"""WITH {CD} SELECT recording, row_id, code FROM cd QUALIFY row_number() OVER (PARTITION BY recording ORDER BY row_id, code) <= 5""")
+def sort2_preview(spark, d):
+    return jobs.preview(T.codes(spark, d), "row_id", "code")
+
+
+@query(f"""WITH {EP}, e AS (SELECT * FROM sm WHERE NOT (condition = 'Deviant' AND recording IN ('3', '4'))), c(condition) AS (VALUES ('Standard'), ('Deviant')),
+g AS (SELECT recording, condition, count(*) AS n_samples FROM e GROUP BY ALL)
+SELECT r.recording, c.condition, n_samples, CASE WHEN n_samples IS NULL THEN 'MISSING_OR_EMPTY' ELSE 'OK' END AS status FROM (SELECT DISTINCT recording FROM sm) r CROSS JOIN c LEFT JOIN g ON g.recording = r.recording AND g.condition = c.condition""")
+def set2_status_rows(spark, d):
+    e = T.epochs(spark, d)
+    some = epochs.samples(e.where("not (condition = 'Deviant' and recording in ('3', '4'))")).groupBy("recording", "condition").agg(F.count("*").alias("n_samples"))
+    return averages.with_status_rows(some, e, ["Standard", "Deviant"], "MISSING_OR_EMPTY")
+
+
+@query(f"""WITH {COUNTS}, miss AS (SELECT CAST(c_custkey AS VARCHAR) AS recording FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT recording FROM q) AND c_custkey NOT IN (SELECT user_id FROM events))
+SELECT recording, n_epochs_final, status FROM qs UNION ALL SELECT recording, NULL, 'SKIP_MISSING_VMRK' FROM miss""")
+def set3_stacked_status(spark, d):
+    e, blink, muscle = _masks(spark, d)
+    done = qc.with_epoch_status(qc.epoch_counts(e, blink, muscle)).select("recording", "n_epochs_final", "status")
+    all_names = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("recording"))
+    lacking = all_names.join(done, "recording", "left_anti").join(T.markers(spark, d).select("recording").distinct(), "recording", "left_anti")
+    return qc.stacked(done, lacking.select("recording", F.lit("SKIP_MISSING_VMRK").alias("status")))
+
+
+# 2.7 decisions
+
+
+BASE = "avg(power) FILTER (rel BETWEEN -8 AND 0) OVER (PARTITION BY recording, condition, channel, frequency)"
+
+
+@query(f"WITH {EP}, {TF} SELECT recording, condition, channel, frequency, CAST(rel AS INT) AS rel, {R(f'power / {BASE}')} AS ratio FROM tf")
+def scl2_tf_baseline(spark, d):
+    t = tfr.rescaled(tfr.sums(T.epochs(spark, d), GRID), ["power"], (-0.1, 0.0), "ratio")
+    return t.select("recording", "condition", "channel", "frequency", "rel", fixed("power").alias("ratio"))
+
+
+@query(f"""WITH {COUNTS}, r AS (SELECT recording, epoch_reject_rate, concat_ws('+', CASE WHEN n_blink_bad > 1 THEN 'blink_rate>1/min' END, CASE WHEN n_muscle_bad > 1 THEN 'blink_proxy>1/min' END,
+  CASE WHEN epoch_reject_rate > 0.2 THEN 'epoch_loss>0.20' END, CASE WHEN n_blink_bad > 1 THEN 'blink_rate>1/min' END) AS reasons FROM q)
+SELECT recording, reasons <> '' AS recommended, reasons FROM r""")
+def scl3_recommendation(spark, d):
+    e, blink, muscle = _masks(spark, d)
+    c = qc.epoch_counts(e, blink, muscle)
+    yes, why = ica.recommendation(F.col("epoch_reject_rate"), F.lit(None).cast("double"), F.col("n_blink_bad"), F.col("n_muscle_bad"), per_min=1)
+    return c.select("recording", yes.alias("recommended"), why.alias("reasons"))
+
+
+@query(f"WITH {COUNTS} SELECT recording, coalesce(nullif(n_blink_bad, 0), n_muscle_bad) >= 2 AS fit FROM q")
+def scl4_gate(spark, d):
+    e, blink, muscle = _masks(spark, d)
+    c = qc.epoch_counts(e, blink, muscle)
+    return c.select("recording", ica.gate("auto", F.col("n_blink_bad").cast("double"), F.col("n_muscle_bad").cast("double"), 2.0).alias("fit"))
+
+
+@query(f"WITH {EP} SELECT DISTINCT recording, 'proxy:Fp1' AS source FROM sm")
+def scl5_blink_channels(spark, d):
+    return artifacts.blink_channels(T.epochs(spark, d)).select("recording", "source")
+
+
+# 2.8 components; the fit has no SQL form
+
+
+@query()
+def ica1_fit(spark, d):
+    return ica.fit(T.blocks(spark, d))
+
+
+@query()
+def ica2_to_4_clean(spark, d):
+    b = T.blocks(spark, d)
+    model = ica.fit(b)
+    scores = ica.proxy_scores(ica.sources(b.where("kind = 'eeg'"), model), b.where("kind = 'eog'"))
+    clean = ica.remove(b, model, ica.rank(scores, Ica(threshold=0.01)))
+    long = clean.select("recording", "channel", "start", F.posexplode("values").alias("i", "v"))
+    return long.select("recording", "channel", (F.col("start") + F.col("i")).alias("s"), fixed(F.col("v") * 1e6).alias("uv"))
+
+
+# 2.9 composite tables
+
+
+@query(f"""WITH {EP}, c AS (SELECT * FROM sm WHERE rel BETWEEN -16 AND 32), bs AS (SELECT *, v - avg(v) FILTER (rel BETWEEN -16 AND 0) OVER (PARTITION BY epoch_id, channel) AS u FROM c),
+ev AS (SELECT recording, condition, channel, rel, avg(u) AS value, count(*) AS n_epochs FROM bs GROUP BY ALL),
+a AS (SELECT * FROM ev UNION ALL SELECT x.recording, 'MMN_DEV_MINUS_STD', x.channel, x.rel, x.value - y.value, least(x.n_epochs, y.n_epochs) FROM ev x JOIN ev y USING (recording, channel, rel) WHERE x.condition = 'Deviant' AND y.condition = 'Standard')
+SELECT recording AS subject, condition, n_epochs, channel, rel / 80.0::DOUBLE AS time_s, {R('value * 1e6')} AS amplitude_uv, 'OK' AS status FROM a WHERE rel % 2 = 0""")
+def out1_erp_timeseries(spark, d):
+    return averages.erp_timeseries(T.epochs(spark, d), -0.2, 0.4, factor=2).withColumn("amplitude_uv", fixed("amplitude_uv"))
+
+
+@query(f"""WITH {EP}, sm2 AS (SELECT * FROM sm), {_taps_sql()}, b0 AS (SELECT recording, epoch_id, condition, channel, rel, v - avg(v) FILTER (rel BETWEEN -16 AND 0) OVER (PARTITION BY epoch_id, channel) AS v FROM sm2),
+z AS (SELECT recording, condition, channel, epoch_id, f, rel + k AS rel, sum(v * re) AS re, sum(v * im) AS im FROM b0, wl WHERE rel + k BETWEEN -16 AND 47 GROUP BY ALL),
+tf AS (SELECT recording, condition, channel, f AS frequency, rel, avg(re * re + im * im) AS p, sqrt(avg(re / sqrt(re * re + im * im)) ** 2 + avg(im / sqrt(re * re + im * im)) ** 2) AS itc, avg(re) ** 2 + avg(im) ** 2 AS ep, count(*) AS n_epochs FROM z GROUP BY ALL),
+bl AS (SELECT *, avg(p) FILTER (rel BETWEEN -8 AND 0) OVER w AS mp, avg(ep) FILTER (rel BETWEEN -8 AND 0) OVER w AS me, avg(itc) FILTER (rel BETWEEN -8 AND 0) OVER w AS mi FROM tf WINDOW w AS (PARTITION BY recording, condition, channel, frequency))
+SELECT recording AS subject, condition, channel, frequency, rel / 80.0::DOUBLE AS time, {R('log10(p / mp)')} AS total_power, {R('log10(ep / me)')} AS evoked_power, {R('log10(p / mp) - log10(ep / me)')} AS induced_power, {R('log10(itc / mi)')} AS itc, n_epochs, 'OK' AS status FROM bl""")
+def out2_tfr_metrics(spark, d):
+    t = tfr.tfr_metrics(T.epochs(spark, d), GRID)
+    return t.withColumns({c: fixed(c) for c in ("total_power", "evoked_power", "induced_power", "itc")})
+
+
+@query(f"WITH {COUNTS} SELECT recording AS subject, * EXCLUDE (recording), 'proxy:Fp1' AS blink_source, epoch_reject_rate > 0.2 AS ica_recommended, CASE WHEN epoch_reject_rate > 0.2 THEN 'epoch_loss>0.20' ELSE '' END AS ica_recommend_reason FROM qs")
+def out3_qc_summary(spark, d):
+    return jobs.qc_summary(T.epochs(spark, d), LIMITS).withColumn("epoch_reject_rate", fixed("epoch_reject_rate"))
+
+
+@query(f"""WITH {ALIGNED}, g AS (SELECT recording, count(*) AS n_markers, {R('quantile_cont(previous, 0.5)')} AS gap_p50, count(*) FILTER (previous <= {HOURS12} AND next <= {HOURS12}) AS n_dense FROM gp GROUP BY 1),
+t AS (SELECT recording, d, count(*) AS n FROM mk GROUP BY ALL), top AS (SELECT recording, arg_max(d, n * 1000) AS x, count(*) AS n_descriptions FROM t GROUP BY 1)
+SELECT recording, n_markers, gap_p50, n_dense, n_descriptions, n_codes, CASE WHEN ok THEN 'OK' ELSE 'SKIP_ALIGNMENT_FAILED' END AS status FROM st LEFT JOIN g USING (recording) LEFT JOIN top USING (recording)""")
+def out4_profile(spark, d):
+    p = jobs.profile(T.markers(spark, d), labels.only_codes(T.codes(spark, d), KEEP), HOURS12)
+    return p.withColumn("gap_p50", fixed("gap_p50"))
