@@ -72,15 +72,16 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     current, seen = scratch.save(edges), None
     while True:
         both = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # minima are written first: a join of plain rows on both sides can be split where a node is hot
+        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.save(large)
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = scratch.save(down.groupBy("u").agg(F.min("v").alias("m")))
+        small = down.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = scratch.save(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
         state = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        scratch.drop(current, large)
+        scratch.drop(current, low, large, least)
         current = after
         if state == seen:
             break

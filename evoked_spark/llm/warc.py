@@ -103,8 +103,10 @@ def audited(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, n_files: int) -> None:
     """Writes real archive files, one folder per archive, records in offset order."""
     body = record(F.col("page_id"), F.col("url"), F.col("html"))
-    rows = pages.select(archive_of(F.col("page_id"), n_files).alias("archive"), "page_id", "url", body.alias("value")).select("archive", "page_id", "url", F.col("value").substr(F.lit(1), F.length("value") - 2).alias("value"))
-    ordered = rows.repartition("archive").sortWithinPartitions("archive", "page_id", "url").select("archive", "value")
+    rows = pages.select(archive_of(F.col("page_id"), n_files).alias("archive"), "page_id", "url", body.alias("body"))
+    order = ["archive", "page_id", "url", F.octet_length("body"), F.sha2(F.col("body").cast("binary"), 256)]  # as in leaves()
+    line = F.col("body").substr(F.lit(1), F.length("body") - 2)  # the writer ends each line itself
+    ordered = rows.repartition("archive").sortWithinPartitions(*order).select("archive", line.alias("value"))
     ordered.write.partitionBy("archive").option("lineSep", _END).text(path)
 
 
