@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..params import Ica
 from .artifacts import pair_correlations
+from .signal import band_pass_taps, fir
 
 MODEL = "recording string, component int, channel string, unmix double, mix double"
 
@@ -105,6 +106,14 @@ def proxy_scores(parts: DataFrame, proxy: DataFrame) -> DataFrame:
     return r.select("recording", F.regexp_extract("a", "([0-9]+)", 1).cast("int").alias("component"), "r")
 
 
+def eog_scores(blocks: DataFrame, model: DataFrame, block_size: int, sfreq: float, band: tuple[float, float] = (1.0, 10.0)) -> DataFrame:
+    """Correlation of each component with the first EOG channel, both band-passed before."""
+    slow = fir(blocks, band_pass_taps(*band, sfreq), block_size)
+    eog = slow.where("kind = 'eog'")
+    first = eog.groupBy("recording").agg(F.min("channel").alias("channel"))
+    return proxy_scores(sources(slow.where("kind = 'eeg'"), model), eog.join(first, ["recording", "channel"]))
+
+
 def eog_outliers(scores: DataFrame, z: float = 3.0, most: int = 3) -> DataFrame:
     """``(recording, exclude)``: components whose r is more than ``z`` standard deviations off the mean of all."""
     w = W.partitionBy("recording")

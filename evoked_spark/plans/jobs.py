@@ -80,9 +80,12 @@ def preprocess(blocks: DataFrame, m: DataFrame, codes: DataFrame, sfreq: float,
         wanted = rate.where(ica.gate(p.ica.mode, F.col("blinks_per_min"), F.lit(None).cast("double"), p.ica.gate_per_min)).select("recording")
         slow = signal.fir(clean.join(wanted, "recording", "left_semi"), signal.band_pass_taps(p.ica.high_pass, None, sfreq), p.block_size)
         model = ica.fit(slow, p.ica)
-        scores = ica.proxy_scores(ica.sources(clean.where("kind = 'eeg'"), model), proxy)
-        best = scores.groupBy("recording", "component").agg(F.max_by("r", F.abs("r")).alias("r"))
-        clean = ica.remove(clean, model, ica.rank(best, p.ica))
+        with_eog = clean.where("kind = 'eog'").select("recording").distinct()
+        by_eog = ica.eog_outliers(ica.eog_scores(clean.join(with_eog, "recording", "left_semi"), model, p.block_size, sfreq), most=p.ica.most)
+        scores = ica.proxy_scores(ica.sources(clean.where("kind = 'eeg'"), model), proxy.where("kind = 'eeg'"))
+        best = scores.groupBy("recording", "component").agg(F.max_by("r", F.abs("r")).alias("r")).join(with_eog, "recording", "left_anti")
+        exclude = by_eog.unionByName(ica.rank(best, p.ica).select("recording", "exclude"))
+        clean = ica.remove(clean, model, exclude)
     codes = labels.only_codes(codes, p.contrast.keep)
     kept, status = markers.alignment(m, codes, p.gap_s)
     events = labels.conditions(labels.with_trial_labels(markers.events(kept, codes)), p.contrast)

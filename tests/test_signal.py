@@ -165,6 +165,30 @@ def test_ica_recovers_sources(spark):
     assert np.allclose(as_matrix(ica.remove(b, model, none), ["a", "b", "c"]), x)
 
 
+def test_eog_outliers(spark):
+    rows = [("1", i, 0.01 * (-1) ** i) for i in range(19)] + [("1", 19, -0.9)]
+    got = ica.eog_outliers(spark.createDataFrame(rows, "recording string, component int, r double"))
+    assert got.first().exclude == [19]
+
+
+def test_preprocessing_with_component_removal(spark):
+    """Blinks in the EOG channel that leak into the scalp are removed where the gate is on."""
+    t = np.arange(6000)
+    blink = 2e-4 * np.exp(-(((t % 400) - 200) / 25.0) ** 2)
+    other = RNG.normal(size=(16, 6000)) * 1e-5
+    x = np.vstack([other + np.linspace(0.2, 0.9, 16)[:, None] * blink, blink])
+    names = [f"c{i}" for i in range(16)] + ["VEOG"]
+    b = as_blocks(spark, x, 1000, names, eog=["VEOG"])
+    m = spark.createDataFrame([("1", i, "S", 300 + 100 * i, 1, 100.0) for i in range(50)], "recording string, mk int, desc string, pos long, size long, sfreq double")
+    codes = spark.createDataFrame([("1", i, 111 if i % 4 == 0 else 110) for i in range(50)], "recording string, row_id long, code int")
+    given = {"notch": (), "low": None, "high": 30.0}
+    for mode, bound in (("on", 0.25), ("off", 1.0)):
+        out = jobs.preprocess(b, m, codes, 100.0, jobs.Preprocessing(jobs.Contrast((110,), (111,)), 1000, ica=Ica(mode=mode, decimate=1), **given))
+        clean = as_matrix(out["signal"], names[:16])
+        r = max(abs(np.corrcoef(row, blink)[0, 1]) for row in clean)
+        assert (r < bound) if mode == "on" else (r > 0.5)
+
+
 def test_recommendation(spark):
     for given, want in (((0.2, 0.3, 20.0, None), ""), ((0.21, None, None, 21.0), "blink_proxy>20/min+epoch_loss>0.20"), ((0.5, 0.4, 25.0, None), "blink_rate>20/min+epoch_loss>0.20+eog_corr>0.30+blink_rate>20/min")):
         yes, why = ica.recommendation(*[F.lit(g).cast("double") for g in given])
