@@ -65,7 +65,7 @@ def fair_queue(docs: DataFrame, most: int = 2, budget_share: float = 1.5, weight
     size = F.size(words(F.col(f"`{text_col}`").cast("string"))).cast("long")
     shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))).cast("binary"))
     rec = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
-    rows = docs.select(rec.alias("rec"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"), shuffled.alias("place"))
+    rows = docs.select(rec.alias("rec"), F.col(f"`{source_col}`").alias("source"), size.alias("size"), shuffled.alias("place"))
     rows = scratch.save(rows.withColumn("slot", F.conv(F.substring("place", 1, 3), 16, 10).cast("int")))
     targets = scratch.save(source_targets(rows.select("source", "size"), budget_share, most, weights))
 
@@ -74,18 +74,18 @@ def fair_queue(docs: DataFrame, most: int = 2, budget_share: float = 1.5, weight
     slots = keyed(rows).groupBy("queue", "slot").agg(F.sum("size").alias("slot_size"))
     before = F.coalesce(F.sum("slot_size").over(W.partitionBy("queue").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     slots = scratch.save(slots.select("queue", "slot", before.alias("before")))
-    inside = F.sum("size").over(W.partitionBy("queue", "slot").orderBy("place", "id", "size").rowsBetween(W.unboundedPreceding, 0))
+    inside = F.sum("size").over(W.partitionBy("queue", "slot").orderBy("place", "size").rowsBetween(W.unboundedPreceding, 0))
     queued = keyed(rows).withColumn("inside", inside).join(slots, ["queue", "slot"]).join(keyed(targets), "queue")
     queued = queued.withColumn("queued", F.col("before") + F.col("inside"))
 
     def place(copy: int) -> Column:
         """Where a copy stands in the global order."""
         finish = F.try_divide((F.col("queued") + F.lit(copy) * F.col("source_size")).cast("double"), F.col("target"))
-        return F.struct(finish.alias("finish"), F.col("place"), F.coalesce("id", F.lit(-1)).cast("long").alias("id"), F.col("size"))
+        return F.struct(finish.alias("finish"), F.col("place"), F.col("size"))
 
     # a target is reached at time 1; time 2 and later matter only where single documents outweigh targets
     bucket_of = lambda key: F.least(F.floor(key["finish"] * buckets), F.lit(2 * buckets)).cast("int")
-    narrow = scratch.save(queued.select("id", "size", "place", "source_size", "target", "queued"))
+    narrow = scratch.save(queued.select("size", "place", "source_size", "target", "queued"))
     copies = narrow.select(F.explode(F.array(*[place(i) for i in range(most)])).alias("key")).where("key.finish is not null")
     copies = copies.withColumn("bucket", bucket_of(F.col("key")))
 
@@ -106,7 +106,7 @@ def fair_queue(docs: DataFrame, most: int = 2, budget_share: float = 1.5, weight
             return F.when(key["finish"].isNotNull(), 1).otherwise(0)
         inside_cut = bucket_of(key) < edge
         if last is not None:
-            cut = F.struct(*[F.lit(last[c]).cast(kind).alias(c) for c, kind in (("finish", "double"), ("place", "string"), ("id", "long"), ("size", "long"))])
+            cut = F.struct(*[F.lit(last[c]).cast(kind).alias(c) for c, kind in (("finish", "double"), ("place", "string"), ("size", "long"))])
             inside_cut |= (bucket_of(key) == edge) & (key <= cut)
         return F.when(key["finish"].isNotNull() & inside_cut, 1).otherwise(0)
 
