@@ -122,7 +122,7 @@ def judged(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col:
     id_name = id_col if carry is None or id_col in carry else None
     rows = scratch.save(with_signals(docs, text_col, lang_col, carry if id_name or carry is None else [*carry, id_col]))
     marks = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("label_id")).agg((F.min("quality") == 1).alias("good"))
-    labelled = rows.select(F.col(f"rec.`{id_col}`").alias("label_id"), "stratum", *CUTOFFS).join(marks, "label_id")
+    labelled = rows.select(F.col(f"rec.`{id_col}`").alias("label_id"), "stratum", *CUTOFFS).join(marks.hint("merge"), "label_id")
     chosen = scratch.save(thresholds(labelled))
     # one row per stratum; a map from rule to cutoff
     table = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
