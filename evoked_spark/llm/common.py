@@ -46,8 +46,30 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table)))
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            self._delete(self.paths.pop(id(table)))
+
+    def clear(self) -> None:
+        """Deletes all tables; for when what was made from them is written elsewhere."""
+        self.paths.clear()
+        self._delete(self.base)
+
+    def feeds(self, df: DataFrame) -> bool:
+        """Whether ``df`` reads any of these tables."""
+        name = self.base.rsplit("/", 1)[-1]
+        return any(f"/{name}/" in path for path in df.inputFiles())
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` rows of ``df``, chosen by a hash of ``key``; all of them if there are no more.
+
+    A filter: nothing is sorted, and no task or driver sees more than the sample.
+    """
+    n = df.count()
+    return df if n <= most else df.where(F.pmod(F.xxhash64(key), F.lit(n)) < most)
 
 
 def words(text: Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, unpacked
 
 
-def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, first: int = 128, growth: int = 32) -> DataFrame:
+def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, first: int = 128, growth: int = 32, scratch: Scratch | None = None) -> DataFrame:
     """One row per input row: ``rec`` (the input columns), ``keep_id``, ``group_size``, ``kept``.
 
     ``carry`` names the columns that ``rec`` holds; without it, all of them.
@@ -33,7 +33,7 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows meet their group in an equi-join, which the adaptive planner splits
     where a group of copies is hot.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     body = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     whole = carry is None or text_col in carry
     rec = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
@@ -60,6 +60,6 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         offset, width = offset + width, width * growth
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    return unpacked(radix_groups(docs, id_col, text_col).where("kept"), "rec")
+    return unpacked(radix_groups(docs, id_col, text_col, scratch=scratch).where("kept"), "rec")

@@ -51,7 +51,7 @@ def source_targets(sizes: DataFrame, budget_share: float = 1.5, most: int = 2, w
     return s.select("source", "source_size", target.alias("target"))
 
 
-def fair_queue(docs: DataFrame, most: int = 2, budget_share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", buckets: int = 1024, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+def fair_queue(docs: DataFrame, most: int = 2, budget_share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", buckets: int = 1024, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", carry: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """One row per document: ``rec`` (its columns, or those in ``carry``), ``size``, ``source_size``, ``target`` and ``copies`` (0 to ``most``).
 
     The shuffle is the md5 of the seed and the id, so reruns agree; ids that
@@ -61,7 +61,7 @@ def fair_queue(docs: DataFrame, most: int = 2, budget_share: float = 1.5, weight
     a source without tokens has target 0 and is not taken.  An empty table
     gives an empty mix.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     size = F.size(words(F.col(f"`{text_col}`").cast("string"))).cast("long")
     shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))).cast("binary"))
     rec = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])

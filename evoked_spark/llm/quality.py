@@ -111,14 +111,14 @@ def thresholds(labelled: DataFrame, cutoffs: dict[str, tuple[float, ...]] = CUTO
     return best.where("b.gain > 0").select("stratum", "rule", F.col("b.cutoff").alias("cutoff"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", carry: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """:func:`with_signals` of every row, with ``kept``: passes the base rules and every certified rule of its stratum.
 
     ``labels`` has ``doc_id`` and ``quality`` (0 or 1); of repeated labels the
     lowest counts, null ones don't.  Without labels only the base rules act.
     An empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     id_name = id_col if carry is None or id_col in carry else None
     rows = scratch.save(with_signals(docs, text_col, lang_col, carry if id_name or carry is None else [*carry, id_col]))
     marks = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("label_id")).agg((F.min("quality") == 1).alias("good"))

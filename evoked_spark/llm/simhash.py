@@ -81,27 +81,33 @@ def components(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(linked.join(least.hint("merge"), "root").select("fp", "root", "component_id"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def with_prints(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None, scratch: Scratch) -> DataFrame:
+    """``rec``, ``id``, ``fp`` and ``uid`` of every row, written once: fingerprints aren't computed again."""
+    rec = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
+    rows = docs.select(rec.alias("rec"), F.col(f"`{id_col}`").alias("id"), fingerprints(F.col(f"`{text_col}`").cast("string").cast("binary")).alias("fp"))
+    return scratch.save(rows.withColumn("uid", F.monotonically_increasing_id()))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """One row per input row: ``rec`` (its columns, or those in ``carry``), ``uid``, ``id``, ``fp`` and ``component_id``.
 
     A null text has no words; texts without words have fingerprint 0 and are
     linked like any other.  A null id never names a component unless all ids
     of it are null.  An empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession)
-    rec = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
-    rows = docs.select(rec.alias("rec"), F.col(f"`{id_col}`").alias("id"), fingerprints(F.col(f"`{text_col}`").cast("string").cast("binary")).alias("fp"))
-    rows = scratch.save(rows.withColumn("uid", F.monotonically_increasing_id()))
+    scratch = scratch or Scratch(docs.sparkSession)
+    rows = with_prints(docs, id_col, text_col, carry, scratch)
     return rows.join(components(rows.select("id", "fp"), scratch).hint("merge"), "fp")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the one with the smallest id (null last).
 
-    Of repeated rows with that id one stays.
+    Of repeated rows with that id one stays.  Which rows stay is found on ids
+    and fingerprints; whole rows are shuffled once.
     """
-    scratch = Scratch(docs.sparkSession)
-    rows = near_copies(docs, id_col, text_col)
-    first = rows.where("id <=> component_id").groupBy("root").agg(F.min("uid").alias("uid"))
-    stays = scratch.save(first.select("uid"))
-    return rows.where("id <=> component_id").join(stays.hint("merge"), "uid", "left_semi").select("rec.*")
+    scratch = scratch or Scratch(docs.sparkSession)
+    rows = with_prints(docs, id_col, text_col, None, scratch)
+    narrow = rows.select("uid", "id", "fp").join(components(rows.select("id", "fp"), scratch).hint("merge"), "fp")
+    stays = scratch.save(narrow.where("id <=> component_id").groupBy("root").agg(F.min("uid").alias("uid")).select("uid"))
+    return rows.join(stays.hint("merge"), "uid", "left_semi").select("rec.*")
