@@ -1,8 +1,8 @@
 """Toxicity scores from a counterfactually regularised classifier.
 
 A logistic model over word counts is fitted on a bounded sample of labelled
-rows (``max_rows`` documents and ``max_pairs`` sentences, taken in the order of
-a hash).  Its loss has a second term: in every sampled sentence that names a
+rows (about ``max_rows`` documents, chosen by a hash, and ``max_pairs`` of their
+sentences).  Its loss has a second term: in every sampled sentence that names a
 group, the name is swapped for another of its kind, and the squared change of
 the logit is penalised.  A group's name then carries little weight of its own,
 and neutral mentions aren't taken for abuse.
@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import hash_sample
+
 #: Names of groups, by kind; a name is swapped for the others of its kind.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
@@ -155,14 +157,14 @@ def train(labelled: DataFrame, max_words: int = 192, max_rows: int = 200_000, ma
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """``(text, label)`` of at most ``max_rows`` labelled rows; ``labels(doc_id, toxic)``.
+    """``(text, label)`` of about ``max_rows`` labelled rows; ``labels(doc_id, toxic)``.
 
     Of repeated labels the highest counts; null ones and null ids are left out.
-    The sample is taken from the labels, in hash order, and broadcast: its size
+    The sample is taken from the labels, by hash, and broadcast: its size
     is bounded by ``max_rows`` times two numbers.
     """
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    sample = hash_sample(marks, "doc_id", max_rows)
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
 
 
