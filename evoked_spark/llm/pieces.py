@@ -13,8 +13,8 @@ Weights by model type: a unigram model adds piece scores.  In a BPE model two
 neighbouring pieces weigh 0 if merging their joined text gives these two pieces
 again, and minus infinity if not; the only path of weight 0 is the one that the
 merges produce.  No piece of the usual models crosses from a word into the next
-blank, so every such place is a state of its own and what lies between two of
-them is encoded once and remembered.
+blank, so every such place is a free state of its own; what lies between the
+first and the last of them in a chunk doesn't depend on the chunk's cuts.
 """
 
 from __future__ import annotations
@@ -26,16 +26,18 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch
 
-#: Characters of a chunk, matrices combined at a time, words remembered by a worker.
-CHUNK, FANOUT, REMEMBERED = 8192, 64, 300_000
+#: Characters of a chunk, matrices combined at a time, pairs of pieces remembered by a worker.
+CHUNK, FANOUT, REMEMBERED = 32_768, 64, 500_000
 MARK = "▁"
-#: The state between two words; pieces of a path are (end, piece id), with UNKNOWN for a character without a piece.
+#: The free state, between two words; pieces of a path are (end, piece id), with UNKNOWN for a character without a piece.
 FREE, UNKNOWN = -1, -2
 Matrix = dict[tuple[int, int], float]
 
@@ -60,6 +62,12 @@ class Pieces:
         self.score = [p.score for p in spec.pieces]
         self.byte = {i: int(p.piece[3:5], 16) for i, p in enumerate(spec.pieces) if p.type == kinds.BYTE}
         self.of_byte = {b: i for i, b in self.byte.items()}
+        self.in_byte_run = np.zeros(len(self.text), bool)
+        for i, b in self.byte.items():
+            if b < 128:
+                self.text[i] = chr(b)
+            else:
+                self.in_byte_run[i] = True
         self.unk = self.library.unk_id()
         self.ids = {self.text[i]: i for i, p in enumerate(spec.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
         self.longest = max(map(len, self.ids))
@@ -67,46 +75,41 @@ class Pieces:
         self.unit = re.compile(f" *[^ {MARK}]+| +|{MARK}" if words_only else f"[^{MARK}]+|{MARK}")
         self.neighbours: dict[tuple[int, int], bool] = {}
         self.made: dict[int, bool] = {}
-        self.memo: dict[str, list[int]] = {}
 
     def unknown(self, char: str) -> list[int]:
         return [self.of_byte[b] for b in char.encode()] if self.of_byte else [self.unk]
 
-    # whole words
-
-    def encode_units(self, units: list[str]) -> list[int]:
-        found = list(map(self.memo.get, units))
-        if None in found:
-            new = list({u for u, f in zip(units, found) if f is None})
-            if len(self.memo) > REMEMBERED:
-                self.memo.clear()
-            fresh = dict(zip(new, self.library.encode(new)))
-            if MARK in fresh:  # kept as a character, not as a blank, so that decoding gives it back
-                fresh[MARK] = self.unknown(MARK)
-            self.memo |= fresh
-            found = [self.memo[u] if f is None and u not in fresh else fresh.get(u, f) for u, f in zip(units, found)]
-        return list(chain.from_iterable(found))
+    # between two free states
+
+    def encode_free(self, text: str) -> list[int]:
+        """Ids of a part that begins and ends in the free state; U+2581 is kept as a character, so that decoding gives it back."""
+        first, *others = text.split(MARK)
+        ids = self.library.encode(first)
+        for part in others:
+            ids += self.unknown(MARK) + self.library.encode(part)
+        return ids
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; equal to the library's wherever the text has no U+2581."""
-        return self.encode_units(self.unit.findall(self.prefix + text)) if text else []
+        return self.encode_free(self.prefix + text) if text else []
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of some ids; bytes of one character follow each other."""
+        ids = np.asarray(ids, np.int64)
         if not len(ids):
             return ""
-        parts = [self.text[i] for i in ids]
-        if self.byte and (small := self.byte.keys() & set(ids)):
-            out, run = [], bytearray()
-            for i, part in zip(ids, parts):
-                if i in small:
-                    run.append(self.byte[i])
-                else:
-                    if run:
-                        out.append(run.decode("utf-8", "replace"))
-                        run.clear()
-                    out.append(part)
-            parts = [*out, run.decode("utf-8", "replace")]
-        return "".join(parts)[len(self.prefix) :]
+        if not self.in_byte_run[ids].any():  # each id is text of its own
+            return "".join(map(self.text.__getitem__, ids.tolist()))[len(self.prefix) :]
+        out, run = [], bytearray()
+        for i, part in zip(ids.tolist(), map(self.text.__getitem__, ids.tolist())):
+            if self.in_byte_run[i]:
+                run.append(self.byte[i])
+                continue
+            if run:
+                out.append(run.decode("utf-8", "replace"))
+                run.clear()
+            out.append(part)
+        return "".join([*out, run.decode("utf-8", "replace")])[len(self.prefix) :]
 
     # the lattice
 
@@ -118,7 +121,7 @@ class Pieces:
             return 0.0
         pair = (before, piece)
         if pair not in self.neighbours:
-            if len(self.neighbours) > 4 * REMEMBERED:
+            if len(self.neighbours) > REMEMBERED:
                 self.neighbours.clear()
             self.neighbours[pair] = self.library.encode(self.text[before] + self.text[piece]) == [before, piece]
         return 0.0 if self.neighbours[pair] else None
@@ -236,7 +239,7 @@ class Pieces:
             nodes = self.scan(text[: first[1]], begin, first[1], entries)
             best = max((paths[entry][0], p) for (e, p), paths in nodes.items() if e == first[1] and entry in paths)[1]
             ids += self.trace(nodes, first[1], best, entry, begin + entry % 64 if entry != FREE else begin, text)
-        ids += self.encode_units([text[a:b] for a, b in bounds if a >= begin and b <= stop])
+        ids += self.encode_free(text[free[0] : free[-1]])
         if last:
             ids += self.trace(self.scan(text[: last[1]], last[0], stop, {FREE: last[0]}), end, piece, FREE, last[0], text)
         return ids
@@ -285,51 +288,82 @@ def _chunk_states(chunks: DataFrame, model: bytes, scratch: Scratch) -> DataFram
         for batch in batches:
             yield pd.DataFrame({"row": batch["row"], "idx": batch["idx"], "matrix": [_pack(own.transfer(t, b, e)) for t, b, e in zip(batch["text"], batch["begin"], batch["stop"])]})
 
-    def combined(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx")
-        whole = reduce(product, map(_unpack, group["matrix"]))
-        return pd.DataFrame({"row": [group["row"].iloc[0]], "idx": [group["idx"].iloc[0] // FANOUT], "matrix": [_pack(whole)]})
+    def combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"row": batch["row"], "idx": batch["up"], "matrix": [_pack(reduce(product, [_unpack(p["matrix"]) for p in parts])) for parts in batch["parts"]]})
 
-    def spread(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx")
-        states = best_states(list(map(_unpack, group["matrix"])), int(group["entry"].iloc[0]), int(group["leave"].iloc[0]))
-        return pd.DataFrame({"row": group["row"], "idx": group["idx"], "entry": [s for s, _ in states], "leave": [x for _, x in states]})
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                states = best_states([_unpack(p["matrix"]) for p in r.parts], r.entry, r.leave)
+                out += [(r.row, p["idx"], s, x) for p, (s, x) in zip(r.parts, states)]
+            yield pd.DataFrame(out, columns=["row", "idx", "entry", "leave"])
+
+    def siblings(level: DataFrame) -> DataFrame:
+        """At most FANOUT matrices in a row, in order."""
+        up = F.expr(f"idx div {FANOUT}").cast("int")
+        return level.groupBy("row", up.alias("up")).agg(F.sort_array(F.collect_list(F.struct("idx", "matrix"))).alias("parts"))
 
-    up = F.expr(f"idx div {FANOUT}").cast("int")
     levels = [scratch.save(chunks.select("row", "idx", "text", "begin", "stop").mapInPandas(transfers, f"row long, idx int, {_MATRIX}"))]
     while (levels[-1].agg(F.max("idx")).first()[0] or 0) > 0:
-        levels.append(scratch.save(levels[-1].groupBy("row", up.alias("up")).applyInPandas(combined, f"row long, idx int, {_MATRIX}")))
+        levels.append(scratch.save(siblings(levels[-1]).mapInPandas(combined, f"row long, idx int, {_MATRIX}")))
     known = levels[-1].select("row", "idx", F.lit(FREE).alias("entry"), F.lit(FREE).alias("leave"))
     for level in reversed(levels[:-1]):
-        inside = level.withColumn("up", up).join(known.withColumnRenamed("idx", "up").hint("merge"), ["row", "up"])
-        known = scratch.save(inside.groupBy("row", "up").applyInPandas(spread, "row long, idx int, entry int, leave int"))
+        inside = siblings(level).join(known.withColumnRenamed("idx", "up").hint("merge"), ["row", "up"])
+        known = scratch.save(inside.mapInPandas(spread, "row long, idx int, entry int, leave int"))
     return known
 
 
-def encoded(docs: DataFrame, model: bytes, text_col: str = "text", carry: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that what is made of them never fills a worker's memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return (values[i:j] for i, j in zip(offsets[:-1], offsets[1:]))
+
+
+def encoded(docs: DataFrame, model: bytes, text_col: str = "text", carry: list[str] | None = None, chunk: int = CHUNK, verify: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """``rec`` (the columns of each row, or those in ``carry``), ``n_chunks`` and ``ids`` of the whole text.
 
     Texts of at most ``chunk`` characters are one chunk and stay where they
-    are; the chunks of longer ones are spread over the cluster.  A null or
+    are; the chunks of longer ones are spread over the cluster.  ``verify``
+    adds ``round_trip``: decoding the ids, where they are made, gives the text
+    back (no second trip of ids and texts through Python).  A null or
     empty text has no ids.  Repeated rows are encoded each; an empty table
     gives an empty result.
     """
-    scratch, around = Scratch(docs.sparkSession), 64
+    scratch, around = scratch or Scratch(docs.sparkSession), 64
     names = docs.columns if carry is None else carry
     rec = F.struct(*[F.col(f"`{c}`") for c in names])
-    rows = docs.select(rec.alias("rec"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    own = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    text = F.coalesce(F.col(f"rec.`{text_col}`").cast("string"), F.lit("")) if text_col in names else F.col("text")
+    apart = text_col not in names  # a text that is carried isn't kept twice
+    rows = docs.select(rec.alias("rec"), *[own.alias("text")] * apart, F.monotonically_increasing_id().alias("row"))
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def whole(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(model)
-        for part in parts:
-            yield pd.Series([np.array(own.encode(t), np.int32) for t in part], dtype=object)
-
-    short = rows.where(F.length("text") <= chunk).select("rec", F.lit(1).alias("n_chunks"), whole("text").alias("ids"))
+        for part in _slices(batches):
+            texts = part.column("text").to_pylist() if apart else pc.struct_field(part.column("rec"), text_col).to_pylist()
+            ids = [own.encode(t or "") for t in texts]
+            values = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids))))
+            offsets = pa.array(np.cumsum([0, *map(len, ids)], dtype=np.int32))
+            made = {"rec": part.column("rec"), "n_chunks": pa.array([1] * len(ids), pa.int32()), "ids": pa.ListArray.from_arrays(offsets, values)}
+            if verify:
+                made["round_trip"] = pa.array([own.decode(i) == (t or "") for i, t in zip(ids, texts)], pa.bool_())
+            yield pa.record_batch(made)
+
+    checked = [T.StructField("round_trip", T.BooleanType())] if verify else []
+    out = T.StructType([rows.schema["rec"], T.StructField("n_chunks", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), *checked])
+    short = rows.where(F.length(text) <= chunk).drop("row").mapInArrow(whole, out)
 
     prefix = Pieces(model).prefix
-    giants = scratch.save(rows.where(F.length("text") > chunk))
-    body = F.concat(F.lit(prefix), F.col("text"))
+    giants = scratch.save(rows.where(F.length(text) > chunk))
+    body = F.concat(F.lit(prefix), text)
     size = F.length(body)
     cut = giants.select("row", body.alias("body"), size.alias("size"), F.explode(F.sequence(F.lit(0), (F.ceil(size / chunk) - 1).cast("int"))).alias("idx"))
     low = F.greatest(F.col("idx") * chunk - around, F.lit(0))
@@ -346,17 +380,27 @@ def encoded(docs: DataFrame, model: bytes, text_col: str = "text", carry: list[s
 
     traced = chunks.join(states.hint("merge"), ["row", "idx"]).mapInPandas(pieces, "row long, idx int, ids array<int>")
     joined = traced.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("idx", "ids"))).alias("parts"))
-    joined = scratch.save(joined.select("row", F.size("parts").alias("n_chunks"), F.flatten("parts.ids").alias("ids")))
-    return short.unionAll(giants.join(joined.hint("merge"), "row").select("rec", "n_chunks", "ids"))
+    joined = joined.select("row", F.size("parts").alias("n_chunks"), F.flatten("parts.ids").alias("ids"))
+    long = giants.join(joined.hint("merge"), "row").select("rec", *[text.alias("text")] * apart, "n_chunks", "ids")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Pieces(model)
+        for part in _slices(batches, 16):
+            texts = (part.column("text") if apart else pc.struct_field(part.column("rec"), text_col)).to_pylist()
+            same = [own.decode(ids) == (t or "") for ids, t in zip(_lists(part.column("ids")), texts)]
+            yield pa.record_batch({"rec": part.column("rec"), "n_chunks": part.column("n_chunks"), "ids": part.column("ids"), "round_trip": pa.array(same, pa.bool_())})
+
+    return short.unionAll(long.mapInArrow(compared, out) if verify else long.select("rec", "n_chunks", "ids"))
 
 
 def decoded(rows: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
     """``rows`` with ``decoded``, the text of the ids; the exact inverse of :func:`encoded` (null becomes empty)."""
 
-    @F.pandas_udf(T.StringType())
-    def text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(model)
-        for part in parts:
-            yield pd.Series([own.decode(ids.tolist()) for ids in part], dtype=object)
+        for part in _slices(batches):
+            column = part.column(part.schema.get_field_index(ids_col))
+            texts = [own.decode(ids) for ids in _lists(column)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
-    return rows.withColumn("decoded", text(F.col(ids_col)))
+    return rows.mapInArrow(text, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))

@@ -79,6 +79,6 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_
     """Ids of every whole text as count and digest, and whether decoding them gives the text back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = pathlib.Path(model_path).read_bytes()
-    rows = pieces.decoded(pieces.encoded(docs, model, carry=["doc_id", "text"]), model)
-    text = F.coalesce("rec.text", F.lit(""))
-    return rows.select("rec.doc_id", F.length(text).cast("long").alias("n_chars"), F.col("n_chunks").cast("long").alias("n_chunks"), F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxhash64"), (F.col("decoded") == text).alias("round_trip"))
+    docs = docs.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
+    rows = pieces.encoded(docs, model, carry=["doc_id", "n_chars"], verify=True)
+    return rows.select("rec.doc_id", "rec.n_chars", F.col("n_chunks").cast("long").alias("n_chunks"), F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxhash64"), "round_trip")

@@ -81,12 +81,16 @@ def test_documents(spark):
     texts = ["plain words here", None, "", "a▁b ▁ c▁", giant, "two  words " * 900, giant, "\x00 nul"]
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, ids long")
     model, library = MODEL.read_bytes(), SentencePieceProcessor(model_file=str(MODEL))
-    rows = P.decoded(P.encoded(docs, model, chunk=300), model).collect()
-    assert len(rows) == len(texts)
-    for r in rows:
-        text = texts[r.rec.doc_id] or ""
-        assert r.decoded == text and r.rec.ids == r.rec.doc_id
-        if "▁" not in text:
-            assert r.ids == library.encode(text)
-        assert r.n_chunks == (1 if len(text) <= 300 else -(-(len(text) + 1) // 300))
+    for chunk in (300, 30):  # one and two levels of matrices
+        rows = P.decoded(P.encoded(docs, model, chunk=chunk), model).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            text = texts[r.rec.doc_id] or ""
+            assert r.decoded == text and r.rec.ids == r.rec.doc_id
+            if "▁" not in text:
+                assert r.ids == library.encode(text)
+            assert r.n_chunks == (1 if len(text) <= chunk else -(-(len(text) + 1) // chunk))
     assert P.encoded(docs.where("false"), model).count() == 0
+    for carry in (None, ["doc_id"]):
+        checked = P.encoded(docs, model, carry=carry, chunk=300, verify=True).collect()
+        assert len(checked) == len(texts) and all(r.round_trip for r in checked)
