@@ -69,8 +69,9 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     levels, rounds = [state], 0
     while not state.where("up is not null").isEmpty() and rounds < 40:
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("hops"))
-        joined = state.join(above.hint("merge"), ["tree", "up"], "left")
-        state = scratch.save(joined.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("hops", F.lit(0))).alias("depth")))
+        joined = state.where("up is not null").join(above.hint("merge"), ["tree", "up"])
+        hopped = joined.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("hops")).alias("depth"))
+        state = scratch.save(hopped.unionAll(state.where("up is null")))  # those at their root hop no more
         levels.append(state)
         rounds += 1
     inner = levels[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
