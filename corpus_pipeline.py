@@ -20,31 +20,47 @@ from evoked_spark.llm.queries_text import MODEL_PATH
 from evoked_spark.llm.simhash import drop_near_copies
 
 
+_made: dict[str, list[Scratch]] = {}
+
+
+def _scratch(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Scratch:
+    """A stage's own scratch tables; those of earlier stages over the same tables go, unless ``docs`` still reads them.
+
+    A stage begins when what its predecessor kept has been written and reread,
+    so by then the predecessor's tables only take up disk.
+    """
+    held = _made.setdefault(sf_dir, [])
+    for old in [s for s in held if not s.feeds(docs)]:
+        old.clear()
+        held.remove(old)
+    held.append(Scratch(spark))
+    return held[-1]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the base rules or a certified rule of its language reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return judged(docs, labels).where("kept").select("rec.*")
+    return judged(docs, labels, scratch=_scratch(spark, docs, sf_dir)).where("kept").select("rec.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_exact_copies(docs)
+    return drop_exact_copies(docs, scratch=_scratch(spark, docs, sf_dir))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_copies(docs)
+    return drop_near_copies(docs, scratch=_scratch(spark, docs, sf_dir))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once or twice."""
-    return mixed(docs)
+    return mixed(docs, scratch=_scratch(spark, docs, sf_dir))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document, and whether decoding them gives its text back."""
     model = pathlib.Path(MODEL_PATH).read_bytes()
-    rows = pieces.decoded(pieces.encoded(docs, model), model)
-    exact = F.col("decoded") == F.coalesce("rec.text", F.lit(""))
-    return rows.select("rec.doc_id", "rec.lang", "rec.source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("round_trip"))
+    rows = pieces.encoded(docs, model, carry=["doc_id", "lang", "source"], verify=True, scratch=_scratch(spark, docs, sf_dir))
+    return rows.select("rec.doc_id", "rec.lang", "rec.source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mixing", mix_sources), ("tokenize", tokenize)]
@@ -56,6 +72,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, scratch.save(stage(spark, docs, sf_dir))
+        if i:
+            scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
