@@ -157,10 +157,55 @@ def window_rows(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(make, "signature long, row long, lo int, hi int")
 
 
+def _occurrences(part: np.ndarray, spots: np.ndarray, y: np.ndarray, at_y: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (p, q) with part[p] = y[q], p in spots and q in at_y, in ranges of diagonals of about ``most`` pairs at a time."""
+    ids = np.unique(y[at_y], return_inverse=True)
+    keys = ids[1].astype(np.int64) * len(y) + at_y
+    keys.sort()
+    base = np.searchsorted(ids[0], part[spots]).astype(np.int64) * len(y)
+    total = int((np.searchsorted(keys, base + len(y)) - np.searchsorted(keys, base)).sum())
+    first, last = int(at_y[0] - spots[-1]), int(at_y[-1] - spots[0])
+    step = last - first + 1 if total <= most else max(1, most // len(spots))
+    for low in range(first, last + 1, step):
+        start = np.searchsorted(keys, base + np.clip(spots + low, 0, len(y)))
+        n = np.searchsorted(keys, base + np.clip(spots + min(low + step, last + 1), 0, len(y))) - start
+        place = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        yield np.repeat(spots, n), keys[place] % len(y)
+
+
+def _segments(p: np.ndarray, q: np.ndarray, band: np.ndarray, t: int, need: int, holds, split: bool) -> Iterator[tuple[int, int, int, int]]:
+    """Segments of pairs of one band of diagonals that hold; with ``split``, one that doesn't is cut at its widest gap, down to single windows."""
+    order = np.lexsort((q, p, band))
+    p, q, band = p[order], q[order], band[order]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(band)) + 1, [len(p)]])
+    for at, upto in zip(edges[:-1], edges[1:]):
+        if upto - at < need:
+            continue
+        u, v = p[at:upto], q[at:upto]
+        own = np.unique(u)
+        good = np.flatnonzero(np.searchsorted(own, own + t) - np.arange(len(own)) >= need)
+        todo = [good[i] for i in np.split(np.arange(len(good)), np.flatnonzero(np.diff(own[good]) > t) + 1)] if len(good) else []
+        while todo:
+            run = todo.pop()
+            i, j = own[run[0]], own[np.searchsorted(own, own[run[-1]] + t) - 1]
+            there = v[np.searchsorted(u, i) : np.searchsorted(u, j, "right")]
+            segment = int(i), int(j), int(there.min()), int(there.max())
+            if holds(*segment):
+                yield segment
+            elif split and len(run) > 1:
+                gaps = np.diff(own[run])
+                cut = len(run) // 2 if gaps.max() == gaps.min() else int(gaps.argmax()) + 1
+                todo += [run[:cut], run[cut:]]
+
+
 def shared_passages(x: np.ndarray, spans: list[tuple[int, int]], y: np.ndarray, y_spans: list[tuple[int, int]], t: int = T, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int]]:
     """Passages (start, stop, start in y, stop in y), in shingles, of at least t shingles and that Jaccard similarity.
 
-    x and y are the shingle hashes of two texts; only the given ranges are compared.
+    x and y are the shingle hashes of two texts; only the given ranges are
+    compared.  Where hits of x stand once in y, all near one diagonal, the whole
+    run is tested.  Otherwise every occurrence in y counts, and the pairs are
+    split by diagonals: in bands from wide, for passages with words put in or
+    left out, to single diagonals, where each window with enough hits holds.
     """
     inside = np.zeros(len(y), bool)
     for lo, hi in y_spans:
@@ -186,20 +231,43 @@ def shared_passages(x: np.ndarray, spans: list[tuple[int, int]], y: np.ndarray,
         good = np.flatnonzero(sums[t:] - sums[:-t] >= need)
         if not len(good):
             continue
-        for run in np.split(good, np.flatnonzero(np.diff(good) > t) + 1):
-            i, j = run[0], run[-1] + t - 1
-            spots = i + np.flatnonzero(hit[i : j + 1])
-            i, j = spots[0], spots[-1]
-            match = at_y[order[where[spots]]]
-            shift = int(np.median(match - spots))
-            near = match[np.abs(match - spots - shift) <= max(t // 4, (j - i) // 8)]
-            a, b = (int(near.min()), int(near.max())) if len(near) else (0, -1)
+
+        def holds(i: int, j: int, a: int, b: int, part=part) -> bool:
             if j - i + 1 < need or b - a + 1 < need:
-                continue
+                return False
             mine, theirs = np.unique(part[i : j + 1]), np.unique(y[a : b + 1])
             both = len(np.intersect1d(mine, theirs, assume_unique=True))
-            if both >= similarity * (len(mine) + len(theirs) - both):
-                found.append((lo + int(i), lo + int(j), a, b))
+            return both >= similarity * (len(mine) + len(theirs) - both)
+
+        for run in np.split(good, np.flatnonzero(np.diff(good) > t) + 1):
+            spots = run[0] + np.flatnonzero(hit[run[0] : run[-1] + t])
+            match = at_y[order[where[spots]]]
+            shifts = match - spots
+            length = int(spots[-1] - spots[0]) + 1
+            after = np.minimum(where[spots] + 1, len(sorted_y) - 1)
+            once = not ((sorted_y[after] == part[spots]) & (after > where[spots])).any()
+            if once and np.ptp(shifts) <= max(t // 4, length // 8):
+                whole = int(spots[0]), int(spots[-1]), int(match.min()), int(match.max())
+                if holds(*whole):
+                    found.append((lo + whole[0], lo + whole[1], whole[2], whole[3]))
+                    continue
+            mine, theirs = np.zeros(len(part), bool), np.zeros(len(y), bool)
+            wanted = at_y[np.isin(y[at_y], part[spots])]
+            for p, q in _occurrences(part, spots, y, wanted):
+                widths = [t // 4]
+                while 2 * widths[-1] <= length // 4:
+                    widths.append(2 * widths[-1])
+                bands = [(q - p, True), *(((q - p + shift) // (2 * w), w == t // 4) for w in widths for shift in (0, w))]
+                held = {segment for band, split in bands for segment in _segments(p, q, band, t, need, holds, split)}
+                kept: list[tuple[int, int, int, int]] = []
+                for i, j, a, b in sorted(held, key=lambda s: (s[0] - s[1], s[2] - s[3], s)):
+                    if not any(k[0] <= i and j <= k[1] and k[2] <= a and b <= k[3] for k in kept):
+                        kept.append((i, j, a, b))
+                for i, j, a, b in kept:
+                    found.append((lo + i, lo + j, a, b))
+                    mine[i : j + 1] = theirs[a : b + 1] = True
+                if mine[spots].all() and theirs[wanted].all():
+                    break  # further diagonals of a text that repeats itself add no place
     return found
 
 

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from evoked_spark.llm.passages import T, compact_windows, joint_windows, passage_classes, repeated_passages, shingles
+from evoked_spark.llm.passages import T, compact_windows, joint_windows, passage_classes, repeated_passages, shared_passages, shingles
 
 
 def test_compact_windows_cover_every_range_once():
@@ -61,3 +61,28 @@ def test_every_shared_range_meets_in_every_pair():
     one, two = [list(joint_windows(*shingles(t.encode()))) for t in (a, b)]
     for x, y in zip(one, two):
         assert set(x[0]) & set(y[0])
+
+
+def shared(x, y):
+    a, b = (shingles(" ".join(w).encode())[0] for w in (x, y))
+    return shared_passages(a, [(0, len(a) - 1)], b, [(0, len(b) - 1)])
+
+
+def test_one_run_that_maps_to_several_places():
+    rng = random.Random(9)
+    p, p1, p2, between = (words(rng, n) for n in (60, 200, 200, 100))
+    assert sorted(shared(p + p, p)) == [(0, 55, 0, 55), (60, 115, 0, 55)]
+    assert sorted(shared(p, p + p)) == [(0, 55, 0, 55), (0, 55, 60, 115)]
+    assert sorted(shared(p1 + p2, p1 + between + p2)) == [(0, 195, 0, 195), (200, 395, 300, 495)]
+    assert sorted(shared(p1 + p2, p2 + between + p1)) == [(0, 195, 300, 495), (200, 395, 0, 195)]
+    assert shared(p, p[:30] + words(rng, 30) + p[30:]) == []
+    assert shared(p + ["all"] * 3000, ["all"] * 3000)
+
+
+def test_documents_with_inserted_swapped_and_doubled_passages_are_linked(spark):
+    rng = random.Random(10)
+    texts = []
+    for make in (lambda a, b, c: (a + b, a + c + b), lambda a, b, c: (a + b, b + c + a), lambda a, b, c: (a[:60] * 2, c + a[:60])):
+        texts += make(words(rng, 200), words(rng, 200), words(rng, 100))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r.id: r.component_id for r in passage_classes(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
