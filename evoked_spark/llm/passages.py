@@ -14,6 +14,12 @@ to each other: no group is listed, the minimum combines before the shuffle, and
 the equi-join on signatures can be split where a passage is hot.  Linked
 documents are then compared word by word around the windows; links that hold
 are joined to components.
+
+What a smallest document doesn't share is not lost: the parts of windows
+outside verified passages meet again by their exact stretches, T shingles for
+word-for-word copies and ``STRETCH`` for near ones (one changed word in a
+passage leaves one of that length), under the smallest document of the stretch.
+Those that fail there stay for the next smallest one, until none is left.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ from .common import Scratch, connected_components
 
 SHINGLE, PASSAGE_WORDS, SIMILARITY = 5, 50, 0.8
 T = PASSAGE_WORDS - SHINGLE + 1
+#: Two shared passages of T shingles and that similarity have so many in a row in common: half of those that must hit.
+STRETCH = (int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * T)) + 1) // 2
 #: Pairs of hash functions whose windows are intersected.
 PAIRS = ((0, 1), (2, 3))
 #: Bytes of text hashed at a time.
@@ -254,15 +262,21 @@ def shared_passages(x: np.ndarray, spans: list[tuple[int, int]], y: np.ndarray,
             mine, theirs = np.zeros(len(part), bool), np.zeros(len(y), bool)
             wanted = at_y[np.isin(y[at_y], part[spots])]
             for p, q in _occurrences(part, spots, y, wanted):
-                widths = [t // 4]
+                widths = [1, t // 4]
                 while 2 * widths[-1] <= length // 4:
                     widths.append(2 * widths[-1])
-                bands = [(q - p, True), *(((q - p + shift) // (2 * w), w == t // 4) for w in widths for shift in (0, w))]
-                held = {segment for band, split in bands for segment in _segments(p, q, band, t, need, holds, split)}
                 kept: list[tuple[int, int, int, int]] = []
-                for i, j, a, b in sorted(held, key=lambda s: (s[0] - s[1], s[2] - s[3], s)):
-                    if not any(k[0] <= i and j <= k[1] and k[2] <= a and b <= k[3] for k in kept):
-                        kept.append((i, j, a, b))
+                for w, shift in [(w, shift) for w in reversed(widths) for shift in ((0, w) if w > 1 else (0,))]:
+                    band = (q - p + shift) // (2 * w) if w > 1 else q - p
+                    outside = np.ones(len(p), bool)
+                    for i, j, a, b in kept:
+                        outside &= (p < i) | (p > j) | (q < a) | (q > b)
+                    live = np.isin(band, band[outside])  # another band's segments would lie inside those kept
+                    held = [*kept, *_segments(p[live], q[live], band[live], t, need, holds, w <= t // 4)]
+                    kept = []
+                    for i, j, a, b in sorted(set(held), key=lambda s: (s[0] - s[1], s[2] - s[3], s)):
+                        if not any(k[0] <= i and j <= k[1] and k[2] <= a and b <= k[3] for k in kept):
+                            kept.append((i, j, a, b))
                 for i, j, a, b in kept:
                     found.append((lo + i, lo + j, a, b))
                     mine[i : j + 1] = theirs[a : b + 1] = True
@@ -271,42 +285,69 @@ def shared_passages(x: np.ndarray, spans: list[tuple[int, int]], y: np.ndarray,
     return found
 
 
+def stretches(x: np.ndarray, width: int) -> np.ndarray:
+    """One hash for each ``width`` shingles in a row."""
+    if len(x) < width:
+        return np.zeros(0, np.uint64)
+    power, back = np.full(len(x), _BASE, np.uint64), np.full(len(x), _INVERSE, np.uint64)
+    power[0] = back[0] = 1
+    np.multiply.accumulate(power, out=power)
+    np.multiply.accumulate(back, out=back)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(x * power)])
+    return _mix((sums[width:] - sums[:-width]) * back[: len(x) - width + 1] + np.uint64(width))
+
+
+def open_stretches(x: np.ndarray, spans: list[tuple[int, int]], found: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(key, at, width, lo, hi) of the stretches of x in the spans that are in no found passage."""
+    for width in (STRETCH, T):
+        keys = stretches(x, width)
+        inside, lows, highs = np.zeros(len(keys), bool), np.full(len(keys), len(x)), np.zeros(len(keys), np.int64)
+        for lo, hi in spans:
+            part = slice(lo, hi - width + 2)
+            inside[part] = True
+            lows[part], highs[part] = np.minimum(lows[part], lo), np.maximum(highs[part], hi)
+        for i, j, *_ in found:
+            inside[i : max(i, j - width + 2)] = False
+        at = np.flatnonzero(inside)
+        yield from zip(keys[at].view(np.int64).tolist(), at.tolist(), [width] * len(at), lows[at].tolist(), highs[at].tolist())
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Verified links ``(row, id, other_row, other_id, start, stop, other_start, other_stop)``, positions in words, stop exclusive.
 
     ``row`` names a distinct pair of id and text; repeated rows count once.
     Each document with a repeated passage is linked to the smallest row that
-    shares a signature with it; copies are not expanded into all pairs.  Null
+    shares a signature with it, and where that link fails to the next smallest
+    that shares a stretch; copies are not expanded into all pairs.  Null
     texts and texts under 50 words have no passage.  An empty table gives no link.
     """
     scratch = Scratch(docs.sparkSession)
     body = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(F.col(f"`{id_col}`"), body).alias("row"), F.col(f"`{id_col}`").alias("id"), body.cast("binary").alias("body"))
-    windows = scratch.save(window_rows(texts.select("row", "body")))
-    shared = windows.groupBy("signature").agg(F.min("row").alias("other_row"), F.max("row").alias("last")).where("other_row < last")
-    shared = scratch.save(shared.select("signature", "other_row"))
-    members = scratch.save(windows.join(shared.hint("merge"), "signature"))
-    scratch.drop(windows, shared)
-    chosen = members.where("row = other_row").groupBy("signature").agg(F.min("lo").alias("other_lo"), F.max("hi").alias("other_hi"))
-    chosen = scratch.save(chosen)
-    linked = members.where("row <> other_row").join(chosen.hint("merge"), "signature")
-    spans = F.collect_list(F.struct("lo", "hi", "other_lo", "other_hi"))  # at most the windows of one document
-    pairs = scratch.save(linked.groupBy("row", "other_row").agg(spans.alias("spans")))
-    scratch.drop(members, chosen)
-
-    mine = pairs.join(texts.hint("merge"), "row").select("row", "id", "other_row", "spans", "body")
+    kind = dict(texts.dtypes)["id"]
+    link = f"row long, id {kind}, other_row long, other_id {kind}, start int, stop int, other_start int, other_stop int"
+    place = "key long, at int, width int, lo int, hi int"
+
+    def starred(rows: DataFrame, key: str) -> DataFrame:
+        """``(row, other_row, spans)``: each row of a key with the smallest one."""
+        shared = rows.groupBy(key).agg(F.min("row").alias("other_row"), F.max("row").alias("last")).where("other_row < last")
+        shared = scratch.save(shared.select(key, "other_row"))
+        members = scratch.save(rows.join(shared.hint("merge"), key))
+        scratch.drop(rows, shared)
+        chosen = members.where("row = other_row").groupBy(key).agg(F.min("lo").alias("other_lo"), F.max("hi").alias("other_hi"))
+        chosen = scratch.save(chosen)
+        linked = members.where("row <> other_row").join(chosen.hint("merge"), key)
+        own = ["key", "at", "width"] if key == "key" else []
+        spans = F.collect_list(F.struct("lo", "hi", "other_lo", "other_hi", *own))  # at most the windows of one document
+        pairs = scratch.save(linked.groupBy("row", "other_row").agg(spans.alias("spans")))
+        scratch.drop(members, chosen)
+        return pairs
 
     def own_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hashes = [shingles(b.replace(b"\0", b" \x01 "))[0].view(np.int64) for b in batch["body"]]
             yield batch.assign(hashes=hashes).drop(columns="body")
 
-    kind = dict(texts.dtypes)["id"]
-    span = "array<struct<lo:int,hi:int,other_lo:int,other_hi:int>>"
-    mine = mine.mapInPandas(own_shingles, f"row long, id {kind}, other_row long, spans {span}, hashes array<long>")
-    other = texts.select(F.col("row").alias("other_row"), F.col("id").alias("other_id"), "body")
-    both = mine.join(other.hint("merge"), "other_row").select("row", "id", "other_row", "other_id", "spans", "hashes", "body")
-
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, hashes = None, None  # rows come ordered by the other document
         for batch in batches:
@@ -315,11 +356,38 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 if known != r.other_row:
                     known, hashes = r.other_row, shingles(r.body.replace(b"\0", b" \x01 "))[0]
                 x = np.asarray(r.hashes, np.int64).view(np.uint64)
-                for i, j, a, b in shared_passages(x, [(s["lo"], s["hi"]) for s in r.spans], hashes, [(s["other_lo"], s["other_hi"]) for s in r.spans]):
-                    out.append((r.row, r.id, r.other_row, r.other_id, i, j + SHINGLE, a, b + SHINGLE))
-            yield pd.DataFrame(out, columns=["row", "id", "other_row", "other_id", "start", "stop", "other_start", "other_stop"])
-
-    return scratch.save(both.mapInPandas(verify, f"row long, id {kind}, other_row long, other_id {kind}, start int, stop int, other_start int, other_stop int").distinct())
+                mine = sorted({(s["lo"], s["hi"]) for s in r.spans})
+                found = shared_passages(x, mine, hashes, sorted({(s["other_lo"], s["other_hi"]) for s in r.spans}))
+                for i, j, a, b in found:
+                    out.append((r.row, r.id, r.other_row, r.other_id, i, j + SHINGLE, a, b + SHINGLE, *[None] * 5))
+                if "key" in r.spans[0]:
+                    left = [(s["key"], s["at"], s["width"], s["lo"], s["hi"]) for s in r.spans if not any(f[0] <= s["at"] and s["at"] + s["width"] - 1 <= f[1] for f in found)]
+                else:
+                    left = open_stretches(x, mine, found)
+                out += [(r.row, None, None, None, *[None] * 4, *p) for p in left]
+            made = pd.DataFrame(out, columns=["row", "id", "other_row", "other_id", "start", "stop", "other_start", "other_stop", "key", "at", "width", "lo", "hi"], dtype=object)
+            yield made
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        mine = pairs.join(texts.hint("merge"), "row").select("row", "id", "other_row", "spans", "body")
+        mine = mine.mapInPandas(own_shingles, f"row long, id {kind}, other_row long, spans {dict(pairs.dtypes)['spans']}, hashes array<long>")
+        other = texts.select(F.col("row").alias("other_row"), F.col("id").alias("other_id"), "body")
+        both = mine.join(other.hint("merge"), "other_row").select("row", "id", "other_row", "other_id", "spans", "hashes", "body")
+        return scratch.save(both.mapInPandas(verify, f"{link}, {place}"))
+
+    pairs = starred(scratch.save(window_rows(texts.select("row", "body"))), "signature")
+    links = None
+    while True:
+        rows = verified(pairs)
+        scratch.drop(pairs)
+        held = scratch.save(rows.where("key is null").select("row", "id", "other_row", "other_id", "start", "stop", "other_start", "other_stop"))
+        left = scratch.save(rows.where("key is not null").select("row", "key", "at", "width", "lo", "hi").distinct())
+        scratch.drop(rows)
+        links = held if links is None else links.unionAll(held)
+        pairs = starred(left, "key")
+        if pairs.isEmpty():
+            scratch.drop(pairs)
+            return scratch.save(links.distinct())
 
 
 def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -86,3 +86,16 @@ def test_documents_with_inserted_swapped_and_doubled_passages_are_linked(spark):
         texts += make(words(rng, 200), words(rng, 200), words(rng, 100))
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
     assert {r.id: r.component_id for r in passage_classes(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+def test_copies_under_a_smaller_document_that_fails_are_linked(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(40):  # template texts: only the middle is shared by all, the whole passage by the last two or three
+        middle, left, right = words(rng, 30), words(rng, 20), words(rng, 20)
+        near = [*left, *middle, *right[:12], "other", *right[13:]]
+        texts += [words(rng, 60) + words(rng, 20) + middle + words(rng, 20), words(rng, 60) + words(rng, 20) + middle + words(rng, 20)]
+        texts += [left + middle + right + words(rng, 60), words(rng, 60) + left + middle + right, words(rng, 60) + near]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.id: r.component_id for r in passage_classes(docs).collect()}
+    assert got == {i: i - i % 5 + 2 for i in range(len(texts)) if i % 5 > 1}
