@@ -8,8 +8,8 @@ three characters; within a class a word has its add-0.1 share of the training
 tokens.  So the state and class tables are of fixed size, while the counts of
 words are a table of the corpus that is joined, never broadcast.
 
-Baum-Welch starts from a bounded sample and then runs over every training text:
-partitions compute expected counts, Spark adds them up.  Scores are exact: the
+Baum-Welch runs over every training text in every round: partitions compute
+expected counts, Spark adds them up.  Scores are exact: the
 scaled forward recursion runs over the whole text.
 """
 
@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, hash_sample
+from .common import Scratch
 
 #: Frequent words whose counts are sent to the tasks (each at most LONGEST characters), and those of them with a class of their own.
 HEAD_WORDS, CLASS_WORDS, SUFFIX_CLASSES, LONGEST = 131_072, 4096, 512, 32
 STATES, SEGMENT, BLOCK_TOKENS = 8, 512, 400_000
-SAMPLE_TEXTS, SAMPLE_ROUNDS, FULL_ROUNDS = 1500, 15, 2
+SAMPLE_ROUNDS, FULL_ROUNDS = 15, 2
 #: Stands for the end token in tables of words; no word is empty.
 END = ""
 N_CLASSES = CLASS_WORDS + SUFFIX_CLASSES
@@ -180,16 +180,11 @@ class Hmm:
         return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def train(rows: DataFrame, share: np.ndarray, sample_texts: int = SAMPLE_TEXTS, sample_rounds: int = SAMPLE_ROUNDS, full_rounds: int = FULL_ROUNDS) -> Hmm:
-    """Baum-Welch over ``rows(row, classes)``: a warm start on a bounded sample, then every row."""
+def train(rows: DataFrame, share: np.ndarray, sample_rounds: int = SAMPLE_ROUNDS, full_rounds: int = FULL_ROUNDS) -> Hmm:
+    """Baum-Welch over ``rows(classes)``; all ``sample_rounds + full_rounds`` rounds take every row, whole, in segments."""
     model = Hmm.initial(share)
-    sample = hash_sample(rows, "row", sample_texts).select(F.slice("classes", 1, SEGMENT).alias("classes")).limit(2 * sample_texts).toPandas()["classes"]
-    for _ in range(sample_rounds if len(sample) else 0):
-        parts = [model.expected(block) for block in segments([np.asarray(c) for c in sample])]
-        model = Hmm.from_counts(*(sum(p[i] for p in parts) for i in range(3)), share)
-
     states = len(model.start)
-    for _ in range(full_rounds if len(sample) else 0):
+    for _ in range(sample_rounds + full_rounds):
         start, move, emit = model.start, model.move, model.emit
 
         def e_step(batches: Iterator[pd.DataFrame], start=start, move=move, emit=emit) -> Iterator[pd.DataFrame]:
@@ -203,6 +198,8 @@ def train(rows: DataFrame, share: np.ndarray, sample_texts: int = SAMPLE_TEXTS,
                 yield pd.DataFrame({"k": at, "v": total[at]})
 
         sums = rows.select("classes").mapInPandas(e_step, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+        if sums.empty:
+            break
         total = np.zeros(states + states * states + emit.size)
         total[sums["k"].to_numpy()] = sums["v"].to_numpy()
         model = Hmm.from_counts(total[:states], total[states : states + states**2].reshape(states, states), total[states + states**2 :].reshape(emit.shape), share)
@@ -265,7 +262,7 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     rows = texts.mapInPandas(encode, f"id {kind}, held_out boolean, n_tokens long, head_known long, head_log double, class_log double, classes array<int>, tail array<string>, times array<int>")
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()))
 
-    model = train(rows.where(~F.col("held_out")).select("row", "classes"), share, **training)
+    model = train(rows.where(~F.col("held_out")).select("classes"), share, **training)
     start, move, emit = model.start, model.move, model.emit
 
     @F.pandas_udf(T.DoubleType())

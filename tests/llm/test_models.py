@@ -100,3 +100,16 @@ def test_scores(spark):
     assert sum(r.score for r in own) > sum(r.base_score for r in own)
     empty = hmm.scored(docs.where("false"), held, sample_rounds=1, full_rounds=1)
     assert empty.count() == 0
+
+
+def test_every_round_takes_whole_texts(spark):
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 20, n) for n in (700, 3, 40)]
+    texts[0][512:] += 20  # classes that only come late in a long text
+    share = np.full(40, 1 / 40)
+    rows = spark.createDataFrame([(i, t.tolist()) for i, t in enumerate(texts)], "row long, classes array<int>")
+    got, want = hmm.train(rows, share, sample_rounds=3, full_rounds=1), hmm.Hmm.initial(share)
+    for _ in range(4):
+        parts = [want.expected(block) for block in hmm.segments(texts)]
+        want = hmm.Hmm.from_counts(*(sum(p[i] for p in parts) for i in range(3)), share)
+    assert got.emit == pytest.approx(want.emit) and got.move == pytest.approx(want.move)
