@@ -2,24 +2,30 @@
 
 A token is a 5-word shingle.  For one hash function, a compact window (l, c, r)
 stands for all token ranges [i, j] with l <= i <= c <= j <= r: their min-hash
-is the one at c.  The windows of at least ``T`` tokens are the upper nodes of
-the Cartesian tree over the hashes, about 2n/T of them.  Two functions are
-taken together by intersecting their windows: every range of T tokens lies in
-exactly one joint window of the pair, so a passage that two documents share
-word for word meets in every pair, and one of similarity s in a pair with
-probability s * s.
-
-Documents that share a joint signature are linked to the smallest of them, not
+is the one at c.  The windows of at least ``RUN`` tokens are the upper nodes of
+the Cartesian tree over the hashes.  Windows of two functions are intersected,
+so every range of RUN tokens lies in exactly one joint window, whose signature
+is made of its two minima.
+
+RUN is chosen so that nothing is missed: passages of at least ``T`` shingles
+and Jaccard similarity 0.8 have at most a ninth of their shingles apart, and
+each place where they come apart costs 4, so they have RUN shingles in a row in
+common, and these share a signature under any number of functions.
+
+Documents that share a signature are linked to one of them, drawn by hash, not
 to each other: no group is listed, the minimum combines before the shuffle, and
 the equi-join on signatures can be split where a passage is hot.  Linked
 documents are then compared word by word around the windows; links that hold
 are joined to components.
 
-What a smallest document doesn't share is not lost: the parts of windows
-outside verified passages meet again by their exact stretches, T shingles for
-word-for-word copies and ``STRETCH`` for near ones (one changed word in a
-passage leaves one of that length), under the smallest document of the stretch.
-Those that fail there stay for the next smallest one, until none is left.
+A group whose drawn document shares the signature but no passage may hold two
+others that do share one.  Groups that still span several components therefore
+meet again by what every similar pair has in common: 50 words with one word
+changed, left out or put in (or 45 words as they are).  A document sends the
+hashes of its windows with one word left out, in three steps of growing length;
+of each only those go on that documents of other components send too.  Equal
+hashes of the last step are similar passages, so there the drawn document never
+fails and one round is enough, however many documents share a common line.
 """
 
 from __future__ import annotations
@@ -28,17 +34,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components
 
 SHINGLE, PASSAGE_WORDS, SIMILARITY = 5, 50, 0.8
 T = PASSAGE_WORDS - SHINGLE + 1
-#: Two shared passages of T shingles and that similarity have so many in a row in common: half of those that must hit.
-STRETCH = (int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * T)) + 1) // 2
-#: Pairs of hash functions whose windows are intersected.
-PAIRS = ((0, 1), (2, 3))
+#: Shingles of two similar passages of T shingles that must hit, and how many of these are in a row at least: one place where they come apart leaves two runs.
+NEED = int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * T))
+RUN = (NEED + 1) // 2
+#: Words of a run, of a run and the piece after it, and of a whole passage.
+HALF, PIECE = RUN + SHINGLE - 1, 12
+FUNCTIONS = 2
 #: Bytes of text hashed at a time.
 BLOCK = 1 << 21
 
@@ -56,17 +64,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the 5-word shingles of texts that are joined by NUL bytes, and the text each starts in.
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that are joined by NUL bytes, and the text each is in.
 
-    A word is a run of anything but space, U+0009..U+000D and the NUL that ends
-    a text; a shingle that would span two texts isn't one.
+    A word is a run of anything but space, U+0009..U+000D and the NUL that ends a text.
     """
     raw = np.frombuffer(text, np.uint8)
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13)) | (raw == 0)
     edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
     starts, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if len(starts) < SHINGLE:
+    if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     power = np.full(len(raw), _BASE, np.uint64)
     power[0] = 1
@@ -75,12 +82,18 @@ def shingles(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     back = np.full(len(raw), _INVERSE, np.uint64)
     back[0] = 1
     np.multiply.accumulate(back, out=back)
-    words = _mix((sums[stops] - sums[starts]) * back[starts])
+    return _mix((sums[stops] - sums[starts]) * back[starts]), np.searchsorted(np.flatnonzero(raw == 0), starts)
+
+
+def shingles(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the 5-word shingles of such texts, and the text each is in; a shingle that would span two texts isn't one."""
+    words, owner = word_hashes(text)
+    if len(words) < SHINGLE:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     n = len(words) - SHINGLE + 1
     hashes = np.zeros(n, np.uint64)
     for j in range(SHINGLE):
         hashes += words[j : n + j] * _ODD[j]
-    owner = np.searchsorted(np.flatnonzero(raw == 0), starts)
     whole = owner[:n] == owner[SHINGLE - 1 :]
     return _mix(hashes)[whole], owner[:n][whole]
 
@@ -94,7 +107,7 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def compact_windows(h: np.ndarray, first: np.ndarray, last: np.ndarray, t: int = T) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(h: np.ndarray, first: np.ndarray, last: np.ndarray, t: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(l, c, r) of all compact windows of at least ``t`` values; texts are the ranges first[i]..last[i] of each position i.
 
     Only a value that is the minimum of some t values in a row can be the
@@ -123,31 +136,34 @@ def compact_windows(h: np.ndarray, first: np.ndarray, last: np.ndarray, t: int =
     return l[wide], c[wide], r[wide]
 
 
-def joint_windows(h: np.ndarray, owner: np.ndarray, t: int = T) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each pair of functions: signature, text, and the shingle range, within the text, around the two centres."""
+def joint_windows(h: np.ndarray, owner: np.ndarray, t: int = RUN, functions: int = FUNCTIONS) -> tuple[np.ndarray, ...]:
+    """Signature, text, and the shingle range, within the text, of every joint window: all its ranges of ``t`` shingles have the same minima."""
     if not len(h):
-        return
+        return (np.zeros(0, np.int64),) * 4
     change = np.flatnonzero(np.diff(owner)) + 1
     begin, end = np.concatenate([[0], change]), np.concatenate([change, [len(h)]]) - 1
     first, last = np.repeat(begin, end - begin + 1), np.repeat(end, end - begin + 1)
-    hashes = [_mix(h * _ODD[8 + k]) | np.uint64(1) for k in range(1 + max(max(p) for p in PAIRS))]
-    windows = [compact_windows(x, first, last, t) for x in hashes]
-    for band, (a, b) in enumerate(PAIRS):
-        (la, ca, ra), (lb, cb, rb) = windows[a], windows[b]
-        lo, hi = np.searchsorted(cb, la, "left"), np.searchsorted(cb, ra, "right")
-        n = hi - lo
-        i = np.repeat(np.arange(len(ca)), n)
+    signature = start = stop = least = most = None
+    for k in range(functions):
+        own = _mix(h * _ODD[8 + k]) | np.uint64(1)
+        lk, ck, rk = compact_windows(own, first, last, t)
+        if k == 0:
+            signature, start, stop, least, most = own[ck], lk, rk, ck, ck
+            continue
+        # both kinds of windows come ordered by their centres; a joint one has both centres within t
+        lo, hi = np.searchsorted(ck, np.maximum(start, most - t + 1), "left"), np.searchsorted(ck, np.minimum(stop, least + t - 1), "right")
+        n = np.maximum(hi - lo, 0)
+        i = np.repeat(np.arange(len(start)), n)
         j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        start, stop = np.maximum(la[i], lb[j]), np.minimum(ra[i], rb[j])
-        least, most = np.minimum(ca[i], cb[j]), np.maximum(ca[i], cb[j])
+        start, stop, least, most = np.maximum(start[i], lk[j]), np.minimum(stop[i], rk[j]), np.minimum(least[i], ck[j]), np.maximum(most[i], ck[j])
         fits = (start <= least) & (most <= stop) & (stop - start + 1 >= t) & (most - least < t)
-        i, j, start, stop, least, most = (x[fits] for x in (i, j, start, stop, least, most))
-        signature = _mix(hashes[a][ca[i]] * _ODD[6] + hashes[b][cb[j]] * _ODD[7] + np.uint64(band))
-        yield signature.view(np.int64), owner[least], np.maximum(start, most - t + 1) - first[least], np.minimum(stop, least + t - 1) - first[least]
+        signature = _mix(signature[i] * _ODD[6] + own[ck[j]] * _ODD[7])[fits]
+        start, stop, least, most = start[fits], stop[fits], least[fits], most[fits]
+    return signature.view(np.int64), owner[least], np.maximum(start, most - t + 1) - first[least], np.minimum(stop, least + t - 1) - first[least]
 
 
 def window_rows(texts: DataFrame) -> DataFrame:
-    """``(signature, row, lo, hi)`` of every joint window of ``texts(row, body)``."""
+    """``(key, row, lo, hi)`` of every joint window of ``texts(row, body)``; the key is its signature."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -158,11 +174,11 @@ def window_rows(texts: DataFrame) -> DataFrame:
                 while upto < len(bodies) and (size == 0 or size + len(bodies[upto]) <= BLOCK):
                     size += len(bodies[upto]) + 1
                     upto += 1
-                for signature, owner, lo, hi in joint_windows(*shingles(b"\0".join(bodies[at:upto]))):
-                    yield pd.DataFrame({"signature": signature, "row": rows[at + owner], "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
+                signature, owner, lo, hi = joint_windows(*shingles(b"\0".join(bodies[at:upto])))
+                yield pd.DataFrame({"key": signature, "row": rows[at + owner], "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
                 at = upto
 
-    return texts.mapInPandas(make, "signature long, row long, lo int, hi int")
+    return texts.mapInPandas(make, "key long, row long, lo int, hi int")
 
 
 def _occurrences(part: np.ndarray, spots: np.ndarray, y: np.ndarray, at_y: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -206,14 +222,42 @@ def _segments(p: np.ndarray, q: np.ndarray, band: np.ndarray, t: int, need: int,
                 todo += [run[:cut], run[cut:]]
 
 
-def shared_passages(x: np.ndarray, spans: list[tuple[int, int]], y: np.ndarray, y_spans: list[tuple[int, int]], t: int = T, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int]]:
+def ranges(spans: list[tuple[int, int]], around: int, size: int) -> list[tuple[int, int]]:
+    """The spans, widened on both sides, within 0..size-1; those that touch are one."""
+    out: list[list[int]] = []
+    for lo, hi in sorted(spans):
+        lo, hi = max(lo - around, 0), min(hi + around, size - 1)
+        if out and lo <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return [(lo, hi) for lo, hi in out]
+
+
+def novel(x: np.ndarray, spans: list[tuple[int, int]], t: int = T) -> list[tuple[int, int]]:
+    """The parts of disjoint, ordered spans of x that are in the first of equal ranges of t values.
+
+    A text that repeats itself is compared once, not once per repeat.
+    """
+    keys = stretches(x, t)
+    starts = np.concatenate([np.zeros(0, np.int64), *[np.arange(lo, hi - t + 2) for lo, hi in spans if hi - lo + 1 >= t]])
+    if not len(starts):
+        return []
+    _, first = np.unique(keys[starts], return_index=True)
+    if len(first) == len(starts):
+        return [(lo, hi) for lo, hi in spans if hi - lo + 1 >= t]
+    return ranges([(i, i + t - 1) for i in np.sort(starts[first]).tolist()], 0, len(x))
+
+
+def shared_passages(parts: list[tuple[int, np.ndarray]], y: np.ndarray, y_spans: list[tuple[int, int]], t: int = T, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int]]:
     """Passages (start, stop, start in y, stop in y), in shingles, of at least t shingles and that Jaccard similarity.
 
-    x and y are the shingle hashes of two texts; only the given ranges are
-    compared.  Where hits of x stand once in y, all near one diagonal, the whole
-    run is tested.  Otherwise every occurrence in y counts, and the pairs are
-    split by diagonals: in bands from wide, for passages with words put in or
-    left out, to single diagonals, where each window with enough hits holds.
+    ``parts`` holds (offset, shingle hashes) of ranges of one text, y the hashes
+    of another, of which only the given ranges are compared.  Where hits of a
+    part stand once in y, all near one diagonal, the whole run is tested.
+    Otherwise every occurrence in y counts, and the pairs are split by diagonals:
+    in bands from wide, for passages with words put in or left out, to single
+    diagonals, where each window with enough hits holds.
     """
     inside = np.zeros(len(y), bool)
     for lo, hi in y_spans:
@@ -222,15 +266,8 @@ def shared_passages(x: np.ndarray, spans: list[tuple[int, int]], y: np.ndarray,
     order = np.argsort(y[at_y], kind="stable")
     sorted_y = y[at_y][order]
     need = int(np.ceil(2 * similarity / (1 + similarity) * t))
-    merged: list[list[int]] = []
-    for lo, hi in sorted(spans):
-        if merged and lo <= merged[-1][1] + 1:
-            merged[-1][1] = max(merged[-1][1], hi)
-        else:
-            merged.append([lo, hi])
     found = []
-    for lo, hi in merged:
-        part = x[lo : hi + 1]
+    for lo, part in parts:
         if len(part) < t or not len(sorted_y):
             continue
         where = np.minimum(np.searchsorted(sorted_y, part), len(sorted_y) - 1)
@@ -289,118 +326,228 @@ def stretches(x: np.ndarray, width: int) -> np.ndarray:
     """One hash for each ``width`` shingles in a row."""
     if len(x) < width:
         return np.zeros(0, np.uint64)
-    power, back = np.full(len(x), _BASE, np.uint64), np.full(len(x), _INVERSE, np.uint64)
-    power[0] = back[0] = 1
-    np.multiply.accumulate(power, out=power)
-    np.multiply.accumulate(back, out=back)
+    power, back = _powers(len(x))
     sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(x * power)])
     return _mix((sums[width:] - sums[:-width]) * back[: len(x) - width + 1] + np.uint64(width))
 
 
-def open_stretches(x: np.ndarray, spans: list[tuple[int, int]], found: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(key, at, width, lo, hi) of the stretches of x in the spans that are in no found passage."""
-    for width in (STRETCH, T):
-        keys = stretches(x, width)
-        inside, lows, highs = np.zeros(len(keys), bool), np.full(len(keys), len(x)), np.zeros(len(keys), np.int64)
-        for lo, hi in spans:
-            part = slice(lo, hi - width + 2)
-            inside[part] = True
-            lows[part], highs[part] = np.minimum(lows[part], lo), np.maximum(highs[part], hi)
-        for i, j, *_ in found:
-            inside[i : max(i, j - width + 2)] = False
-        at = np.flatnonzero(inside)
-        yield from zip(keys[at].view(np.int64).tolist(), at.tolist(), [width] * len(at), lows[at].tolist(), highs[at].tolist())
+def _runs(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` words from each start."""
+    power, back = _powers(len(words))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(words * power)])
+    return _mix((sums[starts + width] - sums[starts]) * back[starts] + np.uint64(width))
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    power, back = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
+    power[:1] = back[:1] = 1
+    return np.multiply.accumulate(power), np.multiply.accumulate(back)
+
+
+def run_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, start) of every run of HALF words."""
+    starts = np.arange(max(len(words) - HALF + 1, 0))
+    return _runs(words, starts, HALF), starts
+
+
+def piece_keys(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, start, kind) of runs of HALF words with a piece of PIECE words behind.
+
+    Kind 0: the piece follows at once; kind 1: as many words lie between, and up
+    to two more, so that words put in, left out or changed there don't matter.
+    """
+    out = []
+    for kind, gap in ((0, 0), (1, PIECE), (1, PIECE + 1), (1, PIECE + 2)):
+        i = starts[starts + HALF + gap + PIECE <= len(words)]
+        out.append((_mix(_runs(words, i, HALF) * _ODD[6 + kind] + _runs(words, i + HALF + gap, PIECE)), i, np.full(len(i), kind)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def passage_keys(words: np.ndarray, starts: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, start) of similar passages from each start: equal keys are 45 equal words, or 49 with one or two words of one side left out."""
+    power, back = _powers(len(words))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(words * power)])
+    exact, long = NEED + SHINGLE - 1, PASSAGE_WORDS - 1
+    out = []
+    for width in (exact, long):
+        i = np.unique(starts[starts + width <= len(words)])
+        out.append((_runs(words, i, width), i))
+    for gone in (1, 2):
+        for kind, (low, high) in enumerate(((HALF + PIECE, long), (HALF, HALF + PIECE + 1))):
+            i = starts[(kinds == kind) & (starts + long + gone <= len(words))]
+            for j in range(low, high):  # words j .. j + gone - 1 of the passage are left out
+                first = (sums[i + j] - sums[i]) * back[i]
+                rest = (sums[i + long + gone] - sums[i + j + gone]) * back[i + gone]
+                out.append((_mix(first + rest + np.uint64(long)), i))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """Verified links ``(row, id, other_row, other_id, start, stop, other_start, other_stop)``, positions in words, stop exclusive.
 
-    ``row`` names a distinct pair of id and text; repeated rows count once.
-    Each document with a repeated passage is linked to the smallest row that
-    shares a signature with it, and where that link fails to the next smallest
-    that shares a stretch; copies are not expanded into all pairs.  Null
-    texts and texts under 50 words have no passage.  An empty table gives no link.
+    ``row`` stands for an id: the id itself where it is a whole number, else
+    its hash.  Rows that share an id are one document, repeated rows count once,
+    and rows with a null id aren't compared.  Each document with a repeated
+    passage is linked to one that is drawn from those it shares it with; copies
+    are not expanded into all pairs.  Of ranges of 50 words that a text repeats
+    the first is compared.  Null texts and texts under 50 words have no
+    passage.  An empty table gives no link.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     body = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    texts = docs.select(F.xxhash64(F.col(f"`{id_col}`"), body).alias("row"), F.col(f"`{id_col}`").alias("id"), body.cast("binary").alias("body"))
+    texts = docs.select(node_of(docs, id_col).alias("row"), F.col(f"`{id_col}`").alias("id"), body.cast("binary").alias("body")).where("id is not null")
     kind = dict(texts.dtypes)["id"]
     link = f"row long, id {kind}, other_row long, other_id {kind}, start int, stop int, other_start int, other_stop int"
-    place = "key long, at int, width int, lo int, hi int"
-
-    def starred(rows: DataFrame, key: str) -> DataFrame:
-        """``(row, other_row, spans)``: each row of a key with the smallest one."""
-        shared = rows.groupBy(key).agg(F.min("row").alias("other_row"), F.max("row").alias("last")).where("other_row < last")
-        shared = scratch.save(shared.select(key, "other_row"))
-        members = scratch.save(rows.join(shared.hint("merge"), key))
-        scratch.drop(rows, shared)
-        chosen = members.where("row = other_row").groupBy(key).agg(F.min("lo").alias("other_lo"), F.max("hi").alias("other_hi"))
-        chosen = scratch.save(chosen)
-        linked = members.where("row <> other_row").join(chosen.hint("merge"), key)
-        own = ["key", "at", "width"] if key == "key" else []
-        spans = F.collect_list(F.struct("lo", "hi", "other_lo", "other_hi", *own))  # at most the windows of one document
-        pairs = scratch.save(linked.groupBy("row", "other_row").agg(spans.alias("spans")))
-        scratch.drop(members, chosen)
+    clean = lambda b: b.replace(b"\0", b" \x01 ")
+
+    def starred(members: DataFrame, hubs: DataFrame) -> DataFrame:
+        """``(row, other_row, spans)``: each row of ``members(key, row, lo, hi)`` with the hub of its key."""
+        chosen = members.join(hubs.withColumnRenamed("hub", "row").hint("merge"), ["key", "row"]).groupBy("key").agg(F.min("lo").alias("other_lo"), F.max("hi").alias("other_hi"))
+        chosen = scratch.save(hubs.join(chosen.hint("merge"), "key"))
+        linked = members.join(chosen.hint("merge"), "key").where("row <> hub")
+        spans = F.collect_set(F.struct("lo", "hi", "other_lo", "other_hi"))  # at most the windows of one document
+        pairs = scratch.save(linked.groupBy("row", F.col("hub").alias("other_row")).agg(spans.alias("spans")))
+        scratch.drop(chosen)
         return pairs
 
-    def own_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hubs_of(rows: DataFrame) -> DataFrame:
+        """``(key, hub)`` of the keys with several rows; the hub is drawn by hash, so no document is the hub of all it shares."""
+        drawn = F.col("row").bitwiseXOR(F.xxhash64("key"))
+        hubs = rows.groupBy("key").agg(F.min(drawn).alias("d"), F.max(drawn).alias("last")).where("d < last")
+        return hubs.select("key", F.col("d").bitwiseXOR(F.xxhash64("key")).alias("hub"))
+
+    def own_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hashes = [shingles(b.replace(b"\0", b" \x01 "))[0].view(np.int64) for b in batch["body"]]
-            yield batch.assign(hashes=hashes).drop(columns="body")
+            out = []
+            for text, spans in zip(batch["body"], batch["spans"]):
+                x = shingles(clean(text))[0]
+                parts = novel(x, ranges([(s["lo"], s["hi"]) for s in spans], T - RUN, len(x)))
+                out.append([(lo, x[lo : hi + 1].view(np.int64)) for lo, hi in parts])
+            others = [sorted({(s["other_lo"], s["other_hi"]) for s in spans}) for spans in batch["spans"]]
+            yield batch[["row", "id", "other_row"]].assign(other_spans=others, parts=out)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, hashes = None, None  # rows come ordered by the other document
+        known, text, hashes = None, None, None  # rows come ordered by the other document
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                if known != r.other_row:
-                    known, hashes = r.other_row, shingles(r.body.replace(b"\0", b" \x01 "))[0]
-                x = np.asarray(r.hashes, np.int64).view(np.uint64)
-                mine = sorted({(s["lo"], s["hi"]) for s in r.spans})
-                found = shared_passages(x, mine, hashes, sorted({(s["other_lo"], s["other_hi"]) for s in r.spans}))
-                for i, j, a, b in found:
-                    out.append((r.row, r.id, r.other_row, r.other_id, i, j + SHINGLE, a, b + SHINGLE, *[None] * 5))
-                if "key" in r.spans[0]:
-                    left = [(s["key"], s["at"], s["width"], s["lo"], s["hi"]) for s in r.spans if not any(f[0] <= s["at"] and s["at"] + s["width"] - 1 <= f[1] for f in found)]
-                else:
-                    left = open_stretches(x, mine, found)
-                out += [(r.row, None, None, None, *[None] * 4, *p) for p in left]
-            made = pd.DataFrame(out, columns=["row", "id", "other_row", "other_id", "start", "stop", "other_start", "other_stop", "key", "at", "width", "lo", "hi"], dtype=object)
-            yield made
+                if known != r.other_row or text != r.body:
+                    known, text, hashes = r.other_row, r.body, shingles(clean(r.body))[0]
+                parts = [(p["lo"], np.asarray(p["x"], np.int64).view(np.uint64)) for p in r.parts]
+                there = novel(hashes, ranges([(s["lo"], s["hi"]) for s in r.other_spans], T - RUN, len(hashes)))
+                out += [(r.row, r.id, r.other_row, r.other_id, i, j + SHINGLE, a, b + SHINGLE) for i, j, a, b in shared_passages(parts, hashes, there)]
+            yield pd.DataFrame(out, columns=["row", "id", "other_row", "other_id", "start", "stop", "other_start", "other_stop"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        mine = pairs.join(texts.hint("merge"), "row").select("row", "id", "other_row", "spans", "body")
-        mine = mine.mapInPandas(own_shingles, f"row long, id {kind}, other_row long, spans {dict(pairs.dtypes)['spans']}, hashes array<long>")
+        """What holds of the links; only the parts of a text that may be repeated travel to the other one."""
+        mine = texts.join(pairs.hint("merge"), "row").select("row", "id", "other_row", "spans", "body")
+        mine = mine.mapInPandas(own_parts, f"row long, id {kind}, other_row long, other_spans array<struct<lo:int,hi:int>>, parts array<struct<lo:int,x:array<long>>>")
         other = texts.select(F.col("row").alias("other_row"), F.col("id").alias("other_id"), "body")
-        both = mine.join(other.hint("merge"), "other_row").select("row", "id", "other_row", "other_id", "spans", "hashes", "body")
-        return scratch.save(both.mapInPandas(verify, f"{link}, {place}"))
-
-    pairs = starred(scratch.save(window_rows(texts.select("row", "body"))), "signature")
-    links = None
-    while True:
-        rows = verified(pairs)
+        both = mine.join(other.hint("merge"), "other_row").select("row", "id", "other_row", "other_id", "other_spans", "parts", "body")
+        links = scratch.save(both.mapInPandas(verify, link).distinct())
         scratch.drop(pairs)
-        held = scratch.save(rows.where("key is null").select("row", "id", "other_row", "other_id", "start", "stop", "other_start", "other_stop"))
-        left = scratch.save(rows.where("key is not null").select("row", "key", "at", "width", "lo", "hi").distinct())
-        scratch.drop(rows)
-        links = held if links is None else links.unionAll(held)
-        pairs = starred(left, "key")
-        if pairs.isEmpty():
-            scratch.drop(pairs)
-            return scratch.save(links.distinct())
+        return links
+
+    rows = scratch.save(window_rows(texts.select("row", "body")))
+    hubs = scratch.save(hubs_of(rows))
+    members = scratch.save(rows.join(hubs.hint("merge"), "key", "left_semi"))
+    scratch.drop(rows)
+    links = verified(starred(members, hubs))
+    scratch.drop(hubs)
+
+    # groups of three and more that aren't one component yet
+    roots = scratch.save(components_of(links, scratch))
+    once = members.groupBy("key", "row").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    rooted = scratch.save(once.join(roots.withColumnRenamed("node", "row").hint("merge"), "row", "left").withColumn("root", F.coalesce("root", "row")))
+    scratch.drop(members, roots)
+    unlike = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("n > 2 and a < b").select("key")
+    undecided = rooted.join(unlike.hint("merge"), "key", "left_semi").groupBy("row", "root").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                words, x = word_hashes(clean(r.body))[0], shingles(clean(r.body))[0]
+                parts = novel(x, ranges([(s["lo"], s["hi"]) for s in r.spans], T - RUN, len(x)), NEED)
+                out += [(r.row, r.root, lo, words[lo : hi + SHINGLE].view(np.int64)) for lo, hi in parts]
+            yield pd.DataFrame(out, columns=["row", "root", "at", "words"])
+
+    around = texts.join(undecided.hint("merge"), "row").select("row", "root", "spans", "body")
+    around = scratch.save(around.mapInPandas(contexts, "row long, root long, at int, words array<long>").withColumn("part", F.monotonically_increasing_id()))
+    scratch.drop(rooted)
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The keys of the next length; passages are read forwards and backwards, so that what differs is in their second half."""
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                words = np.asarray(r.words, np.int64).view(np.uint64)
+                if r.alive is None:
+                    for way in (0, 1):
+                        keys, starts = run_keys(words[::-1] if way else words)
+                        out.append((r.part, r.row, r.root, way, keys, starts, np.full(len(keys), -1), r.at, len(words)))
+                    continue
+                alive = np.array([(s["way"], s["start"], s["kind"]) for s in r.alive], np.int64)
+                for way in (0, 1):
+                    starts, kinds = (alive[alive[:, 0] == way, c] for c in (1, 2))
+                    own = words[::-1] if way else words
+                    if len(starts) and kinds[0] < 0:
+                        keys, at, kinds = piece_keys(own, starts)
+                    elif len(starts):
+                        keys, at = passage_keys(own, starts, kinds)
+                        kinds = np.zeros(len(at), np.int64)
+                    else:
+                        continue
+                    out.append((r.part, r.row, r.root, way, keys, at, kinds, r.at, len(words)))
+            for part, row, root, way, keys, starts, kinds, at, n in out:
+                first = at + (np.maximum(n - starts - PASSAGE_WORDS - 1, 0) if way else starts)
+                key = _mix(keys + np.uint64(way)).view(np.int64)
+                yield pd.DataFrame({"key": key, "row": row, "root": root, "part": part, "way": way, "start": starts, "kind": kinds, "lo": first, "hi": np.minimum(first + PASSAGE_WORDS + 1, at + n - SHINGLE)})
+
+    alive = around.withColumn("alive", F.lit(None).cast("array<struct<way:int,start:int,kind:int>>"))
+    for length in range(3):
+        sent = scratch.save(alive.select("row", "root", "part", "at", "words", "alive").mapInPandas(step, "key long, row long, root long, part long, way int, start int, kind int, lo int, hi int").distinct())
+        several = sent.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+        met = scratch.save(sent.join(several.hint("merge"), "key", "left_semi"))
+        scratch.drop(sent)
+        if length == 2:
+            break
+        places = met.groupBy("part").agg(F.collect_set(F.struct("way", "start", "kind")).alias("alive"))  # at most the places of one part of a text
+        alive = around.join(places.hint("merge"), "part")
+    hubs = scratch.save(hubs_of(met))
+    own = met.join(hubs.hint("merge"), "key")
+    hub_root = scratch.save(own.where("row = hub").groupBy("key").agg(F.min("root").alias("hub_root")))
+    apart = own.join(hub_root.hint("merge"), "key").where("row = hub or root <> hub_root").select("key", "row", "lo", "hi")
+    pairs = starred(apart, hubs)
+    scratch.drop(around, met, hubs, hub_root)
+    return links.unionAll(verified(pairs))
+
+
+def node_of(docs: DataFrame, id_col: str) -> Column:
+    own = F.col(f"`{id_col}`")
+    return own.cast("long") if dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(own)
+
+
+def components_of(links: DataFrame, scratch: Scratch) -> DataFrame:
+    return connected_components(links.select(F.col("row").alias("u"), F.col("other_row").alias("v")), scratch)
 
 
 def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document with a repeated passage: ``id``, ``component_id``, ``n_links``, ``n_passages``, ``first_word``, ``last_word``, ``longest``.
+    """One row per row of ``docs``: ``id``, ``component_id``, ``star_links``, ``n_passages``, ``first_word``, ``last_word``, ``longest``.
 
-    component_id is the smallest id linked to it through any chain.
+    component_id is the smallest row (see :func:`repeated_passages`) that is
+    linked to it through any chain, itself included: for whole numbers the
+    smallest id; null for a null id.  star_links counts the documents it was
+    verified against, not all it shares a passage with.  Without a repeated
+    passage the counts are 0 and the positions null.
     """
     scratch = Scratch(docs.sparkSession)
-    links = repeated_passages(docs, id_col, text_col)
-    ends = links.select("row", "id", "other_row", "start", "stop").unionAll(links.select("other_row", "other_id", "row", "other_start", "other_stop"))
-    per_link = ends.groupBy("row", "id", "other_row").agg(F.count("*").alias("passages"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.max(F.col("stop") - F.col("start")).alias("longest"))
-    rows = scratch.save(per_link.groupBy("row", "id").agg(F.count("*").alias("n_links"), F.sum("passages").alias("n_passages"), F.min("start").alias("first_word"), F.max("stop").alias("last_word"), F.max("longest").alias("longest")))
-    roots = scratch.save(connected_components(links.select(F.col("row").alias("u"), F.col("other_row").alias("v")), scratch))
+    links = repeated_passages(docs, id_col, text_col, scratch)
+    ends = links.select("row", "other_row", "start", "stop").unionAll(links.select("other_row", "row", "other_start", "other_stop"))
+    per_link = ends.groupBy("row", "other_row").agg(F.count("*").alias("passages"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.max(F.col("stop") - F.col("start")).alias("longest"))
+    rows = scratch.save(per_link.groupBy("row").agg(F.count("*").alias("star_links"), F.sum("passages").alias("n_passages"), F.min("start").alias("first_word"), F.max("stop").alias("last_word"), F.max("longest").alias("longest")))
+    roots = scratch.save(components_of(links, scratch))
     rows = scratch.save(rows.join(roots.withColumnRenamed("node", "row").hint("merge"), "row"))
-    least = scratch.save(rows.groupBy("root").agg(F.min("id").alias("component_id")))
-    return rows.join(least.hint("merge"), "root").select("id", "component_id", "n_links", "n_passages", "first_word", "last_word", "longest")
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.when(F.col(f"`{id_col}`").isNotNull(), node_of(docs, id_col)).alias("row"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("star_links", "n_passages")]
+    return own.join(rows.hint("merge"), "row", "left").select("id", F.coalesce("root", "row").alias("component_id"), *counts, "first_word", "last_word", F.coalesce("longest", F.lit(0)).alias("longest"))

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from evoked_spark.llm.passages import T, compact_windows, joint_windows, passage_classes, repeated_passages, shared_passages, shingles
+from evoked_spark.llm.passages import PASSAGE_WORDS, RUN, T, compact_windows, joint_windows, passage_classes, passage_keys, piece_keys, repeated_passages, run_keys, shared_passages, shingles, word_hashes
 
 
 def test_compact_windows_cover_every_range_once():
@@ -45,27 +45,97 @@ def test_planted_passages_are_found_and_others_left(spark):
     texts = documents(random.Random(5))
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(900, None, "x"), (901, "", "y"), (2, texts[2], "x"), (None, texts[4] + " tail", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
-    got = {r.id: r for r in passage_classes(docs).collect()}
-    assert {30, 31, 32, 33, 34} <= set(got) and 35 not in got and 900 not in got
-    assert set(got) <= {30, 31, 32, 33, 34, 4, None}
+    all_rows = passage_classes(docs).collect()
+    assert sorted((r.id is None, r.id) for r in all_rows) == sorted((r[0] is None, r[0]) for r in rows)
+    got = {r.id: r for r in all_rows if r.star_links}
+    assert set(got) == {30, 31, 32, 33, 34}
+    assert all(r.component_id == r.id and r.first_word is None and r.longest == 0 for r in all_rows if not r.star_links)
     assert got[30].component_id == got[31].component_id == got[32].component_id == 30
     assert got[33].component_id == got[34].component_id == 33
     assert got[31].first_word == 0 and got[31].last_word == 50
     assert repeated_passages(docs.where("false")).count() == 0
 
 
-def test_every_shared_range_meets_in_every_pair():
+def test_every_shared_run_meets():
     rng = random.Random(8)
-    shared = " ".join(words(rng, T + 4))
+    shared = " ".join(words(rng, RUN + 4))
     a, b = " ".join(words(rng, 33)) + " " + shared, shared + " " + " ".join(words(rng, 57))
-    one, two = [list(joint_windows(*shingles(t.encode()))) for t in (a, b)]
-    for x, y in zip(one, two):
-        assert set(x[0]) & set(y[0])
+    one, two = (joint_windows(*shingles(t.encode())) for t in (a, b))
+    assert set(one[0]) & set(two[0])
+
+
+def edited(rng, passage, how):
+    """A passage of 50 words or more that has Jaccard similarity 0.8 or more with the given one."""
+    out, at = list(passage), rng.randrange(1, len(passage) - 1)
+    if how == "change":
+        out[at] = "other"
+    elif how == "put in":
+        out.insert(at, "other")
+    elif how == "put in two":
+        out[at:at] = ["other", "more"]
+    elif how == "leave out":
+        del out[at]
+    return out
+
+
+def test_similar_passages_send_an_equal_key_in_every_step():
+    rng = random.Random(14)
+    for n in range(300):
+        how = ("change", "put in", "put in two", "leave out", "copy")[n % 5]
+        passage = words(rng, PASSAGE_WORDS + (how == "leave out"))
+        pair = [word_hashes(" ".join(words(rng, 25) + p + words(rng, 25)).encode())[0] for p in (passage, edited(rng, passage, how))]
+        met = False
+        for way in (1, -1):
+            ends = []
+            for w in pair:
+                w = w[::way]
+                starts = np.arange(len(w) - 24)
+                keys, at, kinds = piece_keys(w, run_keys(w)[1])
+                assert len(run_keys(w)[0]) == len(starts)
+                ends.append(set(passage_keys(w, at, kinds)[0].tolist()))
+            met |= bool(ends[0] & ends[1])
+        assert met, how
+
+
+def test_all_pairs_are_found_beside_less_similar_documents(spark):
+    """Against brute force over all pairs: Jaccard similarity of 50-word passages, in groups of template texts."""
+    rng, texts = random.Random(15), []
+    for n in range(60):
+        passage = words(rng, 50)
+        less = list(passage)
+        for at in (10, 25, 40):
+            less[at] = "less"
+        near = edited(rng, passage, ("change", "put in", "copy")[n % 3])
+        texts += [words(rng, rng.randrange(5, 40)) + p + words(rng, rng.randrange(5, 40)) for p in (less, passage, near)]
+    common = words(rng, 44)
+    texts += [words(rng, 30) + common + words(rng, 30) for _ in range(80)]  # a common line, but no 45 words in common
+    twin = words(rng, 5)
+    texts += [words(rng, 30) + common + twin + words(rng, 30) for _ in range(2)]
+    hashes = [shingles(" ".join(w).encode())[0].tolist() for w in texts]
+    sets = [[set(h[i : i + T]) for i in range(len(h) - T + 1)] for h in hashes]
+    links = {(i, j) for i in range(len(sets)) for j in range(i) if len(set(hashes[i]) & set(hashes[j])) >= 36 and any(len(a & b) >= 0.8 * len(a | b) for a in sets[i] for b in sets[j])}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    root = {r.id: r.component_id for r in passage_classes(docs).collect()}
+    assert len(links) > 55 and all(root[i] == root[j] for i, j in links)
+    own = list(range(len(texts)))
+    for i, j in sorted(links):  # the classes of brute force: no more is linked
+        own = [min(own[i], own[j]) if c in (own[i], own[j]) else c for c in own]
+    assert [root[i] for i in range(len(texts))] == own
+
+
+def test_long_text_and_clashing_columns(spark):
+    rng = random.Random(16)
+    giant = words(rng, 60_000)
+    rows = [("a", " ".join(giant), 1, 2, 3), ("b", " ".join(words(rng, 100) + giant[30_000:30_060]), 1, 2, 3), ("c", "x " * 20_000, 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "name string, text string, row long, key long, root long")
+    got = {r.id: r for r in passage_classes(docs, "name").collect()}
+    assert got["a"].component_id == got["b"].component_id != got["c"].component_id
+    assert (got["a"].first_word, got["a"].last_word) == (30_000, 30_060)
 
 
 def shared(x, y):
     a, b = (shingles(" ".join(w).encode())[0] for w in (x, y))
-    return shared_passages(a, [(0, len(a) - 1)], b, [(0, len(b) - 1)])
+    return shared_passages([(0, a)], b, [(0, len(b) - 1)])
 
 
 def test_one_run_that_maps_to_several_places():
@@ -97,5 +167,5 @@ def test_copies_under_a_smaller_document_that_fails_are_linked(spark):
         texts += [words(rng, 60) + words(rng, 20) + middle + words(rng, 20), words(rng, 60) + words(rng, 20) + middle + words(rng, 20)]
         texts += [left + middle + right + words(rng, 60), words(rng, 60) + left + middle + right, words(rng, 60) + near]
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
-    got = {r.id: r.component_id for r in passage_classes(docs).collect()}
+    got = {r.id: r.component_id for r in passage_classes(docs).collect() if r.star_links}
     assert got == {i: i - i % 5 + 2 for i in range(len(texts)) if i % 5 > 1}
