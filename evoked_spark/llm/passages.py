@@ -12,19 +12,19 @@ and Jaccard similarity 0.8 have at most a ninth of their shingles apart, and
 each place where they come apart costs 4, so they have RUN shingles in a row in
 common, and these share a signature under any number of functions.
 
-Documents that share a signature are linked to one of them, drawn by hash, not
+Documents that share a signature are linked to one of them, the smallest, not
 to each other: no group is listed, the minimum combines before the shuffle, and
 the equi-join on signatures can be split where a passage is hot.  Linked
 documents are then compared word by word around the windows; links that hold
 are joined to components.
 
-A group whose drawn document shares the signature but no passage may hold two
+A group whose smallest document shares the signature but no passage may hold two
 others that do share one.  Groups that still span several components therefore
 meet again by what every similar pair has in common: 50 words with one word
 changed, left out or put in (or 45 words as they are).  A document sends the
 hashes of its windows with one word left out, in three steps of growing length;
 of each only those go on that documents of other components send too.  Equal
-hashes of the last step are similar passages, so there the drawn document never
+hashes of the last step are similar passages, so there the smallest document never
 fails and one round is enough, however many documents share a common line.
 """
 
@@ -222,16 +222,23 @@ def _segments(p: np.ndarray, q: np.ndarray, band: np.ndarray, t: int, need: int,
                 todo += [run[:cut], run[cut:]]
 
 
-def ranges(spans: list[tuple[int, int]], around: int, size: int) -> list[tuple[int, int]]:
-    """The spans, widened on both sides, within 0..size-1; those that touch are one."""
-    out: list[list[int]] = []
-    for lo, hi in sorted(spans):
-        lo, hi = max(lo - around, 0), min(hi + around, size - 1)
-        if out and lo <= out[-1][1] + 1:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [(lo, hi) for lo, hi in out]
+def ranges(lo: np.ndarray, hi: np.ndarray, around: int, size: int) -> list[tuple[int, int]]:
+    """The spans lo..hi, widened on both sides, within 0..size-1; those that touch are one."""
+    if not len(lo) or size <= 0:
+        return []
+    order = np.argsort(lo, kind="stable")
+    lo, reach = np.maximum(lo[order] - around, 0), np.maximum.accumulate(np.minimum(hi[order] + around, size - 1))
+    first = np.flatnonzero(np.concatenate([[True], lo[1:] > reach[:-1] + 1]))
+    return list(zip(lo[first].tolist(), reach[np.append(first[1:] - 1, len(lo) - 1)].tolist()))
+
+
+def packed(lo: Column, hi: Column) -> Column:
+    return F.call_function("shiftleft", lo.cast("long"), F.lit(32)) + hi
+
+
+def unpacked(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    spans = np.asarray(spans, np.int64)
+    return spans >> 32, spans & 0xFFFFFFFF
 
 
 def novel(x: np.ndarray, spans: list[tuple[int, int]], t: int = T) -> list[tuple[int, int]]:
@@ -246,7 +253,8 @@ def novel(x: np.ndarray, spans: list[tuple[int, int]], t: int = T) -> list[tuple
     _, first = np.unique(keys[starts], return_index=True)
     if len(first) == len(starts):
         return [(lo, hi) for lo, hi in spans if hi - lo + 1 >= t]
-    return ranges([(i, i + t - 1) for i in np.sort(starts[first]).tolist()], 0, len(x))
+    kept = np.sort(starts[first])
+    return ranges(kept, kept + t - 1, 0, len(x))
 
 
 def shared_passages(parts: list[tuple[int, np.ndarray]], y: np.ndarray, y_spans: list[tuple[int, int]], t: int = T, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int]]:
@@ -388,7 +396,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``row`` stands for an id: the id itself where it is a whole number, else
     its hash.  Rows that share an id are one document, repeated rows count once,
     and rows with a null id aren't compared.  Each document with a repeated
-    passage is linked to one that is drawn from those it shares it with; copies
+    passage is linked to the smallest that shares a signature with it; copies
     are not expanded into all pairs.  Of ranges of 50 words that a text repeats
     the first is compared.  Null texts and texts under 50 words have no
     passage.  An empty table gives no link.
@@ -401,49 +409,49 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     clean = lambda b: b.replace(b"\0", b" \x01 ")
 
     def starred(members: DataFrame, hubs: DataFrame) -> DataFrame:
-        """``(row, other_row, spans)``: each row of ``members(key, row, lo, hi)`` with the hub of its key."""
+        """``(row, other_row, spans, other_spans)``: each row of ``members(key, row, lo, hi)`` with the hub of its key."""
         chosen = members.join(hubs.withColumnRenamed("hub", "row").hint("merge"), ["key", "row"]).groupBy("key").agg(F.min("lo").alias("other_lo"), F.max("hi").alias("other_hi"))
         chosen = scratch.save(hubs.join(chosen.hint("merge"), "key"))
         linked = members.join(chosen.hint("merge"), "key").where("row <> hub")
-        spans = F.collect_set(F.struct("lo", "hi", "other_lo", "other_hi"))  # at most the windows of one document
-        pairs = scratch.save(linked.groupBy("row", F.col("hub").alias("other_row")).agg(spans.alias("spans")))
+        spans = [F.collect_set(packed(F.col(f"{c}lo"), F.col(f"{c}hi"))).alias(f"{c}spans") for c in ("", "other_")]  # at most the windows of one document
+        pairs = scratch.save(linked.groupBy("row", F.col("hub").alias("other_row")).agg(*spans))
         scratch.drop(chosen)
         return pairs
 
     def hubs_of(rows: DataFrame) -> DataFrame:
-        """``(key, hub)`` of the keys with several rows; the hub is drawn by hash, so no document is the hub of all it shares."""
-        drawn = F.col("row").bitwiseXOR(F.xxhash64("key"))
-        hubs = rows.groupBy("key").agg(F.min(drawn).alias("d"), F.max(drawn).alias("last")).where("d < last")
-        return hubs.select("key", F.col("d").bitwiseXOR(F.xxhash64("key")).alias("hub"))
+        """``(key, hub)`` of the keys with several rows; one order for all keys, so that copies are compared with one document each."""
+        hubs = rows.groupBy("key").agg(F.min("row").alias("hub"), F.max("row").alias("last"))
+        return hubs.where("hub < last").select("key", "hub")
 
     def own_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            los, sizes, hashes = [], [], []
             for text, spans in zip(batch["body"], batch["spans"]):
                 x = shingles(clean(text))[0]
-                parts = novel(x, ranges([(s["lo"], s["hi"]) for s in spans], T - RUN, len(x)))
-                out.append([(lo, x[lo : hi + 1].view(np.int64)) for lo, hi in parts])
-            others = [sorted({(s["other_lo"], s["other_hi"]) for s in spans}) for spans in batch["spans"]]
-            yield batch[["row", "id", "other_row"]].assign(other_spans=others, parts=out)
+                parts = novel(x, ranges(*unpacked(spans), T - RUN, len(x)))
+                los.append(np.array([lo for lo, _ in parts], np.int64))
+                sizes.append(np.array([hi + 1 - lo for lo, hi in parts], np.int64))
+                hashes.append(np.concatenate([np.zeros(0, np.int64), *[x[lo : hi + 1].view(np.int64) for lo, hi in parts]]))
+            yield batch[["row", "id", "other_row", "other_spans"]].assign(los=los, sizes=sizes, hashes=hashes)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, text, hashes = None, None, None  # rows come ordered by the other document
+        known, text, y = None, None, None  # rows come ordered by the other document
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
                 if known != r.other_row or text != r.body:
-                    known, text, hashes = r.other_row, r.body, shingles(clean(r.body))[0]
-                parts = [(p["lo"], np.asarray(p["x"], np.int64).view(np.uint64)) for p in r.parts]
-                there = novel(hashes, ranges([(s["lo"], s["hi"]) for s in r.other_spans], T - RUN, len(hashes)))
-                out += [(r.row, r.id, r.other_row, r.other_id, i, j + SHINGLE, a, b + SHINGLE) for i, j, a, b in shared_passages(parts, hashes, there)]
+                    known, text, y = r.other_row, r.body, shingles(clean(r.body))[0]
+                parts = list(zip(r.los.tolist(), np.split(r.hashes.view(np.uint64), np.cumsum(r.sizes)[:-1])))
+                there = novel(y, ranges(*unpacked(r.other_spans), T - RUN, len(y)))
+                out += [(r.row, r.id, r.other_row, r.other_id, i, j + SHINGLE, a, b + SHINGLE) for i, j, a, b in shared_passages(parts, y, there)]
             yield pd.DataFrame(out, columns=["row", "id", "other_row", "other_id", "start", "stop", "other_start", "other_stop"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         """What holds of the links; only the parts of a text that may be repeated travel to the other one."""
-        mine = texts.join(pairs.hint("merge"), "row").select("row", "id", "other_row", "spans", "body")
-        mine = mine.mapInPandas(own_parts, f"row long, id {kind}, other_row long, other_spans array<struct<lo:int,hi:int>>, parts array<struct<lo:int,x:array<long>>>")
+        mine = texts.join(pairs.hint("merge"), "row").select("row", "id", "other_row", "spans", "other_spans", "body")
+        mine = mine.mapInPandas(own_parts, f"row long, id {kind}, other_row long, other_spans array<long>, los array<long>, sizes array<long>, hashes array<long>")
         other = texts.select(F.col("row").alias("other_row"), F.col("id").alias("other_id"), "body")
-        both = mine.join(other.hint("merge"), "other_row").select("row", "id", "other_row", "other_id", "other_spans", "parts", "body")
+        both = mine.where(F.size("los") > 0).join(other.hint("merge"), "other_row").select("row", "id", "other_row", "other_id", "other_spans", "los", "sizes", "hashes", "body")
         links = scratch.save(both.mapInPandas(verify, link).distinct())
         scratch.drop(pairs)
         return links
@@ -461,59 +469,68 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rooted = scratch.save(once.join(roots.withColumnRenamed("node", "row").hint("merge"), "row", "left").withColumn("root", F.coalesce("root", "row")))
     scratch.drop(members, roots)
     unlike = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("n > 2 and a < b").select("key")
-    undecided = rooted.join(unlike.hint("merge"), "key", "left_semi").groupBy("row", "root").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    undecided = rooted.join(unlike.hint("merge"), "key", "left_semi").groupBy("row", "root").agg(F.collect_set(packed(F.col("lo"), F.col("hi"))).alias("spans"))
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
                 words, x = word_hashes(clean(r.body))[0], shingles(clean(r.body))[0]
-                parts = novel(x, ranges([(s["lo"], s["hi"]) for s in r.spans], T - RUN, len(x)), NEED)
-                out += [(r.row, r.root, lo, words[lo : hi + SHINGLE].view(np.int64)) for lo, hi in parts]
-            yield pd.DataFrame(out, columns=["row", "root", "at", "words"])
+                lo, hi = unpacked(r.spans)
+                own = np.zeros(len(x), bool)
+                for i, j in ranges(lo, hi - RUN + 1, 0, len(x)):
+                    own[i : j + 1] = True  # where a run with the signature may start
+                for i, j in novel(x, ranges(lo, hi, T - RUN, len(x)), NEED):
+                    out.append((r.row, r.root, i, words[i : j + SHINGLE].view(np.int64), np.flatnonzero(own[i : j - RUN + 2]) << 3))
+            yield pd.DataFrame(out, columns=["row", "root", "at", "words", "alive"])
 
     around = texts.join(undecided.hint("merge"), "row").select("row", "root", "spans", "body")
-    around = scratch.save(around.mapInPandas(contexts, "row long, root long, at int, words array<long>").withColumn("part", F.monotonically_increasing_id()))
+    around = around.mapInPandas(contexts, "row long, root long, at int, words array<long>, alive array<long>")
+    around = scratch.save(around.withColumn("part", F.monotonically_increasing_id()))
     scratch.drop(rooted)
 
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The keys of the next length; passages are read forwards and backwards, so that what differs is in their second half."""
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                words = np.asarray(r.words, np.int64).view(np.uint64)
-                if r.alive is None:
-                    for way in (0, 1):
-                        keys, starts = run_keys(words[::-1] if way else words)
-                        out.append((r.part, r.row, r.root, way, keys, starts, np.full(len(keys), -1), r.at, len(words)))
-                    continue
-                alive = np.array([(s["way"], s["start"], s["kind"]) for s in r.alive], np.int64)
-                for way in (0, 1):
-                    starts, kinds = (alive[alive[:, 0] == way, c] for c in (1, 2))
-                    own = words[::-1] if way else words
-                    if len(starts) and kinds[0] < 0:
-                        keys, at, kinds = piece_keys(own, starts)
-                    elif len(starts):
-                        keys, at = passage_keys(own, starts, kinds)
-                        kinds = np.zeros(len(at), np.int64)
-                    else:
-                        continue
-                    out.append((r.part, r.row, r.root, way, keys, at, kinds, r.at, len(words)))
-            for part, row, root, way, keys, starts, kinds, at, n in out:
-                first = at + (np.maximum(n - starts - PASSAGE_WORDS - 1, 0) if way else starts)
-                key = _mix(keys + np.uint64(way)).view(np.int64)
-                yield pd.DataFrame({"key": key, "row": row, "root": root, "part": part, "way": way, "start": starts, "kind": kinds, "lo": first, "hi": np.minimum(first + PASSAGE_WORDS + 1, at + n - SHINGLE)})
-
-    alive = around.withColumn("alive", F.lit(None).cast("array<struct<way:int,start:int,kind:int>>"))
+    def steps(length: int):
+        """Sends the keys of one length; longer ones are read forwards and backwards, so that what differs is in their second half."""
+
+        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for r in batch.itertuples(index=False):
+                    words, n = r.words.view(np.uint64), len(r.words)
+                    starts, way, kinds = r.alive >> 3, (r.alive >> 2) & 1, r.alive & 3
+                    for backwards in (0, 1) if length else (0,):
+                        here = way == backwards
+                        own = words[::-1] if backwards else words
+                        if length == 0:
+                            keys, at = _runs(words, starts, HALF), starts
+                            marks = np.concatenate([at << 3, ((n - HALF - at) << 3) | 4])
+                            keys, at = np.tile(keys, 2), np.tile(at, 2)
+                        elif length == 1:
+                            keys, at, kind = piece_keys(own, starts[here])
+                            marks = (at << 3) | (backwards << 2) | kind
+                        else:
+                            keys, at = passage_keys(own, starts[here], kinds[here])
+                            marks = np.zeros(len(at), np.int64)
+                        first = np.maximum(n - at - PASSAGE_WORDS - 1, 0) if backwards else at
+                        keys = _mix(keys + np.uint64(backwards)).view(np.int64)
+                        out.append((keys, np.full(len(keys), r.row), np.full(len(keys), r.root), np.full(len(keys), r.part), marks, r.at + first, r.at + np.minimum(first + PASSAGE_WORDS + 1, n - SHINGLE)))
+                columns = ["key", "row", "root", "part", "mark", "lo", "hi"]
+                yield pd.DataFrame({c: np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k, c in enumerate(columns)})
+
+        return step
+
+    met = around
     for length in range(3):
-        sent = scratch.save(alive.select("row", "root", "part", "at", "words", "alive").mapInPandas(step, "key long, row long, root long, part long, way int, start int, kind int, lo int, hi int").distinct())
+        sent = met.mapInPandas(steps(length), "key long, row long, root long, part long, mark long, lo int, hi int")
+        sent = scratch.save(sent.distinct() if length == 2 else sent)
         several = sent.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-        met = scratch.save(sent.join(several.hint("merge"), "key", "left_semi"))
+        met = sent.join(several.hint("merge"), "key", "left_semi")
+        if length < 2:
+            marks = met.groupBy("part").agg(F.collect_set("mark").alias("alive"))  # at most the places of one part of a text
+            met = scratch.save(around.drop("alive").join(marks.hint("merge"), "part"))
+        else:
+            met = scratch.save(met.select("key", "row", "root", "lo", "hi"))
         scratch.drop(sent)
-        if length == 2:
-            break
-        places = met.groupBy("part").agg(F.collect_set(F.struct("way", "start", "kind")).alias("alive"))  # at most the places of one part of a text
-        alive = around.join(places.hint("merge"), "part")
     hubs = scratch.save(hubs_of(met))
     own = met.join(hubs.hint("merge"), "key")
     hub_root = scratch.save(own.where("row = hub").groupBy("key").agg(F.min("root").alias("hub_root")))
