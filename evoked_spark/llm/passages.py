@@ -22,7 +22,7 @@ A group whose smallest document shares the signature but no passage may hold two
 others that do share one.  Groups that still span several components therefore
 meet again by what every similar pair has in common: 50 words with one word
 changed, left out or put in (or 45 words as they are).  A document sends the
-hashes of its windows with one word left out, in three steps of growing length;
+hashes of its windows with one word left out, in steps of growing length;
 of each only those go on that documents of other components send too.  Equal
 hashes of the last step are similar passages, so there the smallest document never
 fails and one round is enough, however many documents share a common line.
@@ -44,8 +44,8 @@ T = PASSAGE_WORDS - SHINGLE + 1
 #: Shingles of two similar passages of T shingles that must hit, and how many of these are in a row at least: one place where they come apart leaves two runs.
 NEED = int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * T))
 RUN = (NEED + 1) // 2
-#: Words of a run, of a run and the piece after it, and of a whole passage.
-HALF, PIECE = RUN + SHINGLE - 1, 12
+#: Words of a run, and of a passage of which one word is left out; how often the words between are halved.
+HALF, REST, DEPTH = RUN + SHINGLE - 1, PASSAGE_WORDS - 1, 2
 FUNCTIONS = 2
 #: Bytes of text hashed at a time.
 BLOCK = 1 << 21
@@ -352,41 +352,40 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(power), np.multiply.accumulate(back)
 
 
-def run_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, start) of every run of HALF words."""
-    starts = np.arange(max(len(words) - HALF + 1, 0))
-    return _runs(words, starts, HALF), starts
+def interval_keys(words: np.ndarray, starts: np.ndarray, kinds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, start, kind) of passages of REST words from each start but for an interval, in which what is apart may be.
 
-
-def piece_keys(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, start, kind) of runs of HALF words with a piece of PIECE words behind.
-
-    Kind 0: the piece follows at once; kind 1: as many words lie between, and up
-    to two more, so that words put in, left out or changed there don't matter.
+    The words behind the run are halved ``depth`` times; kind k is the k-th part
+    of them, and those of a start's kind of one depth less are taken.  What
+    stands behind the interval may be up to two words further off.
     """
-    out = []
-    for kind, gap in ((0, 0), (1, PIECE), (1, PIECE + 1), (1, PIECE + 2)):
-        i = starts[starts + HALF + gap + PIECE <= len(words)]
-        out.append((_mix(_runs(words, i, HALF) * _ODD[6 + kind] + _runs(words, i + HALF + gap, PIECE)), i, np.full(len(i), kind)))
+    width, out = (REST - HALF) >> depth, []
+    for kind in range(1 << depth):
+        low = HALF + kind * width
+        high, own = low + width, starts[kinds == kind >> 1]
+        for off in range(3 if high < REST else 1):
+            i = own[own + (REST + off if high < REST else low) <= len(words)]
+            behind = _runs(words, i + high + off, REST - high) if high < REST else np.zeros(len(i), np.uint64)
+            out.append((_mix(_runs(words, i, low) * _ODD[6] + behind * _ODD[7] + np.uint64(kind)), i, np.full(len(i), kind)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def passage_keys(words: np.ndarray, starts: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, start) of similar passages from each start: equal keys are 45 equal words, or 49 with one or two words of one side left out."""
+def passage_keys(words: np.ndarray, starts: np.ndarray, kinds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, start) of similar passages from each start: equal keys are 45 equal words, or REST with one or two words left out of either."""
     power, back = _powers(len(words))
     sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(words * power)])
-    exact, long = NEED + SHINGLE - 1, PASSAGE_WORDS - 1
     out = []
-    for width in (exact, long):
-        i = np.unique(starts[starts + width <= len(words)])
-        out.append((_runs(words, i, width), i))
+    for size in (NEED + SHINGLE - 1, REST):
+        i = np.unique(starts[starts + size <= len(words)])
+        out.append((_runs(words, i, size), i))
+    width = (REST - HALF) >> depth
     for gone in (1, 2):
-        for kind, (low, high) in enumerate(((HALF + PIECE, long), (HALF, HALF + PIECE + 1))):
-            i = starts[(kinds == kind) & (starts + long + gone <= len(words))]
-            for j in range(low, high):  # words j .. j + gone - 1 of the passage are left out
+        for kind in range(1 << depth):
+            i = starts[(kinds == kind) & (starts + REST + gone <= len(words))]
+            for j in range(HALF + kind * width, HALF + (kind + 1) * width + 1):  # words j .. j + gone - 1 of the passage are left out
                 first = (sums[i + j] - sums[i]) * back[i]
-                rest = (sums[i + long + gone] - sums[i + j + gone]) * back[i + gone]
-                out.append((_mix(first + rest + np.uint64(long)), i))
+                rest = (sums[i + REST + gone] - sums[i + j + gone]) * back[i + gone]
+                out.append((_mix(first + rest + np.uint64(REST)), i))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -489,8 +488,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     around = scratch.save(around.withColumn("part", F.monotonically_increasing_id()))
     scratch.drop(rooted)
 
-    def steps(length: int):
-        """Sends the keys of one length; longer ones are read forwards and backwards, so that what differs is in their second half."""
+    def steps(depth: int):
+        """Sends the keys of one depth; passages are read forwards and backwards, so that what is apart is in their second half."""
 
         def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -498,38 +497,35 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 for r in batch.itertuples(index=False):
                     words, n = r.words.view(np.uint64), len(r.words)
                     starts, way, kinds = r.alive >> 3, (r.alive >> 2) & 1, r.alive & 3
-                    for backwards in (0, 1) if length else (0,):
-                        here = way == backwards
-                        own = words[::-1] if backwards else words
-                        if length == 0:
-                            keys, at = _runs(words, starts, HALF), starts
-                            marks = np.concatenate([at << 3, ((n - HALF - at) << 3) | 4])
-                            keys, at = np.tile(keys, 2), np.tile(at, 2)
-                        elif length == 1:
-                            keys, at, kind = piece_keys(own, starts[here])
+                    for backwards in (0, 1) if depth else (0,):
+                        here, own = way == backwards, words[::-1] if backwards else words
+                        if depth <= DEPTH:
+                            keys, at, kind = interval_keys(own, starts[here], kinds[here], depth)
                             marks = (at << 3) | (backwards << 2) | kind
+                            if not depth:  # a run is the same both ways
+                                keys, marks = np.tile(keys, 2), np.concatenate([marks, ((n - HALF - at) << 3) | 4])
                         else:
-                            keys, at = passage_keys(own, starts[here], kinds[here])
-                            marks = np.zeros(len(at), np.int64)
-                        first = np.maximum(n - at - PASSAGE_WORDS - 1, 0) if backwards else at
+                            keys, at = passage_keys(own, starts[here], kinds[here], DEPTH)
+                            marks = np.maximum(n - at - PASSAGE_WORDS - 1, 0) if backwards else at
                         keys = _mix(keys + np.uint64(backwards)).view(np.int64)
-                        out.append((keys, np.full(len(keys), r.row), np.full(len(keys), r.root), np.full(len(keys), r.part), marks, r.at + first, r.at + np.minimum(first + PASSAGE_WORDS + 1, n - SHINGLE)))
-                columns = ["key", "row", "root", "part", "mark", "lo", "hi"]
-                yield pd.DataFrame({c: np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k, c in enumerate(columns)})
+                        out.append((keys, np.full(len(keys), r.root), np.full(len(keys), r.part), marks))
+                yield pd.DataFrame({c: np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k, c in enumerate(("key", "root", "part", "mark"))})
 
         return step
 
     met = around
-    for length in range(3):
-        sent = met.mapInPandas(steps(length), "key long, row long, root long, part long, mark long, lo int, hi int")
-        sent = scratch.save(sent.distinct() if length == 2 else sent)
+    for depth in range(DEPTH + 2):
+        sent = scratch.save(met.mapInPandas(steps(depth), "key long, root long, part long, mark long"))
         several = sent.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
         met = sent.join(several.hint("merge"), "key", "left_semi")
-        if length < 2:
+        if depth <= DEPTH:
             marks = met.groupBy("part").agg(F.collect_set("mark").alias("alive"))  # at most the places of one part of a text
             met = scratch.save(around.drop("alive").join(marks.hint("merge"), "part"))
         else:
-            met = scratch.save(met.select("key", "row", "root", "lo", "hi"))
+            lo = F.col("at") + F.col("mark").cast("int")
+            at = around.select("part", "row", "at", F.size("words").alias("n"))
+            met = met.distinct().join(at.hint("merge"), "part")
+            met = scratch.save(met.select("key", "root", "row", lo.alias("lo"), F.least(lo + PASSAGE_WORDS + 1, F.col("at") + F.col("n") - SHINGLE).alias("hi")))
         scratch.drop(sent)
     hubs = scratch.save(hubs_of(met))
     own = met.join(hubs.hint("merge"), "key")

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from evoked_spark.llm.passages import PASSAGE_WORDS, RUN, T, compact_windows, joint_windows, passage_classes, passage_keys, piece_keys, repeated_passages, run_keys, shared_passages, shingles, word_hashes
+from evoked_spark.llm.passages import DEPTH, PASSAGE_WORDS, RUN, T, compact_windows, interval_keys, joint_windows, passage_classes, passage_keys, repeated_passages, shared_passages, shingles, word_hashes
 
 
 def test_compact_windows_cover_every_range_once():
@@ -89,11 +89,12 @@ def test_similar_passages_send_an_equal_key_in_every_step():
             ends = []
             for w in pair:
                 w = w[::way]
-                starts = np.arange(len(w) - 24)
-                keys, at, kinds = piece_keys(w, run_keys(w)[1])
-                assert len(run_keys(w)[0]) == len(starts)
-                ends.append(set(passage_keys(w, at, kinds)[0].tolist()))
-            met |= bool(ends[0] & ends[1])
+                steps, at, kinds = [], np.arange(len(w) - 24), np.zeros(len(w) - 24, int)
+                for depth in range(DEPTH + 1):
+                    keys, at, kinds = interval_keys(w, at, kinds, depth)
+                    steps.append(set(keys.tolist()))
+                ends.append([*steps, set(passage_keys(w, at, kinds, DEPTH)[0].tolist())])
+            met |= all(a & b for a, b in zip(*ends))
         assert met, how
 
 
