@@ -53,15 +53,16 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [tuple(unescape(part) for part in turn.removesuffix(CLOSE).split(TEXT, 1)) for turn in turns]
 
 
-def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
+def chosen_paths(messages: DataFrame, branches: int = 1, scratch: Scratch | None = None) -> DataFrame:
     """``(tree, leaf, depth, node)``: the messages of the best root-to-leaf paths of each tree.
 
     ``messages(tree, node, parent, score)``, keys without nulls except
     ``parent``.  A message whose parent is null or missing is a root.  Branches
     rank by the sum of their scores (null is 0), then length, then leaf id.
-    Messages on a reply cycle have no root and belong to no path.
+    Messages on a reply cycle have no root and belong to no path.  The rounds
+    end after 40: pointers have passed 2^40 messages then, so only cycles are left.
     """
-    scratch = Scratch(messages.sparkSession)
+    scratch = scratch or Scratch(messages.sparkSession)
     m = scratch.save(messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
     nodes = m.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     state = m.join(nodes.hint("merge"), ["tree", "parent"], "left")

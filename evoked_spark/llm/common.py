@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -15,11 +17,14 @@ BLANKS = "[\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is missing (tests, a notebook on one machine) a new
-    temporary folder is made and stored in the session.
+    Where the setting is missing and the session runs on this machine alone
+    (tests, a notebook), a new temporary folder is made and stored in the
+    session; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -29,19 +34,31 @@ class Scratch:
     """Tables written to the shared folder to cut lineage between rounds.
 
     A written table outlives the loss of executors, unlike a local checkpoint.
-    ``drop`` frees one that no later plan reads.
+    ``drop`` frees one that no later plan reads, ``result`` all but the one it
+    writes, and ``clear`` all; what is left goes when Python ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        self.made: set[str] = set()
+        _open.add(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
+        self.made.add(path)
+        return out
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """``df``, written; all other tables are deleted, so nothing else may read them."""
+        before = set(self.made)
+        out = self.save(df)
+        for path in before:
+            self._delete(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -51,7 +68,9 @@ class Scratch:
     def clear(self) -> None:
         """Deletes all tables; for when what was made from them is written elsewhere."""
         self.paths.clear()
+        self.made.clear()
         self._delete(self.base)
+        _open.discard(self)
 
     def feeds(self, df: DataFrame) -> bool:
         """Whether ``df`` reads any of these tables."""
@@ -59,10 +78,21 @@ class Scratch:
         return any(f"/{name}/" in path for path in df.inputFiles())
 
     def _delete(self, path: str) -> None:
+        self.made.discard(path)
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_open: set[Scratch] = set()
+
+
+@atexit.register
+def _clear_all() -> None:
+    for scratch in list(_open):
+        with contextlib.suppress(Exception):  # the session may have ended before
+            scratch.clear()
+
+
 def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     """About ``most`` rows of ``df``, chosen by a hash of ``key``; all of them if there are no more.
 

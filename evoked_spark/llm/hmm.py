@@ -30,8 +30,9 @@ from .common import Scratch
 
 #: Frequent words whose counts are sent to the tasks (each at most LONGEST characters), and those of them with a class of their own.
 HEAD_WORDS, CLASS_WORDS, SUFFIX_CLASSES, LONGEST = 131_072, 4096, 512, 32
-STATES, SEGMENT, BLOCK_TOKENS = 8, 512, 400_000
-SAMPLE_ROUNDS, FULL_ROUNDS = 15, 2
+STATES, SEGMENT, BLOCK_TOKENS = 8, 512, 200_000
+#: Baum-Welch ends when a round gains less than this for a token, or after so many rounds.
+LEAST_GAIN, ROUNDS = 0.01, 17
 #: Stands for the end token in tables of words; no word is empty.
 END = ""
 N_CLASSES = CLASS_WORDS + SUFFIX_CLASSES
@@ -116,60 +117,55 @@ class Hmm:
         return Hmm(np.full(states, 1 / states), move, emit / emit.sum(0))
 
     @staticmethod
-    def _layout(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Order by falling length, symbols in one array, where each row starts in it, rows still running at each step."""
+    def _layout(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order by falling length; all symbols step by step, in that order; where each step begins."""
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
         order = np.argsort(-lengths, kind="stable")
         flat = np.concatenate([rows[i] for i in order]).astype(np.int64)
         starts = np.concatenate([[0], np.cumsum(lengths[order])[:-1]])
         running = np.searchsorted(-lengths[order], -np.arange(lengths.max()), side="left")
-        return order, flat, starts, running
+        return order, np.concatenate([flat[starts[:n] + t] for t, n in enumerate(running)]), np.concatenate([[0], np.cumsum(running)])
 
     def log_likelihood(self, rows: list[np.ndarray]) -> np.ndarray:
         """Natural log of the probability of each class sequence (none is empty), by the scaled forward recursion."""
         if not rows:
             return np.zeros(0)
-        order, flat, starts, running = self._layout(rows)
+        order, symbols, steps = self._layout(rows)
         total, alpha = np.zeros(len(rows)), None
-        for t, n in enumerate(running):
-            e = self.emit[flat[starts[:n] + t]]
-            alpha = e * self.start if alpha is None else (alpha[:n] @ self.move) * e
+        for at, upto in zip(steps[:-1], steps[1:]):
+            e = self.emit[symbols[at:upto]]
+            alpha = e * self.start if alpha is None else (alpha[: upto - at] @ self.move) * e
             scale = alpha.sum(1)
-            total[:n] += np.log(scale)
+            total[: upto - at] += np.log(scale)
             alpha /= scale[:, None]
         out = np.empty(len(rows))
         out[order] = total
         return out
 
-    def expected(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, moves and emissions: the E step of Baum-Welch."""
-        _, flat, starts, running = self._layout(rows)
+    def expected(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts of starts, moves and emissions, and the log-likelihood: the E step of Baum-Welch."""
+        _, symbols, steps = self._layout(rows)
         s = len(self.start)
-        alphas, scales = np.empty((len(flat), s)), np.empty(len(flat))
-        gammas, moves = alphas, np.zeros((s, s))
-        previous = None
-        for t, n in enumerate(running):
-            at = starts[:n] + t
-            e = self.emit[flat[at]]
-            alpha = e * self.start if t == 0 else (previous[:n] @ self.move) * e
+        alphas, scales = self.emit[symbols], np.empty(len(symbols))
+        moves, before = np.zeros((s, s)), None
+        for at, upto in zip(steps[:-1].tolist(), steps[1:].tolist()):
+            alpha = alphas[at:upto]
+            alpha *= self.start if before is None else before[: upto - at] @ self.move
             scale = alpha.sum(1)
             alpha /= scale[:, None]
-            alphas[at], scales[at], previous = alpha, scale, alpha
-        beta = np.ones((0, s))
-        for t in range(len(running) - 1, -1, -1):
-            n = running[t]
-            at = starts[:n] + t
-            later = len(beta)
-            full = np.ones((n, s))
-            if later:
-                nxt = at[:later] + 1
-                weighted = self.emit[flat[nxt]] * beta / scales[nxt][:, None]
-                moves += alphas[at[:later]].T @ weighted * self.move
-                full[:later] = weighted @ self.move.T
-            gammas[at] = alphas[at] * full
-            beta = full
-        emits = np.stack([np.bincount(flat, weights=gammas[:, k], minlength=len(self.emit)) for k in range(s)], axis=1)
-        return gammas[starts].sum(0), moves, emits
+            scales[at:upto], before = scale, alpha
+        weighted = self.emit[symbols]
+        weighted /= scales[:, None]  # becomes emission * beta / scale, from the last step on
+        spans = list(zip(steps[:-1].tolist(), steps[1:].tolist()))
+        for (at, upto), (_, behind) in zip(spans[-2::-1], spans[:0:-1]):
+            n = behind - upto
+            later = weighted[upto:behind]
+            moves += alphas[at : at + n].T @ later
+            beta = later @ self.move.T
+            alphas[at : at + n] *= beta
+            weighted[at : at + n] *= beta
+        emits = np.stack([np.bincount(symbols, weights=alphas[:, k], minlength=len(self.emit)) for k in range(s)], axis=1)
+        return alphas[: steps[1]].sum(0), moves * self.move, emits, float(np.log(scales).sum())
 
     @staticmethod
     def from_counts(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, share: np.ndarray, prior: float = 50.0) -> Hmm:
@@ -180,33 +176,41 @@ class Hmm:
         return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def train(rows: DataFrame, share: np.ndarray, sample_rounds: int = SAMPLE_ROUNDS, full_rounds: int = FULL_ROUNDS) -> Hmm:
-    """Baum-Welch over ``rows(classes)``; all ``sample_rounds + full_rounds`` rounds take every row, whole, in segments."""
+def train(rows: DataFrame, share: np.ndarray, rounds: int = ROUNDS, least_gain: float = LEAST_GAIN) -> Hmm:
+    """Baum-Welch over ``rows(classes)``; every round takes every row, whole, in segments.
+
+    Ends when a round has gained less than ``least_gain`` (natural log of the
+    probability of a token, on average), or after ``rounds``.
+    """
     model = Hmm.initial(share)
-    states = len(model.start)
-    for _ in range(sample_rounds + full_rounds):
+    states, last = len(model.start), None
+    for _ in range(rounds):
         start, move, emit = model.start, model.move, model.emit
 
         def e_step(batches: Iterator[pd.DataFrame], start=start, move=move, emit=emit) -> Iterator[pd.DataFrame]:
             own, total = Hmm(start, move, emit), None
             for batch in batches:
                 for block in segments([np.asarray(c) for c in batch["classes"]]):
-                    found = np.concatenate([x.ravel() for x in own.expected(block)])
+                    found = np.concatenate([*[np.ravel(x) for x in own.expected(block)], [sum(map(len, block))]])
                     total = found if total is None else total + found
             if total is not None:
                 at = np.flatnonzero(total)
                 yield pd.DataFrame({"k": at, "v": total[at]})
 
-        sums = rows.select("classes").mapInPandas(e_step, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+        sums = rows.select("classes").mapInPandas(e_step, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()  # as many as the tables have entries
         if sums.empty:
             break
-        total = np.zeros(states + states * states + emit.size)
+        total = np.zeros(states + states * states + emit.size + 2)
         total[sums["k"].to_numpy()] = sums["v"].to_numpy()
-        model = Hmm.from_counts(total[:states], total[states : states + states**2].reshape(states, states), total[states + states**2 :].reshape(emit.shape), share)
+        mean = total[-2] / total[-1]
+        model = Hmm.from_counts(total[:states], total[states : states + states**2].reshape(states, states), total[states + states**2 : -2].reshape(emit.shape), share)
+        if last is not None and mean - last < least_gain:
+            break
+        last = mean
     return model
 
 
-def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
+def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, **training) -> DataFrame:
     """``id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row of ``docs``.
 
     Learns from the rows where ``held_out`` is false.  A null text is empty: it
@@ -214,7 +218,8 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     no training rows the base probability of every token is 1 and the model
     stays as it starts.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    spark = docs.sparkSession
+    scratch = scratch or Scratch(spark)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), held_out.alias("held_out"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("body"))
     counts = scratch.save(word_counts(texts.where(~F.col("held_out"))))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()

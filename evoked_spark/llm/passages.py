@@ -545,7 +545,7 @@ def components_of(links: DataFrame, scratch: Scratch) -> DataFrame:
     return connected_components(links.select(F.col("row").alias("u"), F.col("other_row").alias("v")), scratch)
 
 
-def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``component_id``, ``star_links``, ``n_passages``, ``first_word``, ``last_word``, ``longest``.
 
     component_id is the smallest row (see :func:`repeated_passages`) that is
@@ -554,7 +554,7 @@ def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     verified against, not all it shares a passage with.  Without a repeated
     passage the counts are 0 and the positions null.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     links = repeated_passages(docs, id_col, text_col, scratch)
     ends = links.select("row", "other_row", "start", "stop").unionAll(links.select("other_row", "row", "other_start", "other_stop"))
     per_link = ends.groupBy("row", "other_row").agg(F.count("*").alias("passages"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.max(F.col("stop") - F.col("start")).alias("longest"))

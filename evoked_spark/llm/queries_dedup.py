@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .exact_dedup import radix_groups
 from .passages import passage_classes
 from .simhash import near_copies
@@ -13,8 +14,9 @@ from .simhash import near_copies
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    rows = radix_groups(docs, carry=["doc_id", "text_sha256"])
-    return rows.select("rec.doc_id", "keep_id", "group_size", "kept", "rec.text_sha256")
+    scratch = Scratch(spark)
+    rows = radix_groups(docs, carry=["doc_id", "text_sha256"], scratch=scratch)
+    return scratch.result(rows.select("rec.doc_id", "keep_id", "group_size", "kept", "rec.text_sha256"))
 
 
 OP4_SQL = """
@@ -29,10 +31,12 @@ FROM documents
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = near_copies(docs, carry=["doc_id"])
-    return rows.select("rec.doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    scratch = Scratch(spark)
+    rows = near_copies(docs, carry=["doc_id"], scratch=scratch)
+    return scratch.result(rows.select("rec.doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return passage_classes(docs).withColumnRenamed("id", "doc_id")
+    scratch = Scratch(spark)
+    return scratch.result(passage_classes(docs, scratch=scratch).withColumnRenamed("id", "doc_id"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .mixing import fair_queue
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    mix = fair_queue(docs, carry=["doc_id"])
-    return mix.select("rec.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    scratch = Scratch(spark)
+    mix = fair_queue(docs, carry=["doc_id"], scratch=scratch)
+    return scratch.result(mix.select("rec.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")))
 
 
 #: Common table expressions that mix the relation ``{docs}`` (doc_id, source, text).

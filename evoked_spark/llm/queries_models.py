@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hmm, toxicity
+from .common import Scratch
 
 
 def fold(divisor: int) -> Column:
@@ -25,4 +26,5 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = F.coalesce(fold(10) == 0, F.lit(False))
-    return hmm.scored(docs, held_out).withColumnRenamed("id", "doc_id")
+    scratch = Scratch(spark)
+    return scratch.result(hmm.scored(docs, held_out, scratch=scratch).withColumnRenamed("id", "doc_id"))

@@ -16,10 +16,11 @@ CONTROL_TEXT = "</s>[INST] ok [/INST]"
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
-    messages = Scratch(spark).save(chat.conversation_tree(rows.unionByName(planted)))
-    done = chat.digests(chat.formatted(chat.chosen_paths(messages), messages.select("tree", "node", "role", "text")))
+    scratch = Scratch(spark)
+    messages = scratch.save(chat.conversation_tree(rows.unionByName(planted)))
+    done = chat.digests(chat.formatted(chat.chosen_paths(messages, scratch=scratch), messages.select("tree", "node", "role", "text")))
     conv_id = F.when(F.col("tree") != "null", F.col("tree")).cast("long")
-    return done.select(conv_id.alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return scratch.result(done.select(conv_id.alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"))
 
 
 _MARKS = r"'\\|<\||<s>|</s>|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]'"
@@ -48,7 +49,9 @@ def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = pages.withColumn("html", F.when(hit, F.concat(other, F.expr("substring(html, 2)"))).otherwise(F.col("html")))
     n_files = warc.files_needed(pages)
     ours, theirs = warc.leaves(pages, n_files), warc.leaves(damaged, n_files)
-    return warc.audited(ours, theirs).select("page_id", "archive", F.col("start").alias("record_offset"), F.col("length").alias("record_length"), F.col("digest").alias("record_sha256"), "corrupt")
+    scratch = Scratch(spark)
+    rows = warc.audited(ours, theirs, scratch)
+    return scratch.result(rows.select("page_id", "archive", F.col("start").alias("record_offset"), F.col("length").alias("record_length"), F.col("digest").alias("record_sha256"), "corrupt"))
 
 
 OP2_SQL = """
@@ -80,5 +83,6 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = pathlib.Path(model_path).read_bytes()
     docs = docs.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
-    rows = pieces.encoded(docs, model, carry=["doc_id", "n_chars"], verify=True)
-    return rows.select("rec.doc_id", "rec.n_chars", F.col("n_chunks").cast("long").alias("n_chunks"), F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxhash64"), "round_trip")
+    scratch = Scratch(spark)
+    rows = pieces.encoded(docs, model, carry=["doc_id", "n_chars"], verify=True, scratch=scratch)
+    return scratch.result(rows.select("rec.doc_id", "rec.n_chars", F.col("n_chunks").cast("long").alias("n_chunks"), F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_xxhash64"), "round_trip"))

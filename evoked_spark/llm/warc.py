@@ -92,9 +92,9 @@ def mismatches(ours: list[DataFrame], theirs: list[DataFrame], scratch: Scratch,
     return found
 
 
-def audited(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+def audited(ours: DataFrame, theirs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``ours`` (as from :func:`leaves`) with ``corrupt``: the other replica's record at that place isn't the same."""
-    scratch = Scratch(ours.sparkSession)
+    scratch = scratch or Scratch(ours.sparkSession)
     ours, theirs = scratch.save(ours), scratch.save(theirs)
     found = mismatches(tree(ours, scratch), tree(theirs, scratch), scratch)
     return ours.join(found.withColumn("corrupt", F.lit(True)), ["archive", "idx"], "left").withColumn("corrupt", F.coalesce("corrupt", F.lit(False)))
