@@ -20,46 +20,46 @@ from evoked_spark.llm.queries_text import MODEL_PATH
 from evoked_spark.llm.simhash import drop_near_copies
 
 
-_made: dict[str, list[Scratch]] = {}
+_called: list[Scratch] = []
 
 
-def _scratch(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Scratch:
-    """A stage's own scratch tables; those of earlier stages over the same tables go, unless ``docs`` still reads them.
+def _own(spark: SparkSession, docs: DataFrame) -> Scratch:
+    """Scratch tables of a stage that is called by itself.
 
-    A stage begins when what its predecessor kept has been written and reread,
-    so by then the predecessor's tables only take up disk.
+    What it returns reads them.  They go when another stage is called with
+    documents that don't come from them: its predecessor's result has been
+    written and reread by then.  ``run`` owns its tables and doesn't come here.
     """
-    held = _made.setdefault(sf_dir, [])
-    for old in [s for s in held if not s.feeds(docs)]:
+    for old in [s for s in _called if not s.feeds(docs)]:
         old.clear()
-        held.remove(old)
-    held.append(Scratch(spark))
-    return held[-1]
+        _called.remove(old)
+    _called.append(Scratch(spark))
+    return _called[-1]
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """Drops what the base rules or a certified rule of its language reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return judged(docs, labels, scratch=_scratch(spark, docs, sf_dir)).where("kept").select("rec.*")
+    return judged(docs, labels, scratch=scratch or _own(spark, docs)).where("kept").select("rec.*")
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_exact_copies(docs, scratch=_scratch(spark, docs, sf_dir))
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
+    return drop_exact_copies(docs, scratch=scratch or _own(spark, docs))
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_copies(docs, scratch=_scratch(spark, docs, sf_dir))
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
+    return drop_near_copies(docs, scratch=scratch or _own(spark, docs))
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once or twice."""
-    return mixed(docs, scratch=_scratch(spark, docs, sf_dir))
+    return mixed(docs, scratch=scratch or _own(spark, docs))
 
 
-def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """The ids of every document, and whether decoding them gives its text back."""
     model = pathlib.Path(MODEL_PATH).read_bytes()
-    rows = pieces.encoded(docs, model, carry=["doc_id", "lang", "source"], verify=True, scratch=_scratch(spark, docs, sf_dir))
+    rows = pieces.encoded(docs, model, carry=["doc_id", "lang", "source"], verify=True, scratch=scratch or _own(spark, docs))
     return rows.select("rec.doc_id", "rec.lang", "rec.source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
@@ -70,10 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES[:-1]):
-        before, docs = docs, scratch.save(stage(spark, docs, sf_dir))
-        if i:
-            scratch.drop(before)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over ``documents``; of its scratch tables only the result is left."""
+    kept, docs = Scratch(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        own = Scratch(spark)
+        docs = kept.result(stage(spark, docs, sf_dir, scratch=own))
+        own.clear()
+    return docs
