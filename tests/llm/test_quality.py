@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from evoked_spark.llm.quality import binomial_tail, judged, with_signals
+from evoked_spark.llm.quality import binomial_tail, judged, thresholds, with_signals
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -68,3 +68,38 @@ def test_edges(spark):
     labels = spark.createDataFrame([(None, 1), (1, None), (1, 0), (1, 1)], "doc_id long, quality int")
     assert judged(docs, labels).count() == 3
     assert judged(docs.where("false"), labels).count() == 0 and judged(docs, labels.where("false")).count() == 3
+
+
+def test_thresholds_against_brute_force_and_their_limit(spark):
+    rng, rules = random.Random(12), {"symbol_ratio": (0.2, 0.5), "digit_ratio": (0.3, 0.6), "word_length": (0.5,)}
+    rows = []
+    for s in range(60):  # 60 strata, as many draws of the labels
+        for _ in range(400):
+            good = rng.random() < 0.7
+            rows.append((f"s{s}", good, rng.random() < 0.5, rng.random() * (0.21 if good else 1), rng.random() * (0.33 if good else 0.7), rng.random() * (0.6 if good else 0.7)))
+    labelled = spark.createDataFrame(rows, "stratum string, good boolean, held_out boolean, symbol_ratio double, digit_ratio double, word_length double")
+    got = {(r.stratum, r.rule): r.cutoff for r in thresholds(labelled, rules, 0.15, 0.05, cost=4).collect()}
+    want, names, too_many = {}, list(rules), 0
+    share = {"symbol_ratio": lambda c: max(0, 1 - c / 0.21), "digit_ratio": lambda c: max(0, 1 - c / 0.33), "word_length": lambda c: max(0, 1 - c / 0.6)}
+    for s in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == s]
+        best = []
+        for i, rule in enumerate(names):
+            gains = [(sum((1 if not r[1] else -4) for r in own if not r[2] and r[3 + i] > c), c) for c in rules[rule]]
+            if max(gains)[0] > 0:
+                best.append((-max(gains)[0], rule, max(gains)[1]))
+        best.sort()
+        held, chosen = [r for r in own if r[1] and r[2]], {}
+        for m in range(1, len(best) + 1):
+            k = sum(any(r[3 + names.index(rule)] > c for _, rule, c in best[:m]) for r in held)
+            tail = sum(math.comb(len(held), i) * 0.15**i * 0.85 ** (len(held) - i) for i in range(k + 1))
+            if k >= len(held) * 0.15 or tail > 0.05 / 60:
+                break
+            chosen = {rule: c for _, rule, c in best[:m]}
+        want |= {(s, rule): c for rule, c in chosen.items()}
+        keeps = 1.0
+        for rule, c in chosen.items():
+            keeps *= 1 - share[rule](c)
+        too_many += 1 - keeps > 0.15
+    assert got == want and len(got) >= 60
+    assert too_many <= 3  # with probability 0.95 it is none
