@@ -1,15 +1,18 @@
 """Toxicity scores from a counterfactually regularised classifier.
 
 A logistic model over word counts is fitted on a bounded sample of labelled
-rows (about ``max_rows`` documents, chosen by a hash, and ``max_pairs`` of their
-sentences).  Its loss has a second term: in every sampled sentence that names a
-group, the name is swapped for another of its kind, and the squared change of
-the logit is penalised.  A group's name then carries little weight of its own,
-and neutral mentions aren't taken for abuse.
-
-The corpus is read twice: once for the labelled rows (joined to the bounded
-sample, which is broadcast) and once to score every text; neither pass shuffles
-a text.
+rows (about ``max_rows`` documents, chosen by a hash of their ids).  Its loss
+has a second term: in every sentence of the sample that names a group, the name
+is swapped for each other one of its kind, and the squared change of the logit
+is penalised.  A group's name then carries little weight of its own, and neutral
+mentions aren't taken for abuse.  A swap changes the counts of two words only,
+so sentences with the same two counts are added up before they leave a task.
+
+The words, and beginnings of words, are all whose document frequency differs between the labels beyond
+chance, all words of the sample tested together (Bonferroni).
+
+The corpus is read for the labelled rows (joined to the bounded sample, which
+is broadcast) and once to score every text; no pass shuffles a text.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -41,6 +45,7 @@ IDENTITY_TERMS = (
     ("frauen", "männer"), ("femmes", "hommes"), ("mujeres", "hombres"),
 )
 
+STEM = 5
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -49,6 +54,12 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def features(text: str | None) -> list[str]:
+    """The words of a text and, with a star, the first letters of those that are longer: a stem in other inflections still counts."""
+    words = tokens(text)
+    return words + [w[:STEM] + "*" for w in words if len(w) > STEM]
+
+
 @dataclass
 class ToxicityModel:
     """Weights of a bounded vocabulary; small enough to be sent to every task."""
@@ -57,63 +68,83 @@ class ToxicityModel:
     bias: float = -5.0
 
     def logit(self, text: str | None) -> float:
-        found = Counter(filter(self.weights.__contains__, tokens(text)))
+        found = Counter(filter(self.weights.__contains__, features(text)))
         return self.bias + sum(self.weights[w] * math.log2(1 + n) for w, n in found.items())
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-min(max(self.logit(text), -500), 500)))
 
 
-def _vectors(rows: pd.Series, place: dict[str, int]) -> np.ndarray:
-    """Dense log counts, for a block of texts as maps of word counts."""
-    out = np.zeros((len(rows), len(place)))
-    for i, counts in enumerate(rows):
-        for w, n in counts.items():
-            out[i, place[w]] = math.log2(1 + n)
-    return out
+class Rows:
+    """Sparse rows: which columns, what values, and where each row begins."""
+
+    def __init__(self, rows: list[np.ndarray], values: list[np.ndarray], width: int):
+        self.n, self.width = len(rows), width
+        self.row = np.repeat(np.arange(len(rows)), np.fromiter(map(len, rows), np.int64, len(rows)))
+        self.at, self.value = (np.concatenate(x) if len(x) else np.zeros(0, np.int64) for x in (rows, values))
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.at], self.n)
+
+    def back(self, u: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, self.value * u[self.row], self.width)
 
 
-def fit(documents: pd.DataFrame, pairs: pd.DataFrame, vocabulary: list[str], strength: float = 5.0, ridge: float = 0.02, rounds: int = 25) -> ToxicityModel:
-    """Newton's method on log loss + ridge * |w|^2 / 2 + strength * mean squared logit change * rows / 2.
+def objective(x: Rows, y: np.ndarray, swaps: Rows, times: np.ndarray, w: np.ndarray, strength: float, ridge: float) -> float:
+    """log loss + ridge * |weights|^2 / 2 + strength * mean squared logit change * rows / 2; the last weight is the bias."""
+    logit = x.dot(w[:-1]) + w[-1]
+    change = swaps.dot(w[:-1])
+    return float(np.logaddexp(0, logit).sum() - y @ logit + ridge * w[:-1] @ w[:-1] / 2 + strength * len(y) / max(times.sum(), 1e-12) * (times @ change**2) / 2)
 
-    ``documents(counts, label)`` and ``pairs(counts, swapped)`` hold maps of
-    word counts.  Without both labels there is nothing to learn: the model
-    then scores every text alike, by the share of label 1 (or near 0).
+
+def fit(x: Rows, y: np.ndarray, swaps: Rows, times: np.ndarray, strength: float = 5.0, ridge: float = 0.1, rounds: int = 30) -> np.ndarray:
+    """The weights, bias last, that minimise :func:`objective`: Newton's method, each step solved by conjugate gradients.
+
+    Without both labels there is nothing to learn: the bias is then that of the
+    share of label 1 (or near 0), and all weights are 0.
     """
-    place = {w: i for i, w in enumerate(vocabulary)}
-    y = documents["label"].to_numpy(float) if len(documents) else np.zeros(0)
     rate = (y.sum() + 0.5) / (len(y) + 100)
-    model = ToxicityModel({}, math.log(rate / (1 - rate)))
-    if not len(y) or y.min() == y.max() or not vocabulary:
-        return model
-    d, step = len(vocabulary), 4096
-    swap = np.zeros((d, d))
-    for at in range(0, len(pairs), step):
-        diff = _vectors(pairs["counts"][at : at + step], place) - _vectors(pairs["swapped"][at : at + step], place)
-        swap += diff.T @ diff
-    fixed = np.zeros((d + 1, d + 1))
-    fixed[:d, :d] = ridge * np.eye(d) + swap * (strength * len(y) / max(len(pairs), 1))
-    w = np.zeros(d + 1)
-    w[d] = model.bias
+    w = np.zeros(x.width + 1)
+    w[-1] = math.log(rate / (1 - rate))
+    if not len(y) or y.min() == y.max() or not x.width:
+        return w
+    pull = times * strength * len(y) / max(times.sum(), 1e-12)
     for _ in range(rounds):
-        gradient, hessian = fixed @ w, fixed + 1e-9 * np.eye(d + 1)
-        for at in range(0, len(y), step):
-            x = np.hstack([_vectors(documents["counts"][at : at + step], place), np.ones((len(y[at : at + step]), 1))])
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            gradient = gradient + x.T @ (p - y[at : at + step])
-            hessian = hessian + (x * (p * (1 - p))[:, None]).T @ x
-        move = np.linalg.solve(hessian, gradient)
-        w -= move * min(1, 5 / max(np.abs(move).max(), 1e-12))
-        if np.abs(move).max() < 1e-4:
+        p = 1 / (1 + np.exp(-np.clip(x.dot(w[:-1]) + w[-1], -30, 30)))
+        gradient = np.append(x.back(p - y) + ridge * w[:-1] + swaps.back(pull * swaps.dot(w[:-1])), (p - y).sum())
+        share = p * (1 - p)
+
+        def curve(v: np.ndarray) -> np.ndarray:
+            z = share * (x.dot(v[:-1]) + v[-1])
+            return np.append(x.back(z) + ridge * v[:-1] + swaps.back(pull * swaps.dot(v[:-1])), z.sum() + 1e-9 * v[-1])
+
+        move, rest = np.zeros_like(w), gradient.copy()
+        along, size = rest.copy(), rest @ rest
+        first = size
+        for _ in range(60):
+            if size <= 1e-8 * first or size == 0:
+                break
+            bent = curve(along)
+            step = size / (along @ bent)
+            move, rest = move + step * along, rest - step * bent
+            size, before = rest @ rest, size
+            along = rest + size / before * along
+        scale, now = min(1.0, 5 / max(np.abs(move).max(), 1e-12)), objective(x, y, swaps, times, w, strength, ridge)
+        while scale > 1e-4 and objective(x, y, swaps, times, w - scale * move, strength, ridge) > now:
+            scale /= 2
+        w = w - scale * move
+        if np.abs(scale * move).max() < 1e-4:
             break
-    return ToxicityModel(dict(zip(vocabulary, w[:d].tolist())), float(w[d]))
+    return w
 
 
-def train(labelled: DataFrame, max_words: int = 192, max_rows: int = 200_000, max_pairs: int = 50_000, least_z: float = 6.0, least_docs: int = 5, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, strength: float = 5.0) -> ToxicityModel:
-    """The model of ``labelled(text, label)``, at most ``max_rows`` rows.
+def train(labelled: DataFrame, max_words: int = 20_000, level: float = 0.01, least_docs: int = 5, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, strength: float = 5.0) -> ToxicityModel:
+    """The model of ``labelled(text, label)``, a sample that the caller has bounded: its word counts go to the driver.
 
-    The vocabulary is the ``max_words`` words whose document frequency differs
-    most between the labels (z of at least ``least_z``), and the group names.
+    The vocabulary is every word in at least ``least_docs`` documents whose
+    frequency differs between the labels at ``level`` after correction for the
+    number of words, and the group names; ``max_words`` bounds the model, the
+    most telling first.
     """
     kinds = {t: kind for kind in terms for t in kind}
 
@@ -121,39 +152,42 @@ def train(labelled: DataFrame, max_words: int = 192, max_rows: int = 200_000, ma
         for batch in batches:
             found = {0: Counter(), 1: Counter()}
             for text, label in zip(batch["text"], batch["label"]):
-                found[int(label)].update(set(tokens(text)))
+                found[int(label)].update(set(features(text)))
             yield pd.DataFrame([(w, n if y == 0 else 0, n if y else 0) for y in (0, 1) for w, n in found[y].items()], columns=["word", "n0", "n1"])
 
     totals = labelled.groupBy().agg(F.count_if(F.col("label") == 0).cast("double"), F.count_if(F.col("label") == 1).cast("double")).first()
     n0, n1 = max(totals[0], 1.0), max(totals[1], 1.0)
-    df = labelled.mapInPandas(frequencies, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    df = labelled.mapInPandas(frequencies, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= least_docs)
+    least_z = NormalDist().inv_cdf(1 - level / 2 / max(df.count(), 1))
     p = (F.col("n0") + F.col("n1")) / (n0 + n1)
     z = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-    best = df.where(F.col("n0") + F.col("n1") >= least_docs).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(max_words)
-    chosen = [r["word"] for r in best.select("word").collect()]  # at most max_words
-    known = set(chosen) | set(kinds)
-    counts = T.MapType(T.StringType(), T.IntegerType())
+    stems = [t[:STEM] + "*" for t in kinds if len(t) > STEM]  # a swap must change nothing but the names
+    best = df.where(~F.col("word").isin(stems)).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(max_words)
+    chosen = sorted({r["word"] for r in best.select("word").collect()} | set(kinds))  # at most max_words and the names
+    place = {w: i for i, w in enumerate(chosen)}
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"counts": [dict(Counter(filter(known.__contains__, tokens(t)))) for t in batch["text"]], "label": batch["label"]})
+            counts = [Counter(filter(place.__contains__, features(t))) for t in batch["text"]]
+            yield pd.DataFrame({"at": [np.array([place[w] for w in c], np.int32) for c in counts], "n": [np.array(list(c.values()), np.int32) for c in counts], "label": batch["label"]})
 
-    def swaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def swapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            found: Counter = Counter()
             for text in batch["text"]:
                 for sentence in _SENTENCE.split(text or ""):
-                    words = tokens(sentence)
-                    for term in sorted(kinds.keys() & set(words)):
-                        kind = kinds[term]
-                        other = kind[(kind.index(term) + 1 + len(words) % (len(kind) - 1)) % len(kind)]
-                        swapped = [other if w == term else w for w in words]
-                        out.append((dict(Counter(filter(known.__contains__, words))), dict(Counter(filter(known.__contains__, swapped)))))
-            yield pd.DataFrame(out, columns=["counts", "swapped"])
+                    own = Counter(w for w in tokens(sentence) if w in kinds)
+                    found.update((w, other, n, own[other]) for w, n in own.items() for other in kinds[w] if other != w)
+            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["word", "other", "n_word", "n_other", "times"])
 
-    documents = labelled.mapInPandas(vectors, T.StructType([T.StructField("counts", counts), T.StructField("label", T.IntegerType())])).toPandas()
-    pairs = labelled.mapInPandas(swaps, T.StructType([T.StructField("counts", counts), T.StructField("swapped", counts)])).limit(max_pairs).toPandas()
-    return fit(documents, pairs, sorted(known), strength)
+    documents = labelled.mapInPandas(vectors, "at array<int>, n array<int>, label int").toPandas()
+    pairs = labelled.mapInPandas(swapped, "word string, other string, n_word int, n_other int, times long").groupBy("word", "other", "n_word", "n_other").agg(F.sum("times").alias("times")).orderBy("word", "other", "n_word", "n_other").toPandas()
+    log = lambda n: np.log2(1 + np.asarray(n, float))
+    x = Rows([np.asarray(a, np.int64) for a in documents["at"]], [log(n) for n in documents["n"]], len(chosen))
+    gone, more = log(pairs["n_word"]), log(pairs["n_other"] + pairs["n_word"]) - log(pairs["n_other"])
+    swaps = Rows([np.array([place[w], place[o]]) for w, o in zip(pairs["word"], pairs["other"])], [np.array([a, -b]) for a, b in zip(gone, more)], len(chosen))
+    w = fit(x, documents["label"].to_numpy(float), swaps, pairs["times"].to_numpy(float), strength)
+    return ToxicityModel({word: v for word, v in zip(chosen, w[:-1].tolist()) if v}, float(w[-1]))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000) -> DataFrame:
@@ -168,8 +202,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 200_000)
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
 
 
-def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` of the whole text, 0 to 1; a null text scores like an empty one."""
+def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with ``score_col``, the score of the whole text, 0 to 1; a null text scores like an empty one.
+
+    A column that already has that name stays under another one: give ``score_col``.
+    """
+    if score_col in docs.columns:
+        raise ValueError(f"docs has a column {score_col} already")
     weights, bias = model.weights, model.bias
 
     @F.pandas_udf(T.DoubleType())
@@ -177,4 +216,4 @@ def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Dat
         own = ToxicityModel(weights, bias)
         return pd.Series([own.score(t) for t in text], dtype=float)
 
-    return docs.withColumn("score", score(F.col(f"`{text_col}`").cast("string")))
+    return docs.withColumn(score_col, score(F.col(f"`{text_col}`").cast("string")))

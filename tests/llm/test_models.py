@@ -34,7 +34,7 @@ def test_toxicity(spark):
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (3, None)], "doc_id long, toxic int").where(fold(3) != 1)
     sample = toxicity.labelled_sample(docs, labels)
     model = toxicity.train(sample)
-    out = {r.doc_id: r.score for r in toxicity.scored(docs.drop("score"), model).collect()}
+    out = {r.doc_id: r.toxicity for r in toxicity.scored(docs, model, score_col="toxicity").collect()}
     assert all((out[i] >= 0.7) == bool(y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 3 == 1)
     assert out[9001] == out[None] < 0.5 and out[9002] < 0.5
     plain = toxicity.train(sample, strength=0.0)
@@ -42,6 +42,28 @@ def test_toxicity(spark):
     moved = lambda m: abs(m.logit(neutral) - m.logit(neutral.replace("muslims", "jews")))
     assert moved(model) < 0.2 * moved(plain) and model.score(neutral) < plain.score(neutral)
     assert toxicity.train(sample.where("false")).score("idiot") < 0.5
+    assert toxicity.scored(docs.where("false").drop("score"), model).count() == 0
+    with pytest.raises(ValueError):
+        toxicity.scored(docs, model)
+
+
+def test_the_fit_is_the_minimum_of_its_objective():
+    rng = np.random.default_rng(3)
+    dense = rng.integers(0, 3, (300, 6)) * rng.integers(0, 2, (300, 6)).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(1 - dense @ np.array([2.0, -1, 0, 1, 0, 0])))).astype(float)
+    sparse = lambda m: toxicity.Rows([np.flatnonzero(r) for r in m], [r[r != 0] for r in m], 6)
+    swaps, times = np.array([[1.0, 0, -1, 0, 0, 0], [0, 0, 0, 2.0, 0, -1]]), np.array([3.0, 1.0])
+    w = toxicity.fit(sparse(dense), y, sparse(swaps), times, strength=5.0, ridge=0.5)
+
+    def loss(w):  # as the formula says
+        p = 1 / (1 + np.exp(-(dense @ w[:-1] + w[-1])))
+        change = (times @ (swaps @ w[:-1]) ** 2) / times.sum()
+        return -(y @ np.log(p) + (1 - y) @ np.log(1 - p)) + 0.5 * w[:-1] @ w[:-1] / 2 + 5.0 * 300 * change / 2
+
+    assert toxicity.objective(sparse(dense), y, sparse(swaps), times, w, 5.0, 0.5) == pytest.approx(loss(w))
+    for k in range(7):
+        for step in (1e-3, -1e-3):
+            assert loss(w + step * np.eye(7)[k]) > loss(w)
 
 
 def test_likelihood_and_counts_match_all_paths():
