@@ -257,22 +257,25 @@ def novel(x: np.ndarray, spans: list[tuple[int, int]], t: int = T) -> list[tuple
     return ranges(kept, kept + t - 1, 0, len(x))
 
 
-def shared_passages(parts: list[tuple[int, np.ndarray]], y: np.ndarray, y_spans: list[tuple[int, int]], t: int = T, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int]]:
+def sorted_spots(y: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of the spans, the order of the values there, and the values in that order."""
+    at = np.concatenate([np.zeros(0, np.int64), *[np.arange(lo, hi + 1) for lo, hi in spans]])
+    order = np.argsort(y[at], kind="stable")
+    return at, order, y[at][order]
+
+
+def shared_passages(parts: list[tuple[int, np.ndarray]], y: np.ndarray, y_spans: list[tuple[int, int]] | None, t: int = T, similarity: float = SIMILARITY, spots: tuple[np.ndarray, ...] | None = None) -> list[tuple[int, int, int, int]]:
     """Passages (start, stop, start in y, stop in y), in shingles, of at least t shingles and that Jaccard similarity.
 
     ``parts`` holds (offset, shingle hashes) of ranges of one text, y the hashes
-    of another, of which only the given ranges are compared.  Where hits of a
+    of another, of which only the given disjoint, ordered ranges are compared.
+    ``spots`` gives what :func:`sorted_spots` makes of these, where it is known.  Where hits of a
     part stand once in y, all near one diagonal, the whole run is tested.
     Otherwise every occurrence in y counts, and the pairs are split by diagonals:
     in bands from wide, for passages with words put in or left out, to single
     diagonals, where each window with enough hits holds.
     """
-    inside = np.zeros(len(y), bool)
-    for lo, hi in y_spans:
-        inside[lo : hi + 1] = True
-    at_y = np.flatnonzero(inside)
-    order = np.argsort(y[at_y], kind="stable")
-    sorted_y = y[at_y][order]
+    at_y, order, sorted_y = spots or sorted_spots(y, y_spans)
     need = int(np.ceil(2 * similarity / (1 + similarity) * t))
     found = []
     for lo, part in parts:
@@ -339,20 +342,24 @@ def stretches(x: np.ndarray, width: int) -> np.ndarray:
     return _mix((sums[width:] - sums[:-width]) * back[: len(x) - width + 1] + np.uint64(width))
 
 
-def _runs(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """A hash of the ``width`` words from each start."""
-    power, back = _powers(len(words))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(words * power)])
-    return _mix((sums[starts + width] - sums[starts]) * back[starts] + np.uint64(width))
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     power, back = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
     power[:1] = back[:1] = 1
     return np.multiply.accumulate(power), np.multiply.accumulate(back)
 
 
-def interval_keys(words: np.ndarray, starts: np.ndarray, kinds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Sums:
+    """Running sums of word hashes, which give the hash of any stretch of words."""
+
+    def __init__(self, words: np.ndarray):
+        power, self.back = _powers(len(words))
+        self.n, self.sums = len(words), np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(words * power)])
+
+    def stretch(self, starts: np.ndarray, width: int) -> np.ndarray:
+        return (self.sums[starts + width] - self.sums[starts]) * self.back[starts]
+
+
+def interval_keys(words: Sums, starts: np.ndarray, kinds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, start, kind) of passages of REST words from each start but for an interval, in which what is apart may be.
 
     The words behind the run are halved ``depth`` times; kind k is the k-th part
@@ -364,29 +371,29 @@ def interval_keys(words: np.ndarray, starts: np.ndarray, kinds: np.ndarray, dept
         low = HALF + kind * width
         high, own = low + width, starts[kinds == kind >> 1]
         for off in range(3 if high < REST else 1):
-            i = own[own + (REST + off if high < REST else low) <= len(words)]
-            behind = _runs(words, i + high + off, REST - high) if high < REST else np.zeros(len(i), np.uint64)
-            out.append((_mix(_runs(words, i, low) * _ODD[6] + behind * _ODD[7] + np.uint64(kind)), i, np.full(len(i), kind)))
-    return tuple(np.concatenate(x) for x in zip(*out))
+            i = own[own + (REST + off if high < REST else low) <= words.n]
+            behind = words.stretch(i + high + off, REST - high) * _ODD[7] if high < REST else np.uint64(0)
+            out.append((words.stretch(i, low) * _ODD[6] + behind + np.uint64(kind), i, np.full(len(i), kind)))
+    keys, at, kind = (np.concatenate(x) for x in zip(*out))
+    return _mix(keys), at, kind
 
 
-def passage_keys(words: np.ndarray, starts: np.ndarray, kinds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def passage_keys(words: Sums, starts: np.ndarray, kinds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(key, start) of similar passages from each start: equal keys are 45 equal words, or REST with one or two words left out of either."""
-    power, back = _powers(len(words))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(words * power)])
     out = []
     for size in (NEED + SHINGLE - 1, REST):
-        i = np.unique(starts[starts + size <= len(words)])
-        out.append((_runs(words, i, size), i))
+        i = np.unique(starts[starts + size <= words.n])
+        out.append((words.stretch(i, size) + np.uint64(size), i))
     width = (REST - HALF) >> depth
     for gone in (1, 2):
-        for kind in range(1 << depth):
-            i = starts[(kinds == kind) & (starts + REST + gone <= len(words))]
-            for j in range(HALF + kind * width, HALF + (kind + 1) * width + 1):  # words j .. j + gone - 1 of the passage are left out
-                first = (sums[i + j] - sums[i]) * back[i]
-                rest = (sums[i + REST + gone] - sums[i + j + gone]) * back[i + gone]
-                out.append((_mix(first + rest + np.uint64(REST)), i))
-    return tuple(np.concatenate(x) for x in zip(*out))
+        fits = starts + REST + gone <= words.n
+        i, first = starts[fits][:, None], HALF + kinds[fits] * width
+        j = i + first[:, None] + np.arange(width + 1)  # words j .. j + gone - 1 are left out
+        before = (words.sums[j] - words.sums[i]) * words.back[i]
+        rest = (words.sums[i + REST + gone] - words.sums[j + gone]) * words.back[i + gone]
+        out.append(((before + rest + np.uint64(REST)).ravel(), np.repeat(starts[fits], width + 1)))
+    keys, at = (np.concatenate(x) for x in zip(*out))
+    return _mix(keys), at
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -434,15 +441,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield batch[["row", "id", "other_row", "other_spans"]].assign(los=los, sizes=sizes, hashes=hashes)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, text, y = None, None, None  # rows come ordered by the other document
+        known, text, y, spans, spots = None, None, None, None, None  # rows come ordered by the other document
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
                 if known != r.other_row or text != r.body:
-                    known, text, y = r.other_row, r.body, shingles(clean(r.body))[0]
+                    known, text, y, spans = r.other_row, r.body, shingles(clean(r.body))[0], None
                 parts = list(zip(r.los.tolist(), np.split(r.hashes.view(np.uint64), np.cumsum(r.sizes)[:-1])))
-                there = novel(y, ranges(*unpacked(r.other_spans), T - RUN, len(y)))
-                out += [(r.row, r.id, r.other_row, r.other_id, i, j + SHINGLE, a, b + SHINGLE) for i, j, a, b in shared_passages(parts, y, there)]
+                there = ranges(*unpacked(r.other_spans), T - RUN, len(y))
+                if there != spans:  # copies share the same parts with it
+                    spans, spots = there, sorted_spots(y, novel(y, there))
+                out += [(r.row, r.id, r.other_row, r.other_id, i, j + SHINGLE, a, b + SHINGLE) for i, j, a, b in shared_passages(parts, y, None, spots=spots)]
             yield pd.DataFrame(out, columns=["row", "id", "other_row", "other_id", "start", "stop", "other_start", "other_stop"])
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -496,9 +505,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 out = []
                 for r in batch.itertuples(index=False):
                     words, n = r.words.view(np.uint64), len(r.words)
+                    both = [Sums(words), Sums(words[::-1])] if depth else [Sums(words)]
                     starts, way, kinds = r.alive >> 3, (r.alive >> 2) & 1, r.alive & 3
                     for backwards in (0, 1) if depth else (0,):
-                        here, own = way == backwards, words[::-1] if backwards else words
+                        here, own = way == backwards, both[backwards]
                         if depth <= DEPTH:
                             keys, at, kind = interval_keys(own, starts[here], kinds[here], depth)
                             marks = (at << 3) | (backwards << 2) | kind
@@ -515,6 +525,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     met = around
     for depth in range(DEPTH + 2):
+        met = met.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")  # few bytes, much work
         sent = scratch.save(met.mapInPandas(steps(depth), "key long, root long, part long, mark long"))
         several = sent.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
         met = sent.join(several.hint("merge"), "key", "left_semi")

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from evoked_spark.llm.passages import DEPTH, PASSAGE_WORDS, RUN, T, compact_windows, interval_keys, joint_windows, passage_classes, passage_keys, repeated_passages, shared_passages, shingles, word_hashes
+from evoked_spark.llm.passages import DEPTH, PASSAGE_WORDS, RUN, Sums, T, compact_windows, interval_keys, joint_windows, passage_classes, passage_keys, repeated_passages, shared_passages, shingles, word_hashes
 
 
 def test_compact_windows_cover_every_range_once():
@@ -88,8 +88,8 @@ def test_similar_passages_send_an_equal_key_in_every_step():
         for way in (1, -1):
             ends = []
             for w in pair:
-                w = w[::way]
-                steps, at, kinds = [], np.arange(len(w) - 24), np.zeros(len(w) - 24, int)
+                n, w = len(w), Sums(w[::way])
+                steps, at, kinds = [], np.arange(n - 24), np.zeros(n - 24, int)
                 for depth in range(DEPTH + 1):
                     keys, at, kinds = interval_keys(w, at, kinds, depth)
                     steps.append(set(keys.tolist()))
