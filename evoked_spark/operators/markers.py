@@ -77,6 +77,11 @@ def alignment(markers: DataFrame, codes: DataFrame, gap_s: float | None = None,
     return densest(filtered.join(aligned, "recording"), F.col("n_codes")).drop("n_codes"), status
 
 
+def without_spans(markers: DataFrame) -> DataFrame:
+    """Markers that stand for events: those whose description doesn't begin with BAD or EDGE, in any case (a null one doesn't)."""
+    return markers.where(~F.coalesce(F.col("desc").rlike("(?i)^(bad|edge)"), F.lit(False)))
+
+
 def events(kept: DataFrame, codes: DataFrame) -> DataFrame:
     """``(recording, seq, pos, code)``: the i-th kept marker gets the i-th code, by row_id (and code, where it repeats)."""
     a = kept.withColumn("seq", F.row_number().over(in_order())).select("recording", "seq", "pos")

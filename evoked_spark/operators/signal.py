@@ -18,16 +18,16 @@ DOUBLES = T.ArrayType(T.DoubleType())
 def average_reference(blocks: DataFrame) -> DataFrame:
     """Subtracts, at every sample, the mean over EEG channels; other channels stay as they are.
 
-    Channels of one block meet in a partial sum per sample, so no block of all
-    channels is ever collected.
+    The channels of one block meet in one row, which is bounded by the block
+    size and the montage; samples stay in arrays.
     """
-    eeg = blocks.where("kind = 'eeg'")
-    long = eeg.select("recording", "block", F.posexplode("values").alias("i", "v"))
-    point = long.groupBy("recording", "block", "i").agg(F.avg("v").alias("m"))
-    means = point.groupBy("recording", "block").agg(F.sort_array(F.collect_list(F.struct("i", "m")))["m"].alias("m"))
-    out = blocks.join(means, ["recording", "block"], "left")
-    values = F.when((F.col("kind") == "eeg") & F.col("m").isNotNull(), F.zip_with("values", "m", lambda v, m: v - m)).otherwise(F.col("values"))
-    return out.withColumn("values", values).drop("m")
+    eeg = F.filter("rows", lambda r: r["kind"] == "eeg")
+    rows = blocks.groupBy("recording", "block").agg(F.sort_array(F.collect_list(F.struct("channel", *[c for c in blocks.columns if c not in ("recording", "block", "channel")]))).alias("rows"))
+    total = F.aggregate(F.slice("eeg", 2, F.greatest(F.size("eeg") - 1, F.lit(0))), F.get("eeg", F.lit(0))["values"], lambda s, r: F.zip_with(s, r["values"], lambda a, b: a + b))
+    means = rows.withColumn("eeg", eeg).withColumn("total", total).withColumn("mean", F.transform("total", lambda v: v / F.size("eeg")))
+    out = means.select("recording", "block", "mean", F.explode("rows").alias("r")).select("recording", "block", "mean", "r.*")
+    values = F.when(F.col("kind") == "eeg", F.zip_with("values", "mean", lambda v, m: v - m)).otherwise(F.col("values"))
+    return out.withColumn("values", values).select(blocks.columns)
 
 
 def reference_frames(frames: DataFrame, eeg: Sequence[str]) -> DataFrame:

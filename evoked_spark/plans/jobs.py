@@ -60,6 +60,9 @@ class Preprocessing:
     gap_s: float | None = None
     limits: Rejection = Rejection()
     ica: Ica = Ica()
+    proxies: Sequence[str] = ("Fp1", "Fp2")
+    on_missing_codes: str = "skip"
+    on_missing_markers: str = "warn"
 
 
 def preprocess(blocks: DataFrame, m: DataFrame, codes: DataFrame, sfreq: float, p: Preprocessing) -> dict[str, DataFrame]:
@@ -74,27 +77,37 @@ def preprocess(blocks: DataFrame, m: DataFrame, codes: DataFrame, sfreq: float,
             clean = signal.fir(clean, signal.notch_taps(f, sfreq), p.block_size)
     clean = signal.fir(clean, signal.band_pass_taps(p.low, p.high, sfreq), p.block_size)
     eog = artifacts.eog_correlation(clean)
-    proxy = clean.where((F.col("kind") == "eog") | F.col("channel").isin("Fp1", "Fp2"))
-    rate = artifacts.blink_rate(artifacts.continuous_ptp(proxy, p.limits, p.block_size), clean)
+    # EOG channels where there are any, else the proxies; no rate without either
+    chosen = artifacts.blink_channels(clean, p.proxies).where(F.size("channels") > 0)
+    eyes = clean.join(chosen.select("recording", "channels"), "recording").where(F.array_contains("channels", F.col("channel"))).drop("channels")
+    rate = artifacts.blink_rate(artifacts.continuous_ptp(eyes, p.limits, p.block_size), clean).join(chosen.select("recording", "source"), "recording")
+    own = F.when(F.col("source") == "eog", F.col("blinks_per_min"))
+    other = F.when(F.col("source") != "eog", F.col("blinks_per_min"))
     if p.ica.mode != "off":
-        wanted = rate.where(ica.gate(p.ica.mode, F.col("blinks_per_min"), F.lit(None).cast("double"), p.ica.gate_per_min)).select("recording")
+        recorded = clean.select("recording").distinct().join(rate, "recording", "left")
+        wanted = recorded.where(ica.gate(p.ica.mode, own, other, p.ica.gate_per_min)).select("recording")
         slow = signal.fir(clean.join(wanted, "recording", "left_semi"), signal.band_pass_taps(p.ica.high_pass, None, sfreq), p.block_size)
         model = ica.fit(slow, p.ica)
         with_eog = clean.where("kind = 'eog'").select("recording").distinct()
         by_eog = ica.eog_outliers(ica.eog_scores(clean.join(with_eog, "recording", "left_semi"), model, p.block_size, sfreq), most=p.ica.most)
-        scores = ica.proxy_scores(ica.sources(clean.where("kind = 'eeg'"), model), proxy.where("kind = 'eeg'"))
-        best = scores.groupBy("recording", "component").agg(F.max_by("r", F.abs("r")).alias("r")).join(with_eog, "recording", "left_anti")
-        exclude = by_eog.unionByName(ica.rank(best, p.ica).select("recording", "exclude"))
+        place = F.array_position(F.array(*[F.lit(c) for c in p.proxies]), F.col("channel"))
+        proxy = clean.where(F.col("kind") == "eeg").where(F.col("channel").isin(*p.proxies)).join(with_eog, "recording", "left_anti")
+        first = proxy.groupBy("recording").agg(F.min_by("channel", place).alias("channel"))  # the first proxy there is, alone
+        scores = ica.proxy_scores(ica.sources(clean.where("kind = 'eeg'"), model), proxy.join(first, ["recording", "channel"]))
+        exclude = by_eog.unionByName(ica.rank(scores, p.ica).select("recording", "exclude"))
         clean = ica.remove(clean, model, exclude)
+    files = markers.missing_files(blocks, codes, m, p.on_missing_codes, p.on_missing_markers)
     codes = labels.only_codes(codes, p.contrast.keep)
-    kept, status = markers.alignment(m, codes, p.gap_s)
+    kept, status = markers.alignment(markers.without_spans(m), codes, p.gap_s)
     events = labels.conditions(labels.with_trial_labels(markers.events(kept, codes)), p.contrast)
     cut = epochs.cut(clean, events.select("recording", "seq", "pos", "code", "condition"), p.tmin, p.tmax, p.block_size)
     cut = epochs.drop_bad_spans(cut, m)
     cut = epochs.baseline(cut, *p.baseline) if p.baseline else cut
     good = epochs.reject(epochs.reject(cut, artifacts.blinks(cut, p.limits)), artifacts.voltage(cut, p.limits))
-    summary = qc_summary(cut, p.limits, rate, eog)
-    skipped = status.where("status <> 'OK'").select(F.col("recording").alias("subject"), "markers_original", "markers_dropped_by_gap", "markers_dropped_by_auto", "status")
+    summary = qc_summary(cut, p.limits, rate.drop("source"), eog)
+    found = files.select("recording", F.col("status").alias("files")).join(status, "recording", "full")
+    failed = F.when(F.col("files") != "OK", F.col("files")).otherwise(F.coalesce("status", F.lit("SKIP_ALIGNMENT_FAILED")))  # neither markers nor codes: nothing to align
+    skipped = found.withColumn("status", failed).where("status <> 'OK'").select(F.col("recording").alias("subject"), "markers_original", "markers_dropped_by_gap", "markers_dropped_by_auto", "status")
     ok = summary.where("status = 'OK'").select(F.col("subject").alias("recording"))
     waves = averages.evoked(good.join(ok, "recording", "left_semi"))
     return {"signal": clean, "epochs": good, "evoked": waves, "grand_average": averages.grand_average(waves), "qc": qc.stacked(summary, skipped)}

@@ -100,9 +100,10 @@ def parse_markers(lines: DataFrame) -> DataFrame:
     return rows.select("recording", "mk", F.trim(F.get("p", F.lit(0))).alias("mtype"), F.trim(F.get("p", F.lit(1))).alias("desc"), whole(2).alias("pos"), whole(3).alias("size"), whole(4).cast("int").alias("chan"))
 
 
-def read_markers(spark: SparkSession, folder: str, pattern: str = "*.vmrk") -> DataFrame:
+def read_markers(spark: SparkSession, folder: str, pattern: str = "*.vmrk", first_sample: int = 1) -> DataFrame:
+    """The markers of all files of a folder; files count samples from ``first_sample``, here the first one is 0."""
     lines = spark.read.option("pathGlobFilter", pattern).text(folder).select(stem(F.col("_metadata.file_path")).alias("recording"), "value")
-    return parse_markers(lines)
+    return parse_markers(lines).withColumn("pos", F.col("pos") - first_sample)
 
 
 def read_codes(spark: SparkSession, folder: str, pattern: str = "*.csv", column: str = "EventCode") -> DataFrame:

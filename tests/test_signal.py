@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evoked_spark.operators import artifacts, averages, epochs, ica, signal, tfr
+from evoked_spark.operators import artifacts, averages, epochs, ica, markers, signal, tfr
 from evoked_spark.params import Ica, Rejection, Tfr, Window
 from evoked_spark.plans import jobs
 from evoked_spark.sources import recordings, sinks
@@ -246,3 +246,27 @@ def test_workload_from_files(spark, tmp_path):
     metric = jobs.metrics(again.withColumn("recording", F.col("recording").cast("string")), grid=Tfr(5, 10, 5), channels=("Fz", "Cz"))
     assert metric["erp_metrics"].where("status = 'OK'").count() > 0
     sinks.save_timeseries(metric["erp_timeseries"], str(tmp_path / "ts"))
+
+
+def test_job_ignores_spans_counts_from_zero_and_prefers_eog(spark, tmp_path):
+    """A BAD span in the file aligns with no code; VEOG is flat while Fp1 blinks; an epoch starts where its marker says."""
+    t = np.arange(3000)
+    for name in ("s1", "s2"):
+        x = np.stack([(t % 500 < 20) * 2e-4, np.sin(t / 9) * 1e-5, t * 0.5e-6])
+        write_recording(tmp_path, name, x, "IEEE_FLOAT_32", False)
+        lines = [f"Stimulus,S  1,{301 + 100 * i},1,0" for i in range(20)] + ["Bad Interval,BAD_move,1351,20,0"]
+        (tmp_path / f"{name}.vmrk").write_text("[Marker Infos]\n" + "".join(f"Mk{i + 1}={line}\n" for i, line in enumerate(lines)))
+    (tmp_path / "subject-1.csv").write_text("EventCode\r\n" + "".join(f"{110 if i % 2 else 111}\r\n" for i in range(20)))
+    number = recordings.recording_number(F.col("recording"))
+    frames = recordings.read_frames(spark, str(tmp_path), 500)
+    b = signal.blocks_of(frames, 500, eog=["VEOG"]).withColumn("recording", number).replace("Fz", "Fp1", "channel")
+    m = recordings.read_markers(spark, str(tmp_path)).withColumn("recording", number).withColumn("sfreq", F.lit(100.0))
+    codes = recordings.read_codes(spark, str(tmp_path))
+    p = jobs.Preprocessing(jobs.Contrast((110,), (111,)), 500, notch=(), low=None, high=None, baseline=None, ica=Ica(mode="off"))
+    out = jobs.preprocess(b, m, codes, 100.0, p)
+    status = {r.subject: r for r in out["qc"].collect()}
+    assert status["1"].status == "OK" and status["2"].status == "SKIP_MISSING_SUBJECT_CSV"
+    assert status["1"].blink_source == "eog" and status["1"].blinks_per_min == 0
+    cut = epochs.cut(b, markers.events(markers.without_spans(m).where("recording = '1'"), codes).withColumn("condition", F.lit("x")), -0.2, 0.6, 500)
+    first = [r.values[0] / 0.5e-6 for r in cut.where("channel = 'VEOG'").collect()]
+    assert sorted(map(round, first))[:3] == [280, 380, 480]
