@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import Scratch
 
 #: Frequent words whose counts are sent to the tasks (each at most LONGEST characters), and those of them with a class of their own.
-HEAD_WORDS, CLASS_WORDS, SUFFIX_CLASSES, LONGEST = 131_072, 4096, 512, 32
+HEAD_WORDS, CLASS_WORDS, SUFFIX_CLASSES, LONGEST = 65_536, 4096, 512, 32
 STATES, SEGMENT, BLOCK_TOKENS = 8, 512, 200_000
 #: Baum-Welch ends when a round gains less than this for a token, or after so many rounds.
 LEAST_GAIN, ROUNDS = 0.01, 17
@@ -51,7 +51,7 @@ def _suffix_class(word: bytes) -> int:
     return CLASS_WORDS + zlib.crc32(word.decode()[-3:].encode()) % SUFFIX_CLASSES
 
 
-def word_counts(texts: DataFrame, flush: int = 400_000) -> DataFrame:
+def word_counts(texts: DataFrame, flush: int = 150_000) -> DataFrame:
     """``(word, c)`` over ``texts(body binary)``, counted per batch before the shuffle; the end token is one word."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,16 +237,16 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     size[rest["class"].to_numpy(int)] = rest["n"].to_numpy()
     log_mass = np.log10(mass)
     share = (size + 0.1) / (size + 0.1).sum()
-    known = spark.sparkContext.broadcast({w.encode(): (k, c) for w, k, c in zip(head["word"], head["class"].tolist(), head["c"].tolist())})
+    class_of = np.array([k if k >= 0 else _suffix_class(w.encode()) for w, k in zip(head["word"], head["class"])] + [0], np.int32)
+    log_of = np.log10(np.append(head["c"].to_numpy(float), 0.9) + 0.1)  # the last one is for words outside: 0
+    known = spark.sparkContext.broadcast(({w.encode(): i for i, w in enumerate(head["word"])}, class_of, log_of))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = known.value
-        place = {w: i for i, w in enumerate(table)}.get
-        class_of = np.array([k if k >= 0 else _suffix_class(w) for w, (k, _) in table.items()] + [0], np.int32)
-        log_of = np.log10(np.array([c for _, c in table.values()] + [0.9]) + 0.1)  # the last one is for words outside: 0
+        table, class_of, log_of = known.value
+        place = table.get
         end, end_known = (place(b""), 1) if b"" in table else (-1, 0)
         end_class, end_log = (class_of[end], log_of[end]) if end_known else (_suffix_class(b""), -1.0)
-        for batch in batches:
+        for batch in (whole[at : at + 1000] for whole in batches for at in range(0, len(whole), 1000)):  # what is made of few rows fits in memory
             out = []
             for body in batch["body"]:
                 words = tokens(body)
