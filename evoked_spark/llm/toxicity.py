@@ -133,7 +133,7 @@ def fit(x: Rows, y: np.ndarray, swaps: Rows, times: np.ndarray, strength: float
         while scale > 1e-4 and objective(x, y, swaps, times, w - scale * move, strength, ridge) > now:
             scale /= 2
         w = w - scale * move
-        if np.abs(scale * move).max() < 1e-4:
+        if np.abs(scale * move).max() < 1e-4 or now - objective(x, y, swaps, times, w, strength, ridge) < 1e-8 * now:
             break
     return w
 
