@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import codes as C
@@ -69,7 +70,9 @@ R = "round({}, 6) + 0.0".format
 @query("SELECT event_id, CAST(user_id AS VARCHAR) AS recording FROM events")
 def prj1_recording_number(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id")
-    return e.select("event_id", C.recording_number(F.concat(F.lit(" S"), F.col("user_id").cast("string"))).alias("recording"))
+    u, shape = F.col("user_id").cast("string"), F.col("event_id") % 3
+    name = F.when(shape == 0, F.concat(F.lit(" S"), u)).when(shape == 1, F.concat(u, F.lit("_run "))).otherwise(F.concat(F.substring(u, 1, 1), F.lit("-x"), F.expr("substring(cast(user_id as string), 2)")))
+    return e.select("event_id", C.recording_number(name).alias("recording"))
 
 
 @query(f"WITH {MK} SELECT recording, mk FROM mk WHERE recording IN ('7', '11', '42')")
@@ -117,8 +120,8 @@ def prj11_to_13_crop_decimate(spark, d):
 
 
 @query(f"""WITH {CD}, c AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS recording FROM customer)
-SELECT recording, CASE WHEN recording NOT IN (SELECT recording FROM cd) THEN 'SKIP_MISSING_SUBJECT_CSV'
-  WHEN recording NOT IN (SELECT CAST(user_id AS VARCHAR) FROM events) THEN 'SKIP_MISSING_VMRK' ELSE 'OK' END AS status FROM c""")
+SELECT recording, CASE WHEN recording NOT IN (SELECT CAST(user_id AS VARCHAR) FROM events) THEN 'SKIP_MISSING_VMRK'
+  WHEN recording NOT IN (SELECT recording FROM cd) THEN 'SKIP_MISSING_SUBJECT_CSV' ELSE 'OK' END AS status FROM c""")
 def join1_missing_files(spark, d):
     recordings = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("recording"))
     return markers.missing_files(recordings, T.codes(spark, d), T.markers(spark, d), "skip", "skip")
@@ -309,6 +312,23 @@ def agg14_total_power_and_coherence(spark, d):
     return t.select("recording", "condition", "channel", "frequency", "rel", fixed(F.col("power") * 1e12).alias("power"), fixed("itc").alias("itc"), "n_epochs")
 
 
+def _tapers_sql() -> str:
+    rows = []
+    for f in GRID.freqs:
+        for t, w in enumerate(tfr.tapers(f, f / GRID.cycles_divisor, T.SFREQ)):
+            rows += [f"({f}::DOUBLE, {t}, {k - (len(w) - 1) // 2}, {z.real:.17g}::DOUBLE, {z.imag:.17g}::DOUBLE)" for k, z in enumerate(w)]
+    return f"wl(f, t, k, re, im) AS (VALUES {', '.join(rows)})"
+
+
+@query(f"""WITH {EP}, {_tapers_sql()},
+z AS (SELECT recording, condition, channel, epoch_id, f, t, rel + k AS rel, sum(v * re) AS re, sum(v * im) AS im FROM sm, wl WHERE rel + k BETWEEN -16 AND 47 GROUP BY ALL),
+tt AS (SELECT recording, condition, channel, f AS frequency, t, rel, avg(re * re + im * im) AS power, sqrt(avg(re / sqrt(re * re + im * im)) ** 2 + avg(im / sqrt(re * re + im * im)) ** 2) AS itc, count(*) AS n_epochs FROM z GROUP BY ALL)
+SELECT recording, condition, channel, frequency, CAST(rel AS INT) AS rel, {R('avg(power) * 1e12')} AS power, {R('avg(itc)')} AS itc, max(n_epochs) AS n_epochs FROM tt WHERE (rel + 16) % 2 = 0 GROUP BY ALL""")
+def agg14_multitaper(spark, d):
+    t = tfr.sums(T.epochs(spark, d), Tfr(fmin=GRID.fmin, fmax=GRID.fmax, fstep=GRID.fstep, decim=2), "multitaper")
+    return t.select("recording", "condition", "channel", "frequency", "rel", fixed(F.col("power") * 1e12).alias("power"), fixed("itc").alias("itc"), "n_epochs")
+
+
 EPW = """ze AS (SELECT recording, condition, channel, f AS frequency, rel + k AS rel, sum(value * re) AS re, sum(value * im) AS im FROM ev, wl WHERE rel + k BETWEEN -16 AND 47 GROUP BY ALL)"""
 
 
@@ -328,7 +348,8 @@ def win1_gap_filter(spark, d):
 
 @query(f"WITH {MK} SELECT recording, mk FROM (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY greatest(coalesce(previous, 'inf'::DOUBLE), coalesce(next, 'inf'::DOUBLE)), pos, mk) AS rank FROM gp) WHERE rank <= 40")
 def win2_trim_to_count(spark, d):
-    return markers.densest(T.markers(spark, d), F.lit(40)).select("recording", "mk")
+    m = T.markers(spark, d).withColumn("have", F.count("*").over(W.partitionBy("recording")))
+    return markers.densest(m, F.least(F.lit(40), F.col("have"))).select("recording", "mk")
 
 
 @query(f"WITH {ALIGNED} SELECT recording, markers_original, CAST(0 AS BIGINT) AS markers_dropped_by_gap, CASE WHEN ok THEN markers_original - n_codes ELSE 0 END AS markers_dropped_by_auto, n_codes, CASE WHEN ok THEN 'OK' ELSE 'SKIP_ALIGNMENT_FAILED' END AS status FROM st")
@@ -336,6 +357,13 @@ def win3_alignment(spark, d):
     return _aligned(spark, d)[2]
 
 
+@query(f"""WITH {ALIGNED}, f AS (SELECT recording, count(*) FILTER (previous <= {HOURS12} AND next <= {HOURS12}) AS f FROM gp GROUP BY 1),
+x AS (SELECT recording, coalesce(m, 0) AS m, coalesce(f, 0) AS f, coalesce(n, 0) AS n, coalesce(f, 0) >= coalesce(n, 0) AND coalesce(n, 0) > 0 AND coalesce(m = u, true) AS ok FROM nm LEFT JOIN f USING (recording) FULL JOIN nc USING (recording))
+SELECT recording, m AS markers_original, m - f AS markers_dropped_by_gap, CASE WHEN ok THEN f - n ELSE 0 END AS markers_dropped_by_auto, n AS n_codes, CASE WHEN ok THEN 'OK' ELSE 'SKIP_ALIGNMENT_FAILED' END AS status FROM x""")
+def win3_alignment_after_gaps(spark, d):
+    return markers.alignment(T.markers(spark, d), labels.only_codes(T.codes(spark, d), KEEP), HOURS12)[1]
+
+
 @query(f"WITH {EP}, {BAD} SELECT DISTINCT recording, epoch_id FROM sm JOIN b USING (epoch_id)")
 def win4_moving_ptp(spark, d):
     return artifacts.blinks(T.epochs(spark, d), LIMITS)
@@ -363,14 +391,21 @@ RANKED = f"""{BL}, r AS (SELECT b.recording, CASE b.channel WHEN 'Fz' THEN 0 WHE
 rk AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY abs(r) DESC, component) AS rank FROM r)"""
 
 
+def _channel_scores(spark, d):
+    b = T.blocks(spark, d)
+    order = F.when(F.col("b") == "Fz", 0).when(F.col("b") == "F3", 1).when(F.col("b") == "Cz", 2).otherwise(3)
+    return artifacts.pair_correlations(b.where("kind = 'eog'"), b.where("kind = 'eeg'")).select("recording", order.alias("component"), "r")
+
+
+def text(c: Column | str) -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
 @query(f"""WITH {RANKED} SELECT recording, coalesce(string_agg(CAST(component AS VARCHAR), ',' ORDER BY rank) FILTER (rank <= 3 AND abs(r) >= 0.01), '') AS exclude,
 string_agg(CAST(component AS VARCHAR), ',' ORDER BY rank) AS ranked FROM rk GROUP BY 1""")
 def win7_rank_components(spark, d):
-    b = T.blocks(spark, d)
-    order = F.when(F.col("b") == "Fz", 0).when(F.col("b") == "F3", 1).when(F.col("b") == "Cz", 2).otherwise(3)
-    r = artifacts.pair_correlations(b.where("kind = 'eog'"), b.where("kind = 'eeg'")).select("recording", order.alias("component"), "r")
+    r = _channel_scores(spark, d)
     few, many = ica.rank(r, Ica(threshold=0.01)), ica.rank(r, Ica(threshold=0.0, most=10))
-    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return few.select("recording", text("exclude").alias("exclude")).join(many.select("recording", text("exclude").alias("ranked")), "recording")
 
 
@@ -397,14 +432,18 @@ def set2_status_rows(spark, d):
     return averages.with_status_rows(some, e, ["Standard", "Deviant"], "MISSING_OR_EMPTY")
 
 
-@query(f"""WITH {COUNTS}, miss AS (SELECT CAST(c_custkey AS VARCHAR) AS recording FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT recording FROM q) AND c_custkey NOT IN (SELECT user_id FROM events))
-SELECT recording, n_epochs_final, status FROM qs UNION ALL SELECT recording, NULL, 'SKIP_MISSING_VMRK' FROM miss""")
+@query(f"""WITH {COUNTS}, {ALIGNED}, c AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS recording FROM customer),
+fl AS (SELECT recording, CASE WHEN recording NOT IN (SELECT recording FROM nm) THEN 'SKIP_MISSING_VMRK' WHEN recording NOT IN (SELECT recording FROM cd) THEN 'SKIP_MISSING_SUBJECT_CSV' ELSE 'OK' END AS files FROM c),
+s AS (SELECT recording, markers_original, CASE WHEN files <> 'OK' THEN files WHEN ok THEN 'OK' ELSE 'SKIP_ALIGNMENT_FAILED' END AS status FROM fl FULL JOIN st USING (recording))
+SELECT recording, n_epochs_final, NULL AS markers_original, status, CASE status WHEN 'OK' THEN '' WHEN 'SKIP_EMPTY_EPOCHS' THEN 'every epoch was rejected' ELSE 'a condition has no epoch left' END AS error FROM qs
+UNION ALL SELECT recording, NULL, markers_original, status, CASE status WHEN 'SKIP_MISSING_VMRK' THEN 'no marker file' WHEN 'SKIP_MISSING_SUBJECT_CSV' THEN 'no file of behavioural codes' ELSE 'markers can''t be aligned with codes' END FROM s WHERE status <> 'OK'""")
 def set3_stacked_status(spark, d):
     e, blink, muscle = _masks(spark, d)
     done = qc.with_epoch_status(qc.epoch_counts(e, blink, muscle)).select("recording", "n_epochs_final", "status")
-    all_names = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("recording"))
-    lacking = all_names.join(done, "recording", "left_anti").join(T.markers(spark, d).select("recording").distinct(), "recording", "left_anti")
-    return qc.stacked(done, lacking.select("recording", F.lit("SKIP_MISSING_VMRK").alias("status")))
+    recordings = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("recording"))
+    files = markers.missing_files(recordings, T.codes(spark, d), T.markers(spark, d), "skip", "skip")
+    rows = qc.stacked(done, qc.skipped(files, _aligned(spark, d)[2]).select("recording", "markers_original", "status"))
+    return rows.withColumn("error", qc.error(F.col("status")))
 
 
 # 2.7 decisions
@@ -436,14 +475,26 @@ def scl4_gate(spark, d):
     return c.select("recording", ica.gate("auto", F.col("n_blink_bad").cast("double"), F.col("n_muscle_bad").cast("double"), 2.0).alias("fit"))
 
 
-@query(f"WITH {EP} SELECT DISTINCT recording, 'proxy:Fp1' AS source FROM sm")
+@query(f"""WITH {EP}, r AS (SELECT DISTINCT recording FROM sm), b AS (SELECT DISTINCT CAST(vec_id // 250 AS VARCHAR) AS recording FROM embeddings)
+SELECT recording, 'proxy:Fp1' AS source FROM r UNION ALL SELECT 'eog-' || recording, 'eog' FROM b UNION ALL SELECT 'none-' || recording, 'none' FROM r""")
 def scl5_blink_channels(spark, d):
-    return artifacts.blink_channels(T.epochs(spark, d)).select("recording", "source")
+    keys = ("recording", "channel", "kind")
+    e, b = T.epochs(spark, d).select(*keys), T.blocks(spark, d).select(*keys)
+    named = lambda df, prefix: df.withColumn("recording", F.concat(F.lit(prefix), "recording"))
+    return artifacts.blink_channels(e.union(named(b, "eog-")).union(named(e.where("channel <> 'Fp1'"), "none-"))).select("recording", "source")
 
 
 # 2.8 components; the fit has no SQL form
 
 
+@query(f"""WITH {RANKED}, o AS (SELECT *, abs(r - avg(r) OVER w) > stddev_pop(r) OVER w AS far FROM r WINDOW w AS (PARTITION BY recording)),
+n AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY abs(r) DESC, component) AS rank FROM o WHERE far)
+SELECT recording, string_agg(CAST(component AS VARCHAR), ',' ORDER BY rank) AS exclude, {R('max(r) FILTER (rank = 1)')} AS top_score FROM n WHERE rank <= 3 GROUP BY 1""")
+def ica3_eog_outliers(spark, d):
+    found = ica.eog_outliers(_channel_scores(spark, d), z=1.0)
+    return found.select("recording", text("exclude").alias("exclude"), fixed(F.get("top_scores", F.lit(0))).alias("top_score"))
+
+
 @query()
 def ica1_fit(spark, d):
     return ica.fit(T.blocks(spark, d))
@@ -485,9 +536,22 @@ def out3_qc_summary(spark, d):
     return jobs.qc_summary(T.epochs(spark, d), LIMITS).withColumn("epoch_reject_rate", fixed("epoch_reject_rate"))
 
 
-@query(f"""WITH {ALIGNED}, g AS (SELECT recording, count(*) AS n_markers, {R('quantile_cont(previous, 0.5)')} AS gap_p50, count(*) FILTER (previous <= {HOURS12} AND next <= {HOURS12}) AS n_dense FROM gp GROUP BY 1),
-t AS (SELECT recording, d, count(*) AS n FROM mk GROUP BY ALL), top AS (SELECT recording, arg_max(d, n * 1000) AS x, count(*) AS n_descriptions FROM t GROUP BY 1)
-SELECT recording, n_markers, gap_p50, n_dense, n_descriptions, n_codes, CASE WHEN ok THEN 'OK' ELSE 'SKIP_ALIGNMENT_FAILED' END AS status FROM st LEFT JOIN g USING (recording) LEFT JOIN top USING (recording)""")
+QUANTILES = f"""{R('min(previous)')} AS gap_min, {', '.join(f"{R(f'quantile_cont(previous, {p / 100})')} AS gap_p{p}" for p in markers.PERCENTILES)}, {R('max(previous)')} AS gap_max"""
+
+
+@query(f"""WITH {ALIGNED}, ra AS (SELECT recording FROM mk UNION SELECT recording FROM cd),
+g AS (SELECT recording, count(*) AS n_markers, {QUANTILES} FROM gp GROUP BY 1),
+cg AS (SELECT recording, string_agg(CAST(kept AS VARCHAR), ',' ORDER BY gap_s) AS candidate_kept FROM (SELECT recording, gap_s, count(*) FILTER (previous <= gap_s AND next <= gap_s) AS kept FROM gp, (VALUES {', '.join(f'({g}::DOUBLE)' for g in GAPS)}) AS v(gap_s) GROUP BY ALL) GROUP BY 1),
+fd AS (SELECT recording, count(*) AS n_descriptions, string_agg(d, ',' ORDER BY fst) AS first_descriptions FROM (SELECT recording, d, min(ROW(pos, mk)) AS fst FROM mk GROUP BY ALL) GROUP BY 1),
+td AS (SELECT recording, string_agg(d || ':' || n, ',' ORDER BY n DESC, d) AS top_descriptions, string_agg(d || ':' || n, ',' ORDER BY d) AS marker_types FROM (SELECT recording, d, count(*) AS n FROM mk GROUP BY ALL) GROUP BY 1),
+cc AS (SELECT recording, sum(n)::BIGINT AS n_codes_total, string_agg(code || ':' || n, ',' ORDER BY code) AS code_counts FROM (SELECT recording, code, count(*) AS n FROM cd GROUP BY ALL) GROUP BY 1),
+pv AS (SELECT recording, string_agg(code || ':' || CASE WHEN (code // 100 IN (1, 3)) = (code % 10 = 0) THEN 'token1' ELSE 'token2' END, ',' ORDER BY row_id, code) AS trials FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY recording ORDER BY row_id, code) <= 5) GROUP BY 1)
+SELECT recording, coalesce(n_markers, 0) AS n_markers, gap_min, {', '.join(f'gap_p{p}' for p in markers.PERCENTILES)}, gap_max, candidate_kept, marker_types, n_descriptions, first_descriptions, top_descriptions, coalesce(n_codes_total, 0) AS n_codes_total, code_counts, trials,
+  coalesce(n_codes, 0) AS n_codes, CASE WHEN ok IS NOT NULL THEN 0::BIGINT END AS markers_dropped_by_gap, CASE WHEN ok THEN markers_original - n_codes WHEN NOT ok THEN 0 END AS markers_dropped_by_auto, CASE WHEN ok THEN 'OK' ELSE 'SKIP_ALIGNMENT_FAILED' END AS status
+FROM ra LEFT JOIN st USING (recording) LEFT JOIN g USING (recording) LEFT JOIN cg USING (recording) LEFT JOIN fd USING (recording) LEFT JOIN td USING (recording) LEFT JOIN cc USING (recording) LEFT JOIN pv USING (recording)""")
 def out4_profile(spark, d):
-    p = jobs.profile(T.markers(spark, d), labels.only_codes(T.codes(spark, d), KEEP), HOURS12)
-    return p.withColumn("gap_p50", fixed("gap_p50"))
+    p = jobs.profile(T.markers(spark, d), T.codes(spark, d), gaps=GAPS, keep=KEEP)
+    both = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[a].cast("string"), x[b].cast("string"))), ",")
+    p = p.withColumns({c: fixed(c) for c in p.columns if c.startswith("gap_")})
+    flat = {"marker_types": both("marker_types", "mtype", "n"), "top_descriptions": both("top_descriptions", "desc", "n"), "code_counts": both("code_counts", "code", "n"), "trials": both("trials", "code", "trial_role"), "first_descriptions": text("first_descriptions"), "candidate_kept": text("candidate_gaps.kept")}
+    return p.withColumns(flat).drop("candidate_gaps")

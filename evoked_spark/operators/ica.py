@@ -35,11 +35,12 @@ def gate(mode: str, eog_rate: Column, proxy_rate: Column, threshold: float) -> C
 
 
 def fast_ica(x: np.ndarray, p: Ica) -> tuple[np.ndarray, np.ndarray]:
-    """(unmixing, mixing) of channels x samples: PCA to a share of variance, then symmetric fixed-point rounds with logcosh."""
+    """(unmixing, mixing) of channels x samples: PCA to a number of components or a share of variance, then symmetric fixed-point rounds with logcosh."""
     scale = x.std() or 1.0
     x = (x - x.mean(1, keepdims=True)) / scale
     u, s, _ = np.linalg.svd(x @ x.T / x.shape[1])
-    k = min(int(np.searchsorted(np.cumsum(s) / max(s.sum(), 1e-300), p.variance, side="right")) + 1, int((s > 1e-12 * max(s[0], 1e-300)).sum()))
+    wanted = p.components or int(np.searchsorted(np.cumsum(s) / max(s.sum(), 1e-300), p.variance, side="right")) + 1
+    k = min(wanted, int((s > 1e-12 * max(s[0], 1e-300)).sum()))
     if k == 0:
         return np.zeros((0, len(x))), np.zeros((len(x), 0))
     white = (u[:, :k] / np.sqrt(s[:k])).T
@@ -120,11 +121,11 @@ def sources(blocks: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def rank(scores: DataFrame, p: Ica = Ica(), top: int = 10) -> DataFrame:
-    """``(recording, exclude, top_scores)`` from ``scores(recording, component, r)``: |r| at or above the threshold, the largest first."""
+    """``(recording, exclude, candidates, top_scores)`` from ``scores(recording, component, r)``: |r| at or above the threshold, the largest first."""
     r = F.coalesce("r", F.lit(0.0))
     ranked = scores.withColumn("r", r).withColumn("rank", F.row_number().over(W.partitionBy("recording").orderBy(F.desc(F.abs("r")), "component")))
     pick = lambda test, c: F.sort_array(F.collect_list(F.when(test, F.struct("rank", c))))[c]
-    return ranked.groupBy("recording").agg(pick((F.col("rank") <= p.most) & (F.abs("r") >= p.threshold), "component").alias("exclude"), pick(F.col("rank") <= top, "r").alias("top_scores"))
+    return ranked.groupBy("recording").agg(pick((F.col("rank") <= p.most) & (F.abs("r") >= p.threshold), "component").alias("exclude"), pick(F.col("rank") <= top, "component").alias("candidates"), pick(F.col("rank") <= top, "r").alias("top_scores"))
 
 
 def proxy_scores(parts: DataFrame, proxy: DataFrame) -> DataFrame:
@@ -142,11 +143,12 @@ def eog_scores(blocks: DataFrame, model: DataFrame, block_size: int, sfreq: floa
 
 
 def eog_outliers(scores: DataFrame, z: float = 3.0, most: int = 3) -> DataFrame:
-    """``(recording, exclude)``: components whose r is more than ``z`` standard deviations off the mean of all."""
+    """``(recording, exclude, candidates, top_scores)``: components whose r is more than ``z`` standard deviations off the mean of all."""
     w = W.partitionBy("recording")
     off = F.try_divide(F.col("r") - F.avg("r").over(w), F.stddev_pop("r").over(w))
     far = scores.withColumn("off", off).where(F.abs("off") > z).withColumn("rank", F.row_number().over(w.orderBy(F.desc(F.abs("r")), "component")))
-    return far.where(F.col("rank") <= most).groupBy("recording").agg(F.sort_array(F.collect_list(F.struct("rank", "component")))["component"].alias("exclude"))
+    found = far.where(F.col("rank") <= most).groupBy("recording").agg(F.sort_array(F.collect_list(F.struct("rank", "component", "r"))).alias("found"))
+    return found.select("recording", F.col("found.component").alias("exclude"), F.col("found.component").alias("candidates"), F.col("found.r").alias("top_scores"))
 
 
 def remove(blocks: DataFrame, model: DataFrame, exclude: DataFrame) -> DataFrame:

@@ -48,11 +48,12 @@ def candidate_gaps(markers: DataFrame, gaps: Sequence[float] = (0.5, 1, 1.5, 2,
 
 
 def densest(markers: DataFrame, target: Column) -> DataFrame:
-    """The ``target`` markers of each recording with the smallest larger gap; earlier ones first at ties."""
+    """The ``target`` markers of each recording with the smallest larger gap; earlier ones first at ties.  Fails where there are fewer."""
     infinite = F.lit(float("inf"))
     score = F.greatest(F.coalesce("previous", infinite), F.coalesce("next", infinite))
-    ranked = with_gaps(markers).withColumn("score", score).withColumn("rank", F.row_number().over(W.partitionBy("recording").orderBy("score", "pos", "mk")))
-    return ranked.where(F.col("rank") <= target).drop("previous", "next", "score", "rank")
+    ranked = with_gaps(markers).withColumn("score", score).withColumn("rank", F.row_number().over(W.partitionBy("recording").orderBy("score", "pos", "mk"))).withColumn("available", F.count("*").over(W.partitionBy("recording")))
+    too_few = F.raise_error(F.concat(F.lit("fewer markers than wanted in recording "), F.col("recording"))).cast("boolean")
+    return ranked.where(F.when(target > F.col("available"), too_few).otherwise(F.col("rank") <= target)).drop("previous", "next", "score", "rank", "available")
 
 
 def alignment(markers: DataFrame, codes: DataFrame, gap_s: float | None = None, auto_drop: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -108,9 +109,13 @@ def top_descriptions(markers: DataFrame, most: int = 10) -> DataFrame:
 
 
 def missing_files(recordings: DataFrame, behaviour: DataFrame, marker_files: DataFrame, on_missing_codes: str = "skip", on_missing_markers: str = "warn") -> DataFrame:
-    """``(recording, status)``: OK, or which file a recording lacks; policy ``fail`` raises instead."""
+    """``(recording, status)``: OK, or which file a recording lacks, the marker file first; policy ``fail`` raises instead, ``warn`` lets pass."""
     have = lambda df, name: df.select("recording").distinct().withColumn(name, F.lit(True))
     joined = recordings.select("recording").distinct().join(have(behaviour, "has_codes"), "recording", "left").join(have(marker_files, "has_markers"), "recording", "left")
-    act = lambda policy, what, status: F.raise_error(F.concat(F.lit(f"no {what} for recording "), F.col("recording"))) if policy == "fail" else F.lit("OK" if policy == "warn" else status)
-    status = F.when(F.col("has_codes").isNull(), act(on_missing_codes, "codes", "SKIP_MISSING_SUBJECT_CSV")).when(F.col("has_markers").isNull(), act(on_missing_markers, "markers", "SKIP_MISSING_VMRK")).otherwise("OK")
+    act = lambda policy, what, status: F.raise_error(F.concat(F.lit(f"no {what} for recording "), F.col("recording"))).cast("string") if policy == "fail" else F.lit(None if policy == "warn" else status).cast("string")
+    status = F.coalesce(
+        F.when(F.col("has_markers").isNull(), act(on_missing_markers, "markers", "SKIP_MISSING_VMRK")),
+        F.when(F.col("has_codes").isNull(), act(on_missing_codes, "codes", "SKIP_MISSING_SUBJECT_CSV")),
+        F.lit("OK"),
+    )
     return joined.select("recording", status.alias("status"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,6 +27,34 @@ def with_epoch_status(counts: DataFrame) -> DataFrame:
     return counts.withColumn("status", status)
 
 
+def event_counts(all_codes: DataFrame, used: DataFrame, events: DataFrame, kept_codes: Sequence[int]) -> DataFrame:
+    """Per recording of ``all_codes``: codes in all and used, events that got a code, and those whose code is among ``kept_codes``."""
+    total = all_codes.groupBy("recording").agg(F.count("*").alias("behavioral_codes_total"))
+    n_used = used.groupBy("recording").agg(F.count("*").alias("behavioral_codes_used"))
+    n = events.groupBy("recording").agg(F.count("*").alias("n_events_used"), F.count_if(F.col("code").isin(*kept_codes)).alias("n_events_kept_stddev"))
+    return total.join(n_used, "recording", "left").join(n, "recording", "left").na.fill(0, ["behavioral_codes_used", "n_events_used", "n_events_kept_stddev"])
+
+
+def skipped(files: DataFrame, status: DataFrame) -> DataFrame:
+    """Recordings that a missing file or a failed alignment keeps from epochs, with the counts of the alignment."""
+    found = files.select("recording", F.col("status").alias("files")).join(status, "recording", "full")
+    failed = F.when(F.col("files") != "OK", F.col("files")).otherwise(F.coalesce("status", F.lit("SKIP_ALIGNMENT_FAILED")))  # neither markers nor codes: nothing to align
+    return found.withColumn("status", failed).where("status <> 'OK'").select("recording", "markers_original", "markers_dropped_by_gap", "markers_dropped_by_auto", "status")
+
+
+def error(status: Column) -> Column:
+    """Why a recording was skipped, in words; empty for OK."""
+    words = {
+        "SKIP_MISSING_VMRK": "no marker file",
+        "SKIP_MISSING_SUBJECT_CSV": "no file of behavioural codes",
+        "SKIP_ALIGNMENT_FAILED": "markers can't be aligned with codes",
+        "SKIP_EMPTY_EPOCHS": "every epoch was rejected",
+        "SKIP_EMPTY_CONDITION": "a condition has no epoch left",
+    }
+    table = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, status), F.lit(""))
+
+
 def stacked(*tables: DataFrame) -> DataFrame:
     """One table of all rows; a column that a table lacks is NULL there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)

@@ -56,6 +56,7 @@ def sums(epochs: DataFrame, p: Tfr, method: str = "morlet", salt: int = 8) -> Da
 
     A group's epochs are dealt to ``salt`` tasks by hash; each returns sums of
     power and of unit phasors per taper, which are added and divided last.
+    Every ``p.decim``-th sample from a row's first on is given.
     """
     freqs = p.freqs
 
@@ -78,7 +79,7 @@ def sums(epochs: DataFrame, p: Tfr, method: str = "morlet", salt: int = 8) -> Da
     schema = "frequency double, taper int, n_tapers int, power array<double>, re array<double>, im array<double>, recording string, condition string, channel string, sfreq double, rel0 int, n long"
     salted = epochs.select(*KEY, "sfreq", "rel0", "values", F.pmod(F.xxhash64("epoch_id"), F.lit(salt)).alias("salt"))
     parts = salted.groupBy(*KEY, "salt").applyInPandas(transform, schema)
-    long = parts.select(*KEY, "frequency", "taper", "n_tapers", "sfreq", "rel0", "n", F.posexplode(F.arrays_zip("power", "re", "im")).alias("i", "v"))
+    long = parts.select(*KEY, "frequency", "taper", "n_tapers", "sfreq", "rel0", "n", F.posexplode(F.arrays_zip("power", "re", "im")).alias("i", "v")).where(F.col("i") % p.decim == 0)
     point = long.groupBy(*KEY, "frequency", "taper", "n_tapers", "sfreq", (F.col("rel0") + F.col("i")).alias("rel")).agg(F.sum("n").alias("n"), F.sum("v.power").alias("power"), F.sum("v.re").alias("re"), F.sum("v.im").alias("im"))
     itc = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n")
     return point.groupBy(*KEY, "frequency", "sfreq", "rel").agg(F.avg(F.col("power") / F.col("n")).alias("power"), F.avg(itc).alias("itc"), F.max("n").alias("n_epochs"))
@@ -117,13 +118,17 @@ def rescaled(df: DataFrame, columns: list[str], base: tuple[float, float], mode:
 def tfr_metrics(epochs: DataFrame, p: Tfr = Tfr(), tmin: float = -0.2, tmax: float = 0.6, epoch_baseline: tuple[float, float] | None = (-0.2, 0.0), conditions: tuple[str, ...] = ("Standard", "Deviant"), method: str = "morlet") -> DataFrame:
     """Total, evoked and induced power and coherence as one tidy table with status rows.
 
-    Induced power is total minus evoked, both after the baseline.
+    Induced power is total minus evoked, both after the baseline.  Fails where
+    one has a channel, frequency or time that the other lacks.
     """
     from .averages import evoked
 
     e = crop(epochs.where(F.col("condition").isin(*conditions)), tmin, tmax)
     e = baseline(e, *epoch_baseline) if epoch_baseline else e
-    both = sums(e, p, method).join(evoked_power(evoked(e), p, method), [*KEY, "frequency", "sfreq", "rel"])
+    one, other = sums(e, p, method).withColumn("in_total", F.lit(True)), evoked_power(evoked(e), p, method).withColumn("in_evoked", F.lit(True))
+    both = one.join(other, [*KEY, "frequency", "sfreq", "rel"], "full")
+    differ = F.raise_error(F.concat(F.lit("axes of total and evoked power differ in recording "), F.col("recording"))).cast("double")
+    both = both.withColumn("power", F.when(F.col("in_total").isNull() | F.col("in_evoked").isNull(), differ).otherwise(F.col("power"))).drop("in_total", "in_evoked")
     if p.baseline:
         both = rescaled(both, ["power", "evoked", "itc"], p.baseline, p.mode)
     rows = both.select("recording", "condition", "channel", "frequency", (F.col("rel") / F.col("sfreq")).alias("time"), F.col("power").alias("total_power"), F.col("evoked").alias("evoked_power"), (F.col("power") - F.col("evoked")).alias("induced_power"), "itc", "n_epochs")

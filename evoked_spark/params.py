@@ -78,10 +78,13 @@ class Tfr:
     cycles_divisor: float = 10.0
     baseline: tuple[float, float] | None = (-0.1, 0.0)
     mode: str = "logratio"
+    decim: int = 1
 
     def __post_init__(self):
         if self.baseline is not None and len(self.baseline) != 2:
             raise ValueError("a baseline has two ends")
+        if self.decim < 1:
+            raise ValueError("every decim-th sample is kept, so decim is at least 1")
         if self.mode not in ("mean", "ratio", "logratio", "percent", "zscore", "zlogratio"):
             raise ValueError(f"unknown baseline mode {self.mode}")
 
@@ -93,7 +96,7 @@ class Tfr:
 
 @dataclass(frozen=True)
 class Ica:
-    """Component fit and removal."""
+    """Component fit and removal; ``components`` is a number of components, else ``variance`` decides."""
 
     mode: str = "auto"
     gate_per_min: float = 15.0
@@ -104,7 +107,10 @@ class Ica:
     seed: int = 97
     threshold: float = 0.30
     most: int = 3
+    components: int | None = None
 
     def __post_init__(self):
+        if self.components is not None and self.components < 1:
+            raise ValueError("at least one component is fitted")
         if self.mode not in ("off", "on", "auto"):
             raise ValueError("ica is off, on or auto")

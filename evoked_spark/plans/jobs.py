@@ -19,16 +19,34 @@ def preview(rows: DataFrame, *order: str, most: int = 5) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
 
 
-def profile(m: DataFrame, codes: DataFrame, gap_s: float) -> DataFrame:
-    """Markers against codes, one row per recording: counts, median gap, markers a gap filter keeps, alignment status."""
-    _, status = markers.alignment(m, codes)
-    stats = markers.gap_stats(m).select("recording", F.col("n").alias("n_markers"), "gap_p50")
-    kept = markers.candidate_gaps(m, [gap_s]).select("recording", F.col("kept").alias("n_dense"))
-    descriptions = markers.first_descriptions(m).select("recording", "n_descriptions")
-    joined = status.select("recording", "n_codes", "status")
-    for table in (stats, kept, descriptions):
-        joined = joined.join(table, "recording", "left")
-    return joined.select("recording", "n_markers", "gap_p50", "n_dense", "n_descriptions", "n_codes", "status")
+def profile(m: DataFrame, codes: DataFrame, gap_s: float | None = None, gaps: Sequence[float] = (0.5, 1, 1.5, 2, 3, 5), keep: Sequence[int] = (), diagnostics: DataFrame | None = None) -> DataFrame:
+    """Markers against codes, one row per recording of either side.
+
+    Marker counts and gap quantiles, markers each of ``gaps`` would keep,
+    types, first and most frequent descriptions, counts of all codes, the first
+    labelled trials of the kept codes, and the alignment with its status.
+    ``diagnostics`` has any further columns per recording.
+    """
+    used = labels.only_codes(codes, keep)
+    _, status = markers.alignment(m, used, gap_s)
+    listed = lambda df, name, *columns: df.groupBy("recording").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+    first = preview(labels.with_trial_labels(used), "row_id", "code")
+    tables = [
+        markers.gap_stats(m).withColumnRenamed("n", "n_markers"),
+        listed(markers.candidate_gaps(m, gaps), "candidate_gaps", "gap_s", "kept"),
+        listed(markers.value_counts(m, "mtype"), "marker_types", "mtype", "n"),
+        markers.first_descriptions(m).withColumnRenamed("descriptions", "first_descriptions"),
+        listed(markers.top_descriptions(m), "top_descriptions", "rank", "desc", "n"),
+        codes.groupBy("recording").agg(F.count("*").alias("n_codes_total")),
+        listed(markers.value_counts(codes, "code"), "code_counts", "code", "n"),
+        listed(first, "trials", "row_id", "code", "trial_role", "variant", "is_standard", "is_deviant"),
+        status.drop("markers_original"),
+        *([diagnostics] if diagnostics is not None else []),
+    ]
+    rows = m.select("recording").union(codes.select("recording")).distinct()
+    for table in tables:
+        rows = rows.join(table, "recording", "left")
+    return rows.na.fill(0, ["n_markers", "n_codes_total", "n_codes"]).na.fill("SKIP_ALIGNMENT_FAILED", ["status"])
 
 
 def qc_summary(e: DataFrame, limits: Rejection = Rejection(), blink_rate: DataFrame | None = None, eog: DataFrame | None = None) -> DataFrame:
@@ -63,6 +81,31 @@ class Preprocessing:
     proxies: Sequence[str] = ("Fp1", "Fp2")
     on_missing_codes: str = "skip"
     on_missing_markers: str = "warn"
+    tokens: tuple[str, str] | None = None
+    raw_file: str = "%s.vhdr"
+    codes_file: str = "subject-%s.csv"
+
+
+FITTED = "recording string, components long, exclude array<int>, candidates array<int>, top_scores array<double>, source string"
+
+
+def component_facts(fitted: DataFrame, p: Ica) -> DataFrame:
+    """What was fitted and found per recording, as columns of text and numbers that a CSV file can hold."""
+    text = lambda c: F.concat_ws(" ", F.transform(c, lambda x: x.cast("string")))
+    return fitted.select(
+        "recording",
+        (F.coalesce(F.size("exclude"), F.lit(0)) > 0).alias("ica_applied"),
+        text("exclude").alias("ica_exclude"),
+        F.lit("fastica").alias("ica_fit_method"),
+        F.lit(p.high_pass).alias("ica_fit_l_freq"),
+        F.lit(p.decimate).alias("ica_fit_decim"),
+        F.col("components").alias("ica_fit_n_components"),
+        F.col("source").alias("ica_find_blink_source"),
+        F.lit(p.threshold).alias("ica_find_corr_thresh"),
+        F.lit(p.most).alias("ica_find_max_exclude"),
+        text("candidates").alias("ica_find_candidates"),
+        text(F.transform("top_scores", lambda x: F.round(x, 6))).alias("ica_find_scores"),
+    )
 
 
 def preprocess(blocks: DataFrame, m: DataFrame, codes: DataFrame, sfreq: float, p: Preprocessing) -> dict[str, DataFrame]:
@@ -83,6 +126,7 @@ def preprocess(blocks: DataFrame, m: DataFrame, codes: DataFrame, sfreq: float,
     rate = artifacts.blink_rate(artifacts.continuous_ptp(eyes, p.limits, p.block_size), clean).join(chosen.select("recording", "source"), "recording")
     own = F.when(F.col("source") == "eog", F.col("blinks_per_min"))
     other = F.when(F.col("source") != "eog", F.col("blinks_per_min"))
+    fitted = blocks.sparkSession.createDataFrame([], FITTED)
     if p.ica.mode != "off":
         recorded = clean.select("recording").distinct().join(rate, "recording", "left")
         wanted = recorded.where(ica.gate(p.ica.mode, own, other, p.ica.gate_per_min)).select("recording")
@@ -94,28 +138,39 @@ def preprocess(blocks: DataFrame, m: DataFrame, codes: DataFrame, sfreq: float,
         proxy = clean.where(F.col("kind") == "eeg").where(F.col("channel").isin(*p.proxies)).join(with_eog, "recording", "left_anti")
         first = proxy.groupBy("recording").agg(F.min_by("channel", place).alias("channel"))  # the first proxy there is, alone
         scores = ica.proxy_scores(ica.sources(clean.where("kind = 'eeg'"), model), proxy.join(first, ["recording", "channel"]))
-        exclude = by_eog.unionByName(ica.rank(scores, p.ica).select("recording", "exclude"))
+        exclude = by_eog.withColumn("source", F.lit("eog")).unionByName(ica.rank(scores, p.ica).withColumn("source", F.lit("proxy")))
+        sizes = model.groupBy("recording").agg(F.countDistinct("component").alias("components"))
+        fitted = sizes.join(exclude, "recording", "left").select("recording", "components", "exclude", "candidates", "top_scores", "source")
         clean = ica.remove(clean, model, exclude)
     files = markers.missing_files(blocks, codes, m, p.on_missing_codes, p.on_missing_markers)
-    codes = labels.only_codes(codes, p.contrast.keep)
+    every, codes = codes, labels.only_codes(codes, p.contrast.keep)
     kept, status = markers.alignment(markers.without_spans(m), codes, p.gap_s)
-    events = labels.conditions(labels.with_trial_labels(markers.events(kept, codes)), p.contrast)
+    coded = markers.events(kept, codes)
+    tokens = dict(zip(("token1", "token2"), p.tokens or ()))
+    events = labels.conditions(labels.with_trial_labels(coded, tokens), p.contrast)
     cut = epochs.cut(clean, events.select("recording", "seq", "pos", "code", "condition"), p.tmin, p.tmax, p.block_size)
     cut = epochs.drop_bad_spans(cut, m)
     cut = epochs.baseline(cut, *p.baseline) if p.baseline else cut
     good = epochs.reject(epochs.reject(cut, artifacts.blinks(cut, p.limits)), artifacts.voltage(cut, p.limits))
     summary = qc_summary(cut, p.limits, rate.drop("source"), eog)
-    found = files.select("recording", F.col("status").alias("files")).join(status, "recording", "full")
-    failed = F.when(F.col("files") != "OK", F.col("files")).otherwise(F.coalesce("status", F.lit("SKIP_ALIGNMENT_FAILED")))  # neither markers nor codes: nothing to align
-    skipped = found.withColumn("status", failed).where("status <> 'OK'").select(F.col("recording").alias("subject"), "markers_original", "markers_dropped_by_gap", "markers_dropped_by_auto", "status")
+    counts = qc.event_counts(every, codes, coded, (*p.contrast.standard, *p.contrast.deviant))
+    aligned = status.select("recording", "markers_original", "markers_dropped_by_gap", "markers_dropped_by_auto")
+    rates = rate.select("recording", own.alias("blink_rate_per_min"), other.alias("blink_proxy_rate_per_min"))
+    for facts in (aligned, counts, rates, component_facts(fitted, p.ica)):
+        summary = summary.join(facts.withColumnRenamed("recording", "subject"), "subject", "left")
+    summary = summary.na.fill(0.0, ["eog_corr_max", "eog_corr_mean", "blink_rate_per_min", "blink_proxy_rate_per_min"]).na.fill(False, ["ica_applied"]).na.fill("", ["ica_exclude"])
+    summary = summary.withColumns({"sfreq": F.lit(sfreq), "behavioral_keep_codes": F.lit(" ".join(map(str, p.contrast.keep))), "ica_mode": F.lit(p.ica.mode), **{t: F.lit(tokens.get(t)).cast("string") for t in ("token1", "token2")}})
+    skipped = qc.skipped(files, status).withColumnRenamed("recording", "subject")
+    rows = qc.stacked(summary, skipped).withColumns({"raw_file": F.format_string(p.raw_file, "subject"), "subject_csv": F.format_string(p.codes_file, "subject"), "error": qc.error(F.col("status"))})
     ok = summary.where("status = 'OK'").select(F.col("subject").alias("recording"))
     waves = averages.evoked(good.join(ok, "recording", "left_semi"))
-    return {"signal": clean, "epochs": good, "evoked": waves, "grand_average": averages.grand_average(waves), "qc": qc.stacked(summary, skipped)}
+    return {"signal": clean, "epochs": good, "evoked": waves, "grand_average": averages.grand_average(waves), "qc": rows}
 
 
 def metrics(e: DataFrame, windows: Sequence[Window] = (Window(),), grid: Tfr = Tfr(), channels: Sequence[str] = ("Fp1", "Fz", "F3", "Cz", "F4"), tmin: float = -0.2, tmax: float = 0.6) -> dict[str, DataFrame]:
     """Workload B: window amplitudes, waveforms and time-frequency tables of an epoch table."""
     from ..operators import tfr
 
+    labels.require_channels(e, channels)
     picked = e.where(F.col("channel").isin(*channels))
     return {"erp_metrics": averages.erp_metrics(picked, windows), "erp_timeseries": averages.erp_timeseries(picked, tmin, tmax), "tfr_metrics": tfr.tfr_metrics(picked, grid, tmin, tmax)}

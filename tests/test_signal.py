@@ -184,6 +184,8 @@ def test_preprocessing_with_component_removal(spark):
     given = {"notch": (), "low": None, "high": 30.0}
     for mode, bound in (("on", 0.25), ("off", 1.0)):
         out = jobs.preprocess(b, m, codes, 100.0, jobs.Preprocessing(jobs.Contrast((110,), (111,)), 1000, ica=Ica(mode=mode, decimate=1), **given))
+        row = out["qc"].first()
+        assert row.ica_mode == mode and row.ica_applied == (mode == "on") == bool(row.ica_exclude) and ((row.ica_fit_n_components or 0) > 0) == (mode == "on")
         clean = as_matrix(out["signal"], names[:16])
         r = max(abs(np.corrcoef(row, blink)[0, 1]) for row in clean)
         assert (r < bound) if mode == "on" else (r > 0.5)
@@ -236,7 +238,12 @@ def test_workload_from_files(spark, tmp_path):
         recordings.read_codes(spark, str(tmp_path), column="Missing").collect()
     p = jobs.Preprocessing(jobs.Contrast((110,), (111,)), 500, notch=(), low=None, high=30.0, ica=Ica(mode="off"))
     out = jobs.preprocess(b, m, codes, 100.0, p)
-    assert {r.subject: r.status for r in out["qc"].collect()} == {"1": "OK", "2": "SKIP_ALIGNMENT_FAILED", "3": "SKIP_EMPTY_CONDITION"}
+    rows = {r.subject: r for r in out["qc"].collect()}
+    assert {k: r.status for k, r in rows.items()} == {"1": "OK", "2": "SKIP_ALIGNMENT_FAILED", "3": "SKIP_EMPTY_CONDITION"}
+    one = rows["1"]
+    assert (one.raw_file, one.subject_csv, one.sfreq, one.error, one.ica_mode, one.ica_applied, one.ica_exclude) == ("1.vhdr", "subject-1.csv", 100.0, "", "off", False, "")
+    assert (one.behavioral_codes_total, one.behavioral_codes_used, one.markers_original, one.markers_dropped_by_auto, one.n_events_used, one.n_events_kept_stddev) == (20, 20, 20, 0, 20, 20)
+    assert rows["2"].error == "markers can't be aligned with codes" and rows["2"].markers_original == 20 and rows["3"].n_deviant_final == 0
     assert {r.recording for r in out["evoked"].select("recording").distinct().collect()} == {"1"}
     path = sinks.save_stage(out["epochs"], str(tmp_path / "out"), "3_epochs")
     again = recordings.read_epochs(spark, path)
@@ -270,3 +277,21 @@ def test_job_ignores_spans_counts_from_zero_and_prefers_eog(spark, tmp_path):
     cut = epochs.cut(b, markers.events(markers.without_spans(m).where("recording = '1'"), codes).withColumn("condition", F.lit("x")), -0.2, 0.6, 500)
     first = [r.values[0] / 0.5e-6 for r in cut.where("channel = 'VEOG'").collect()]
     assert sorted(map(round, first))[:3] == [280, 380, 480]
+
+
+def test_errors_of_wrong_wishes(spark):
+    e = spark.createDataFrame([("1", 0, "Standard", "Fz", "eeg", 100.0, -20, [1.0] * 60)], "recording string, epoch_id int, condition string, channel string, kind string, sfreq double, rel0 int, values array<double>")
+    with pytest.raises(ValueError, match="none of the channels"):
+        jobs.metrics(e, channels=("Pz",))
+    m = spark.createDataFrame([("1", i, 10 * i, 100.0) for i in range(3)], "recording string, mk int, pos long, sfreq double")
+    assert markers.densest(m, F.lit(3)).count() == 3
+    with pytest.raises(Exception, match="fewer markers"):
+        markers.densest(m, F.lit(4)).collect()
+
+
+def test_number_of_components_and_decimated_powers(spark):
+    unmix, mix = ica.fast_ica(RNG.laplace(size=(5, 2000)), Ica(components=2))
+    assert unmix.shape == (2, 5) and mix.shape == (5, 2)
+    e = spark.createDataFrame([("1", i, "Standard", "Fz", "eeg", 100.0, -20, RNG.normal(size=81).tolist()) for i in range(3)], "recording string, epoch_id int, condition string, channel string, kind string, sfreq double, rel0 int, values array<double>")
+    every, some = (tfr.sums(e, Tfr(5, 10, 5, decim=k)).orderBy("frequency", "rel").collect() for k in (1, 4))
+    assert [r for r in every if (r.rel + 20) % 4 == 0] == some
