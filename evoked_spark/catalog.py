@@ -423,13 +423,13 @@ def sort2_preview(spark, d):
     return jobs.preview(T.codes(spark, d), "row_id", "code")
 
 
-@query(f"""WITH {EP}, e AS (SELECT * FROM sm WHERE NOT (condition = 'Deviant' AND recording IN ('3', '4'))), c(condition) AS (VALUES ('Standard'), ('Deviant')),
-g AS (SELECT recording, condition, count(*) AS n_samples FROM e GROUP BY ALL)
+@query(f"""WITH {EP}, c(condition) AS (VALUES ('Standard'), ('Deviant'), ('Novel')),
+g AS (SELECT recording, condition, count(*) AS n_samples FROM sm GROUP BY ALL)
 SELECT r.recording, c.condition, n_samples, CASE WHEN n_samples IS NULL THEN 'MISSING_OR_EMPTY' ELSE 'OK' END AS status FROM (SELECT DISTINCT recording FROM sm) r CROSS JOIN c LEFT JOIN g ON g.recording = r.recording AND g.condition = c.condition""")
 def set2_status_rows(spark, d):
     e = T.epochs(spark, d)
-    some = epochs.samples(e.where("not (condition = 'Deviant' and recording in ('3', '4'))")).groupBy("recording", "condition").agg(F.count("*").alias("n_samples"))
-    return averages.with_status_rows(some, e, ["Standard", "Deviant"], "MISSING_OR_EMPTY")
+    some = epochs.samples(e).groupBy("recording", "condition").agg(F.count("*").alias("n_samples"))
+    return averages.with_status_rows(some, e, ["Standard", "Deviant", "Novel"], "MISSING_OR_EMPTY")
 
 
 @query(f"""WITH {COUNTS}, {ALIGNED}, c AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS recording FROM customer),
