@@ -26,3 +26,9 @@ def test_imports_without_text_operators(tmp_path):
     (tmp_path / "__spark_entry__.py").write_text((ROOT / "__spark_entry__.py").read_text())
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+    # a package that text operators need and don't find isn't passed over
+    (tmp_path / "evoked_spark" / "llm").mkdir()
+    (tmp_path / "evoked_spark" / "llm" / "__init__.py").write_text("import no_such_package\n")
+    failed = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    assert failed.returncode and "no_such_package" in failed.stderr
