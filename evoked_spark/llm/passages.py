@@ -270,7 +270,8 @@ def shared_passages(parts: list[tuple[int, np.ndarray]], y: np.ndarray, y_spans:
     ``parts`` holds (offset, shingle hashes) of ranges of one text, y the hashes
     of another, of which only the given disjoint, ordered ranges are compared.
     ``spots`` gives what :func:`sorted_spots` makes of these, where it is known.  Where hits of a
-    part stand once in y, all near one diagonal, the whole run is tested.
+    part stand once in y, all near one diagonal, the whole run is tested, and else
+    against all places in y that it hits, where these are about as long.
     Otherwise every occurrence in y counts, and the pairs are split by diagonals:
     in bands from wide, for passages with words put in or left out, to single
     diagonals, where each window with enough hits holds.
@@ -307,8 +308,12 @@ def shared_passages(parts: list[tuple[int, np.ndarray]], y: np.ndarray, y_spans:
                 if holds(*whole):
                     found.append((lo + whole[0], lo + whole[1], whole[2], whole[3]))
                     continue
-            mine, theirs = np.zeros(len(part), bool), np.zeros(len(y), bool)
             wanted = at_y[np.isin(y[at_y], part[spots])]
+            every = int(spots[0]), int(spots[-1]), int(wanted[0]), int(wanted[-1])
+            if abs(length - (every[3] - every[2] + 1)) <= max(t // 4, length // 8) and holds(*every):
+                found.append((lo + every[0], lo + every[1], every[2], every[3]))
+                continue  # whatever else holds lies inside
+            mine, theirs = np.zeros(len(part), bool), np.zeros(len(y), bool)
             for p, q in _occurrences(part, spots, y, wanted):
                 widths = [1, t // 4]
                 while 2 * widths[-1] <= length // 4:
