@@ -412,7 +412,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the first is compared.  Null texts and texts under 50 words have no
     passage.  An empty table gives no link.
     """
-    scratch = scratch or Scratch(docs.sparkSession)
+    links, more, _ = _links(docs, id_col, text_col, scratch or Scratch(docs.sparkSession))
+    return links.unionAll(more)
+
+
+def _links(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The links by signatures, those of undecided groups, and the components ``(node, root)`` of the first."""
     body = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     texts = docs.select(node_of(docs, id_col).alias("row"), F.col(f"`{id_col}`").alias("id"), body.cast("binary").alias("body")).where("id is not null")
     kind = dict(texts.dtypes)["id"]
@@ -480,7 +485,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     roots = scratch.save(components_of(links, scratch))
     once = members.groupBy("key", "row").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     rooted = scratch.save(once.join(roots.withColumnRenamed("node", "row").hint("merge"), "row", "left").withColumn("root", F.coalesce("root", "row")))
-    scratch.drop(members, roots)
+    scratch.drop(members)
     unlike = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("n > 2 and a < b").select("key")
     undecided = rooted.join(unlike.hint("merge"), "key", "left_semi").groupBy("row", "root").agg(F.collect_set(packed(F.col("lo"), F.col("hi"))).alias("spans"))
 
@@ -549,7 +554,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     apart = own.join(hub_root.hint("merge"), "key").where("row = hub or root <> hub_root").select("key", "row", "lo", "hi")
     pairs = starred(apart, hubs)
     scratch.drop(around, met, hubs, hub_root)
-    return links.unionAll(verified(pairs))
+    return links, verified(pairs), roots
 
 
 def node_of(docs: DataFrame, id_col: str) -> Column:
@@ -561,6 +566,17 @@ def components_of(links: DataFrame, scratch: Scratch) -> DataFrame:
     return connected_components(links.select(F.col("row").alias("u"), F.col("other_row").alias("v")), scratch)
 
 
+def joined_components(roots: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components ``(node, root)`` after ``more(row, other_row)`` has joined some of ``roots(node, root)``: found among roots alone."""
+    new = more.select(F.explode(F.array("row", "other_row")).alias("node")).distinct().join(roots.hint("merge"), "node", "left_anti")
+    known = scratch.save(roots.unionAll(new.select("node", F.col("node").alias("root"))))
+    ends = more.select("row", "other_row").distinct()
+    for end, name in (("row", "u"), ("other_row", "v")):
+        ends = ends.join(known.select(F.col("node").alias(end), F.col("root").alias(name)).hint("merge"), end)
+    above = connected_components(ends.select("u", "v"), scratch).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return known.join(above.hint("merge"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
 def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``component_id``, ``star_links``, ``n_passages``, ``first_word``, ``last_word``, ``longest``.
 
@@ -571,11 +587,12 @@ def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     passage the counts are 0 and the positions null.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    links = repeated_passages(docs, id_col, text_col, scratch)
+    first, more, roots = _links(docs, id_col, text_col, scratch)
+    links = first.unionAll(more)
     ends = links.select("row", "other_row", "start", "stop").unionAll(links.select("other_row", "row", "other_start", "other_stop"))
     per_link = ends.groupBy("row", "other_row").agg(F.count("*").alias("passages"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.max(F.col("stop") - F.col("start")).alias("longest"))
     rows = scratch.save(per_link.groupBy("row").agg(F.count("*").alias("star_links"), F.sum("passages").alias("n_passages"), F.min("start").alias("first_word"), F.max("stop").alias("last_word"), F.max("longest").alias("longest")))
-    roots = scratch.save(components_of(links, scratch))
+    roots = scratch.save(joined_components(roots, more, scratch))
     rows = scratch.save(rows.join(roots.withColumnRenamed("node", "row").hint("merge"), "row"))
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.when(F.col(f"`{id_col}`").isNotNull(), node_of(docs, id_col)).alias("row"))
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("star_links", "n_passages")]

@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 
-from evoked_spark.llm.passages import DEPTH, PASSAGE_WORDS, RUN, Sums, T, compact_windows, interval_keys, joint_windows, passage_classes, passage_keys, repeated_passages, shared_passages, shingles, word_hashes
+from evoked_spark.llm.common import Scratch, connected_components
+from evoked_spark.llm.passages import DEPTH, PASSAGE_WORDS, RUN, Sums, T, compact_windows, interval_keys, joined_components, joint_windows, passage_classes, passage_keys, repeated_passages, shared_passages, shingles, word_hashes
 
 
 def test_compact_windows_cover_every_range_once():
@@ -170,3 +171,17 @@ def test_copies_under_a_smaller_document_that_fails_are_linked(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
     got = {r.id: r.component_id for r in passage_classes(docs).collect() if r.star_links}
     assert got == {i: i - i % 5 + 2 for i in range(len(texts)) if i % 5 > 1}
+
+
+def test_components_join(spark):
+    """Links that come later join components as if all had been there at once."""
+    rng = random.Random(8)
+    first, later = ([(rng.randrange(300), rng.randrange(300)) for _ in range(n)] for n in (120, 60))
+    later = [(a, b) for a, b in later if a != b]
+    table = lambda rows, names: spark.createDataFrame(rows, names)
+    scratch = Scratch(spark)
+    roots = connected_components(table(first, "u long, v long"), scratch)
+    for more in (later, []):
+        got = joined_components(roots, table(more, "row long, other_row long"), scratch)
+        want = connected_components(table(first + more, "u long, v long"), scratch)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
