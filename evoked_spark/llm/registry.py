@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import queries_dedup as dedup
+from . import queries_lines as lines
 from . import queries_mixing as mixing
 from . import queries_models as models
 from . import queries_quality as quality
@@ -19,6 +20,7 @@ QUERIES = {
     "op8_substring_dedup": dedup.op8_substring_dedup,
     "op9_hmm_scoring": models.op9_hmm_scoring,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_periodic_runs": lines.op11_periodic_runs,
 }
 
 ORACLE = {
