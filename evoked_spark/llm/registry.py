@@ -21,6 +21,8 @@ QUERIES = {
     "op9_hmm_scoring": models.op9_hmm_scoring,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_periodic_runs": lines.op11_periodic_runs,
+    "op12_line_dedup": lines.op12_line_dedup,
+    "op13_spelling_variants": lines.op13_spelling_variants,
 }
 
 ORACLE = {
@@ -28,4 +30,5 @@ ORACLE = {
     "op6_chat_format": text.OP6_SQL,
     "op4_exact_dedup": dedup.OP4_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
+    "op12_line_dedup": lines.OP12_SQL,
 }
