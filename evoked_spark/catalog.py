@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,7 @@ LIMITS = Rejection(ptp=60.0, width_ms=200.0, step_ms=12.5, positive=40.0, negati
 HOURS12 = 43_200.0
 GAPS = (3600.0, 7200.0, 21600.0, 43200.0, 86400.0)
 TAPS = signal.lowpass_taps(10.0, 33.0, T.SFREQ)
-GRID = Tfr(fmin=4.0, fmax=12.0, fstep=4.0)
+GRID = Tfr(fmin=4.0, fmax=12.0, fstep=4.0, method="morlet")
 MORE = (Window("early", 0.05, 0.15), Window())
 
 
@@ -200,6 +201,20 @@ def agg1_gap_stats(spark, d):
     return g.select("recording", "n", *[fixed(c).alias(c) for c in g.columns[2:]])
 
 
+@query(f"""WITH {MK}, n AS (SELECT recording, count(*) AS n FROM mk GROUP BY 1)
+SELECT recording, n, CAST(p AS INT) AS p, true AS within FROM n, (VALUES {', '.join(f'({p})' for p in markers.PERCENTILES)}) AS v(p)""")
+def agg1_gap_sketch(spark, d):
+    """Whether each quantile of the sketch is a gap whose rank is off by n / accuracy at most, counted over all gaps."""
+    accuracy = 50
+    m = T.markers(spark, d)
+    q = markers.gap_stats(m, accuracy)
+    asked = q.select("recording", "n", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"gap_p{p}").alias("value")) for p in markers.PERCENTILES])).alias("q")).select("recording", "n", "q.*")
+    gaps = markers.with_gaps(m).select("recording", "previous").where("previous is not null")
+    counted = asked.join(gaps, "recording", "left").groupBy("recording", "n", "p").agg(F.count("previous").alias("gaps"), F.count_if(F.col("previous") < F.col("value")).alias("below"), F.count_if(F.col("previous") <= F.col("value")).alias("upto"))
+    rank, off = F.ceil(F.col("p") / 100 * F.col("gaps")), F.ceil(F.col("gaps") / accuracy)
+    return counted.select("recording", "n", "p", ((F.col("gaps") == 0) | ((F.col("below") < rank + off) & (F.col("upto") >= rank - off))).alias("within"))
+
+
 @query(f"WITH {MK} SELECT recording, gap_s, count(*) FILTER (previous <= gap_s AND next <= gap_s) AS kept FROM gp, (VALUES {', '.join(f'({g}::DOUBLE)' for g in GAPS)}) AS g(gap_s) GROUP BY ALL")
 def agg2_candidate_gaps(spark, d):
     return markers.candidate_gaps(T.markers(spark, d), GAPS)
@@ -284,7 +299,7 @@ cl AS (SELECT recording, count(*) FILTER (flag AND NOT coalesce(before, false))
 
 def _blink_flags(spark, d):
     b = T.blocks(spark, d)
-    return b, artifacts.continuous_ptp(b.where("kind = 'eog'"), LIMITS, T.BLOCK)
+    return b, artifacts.continuous_ptp(b.where("kind = 'eog'"), LIMITS)
 
 
 @query(f"WITH {BL}, {PTP} SELECT recording, {R('clusters / ((SELECT max(s) FROM sg g WHERE g.recording = cl.recording) / 80.0 / 60)')} AS blinks_per_min FROM cl")
@@ -381,7 +396,7 @@ x AS (SELECT recording, channel, s, v FROM sg
   UNION ALL SELECT a.recording, a.channel, 2 * last - a.s, 2 * b.v - a.v FROM sg a JOIN n USING (recording, channel) JOIN sg b ON a.recording = b.recording AND a.channel = b.channel AND b.s = last WHERE a.s BETWEEN last - {len(TAPS) // 2} AND last - 1)
 SELECT x.recording, x.channel, s + k AS s, {R('sum(v * c) * 1e6')} AS uv FROM x CROSS JOIN h JOIN n ON x.recording = n.recording AND x.channel = n.channel WHERE s + k BETWEEN 0 AND last GROUP BY ALL""")
 def win6_zero_phase_filter(spark, d):
-    b = signal.fir(T.blocks(spark, d), TAPS, T.BLOCK)
+    b = signal.fir(T.blocks(spark, d), TAPS)
     long = b.select("recording", "channel", "start", F.posexplode("values").alias("i", "v"))
     return long.select("recording", "channel", (F.col("start") + F.col("i")).alias("s"), fixed(F.col("v") * 1e6).alias("uv"))
 
@@ -484,28 +499,85 @@ def scl5_blink_channels(spark, d):
     return artifacts.blink_channels(e.union(named(b, "eog-")).union(named(e.where("channel <> 'Fp1'"), "none-"))).select("recording", "source")
 
 
-# 2.8 components; the fit has no SQL form
+# 2.8 components; the fit has no SQL form, so what follows it is also shown on a model given by a rule
 
 
 @query(f"""WITH {RANKED}, o AS (SELECT *, abs(r - avg(r) OVER w) > stddev_pop(r) OVER w AS far FROM r WINDOW w AS (PARTITION BY recording)),
 n AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY abs(r) DESC, component) AS rank FROM o WHERE far)
 SELECT recording, string_agg(CAST(component AS VARCHAR), ',' ORDER BY rank) AS exclude, {R('max(r) FILTER (rank = 1)')} AS top_score FROM n WHERE rank <= 3 GROUP BY 1""")
 def ica3_eog_outliers(spark, d):
-    found = ica.eog_outliers(_channel_scores(spark, d), z=1.0)
+    found = ica.eog_outliers(_channel_scores(spark, d), z=1.0, rounds=1)
     return found.select("recording", text("exclude").alias("exclude"), fixed(F.get("top_scores", F.lit(0))).alias("top_score"))
 
 
+def _weights(k: int, c: int) -> tuple[float, float]:
+    """Unmixing and mixing weight of component k and channel c of the model given by a rule."""
+    return math.cos(k * (c + 1)), math.sin(k + c + 1) / 10
+
+
+EEG = [c for c in T.CHANNELS if c != "Fp1"]
+MODEL = [(k, c, *_weights(k, i)) for k in range(12) for i, c in enumerate(EEG)]
+
+
+def _model(spark, d):
+    rows = spark.createDataFrame(MODEL, "component int, channel string, unmix double, mix double")
+    return T.blocks(spark, d).select("recording").distinct().join(F.broadcast(rows))  # 48 rows
+
+
+COMPONENTS = f"""{BL}, md(component, channel, unmix, mix) AS (VALUES {', '.join(f"({k}, '{c}', {u:.17g}::DOUBLE, {m:.17g}::DOUBLE)" for k, c, u, m in MODEL)}),
+src AS (SELECT recording, component, s, sum(unmix * v) AS y FROM sg JOIN md USING (channel) GROUP BY ALL),
+sc AS (SELECT a.recording, component, corr(y, v) AS r FROM src a JOIN sg b ON a.recording = b.recording AND a.s = b.s WHERE b.channel = 'Fp1' GROUP BY ALL),
+o1 AS (SELECT *, abs(r - avg(r) OVER w) > 1.5 * stddev_pop(r) OVER w AS far FROM sc WINDOW w AS (PARTITION BY recording)),
+o2 AS (SELECT *, far OR coalesce(abs(r - avg(r) FILTER (NOT far) OVER w) > 1.5 * stddev_pop(r) FILTER (NOT far) OVER w, false) AS bad FROM o1 WINDOW w AS (PARTITION BY recording)),
+ol AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY abs(r) DESC, component) AS rank FROM o2 WHERE bad)"""
+
+
+def _component_outliers(spark, d, model):
+    b = T.blocks(spark, d)
+    return ica.eog_outliers(ica.eog_scores(b, model, ["Fp1"]), z=1.5)
+
+
+@query(f"WITH {COMPONENTS} SELECT recording, CAST(component AS INT) AS component, s, {R('y * 1e6')} AS uv FROM src")
+def ica2_sources(spark, d):
+    parts = ica.sources(T.blocks(spark, d).where("kind = 'eeg'"), _model(spark, d))
+    long = parts.select("recording", "component", "start", F.posexplode("values").alias("i", "v"))
+    return long.select("recording", "component", (F.col("start") + F.col("i")).alias("s"), fixed(F.col("v") * 1e6).alias("uv"))
+
+
+@query(f"""WITH {COMPONENTS} SELECT recording, string_agg(CAST(component AS VARCHAR), ',' ORDER BY rank) FILTER (rank <= 3) AS exclude,
+string_agg(CAST(component AS VARCHAR), ',' ORDER BY rank) AS candidates, {R('max(r) FILTER (rank = 1)')} AS top_score FROM ol GROUP BY 1""")
+def ica3_component_outliers(spark, d):
+    found = _component_outliers(spark, d, _model(spark, d))
+    return found.select("recording", text("exclude").alias("exclude"), text("candidates").alias("candidates"), fixed(F.get("top_scores", F.lit(0))).alias("top_score"))
+
+
+@query(f"""WITH {COMPONENTS}, g AS (SELECT src.recording, channel, s, sum(mix * y) AS gone FROM src JOIN ol USING (recording, component) JOIN md USING (component) WHERE rank <= 3 GROUP BY ALL)
+SELECT recording, channel, s, {R('(v - coalesce(gone, 0)) * 1e6')} AS uv FROM sg LEFT JOIN g USING (recording, channel, s)""")
+def ica4_removed(spark, d):
+    model = _model(spark, d)
+    clean = ica.remove(T.blocks(spark, d), model, _component_outliers(spark, d, model))
+    long = clean.select("recording", "channel", "start", F.posexplode("values").alias("i", "v"))
+    return long.select("recording", "channel", (F.col("start") + F.col("i")).alias("s"), fixed(F.col("v") * 1e6).alias("uv"))
+
+
+def _filtered_for_fit(spark, d):
+    """The blocks with what the fit takes and what the EOG scores take, from one pass."""
+    p = Ica()
+    both = signal.filtered(T.blocks(spark, d), {"fit": [signal.band_pass_taps(p.high_pass, p.low_pass, T.SFREQ)], "eye": [signal.band_pass_taps(*p.eog_band, T.SFREQ)]})
+    return [both.withColumn("values", F.col(c)).drop("fit", "eye") for c in ("fit", "eye")]
+
+
 @query()
 def ica1_fit(spark, d):
-    return ica.fit(T.blocks(spark, d))
+    return ica.fit(_filtered_for_fit(spark, d)[0])
 
 
 @query()
 def ica2_to_4_clean(spark, d):
-    b = T.blocks(spark, d)
-    model = ica.fit(b)
-    scores = ica.proxy_scores(ica.sources(b.where("kind = 'eeg'"), model), b.where("kind = 'eog'"))
-    clean = ica.remove(b, model, ica.rank(scores, Ica(threshold=0.01)))
+    """Fit on the high-passed signal, EOG branch on the band-passed one, removal from the signal itself."""
+    fit, eye = _filtered_for_fit(spark, d)
+    model = ica.fit(fit)
+    clean = ica.remove(T.blocks(spark, d), model, ica.eog_outliers(ica.eog_scores(eye, model, ["Fp1"]), z=1.0))
     long = clean.select("recording", "channel", "start", F.posexplode("values").alias("i", "v"))
     return long.select("recording", "channel", (F.col("start") + F.col("i")).alias("s"), fixed(F.col("v") * 1e6).alias("uv"))
 
@@ -521,6 +593,22 @@ def out1_erp_timeseries(spark, d):
     return averages.erp_timeseries(T.epochs(spark, d), -0.2, 0.4, factor=2).withColumn("amplitude_uv", fixed("amplitude_uv"))
 
 
+@query(f"""WITH {EP}, ct AS (SELECT *, CASE WHEN epoch_id % 3 = 0 THEN 'Novel' ELSE condition END AS c FROM sm WHERE CAST(recording AS INT) % 4 <> 1 OR condition <> 'Standard'),
+c AS (SELECT * FROM ct WHERE rel BETWEEN -16 AND 32 AND c IN ('Standard', 'Novel')), bs AS (SELECT *, v - avg(v) FILTER (rel BETWEEN -16 AND 0) OVER (PARTITION BY epoch_id, channel) AS u FROM c),
+ev AS (SELECT recording, c AS condition, channel, rel, avg(u) AS value, count(*) AS n_epochs FROM bs GROUP BY ALL),
+rec AS (SELECT DISTINCT CAST(c_custkey % 12 AS VARCHAR) AS recording FROM customer),
+st AS (SELECT recording, CASE WHEN recording NOT IN (SELECT recording FROM ct) THEN 'EMPTY_EPOCHS' ELSE 'NO_CONDITIONS' END AS status FROM rec WHERE recording NOT IN (SELECT recording FROM ev))
+SELECT recording AS subject, condition, n_epochs, channel, rel / 80.0::DOUBLE AS time_s, {R('value * 1e6')} AS amplitude_uv, 'OK' AS status FROM ev WHERE rel % 8 = 0
+UNION ALL SELECT recording, NULL, NULL, NULL, NULL, NULL, status FROM st""")
+def out1_with_status_rows(spark, d):
+    """Two of three conditions asked for; some recordings have neither, others no epochs."""
+    e = T.epochs(spark, d).where("cast(recording as int) % 4 <> 1 or condition <> 'Standard'")
+    e = e.withColumn("condition", F.when(F.col("epoch_id") % 3 == 0, "Novel").otherwise(F.col("condition")))
+    recordings = spark.read.parquet(f"{d}/customer.parquet").select((F.col("c_custkey") % 12).cast("string").alias("recording"))
+    t = averages.erp_timeseries(e, -0.2, 0.4, factor=8, conditions=("Standard", "Novel"), recordings=recordings)
+    return t.withColumn("amplitude_uv", fixed("amplitude_uv"))
+
+
 @query(f"""WITH {EP}, sm2 AS (SELECT * FROM sm), {_taps_sql()}, b0 AS (SELECT recording, epoch_id, condition, channel, rel, v - avg(v) FILTER (rel BETWEEN -16 AND 0) OVER (PARTITION BY epoch_id, channel) AS v FROM sm2),
 z AS (SELECT recording, condition, channel, epoch_id, f, rel + k AS rel, sum(v * re) AS re, sum(v * im) AS im FROM b0, wl WHERE rel + k BETWEEN -16 AND 47 GROUP BY ALL),
 tf AS (SELECT recording, condition, channel, f AS frequency, rel, avg(re * re + im * im) AS p, sqrt(avg(re / sqrt(re * re + im * im)) ** 2 + avg(im / sqrt(re * re + im * im)) ** 2) AS itc, avg(re) ** 2 + avg(im) ** 2 AS ep, count(*) AS n_epochs FROM z GROUP BY ALL),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,17 +37,6 @@ def peak_to_peak(values: Column) -> Column:
     return F.array_max(values) - F.array_min(values)
 
 
-def moving_exceeds(values: Column, width: Column, step: Column, limit: float) -> Column:
-    """Whether a window of ``width`` samples at 0, step, 2 step ... spans ``limit`` or more.
-
-    Data shorter than a window is one window; an empty array never exceeds.
-    """
-    n = F.size(values)
-    starts = F.sequence(F.lit(0), F.greatest(n - width, F.lit(0)), step)
-    over: Callable[[Column], Column] = lambda i: peak_to_peak(F.slice(values, i + 1, F.least(width, n))) >= limit
-    return F.when(n > 0, F.exists(starts, over)).otherwise(F.lit(False))
-
-
 def window_samples(ms: float, sfreq: Column | float) -> Column:
     """max(1, round(ms * sfreq / 1000))."""
     rate = sfreq if isinstance(sfreq, Column) else F.lit(sfreq)

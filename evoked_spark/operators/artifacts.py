@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import samples as S
+from ..functions.windows import moving_exceeds
 from ..params import Rejection
 from .epochs import any_over, crop
+from .streams import window_flags
 
 EPOCH = ["recording", "epoch_id"]
 
@@ -19,7 +21,7 @@ def moving_ptp(epochs: DataFrame, limits: Rejection) -> DataFrame:
     """Epochs where a moving window of any channel spans ``ptp`` microvolts or more."""
     test = crop(epochs, limits.tmin, limits.tmax)
     width, step = S.window_samples(limits.width_ms, F.col("sfreq")), S.window_samples(limits.step_ms, F.col("sfreq"))
-    return any_over(S.moving_exceeds(S.microvolts(F.col("values")), width, step, limits.ptp), EPOCH, test)
+    return any_over(moving_exceeds(S.microvolts(F.col("values")), width, step, limits.ptp), EPOCH, test)
 
 
 def voltage(epochs: DataFrame, limits: Rejection) -> DataFrame:
@@ -49,22 +51,14 @@ def clusters(flags: DataFrame, keys: Sequence[str], order: str, flag: str = "fla
     return starts.groupBy(*keys).agg(F.count_if(F.col("starts")).alias("clusters"))
 
 
-def continuous_ptp(blocks: DataFrame, limits: Rejection, block_size: int, unit: str = "window") -> DataFrame:
+def continuous_ptp(blocks: DataFrame, limits: Rejection, unit: str = "window") -> DataFrame:
     """Flags of the moving window over a continuous signal: ``(recording, i, flag)``.
 
     ``unit='window'``: one flag per window start of the global grid, over all
     channels.  ``unit='channel'``: one flag per channel, in channel order.
-    A window that reaches into the next block takes its samples from there, so
-    ``block_size`` must be a multiple of the step and at least the window.
+    Blocks may have any lengths.
     """
-    w = W.partitionBy("recording", "channel").orderBy("block")
-    width, step = S.window_samples(limits.width_ms, F.col("sfreq")), S.window_samples(limits.step_ms, F.col("sfreq"))
-    df = blocks.withColumns({"w": width, "s": step})
-    df = df.withColumn("more", F.coalesce(F.lead(F.slice("values", F.lit(1), F.col("w") - 1)).over(w), F.array().cast("array<double>")))
-    df = df.withColumn("all", S.microvolts(F.concat("values", "more"))).withColumn("n", F.size("all"))
-    starts = F.when(F.col("n") >= F.col("w"), F.sequence(F.lit(0), F.col("n") - F.col("w"), F.col("s")))
-    ptp = F.transform(F.filter(starts, lambda i: i < F.size("values")), lambda i: F.struct(((F.col("start") + i) / F.col("s")).cast("long").alias("i"), (S.peak_to_peak(F.slice("all", i + 1, F.col("w"))) >= limits.ptp).alias("flag")))
-    flags = df.select("recording", "channel", F.explode(ptp).alias("p")).select("recording", "channel", "p.i", "p.flag")
+    flags = window_flags(blocks, limits.ptp * 1e-6, limits.width_ms, limits.step_ms)
     if unit == "window":
         return flags.groupBy("recording", "i").agg(F.bool_or("flag").alias("flag"))
     return flags.groupBy("recording", F.col("channel").alias("i")).agg(F.bool_or("flag").alias("flag"))
@@ -78,29 +72,29 @@ def blink_rate(flags: DataFrame, blocks: DataFrame) -> DataFrame:
     return last.join(found, "recording", "left").select("recording", rate.alias("blinks_per_min"))
 
 
-def correlation(n: Column, sx: Column, sy: Column, sxy: Column, sxx: Column, syy: Column) -> Column:
-    """Pearson's r from sums; NULL where a side is constant."""
-    return F.try_divide(n * sxy - sx * sy, F.sqrt(F.greatest(n * sxx - sx * sx, F.lit(0.0)) * F.greatest(n * syy - sy * sy, F.lit(0.0))))
-
-
-def dot(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-
-
-def total(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+def centred_products(x: Column, y: Column, mx: Column, my: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: (a - mx) * (b - my)), F.lit(0.0), lambda s, v: s + v)
 
 
 def pair_correlations(left: DataFrame, right: DataFrame) -> DataFrame:
     """``(recording, a, b, r)`` for every channel of ``left`` with every one of ``right``; both are blocks.
 
-    Blocks of one recording meet by number; what is shuffled further are sums.
+    Blocks of one recording meet by number and give their means and centred
+    products.  These are merged about the means of the whole, so that a large
+    offset costs no digits; r is NULL where a side is constant.
     """
-    a = left.select("recording", "block", F.col("channel").alias("a"), F.col("values").alias("x"))
-    b = right.select("recording", "block", F.col("channel").alias("b"), F.col("values").alias("y"))
-    sums = a.join(b, ["recording", "block"]).select("recording", "a", "b", F.size("x").cast("double").alias("n"), total(F.col("x")).alias("sx"), total(F.col("y")).alias("sy"), dot(F.col("x"), F.col("y")).alias("sxy"), dot(F.col("x"), F.col("x")).alias("sxx"), dot(F.col("y"), F.col("y")).alias("syy"))
-    s = sums.groupBy("recording", "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx", "syy")])
-    return s.select("recording", "a", "b", correlation(*[F.col(c) for c in ("n", "sx", "sy", "sxy", "sxx", "syy")]).alias("r"))
+    a = left.select("recording", "block", F.col("channel").alias("a"), F.col("values").alias("x"), S.mean(F.col("values")).alias("mx"))
+    b = right.select("recording", "block", F.col("channel").alias("b"), F.col("values").alias("y"), S.mean(F.col("values")).alias("my"))
+    met = a.join(b, ["recording", "block"]).where(F.size("x") > 0)
+    c = lambda p, q: centred_products(F.col(p), F.col(q), F.col(f"m{p}"), F.col(f"m{q}"))
+    parts = met.select("recording", "a", "b", F.size("x").cast("double").alias("n"), "mx", "my", c("x", "y").alias("xy"), c("x", "x").alias("xx"), c("y", "y").alias("yy"))
+    pair = W.partitionBy("recording", "a", "b")
+    whole = lambda m: F.sum(F.col("n") * F.col(m)).over(pair) / F.sum("n").over(pair)
+    about = parts.withColumns({"ax": whole("mx"), "ay": whole("my")}).withColumns({"dx": F.col("mx") - F.col("ax"), "dy": F.col("my") - F.col("ay")})
+    merged = lambda p, d, e: F.sum(F.col(p) + F.col("n") * F.col(d) * F.col(e))
+    s = about.groupBy("recording", "a", "b").agg(F.sum("n").alias("n"), F.first("ax").alias("ax"), F.first("ay").alias("ay"), merged("xy", "dx", "dy").alias("xy"), merged("xx", "dx", "dx").alias("xx"), merged("yy", "dy", "dy").alias("yy"))
+    varies = lambda v, m: F.col(v) > F.col("n") * F.pow(F.lit(1e-14) * F.col(m), 2)  # noqa: E731  # beyond the rounding of the mean
+    return s.select("recording", "a", "b", F.when(varies("xx", "ax") & varies("yy", "ay"), F.col("xy") / F.sqrt("xx") / F.sqrt("yy")).alias("r"))
 
 
 def eog_correlation(blocks: DataFrame) -> DataFrame:

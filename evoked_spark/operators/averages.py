@@ -8,19 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import Window
-from .epochs import baseline, crop, decimate, samples
+from .epochs import baseline, crop, decimate
+from .vectors import vector_sums
 
-POINT = ["recording", "condition", "channel", "rel"]
 MMN = "MMN_DEV_MINUS_STD"
 
 
 def evoked(epochs: DataFrame) -> DataFrame:
     """``(recording, condition, channel, rel, sfreq, value, n_epochs)``; conditions without epochs have no rows.
 
-    One shuffle, of partial sums: the rows that travel are channels x samples,
-    however many epochs there are.
+    Arrays are added up as they are; what is shuffled is one array per key and
+    task, however many epochs there are.  Samples become rows at last.
     """
-    return samples(epochs).groupBy(*POINT).agg(F.first("sfreq").alias("sfreq"), F.avg("v").alias("value"), F.count("*").alias("n_epochs"))
+    sums = vector_sums(epochs, ["recording", "condition", "channel", "sfreq"], ["values"], "rel0")
+    long = sums.select("recording", "condition", "channel", "sfreq", "first", F.posexplode(F.arrays_zip("values", "values_n", "rows")).alias("i", "s"))
+    return long.select("recording", "condition", "channel", (F.col("first") + F.col("i")).cast("int").alias("rel"), "sfreq", F.try_divide("s.values", "s.values_n").alias("value"), F.col("s.rows").cast("long").alias("n_epochs")).where("n_epochs > 0")
 
 
 def grand_average(waves: DataFrame) -> DataFrame:
@@ -61,17 +63,30 @@ def with_status_rows(rows: DataFrame, recordings: DataFrame, conditions: Sequenc
     return rows.withColumn("status", F.lit("OK")).unionByName(missing.withColumn("status", F.lit(status)), allowMissingColumns=True)
 
 
-def erp_metrics(epochs: DataFrame, windows: Sequence[Window] = (Window(),), channels: Sequence[str] = (), conditions: Sequence[str] = ("Standard", "Deviant"), name: str = MMN) -> DataFrame:
+def erp_metrics(epochs: DataFrame, windows: Sequence[Window] = (Window(),), channels: Sequence[str] = (), conditions: Sequence[str] = ("Standard", "Deviant"), contrast: tuple[str, str] = ("Deviant", "Standard"), name: str = MMN) -> DataFrame:
     """Window amplitudes of the conditions and of their difference, with status rows for what is missing."""
     picked = epochs.where(F.col("channel").isin(*channels)) if channels else epochs
     waves = evoked(picked.where(F.col("condition").isin(*conditions)))
-    both = waves.unionByName(difference(waves, name=name, count="sum"))
+    both = waves.unionByName(difference(waves, *contrast, name=name, count="sum"))
     return with_status_rows(window_means(both, windows), epochs, [*conditions, name], "MISSING_OR_EMPTY").withColumnRenamed("recording", "subject")
 
 
-def erp_timeseries(epochs: DataFrame, tmin: float, tmax: float, base: tuple[float, float] | None = (-0.2, 0.0), factor: int = 1, channels: Sequence[str] = (), name: str = MMN) -> DataFrame:
-    """Crop, baseline, average, difference and decimate; one row per sample, in microvolts."""
+def erp_timeseries(epochs: DataFrame, tmin: float, tmax: float, base: tuple[float, float] | None = (-0.2, 0.0), factor: int = 1, channels: Sequence[str] = (), conditions: Sequence[str] = ("Standard", "Deviant"), recordings: DataFrame | None = None, contrast: tuple[str, str] = ("Deviant", "Standard"), name: str = MMN) -> DataFrame:
+    """Crop, baseline, average, difference and decimate; one row per sample, in microvolts.
+
+    ``conditions`` are the ones asked for; a recording with epochs but none of
+    them has one row of status NO_CONDITIONS, and one of ``recordings`` (those
+    of ``epochs`` unless given) without epochs one of status EMPTY_EPOCHS.  The
+    difference is given wherever both of its conditions are asked for and there.
+    """
     e = crop(epochs.where(F.col("channel").isin(*channels)) if channels else epochs, tmin, tmax)
+    e = e.where(F.col("condition").isin(*conditions))
     waves = evoked(baseline(e, *base) if base else e)
-    both = decimate(waves.unionByName(difference(waves, name=name)), factor)
-    return both.select(F.col("recording").alias("subject"), "condition", "n_epochs", "channel", (F.col("rel") / F.col("sfreq")).alias("time_s"), (F.col("value") * 1e6).alias("amplitude_uv"), F.lit("OK").alias("status"))
+    both = waves.unionByName(difference(waves, *contrast, name=name)) if set(contrast) <= set(conditions) else waves
+    both = decimate(both, factor)
+    rows = both.select(F.col("recording").alias("subject"), "condition", "n_epochs", "channel", (F.col("rel") / F.col("sfreq")).alias("time_s"), (F.col("value") * 1e6).alias("amplitude_uv"), F.lit("OK").alias("status"))
+    there = epochs.groupBy("recording").agg(F.bool_or(F.col("condition").isin(*conditions)).alias("asked"))
+    every = recordings.select("recording").distinct() if recordings is not None else there.select("recording")
+    status = F.when(F.col("asked").isNull(), "EMPTY_EPOCHS").when(~F.col("asked"), "NO_CONDITIONS")
+    lost = every.join(there, "recording", "left").select(F.col("recording").alias("subject"), status.alias("status")).where("status is not null")
+    return rows.unionByName(lost, allowMissingColumns=True)

@@ -53,11 +53,31 @@ def cut(blocks: DataFrame, events: DataFrame, tmin: float, tmax: float, block_si
     return full.select("recording", F.col("seq").alias("epoch_id"), *extra, "channel", "kind", "sfreq", "pos", (F.col("lo") - F.col("pos")).cast("int").alias("rel0"), "values")
 
 
-def drop_bad_spans(epochs: DataFrame, markers: DataFrame) -> DataFrame:
-    """Epochs that no marker starting with ``bad`` (any case; pos to pos + size) overlaps."""
-    bad = markers.where(F.lower("desc").startswith("bad")).select(F.col("recording").alias("r"), F.col("pos").alias("bad_from"), (F.col("pos") + F.col("size")).alias("bad_to"))
-    start, stop = F.col("pos") + F.col("rel0"), F.col("pos") + F.col("rel0") + F.size("values") - 1
-    return epochs.join(bad, (F.col("recording") == F.col("r")) & (F.col("bad_from") <= stop) & (F.col("bad_to") > start), "left_anti")
+def touched_by_bad_spans(spans: DataFrame, markers: DataFrame, bucket: int) -> DataFrame:
+    """The keys ``(recording, epoch_id)`` of ``spans(recording, epoch_id, lo, hi)`` that a BAD marker overlaps.
+
+    A marker is BAD if its text starts so, in any case; it reaches from pos to
+    pos + size.  Both sides name the buckets of samples they reach into, so the
+    join is an equi-join on recording and bucket.
+    """
+    of = lambda low, high: F.explode(F.sequence(F.floor(low / bucket), F.floor(F.greatest(low, high) / bucket))).alias("bucket")
+    bad = markers.where(F.lower("desc").startswith("bad")).select("recording", F.col("pos").alias("bad_from"), (F.col("pos") + F.col("size")).alias("bad_to"))
+    bad = bad.select("*", of(F.col("bad_from"), F.col("bad_to")))
+    own = spans.select("recording", "epoch_id", "lo", "hi", of(F.col("lo"), F.col("hi")))
+    return own.join(bad, ["recording", "bucket"]).where("bad_from <= hi and bad_to > lo").select("recording", "epoch_id").distinct()
+
+
+def events_without_bad_spans(events: DataFrame, markers: DataFrame, sfreq: float, tmin: float, tmax: float, bucket: int = 4096) -> DataFrame:
+    """Events whose epoch no BAD marker overlaps; decided before any signal is cut."""
+    spans = events.select("recording", F.col("seq").alias("epoch_id"), (F.col("pos") + S.bound(tmin, sfreq)).alias("lo"), (F.col("pos") + S.bound(tmax, sfreq)).alias("hi"))
+    touched = touched_by_bad_spans(spans, markers, bucket).withColumnRenamed("epoch_id", "seq")
+    return events.join(touched, ["recording", "seq"], "left_anti")
+
+
+def drop_bad_spans(epochs: DataFrame, markers: DataFrame, bucket: int = 4096) -> DataFrame:
+    """Epochs that no BAD marker overlaps; tested once per event, not per channel."""
+    spans = epochs.select("recording", "epoch_id", (F.col("pos") + F.col("rel0")).alias("lo"), (F.col("pos") + F.col("rel0") + F.size("values") - 1).alias("hi")).distinct()
+    return epochs.join(touched_by_bad_spans(spans, markers, bucket), ["recording", "epoch_id"], "left_anti")
 
 
 def reject(epochs: DataFrame, flagged: DataFrame) -> DataFrame:

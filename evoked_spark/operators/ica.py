@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,8 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..params import Ica
+from ..sources.lineage import written
 from .artifacts import pair_correlations
-from .signal import band_pass_taps, fir
 
 MODEL = "recording string, component int, channel string, unmix double, mix double"
 
@@ -34,55 +36,126 @@ def gate(mode: str, eog_rate: Column, proxy_rate: Column, threshold: float) -> C
     return F.coalesce(F.coalesce(F.nullif(eog_rate, F.lit(0.0)), proxy_rate) >= threshold, F.lit(False))
 
 
-def fast_ica(x: np.ndarray, p: Ica) -> tuple[np.ndarray, np.ndarray]:
-    """(unmixing, mixing) of channels x samples: PCA to a number of components or a share of variance, then symmetric fixed-point rounds with logcosh."""
-    scale = x.std() or 1.0
-    x = (x - x.mean(1, keepdims=True)) / scale
-    u, s, _ = np.linalg.svd(x @ x.T / x.shape[1])
+def whitening(cov: np.ndarray, mean: np.ndarray, p: Ica) -> np.ndarray:
+    """Components x channels: PCA of the signal, scaled as a whole, to a number of components or a share of variance."""
+    scale = math.sqrt((np.diag(cov) + (mean - mean.mean()) ** 2).mean()) or 1.0
+    u, s, _ = np.linalg.svd(cov / scale**2)
     wanted = p.components or int(np.searchsorted(np.cumsum(s) / max(s.sum(), 1e-300), p.variance, side="right")) + 1
     k = min(wanted, int((s > 1e-12 * max(s[0], 1e-300)).sum()))
-    if k == 0:
-        return np.zeros((0, len(x))), np.zeros((len(x), 0))
-    white = (u[:, :k] / np.sqrt(s[:k])).T
-    z = white @ x
-    rng = np.random.RandomState(p.seed)
-    w = _orthogonal(rng.normal(size=(k, k)))
-    for _ in range(p.iterations):
-        g = np.tanh(w @ z)
-        new = _orthogonal(g @ z.T / z.shape[1] - (1 - g**2).mean(1)[:, None] * w)
-        done = np.max(np.abs(np.abs((new * w).sum(1)) - 1)) < 1e-6
-        w = new
-        if done:
-            break
-    unmix = w @ white / scale
-    mix = np.linalg.pinv(unmix)
-    order = np.argsort(-(mix**2).sum(0))
-    return unmix[order], mix[:, order]
+    return (u[:, :k] / np.sqrt(s[:k])).T / scale
 
 
-def _orthogonal(w: np.ndarray) -> np.ndarray:
+def orthogonal(w: np.ndarray) -> np.ndarray:
     u, _, v = np.linalg.svd(w)
     return u @ v
 
 
-def fit(blocks: DataFrame, p: Ica = Ica()) -> DataFrame:
-    """``ica_model`` rows per recording, from EEG blocks that were high-passed before.
+def first_rotation(k: int, p: Ica) -> np.ndarray:
+    return orthogonal(np.random.RandomState(p.seed).normal(size=(k, k)))
+
+
+def fixed_point(w: np.ndarray, gz: np.ndarray, slope: np.ndarray, n: float) -> np.ndarray:
+    """One symmetric round with logcosh: from the sums of tanh(w z) z' and of its slopes over all samples."""
+    return orthogonal(gz / n - (slope / n)[:, None] * w)
 
-    Every sample that decimation leaves takes part.  A recording is one group,
-    since the fixed-point rounds go over its samples again and again: an hour of
-    32 channels at 500 Hz, decimated by 3, takes 154 MB of a worker.
-    """
-    kept = blocks.where("kind = 'eeg'")
-    thin = F.transform(F.filter(F.transform("values", lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda e: F.pmod(F.col("start") + e["i"], F.lit(p.decimate)) == 0), lambda e: e["v"])
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(group["channel"].unique())
-        by_block = group.sort_values("block").groupby("channel")["values"]
-        x = np.stack([np.concatenate([np.asarray(v, float) for v in by_block.get_group(c)]) for c in names])
-        unmix, mix = fast_ica(x, p)
-        return pd.DataFrame([(group["recording"].iloc[0], k, c, unmix[k, i], mix[i, k]) for k in range(len(unmix)) for i, c in enumerate(names)], columns=["recording", "component", "channel", "unmix", "mix"])
+def thinned(blocks: DataFrame, every: int) -> DataFrame:
+    """Blocks with every ``every``-th sample of the whole signal."""
+    kept = F.filter("values", lambda v, i: F.pmod(F.col("start") + i, F.lit(every)) == 0)
+    return blocks.withColumn("values", kept) if every > 1 else blocks
 
-    return kept.select("recording", "channel", "block", thin.alias("values")).groupBy("recording").applyInPandas(solve, MODEL)
+
+Matrices = dict[str, tuple[np.ndarray, ...]]
+
+
+def _totals(frames: DataFrame, add: Callable[[np.ndarray, tuple[np.ndarray, ...]], np.ndarray], given: Matrices | None) -> dict[str, np.ndarray]:
+    """add(samples, matrices of the recording), summed over all frames of each recording of ``given`` (None: of all).
+
+    Tasks add up what they read; frames are ordered by recording, so the driver
+    gets about one small array per task and recording.
+    """
+    shared = frames.sparkSession.sparkContext.broadcast(given)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for r, channels, data in zip(batch["recording"], batch["channels"], batch["data"]):
+                if shared.value is None or r in shared.value:
+                    x = np.asarray(data, float).reshape(len(channels), -1)
+                    part = add(x, shared.value[r] if shared.value is not None else ())
+                    held[r] = held[r] + part if r in held else part
+        yield pd.DataFrame({"recording": list(held), "total": [t.ravel() for t in held.values()]})
+
+    out: dict[str, np.ndarray] = {}
+    for row in frames.mapInPandas(run, "recording string, total array<double>").collect():
+        part = np.asarray(row["total"])
+        out[row["recording"]] = out[row["recording"]] + part if row["recording"] in out else part
+    shared.unpersist()
+    return out
+
+
+def _fit_wave(frames: DataFrame, names: dict[str, list[str]], p: Ica) -> pd.DataFrame:
+    """The models of some recordings; every round is one pass over their frames."""
+    sums = _totals(frames, lambda x, _: np.append(x.sum(1), x.shape[1]), None)
+    mean = {r: t[:-1] / max(t[-1], 1) for r, t in sums.items() if t[-1]}
+    n = {r: sums[r][-1] for r in mean}
+
+    def products(x: np.ndarray, own: tuple[np.ndarray, ...]) -> np.ndarray:
+        c = x - own[0][:, None]
+        return c @ c.T
+
+    cov = {r: t.reshape(len(mean[r]), -1) / n[r] for r, t in _totals(frames, products, {r: (m,) for r, m in mean.items()}).items()}
+    white = {r: whitening(cov[r], mean[r], p) for r in mean}
+    w = {r: first_rotation(len(v), p) for r, v in white.items() if len(v)}
+
+    def moments(x: np.ndarray, own: tuple[np.ndarray, ...]) -> np.ndarray:
+        z = own[1] @ (x - own[0][:, None])
+        g = np.tanh(own[2] @ z)
+        return np.concatenate([(g @ z.T).ravel(), (1 - g**2).sum(1)])
+
+    open_ = set(w)
+    for _ in range(p.iterations):
+        if not open_:
+            break
+        found = _totals(frames, moments, {r: (mean[r], white[r], w[r]) for r in open_})
+        for r in list(open_):
+            k = len(w[r])
+            new = fixed_point(w[r], found[r][: k * k].reshape(k, k), found[r][k * k :], n[r])
+            if np.max(np.abs(np.abs((new * w[r]).sum(1)) - 1)) < p.tolerance:
+                open_.discard(r)
+            w[r] = new
+    rows = []
+    for r in sorted(w):
+        unmix = w[r] @ white[r]
+        mix = np.linalg.pinv(unmix)
+        order = np.argsort(-(mix**2).sum(0))
+        rows += [(r, i, c, unmix[k, j], mix[j, k]) for i, k in enumerate(order) for j, c in enumerate(names[r])]
+    return pd.DataFrame(rows, columns=["recording", "component", "channel", "unmix", "mix"])
+
+
+def fit(blocks: DataFrame, p: Ica = Ica(), wave: int = 256) -> DataFrame:
+    """``ica_model`` rows per recording, from EEG blocks that were filtered before.
+
+    Every sample that decimation leaves takes part.  Means, covariances and the
+    rounds of the fixed point are sums over frames, so a recording may lie in
+    any number of tasks; the driver holds the small matrices of ``wave``
+    recordings at a time.  Recordings of a wave go through their rounds
+    together until each has settled or ``p.iterations`` are over.  A recording
+    without samples, or without variance, has no rows.
+    """
+    spark = blocks.sparkSession
+    kept = thinned(blocks.where("kind = 'eeg'"), p.decimate)
+    rows = kept.groupBy("recording", "block").agg(F.sort_array(F.collect_list(F.struct("channel", "values"))).alias("rows"))
+    frames = rows.select("recording", "block", F.col("rows.channel").alias("channels"), F.flatten("rows.values").alias("data"))
+    frames = written(frames.repartitionByRange("recording", "block"))
+    n = frames.select("recording").distinct().count()
+    waves, models = max(1, -(-n // wave)), []
+    for i in range(waves):
+        part = frames.where(F.pmod(F.xxhash64("recording"), F.lit(waves)) == i) if waves > 1 else frames
+        names = {r["recording"]: r["channels"] for r in part.groupBy("recording").agg(F.first("channels").alias("channels")).collect()}
+        model = spark.createDataFrame(_fit_wave(part, names, p), MODEL)
+        models.append(written(model) if waves > 1 else model)
+    return reduce(DataFrame.unionAll, models)
 
 
 def _with_model(blocks: DataFrame, model: DataFrame, *weights: str) -> DataFrame:
@@ -134,21 +207,35 @@ def proxy_scores(parts: DataFrame, proxy: DataFrame) -> DataFrame:
     return r.select("recording", F.regexp_extract("a", "([0-9]+)", 1).cast("int").alias("component"), "r")
 
 
-def eog_scores(blocks: DataFrame, model: DataFrame, block_size: int, sfreq: float, band: tuple[float, float] = (1.0, 10.0)) -> DataFrame:
-    """Correlation of each component with the first EOG channel, both band-passed before."""
-    slow = fir(blocks, band_pass_taps(*band, sfreq), block_size)
-    eog = slow.where("kind = 'eog'")
-    first = eog.groupBy("recording").agg(F.min("channel").alias("channel"))
-    return proxy_scores(sources(slow.where("kind = 'eeg'"), model), eog.join(first, ["recording", "channel"]))
+def first_channel(blocks: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """``(recording, channel)``: each recording's first channel in the order of a list; those outside it follow by name."""
+    place = F.array_position(F.array(*[F.lit(c) for c in order]).cast("array<string>"), F.col("channel"))
+    return blocks.groupBy("recording").agg(F.min_by("channel", F.struct(F.when(place > 0, place).otherwise(len(order) + 1), "channel")).alias("channel"))
 
 
-def eog_outliers(scores: DataFrame, z: float = 3.0, most: int = 3) -> DataFrame:
-    """``(recording, exclude, candidates, top_scores)``: components whose r is more than ``z`` standard deviations off the mean of all."""
+def eog_scores(blocks: DataFrame, model: DataFrame, channels: Sequence[str] = ()) -> DataFrame:
+    """Correlation of each component with the first EOG channel in the order of ``channels``; blocks are band-passed before."""
+    eog = blocks.where("kind = 'eog'")
+    first = eog.join(first_channel(eog, channels), ["recording", "channel"])
+    return proxy_scores(sources(blocks.where("kind = 'eeg'"), model), first)
+
+
+def eog_outliers(scores: DataFrame, z: float = 3.0, most: int = 3, rounds: int = 2) -> DataFrame:
+    """``(recording, exclude, candidates, top_scores)``: components whose r is more than ``z`` standard deviations off the mean.
+
+    Mean and deviation are taken anew, without the outliers found so far, in
+    each of ``rounds`` rounds.  ``candidates`` are all outliers by |r|,
+    ``exclude`` the first ``most`` of them; recordings without any have no row.
+    """
     w = W.partitionBy("recording")
-    off = F.try_divide(F.col("r") - F.avg("r").over(w), F.stddev_pop("r").over(w))
-    far = scores.withColumn("off", off).where(F.abs("off") > z).withColumn("rank", F.row_number().over(w.orderBy(F.desc(F.abs("r")), "component")))
-    found = far.where(F.col("rank") <= most).groupBy("recording").agg(F.sort_array(F.collect_list(F.struct("rank", "component", "r"))).alias("found"))
-    return found.select("recording", F.col("found.component").alias("exclude"), F.col("found.component").alias("candidates"), F.col("found.r").alias("top_scores"))
+    marked = scores.withColumn("out", F.lit(False))
+    for _ in range(rounds):
+        rest = F.when(~F.col("out"), F.col("r"))
+        off = F.abs(F.try_divide(rest - F.avg(rest).over(w), F.stddev_pop(rest).over(w)))
+        marked = marked.withColumn("out", F.col("out") | F.coalesce(off > z, F.lit(False)))
+    far = marked.where("out").withColumn("rank", F.row_number().over(w.orderBy(F.desc(F.abs("r")), "component")))
+    found = far.groupBy("recording").agg(F.sort_array(F.collect_list(F.struct("rank", "component", "r"))).alias("found"))
+    return found.select("recording", F.slice("found.component", 1, most).alias("exclude"), F.col("found.component").alias("candidates"), F.col("found.r").alias("top_scores"))
 
 
 def remove(blocks: DataFrame, model: DataFrame, exclude: DataFrame) -> DataFrame:

@@ -24,9 +24,15 @@ def with_gaps(markers: DataFrame) -> DataFrame:
     return df.withColumn("previous", F.col("t") - F.lag("t").over(in_order())).withColumn("next", F.lead("t").over(in_order()) - F.col("t")).drop("t")
 
 
-def gap_stats(markers: DataFrame) -> DataFrame:
-    """Per recording: markers, and exact quantiles of their gaps in seconds (NULL with fewer than two)."""
-    q = F.percentile("previous", F.array(*[F.lit(p / 100) for p in PERCENTILES]))
+def gap_stats(markers: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Per recording: markers, and quantiles of their gaps in seconds (NULL with fewer than two).
+
+    Exact and interpolated by default, which holds all different gaps of a
+    recording.  With ``accuracy`` they come from a mergeable sketch of bounded
+    size: gaps that occur, whose rank is off by n / accuracy at most.
+    """
+    shares = F.array(*[F.lit(p / 100) for p in PERCENTILES])
+    q = F.percentile("previous", shares) if accuracy is None else F.percentile_approx("previous", shares, accuracy)
     stats = with_gaps(markers).groupBy("recording").agg(F.count("*").alias("n"), F.min("previous").alias("gap_min"), q.alias("q"), F.max("previous").alias("gap_max"))
     return stats.select("recording", "n", "gap_min", *[F.get("q", F.lit(i)).alias(f"gap_p{p}") for i, p in enumerate(PERCENTILES)], "gap_max")
 

@@ -8,10 +8,11 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .streams import filtered
+
 DOUBLES = T.ArrayType(T.DoubleType())
 
 
@@ -89,49 +90,10 @@ def notch_taps(freq: float, sfreq: float, width: float = 0.5) -> np.ndarray:
     return h
 
 
-def _convolved(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
-    """The fully overlapping part of a convolution, by FFT."""
-    n = 1 << (len(x) + len(taps) - 2).bit_length()
-    y = np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(taps, n), n)
-    return y[len(taps) - 1 : len(x)]
-
-
-def reflected(x: np.ndarray, n: int, at_start: bool) -> np.ndarray:
-    """n samples beyond an end, by odd reflection about the end sample; zeros where the signal is too short."""
-    if at_start:
-        return reflected(x[::-1], n, False)[::-1]
-    have = min(n, len(x) - 1)
-    return np.concatenate([2 * x[-1] - x[-2 : -2 - have : -1], np.zeros(n - have)])
-
+def fir(blocks: DataFrame, *kernels: np.ndarray) -> DataFrame:
+    """Zero-phase filters of every channel, one after the other, in one ordered pass over its blocks.
 
-def fir(blocks: DataFrame, taps: np.ndarray, block_size: int) -> DataFrame:
-    """Zero-phase filter of every channel; only half a kernel travels from block to block.
-
-    The true ends are padded by odd reflection.  Blocks may be shorter than
-    the kernel: as many neighbours as it needs lend their samples.
+    The true ends are padded by odd reflection, for each filter anew.  Results
+    don't depend on how the signal is cut into blocks.
     """
-    half = len(taps) // 2
-    if not half:
-        gain = float(taps[0])
-        return blocks.withColumn("values", F.transform("values", lambda v: v * gain))
-    w = W.partitionBy("recording", "channel").orderBy("block")
-    near = -(-half // block_size)
-    empty = F.array().cast("array<double>")
-    tail = F.slice("values", -F.least(F.size("values"), F.lit(half)), F.least(F.size("values"), F.lit(half)))
-    before = F.concat(*[F.coalesce(F.lag(tail, i).over(w), empty) for i in range(near, 0, -1)])
-    after = F.concat(*[F.coalesce(F.lead(F.slice("values", 1, half), i).over(w), empty) for i in range(1, near + 2)])
-
-    @F.pandas_udf(DOUBLES)
-    def apply(before: pd.Series, values: pd.Series, after: pd.Series) -> pd.Series:
-        out = []
-        for b, v, a in zip(before, values, after):
-            b, v, a = np.asarray(b, float)[-half:], np.asarray(v, float), np.asarray(a, float)[:half]
-            if not len(v):
-                out.append([])
-                continue
-            x = np.concatenate([b, v, a])
-            x = np.concatenate([reflected(x, half - len(b), True), x, reflected(x, half - len(a), False)])
-            out.append(_convolved(x, taps))
-        return pd.Series(out)
-
-    return blocks.withColumns({"before": before, "after": after}).withColumn("values", apply("before", "values", "after")).drop("before", "after")
+    return filtered(blocks, {"values": kernels})

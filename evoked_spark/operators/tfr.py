@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from ..params import Tfr
 from .averages import with_status_rows
 from .epochs import baseline, crop
+from .vectors import vector_sums
 
 KEY = ["recording", "condition", "channel"]
+#: Tapers of a time-bandwidth product of 4.
+TAPERS = 3
 
 
 def morlet(freq: float, cycles: float, sfreq: float, zero_mean: bool = True) -> np.ndarray:
@@ -36,7 +39,7 @@ def tapers(freq: float, cycles: float, sfreq: float, time_bandwidth: float = 4.0
     matrix = np.diag(((n - 1 - 2 * i) / 2) ** 2 * math.cos(2 * math.pi * w)) + np.diag(off, 1) + np.diag(off, -1)
     _, vectors = np.linalg.eigh(matrix)
     out = []
-    for k in range(min(int(time_bandwidth - 1), n)):
+    for k in range(int(time_bandwidth - 1)):
         x = vectors[:, -1 - k] * np.exp(2j * math.pi * freq * t)
         x = x - x.mean()
         out.append(x * math.sqrt(2) / max(np.linalg.norm(x), 1e-300))
@@ -51,41 +54,51 @@ def _same(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return y[:, start : start + x.shape[1]]
 
 
-def sums(epochs: DataFrame, p: Tfr, method: str = "morlet", salt: int = 8) -> DataFrame:
+def wavelets(freq: float, p: Tfr, sfreq: float, method: str) -> list[np.ndarray]:
+    cycles = freq / p.cycles_divisor
+    return [morlet(freq, cycles, sfreq)] if method == "morlet" else tapers(freq, cycles, sfreq)
+
+
+def sums(epochs: DataFrame, p: Tfr, method: str | None = None, salt: int = 8) -> DataFrame:
     """Per recording, condition, channel, frequency and sample: ``power`` and ``itc`` over epochs, and ``n_epochs``.
 
-    A group's epochs are dealt to ``salt`` tasks by hash; each returns sums of
-    power and of unit phasors per taper, which are added and divided last.
-    Every ``p.decim``-th sample from a row's first on is given.
+    ``method`` is the one of ``p`` unless given.  A group's epochs are dealt to
+    ``salt`` tasks by hash; each returns arrays of power and of unit phasors per
+    taper, which are added element by element and divided last.  Every
+    ``p.decim``-th sample from the first on is given.
     """
-    freqs = p.freqs
+    freqs, method = p.freqs, method or p.method
+    n_tapers = 1 if method == "morlet" else TAPERS
+    names = [f"{part}{k}" for k in range(n_tapers) for part in ("power", "re", "im")]
 
     def transform(group: pd.DataFrame) -> pd.DataFrame:
         x = np.stack([np.asarray(v, float) for v in group["values"]])
         sfreq, rows = float(group["sfreq"].iloc[0]), []
         for f in freqs:
-            wavelets = [morlet(f, f / p.cycles_divisor, sfreq)] if method == "morlet" else tapers(f, f / p.cycles_divisor, sfreq)
-            for k, w in enumerate(wavelets):
+            row = []
+            for w in wavelets(f, p, sfreq, method):
                 z = _same(x, w)
                 size = np.abs(z)
                 unit = np.divide(z, size, out=np.zeros_like(z), where=size > 0)
-                rows.append((f, k, len(wavelets), (size**2).sum(0), unit.real.sum(0), unit.imag.sum(0)))
-        out = pd.DataFrame(rows, columns=["frequency", "taper", "n_tapers", "power", "re", "im"])
+                row += [(size**2).sum(0), unit.real.sum(0), unit.imag.sum(0)]
+            rows.append((f, np.full(x.shape[1], float(len(x))), *row))
+        out = pd.DataFrame(rows, columns=["frequency", "n", *names])
         for c in (*KEY, "sfreq", "rel0"):
             out[c] = group[c].iloc[0]
-        out["n"] = len(x)
         return out
 
-    schema = "frequency double, taper int, n_tapers int, power array<double>, re array<double>, im array<double>, recording string, condition string, channel string, sfreq double, rel0 int, n long"
-    salted = epochs.select(*KEY, "sfreq", "rel0", "values", F.pmod(F.xxhash64("epoch_id"), F.lit(salt)).alias("salt"))
-    parts = salted.groupBy(*KEY, "salt").applyInPandas(transform, schema)
-    long = parts.select(*KEY, "frequency", "taper", "n_tapers", "sfreq", "rel0", "n", F.posexplode(F.arrays_zip("power", "re", "im")).alias("i", "v")).where(F.col("i") % p.decim == 0)
-    point = long.groupBy(*KEY, "frequency", "taper", "n_tapers", "sfreq", (F.col("rel0") + F.col("i")).alias("rel")).agg(F.sum("n").alias("n"), F.sum("v.power").alias("power"), F.sum("v.re").alias("re"), F.sum("v.im").alias("im"))
-    itc = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n")
-    return point.groupBy(*KEY, "frequency", "sfreq", "rel").agg(F.avg(F.col("power") / F.col("n")).alias("power"), F.avg(itc).alias("itc"), F.max("n").alias("n_epochs"))
+    schema = "frequency double, n array<double>, " + ", ".join(f"{c} array<double>" for c in names) + ", recording string, condition string, channel string, sfreq double, rel0 int"
+    salted = epochs.select(*KEY, "sfreq", "rel0", "values", F.size("values").alias("size"), F.pmod(F.xxhash64("epoch_id"), F.lit(salt)).alias("salt"))
+    parts = salted.where("size > 0").groupBy(*KEY, "sfreq", "rel0", "size", "salt").applyInPandas(transform, schema)
+    merged = vector_sums(parts, [*KEY, "frequency", "sfreq"], ["n", *names], "rel0")
+    long = merged.select(*KEY, "frequency", "sfreq", "first", F.posexplode(F.arrays_zip("n", *names)).alias("i", "v")).where(F.col("i") % p.decim == 0)
+    v = lambda c: F.col(f"v.{c}")
+    mean = lambda of: sum((of(k) for k in range(1, n_tapers)), of(0)) / v("n") / n_tapers
+    power, itc = mean(lambda k: v(f"power{k}")), mean(lambda k: F.sqrt(v(f"re{k}") * v(f"re{k}") + v(f"im{k}") * v(f"im{k}")))
+    return long.where("v.n > 0").select(*KEY, "frequency", "sfreq", (F.col("first") + F.col("i")).cast("int").alias("rel"), power.alias("power"), itc.alias("itc"), v("n").cast("long").alias("n_epochs"))
 
 
-def evoked_power(waves: DataFrame, p: Tfr, method: str = "morlet") -> DataFrame:
+def evoked_power(waves: DataFrame, p: Tfr, method: str | None = None) -> DataFrame:
     """Power of the condition averages in ``waves(recording, condition, channel, rel, sfreq, value)``."""
     rows = waves.groupBy(*KEY).agg(F.first("sfreq").alias("sfreq"), F.min("rel").alias("rel0"), F.sort_array(F.collect_list(F.struct("rel", "value")))["value"].alias("values"))
     one = sums(rows.withColumn("epoch_id", F.lit(0)), p, method, salt=1)
@@ -115,7 +128,7 @@ def rescaled(df: DataFrame, columns: list[str], base: tuple[float, float], mode:
     return out
 
 
-def tfr_metrics(epochs: DataFrame, p: Tfr = Tfr(), tmin: float = -0.2, tmax: float = 0.6, epoch_baseline: tuple[float, float] | None = (-0.2, 0.0), conditions: tuple[str, ...] = ("Standard", "Deviant"), method: str = "morlet") -> DataFrame:
+def tfr_metrics(epochs: DataFrame, p: Tfr = Tfr(), tmin: float = -0.2, tmax: float = 0.6, epoch_baseline: tuple[float, float] | None = (-0.2, 0.0), conditions: tuple[str, ...] = ("Standard", "Deviant"), method: str | None = None) -> DataFrame:
     """Total, evoked and induced power and coherence as one tidy table with status rows.
 
     Induced power is total minus evoked, both after the baseline.  Fails where

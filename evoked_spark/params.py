@@ -79,8 +79,13 @@ class Tfr:
     baseline: tuple[float, float] | None = (-0.1, 0.0)
     mode: str = "logratio"
     decim: int = 1
+    method: str = "multitaper"
 
     def __post_init__(self):
+        if self.method not in ("multitaper", "morlet"):
+            raise ValueError(f"unknown method {self.method}")
+        if not 0 < self.fmin <= self.fmax or self.fstep <= 0 or self.cycles_divisor <= 0:
+            raise ValueError("0 < fmin <= fmax, and a positive step and divisor")
         if self.baseline is not None and len(self.baseline) != 2:
             raise ValueError("a baseline has two ends")
         if self.decim < 1:
@@ -101,6 +106,7 @@ class Ica:
     mode: str = "auto"
     gate_per_min: float = 15.0
     high_pass: float = 1.0
+    low_pass: float | None = None
     decimate: int = 3
     variance: float = 0.99
     iterations: int = 512
@@ -108,8 +114,14 @@ class Ica:
     threshold: float = 0.30
     most: int = 3
     components: int | None = None
+    tolerance: float = 1e-4
+    outlier_z: float = 3.0
+    outlier_rounds: int = 2
+    eog_band: tuple[float, float] = (1.0, 10.0)
 
     def __post_init__(self):
+        if not 0 < self.variance <= 1 or self.decimate < 1 or self.iterations < 1 or self.most < 0 or self.tolerance <= 0:
+            raise ValueError("0 < variance <= 1, decimate and iterations from 1 on, a positive tolerance")
         if self.components is not None and self.components < 1:
             raise ValueError("at least one component is fitted")
         if self.mode not in ("off", "on", "auto"):

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import recording_number
-
-FRAMES = "recording string, sfreq double, start long, channels array<string>, data array<array<double>>"
-#: Fixed values of the header format.
-SAMPLE_TYPES = {"INT_16": "<i2", "IEEE_FLOAT_32": "<f4"}
-VOLTS = {"V": 1.0, "mV": 1e-3, "µV": 1e-6, "uV": 1e-6, "nV": 1e-9, "": 1e-6}
+from .binary_frames import BinaryFrames
 
 
 def stem(path: Column) -> Column:
@@ -29,63 +21,18 @@ def discover(spark: SparkSession, folder: str, pattern: str = "*.vhdr") -> DataF
     return found.orderBy("recording")
 
 
-def parse_header(text: str) -> dict:
-    """The fields of a header that reading needs."""
-    sections: dict[str, dict[str, str]] = {}
-    own: dict[str, str] = {}
-    for line in text.splitlines():
-        line = line.strip()
-        if line.startswith("[") and line.endswith("]"):
-            own = sections.setdefault(line[1:-1], {})
-        elif line and not line.startswith(";") and "=" in line:
-            key, value = line.split("=", 1)
-            own[key.strip()] = value.strip()
-    common, channels = sections["Common Infos"], []
-    for i in range(int(common["NumberOfChannels"])):
-        part = [x.replace(r"\1", ",") for x in sections["Channel Infos"][f"Ch{i + 1}"].split(",")] + ["", "", ""]
-        channels.append((part[0], float(part[2] or 1.0) * VOLTS.get(part[3].strip(), 1e-6)))
-    return {
-        "data_file": common["DataFile"],
-        "sfreq": 1e6 / float(common["SamplingInterval"]),
-        "vectorized": common.get("DataOrientation", "MULTIPLEXED").upper() == "VECTORIZED",
-        "dtype": SAMPLE_TYPES[sections["Binary Infos"]["BinaryFormat"].upper()],
-        "channels": [c for c, _ in channels],
-        "scale": [s for _, s in channels],
-    }
-
-
-def read_frames(spark: SparkSession, folder: str, block_size: int) -> DataFrame:
+def read_frames(spark: SparkSession, folder: str, block_size: int, partitions: int | None = None, partition_bytes: int | None = None) -> DataFrame:
     """``frames``: blocks of ``block_size`` samples of all channels, in volts, of every recording in a folder.
 
-    Headers and data files meet by name; a data file is read by one task and
-    leaves it as blocks, so the largest single recording must fit in a worker.
-    A data file without a header is ignored, and so is a header without data.
+    A recording is split by ranges of frames into ``partitions``, or into as
+    many as have about ``partition_bytes``.  A data file without a header is
+    ignored, and so is a header without data; frames that are cut off at the
+    end of a file are left out.
     """
-    files = spark.read.format("binaryFile")
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-
-    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(r, *(h[k] for k in ("data_file", "sfreq", "vectorized", "dtype", "channels", "scale"))) for r, h in zip(batch["recording"], (parse_header(c.decode("utf-8", "replace")) for c in batch["content"]))]
-            yield pd.DataFrame(rows, columns=["recording", "file", "sfreq", "vectorized", "dtype", "channels", "scale"])
-
-    head = files.option("pathGlobFilter", "*.vhdr").load(folder).select(stem(F.col("path")).alias("recording"), "content")
-    head = head.mapInPandas(headers, "recording string, file string, sfreq double, vectorized boolean, dtype string, channels array<string>, scale array<double>")
-    data = spark.read.format("binaryFile").option("pathGlobFilter", "*.{eeg,dat,bin}").load(folder).select(name.alias("file"), "content")
-
-    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                x = np.frombuffer(r.content, r.dtype)
-                n = len(r.channels)
-                x = x[: len(x) // n * n]
-                x = x.reshape(n, -1) if r.vectorized else x.reshape(-1, n).T
-                scale = np.asarray(r.scale)[:, None]
-                for at in range(0, x.shape[1], block_size):
-                    part = x[:, at : at + block_size] * scale
-                    yield pd.DataFrame({"recording": [r.recording], "sfreq": [r.sfreq], "start": [at], "channels": [list(r.channels)], "data": [part.tolist()]})
-
-    return data.join(head, "file").select("recording", "sfreq", "vectorized", "dtype", "channels", "scale", "content").mapInPandas(frames, FRAMES)
+    spark.dataSource.register(BinaryFrames)
+    given = {"partitions": partitions, "partitionBytes": partition_bytes}
+    options = {k: str(v) for k, v in given.items() if v is not None}
+    return spark.read.format("binary_frames").options(path=folder, blockSize=str(block_size), **options).load()
 
 
 def parse_markers(lines: DataFrame) -> DataFrame:
