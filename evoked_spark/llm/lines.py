@@ -98,10 +98,10 @@ def long_lines(docs: DataFrame, least_chars: int, once: bool) -> DataFrame:
     """
     keys = F.transform(F.split("body", "\n", -1), line_key)
     if once:
-        kept = F.array_distinct(F.filter(keys, lambda k: F.length(k) >= least_chars))
-        rows = docs.select("id", F.explode(kept).alias("key"))
-    else:
-        rows = docs.select("id", F.xxhash64("body").alias("text_hash"), F.posexplode(keys).alias("line_no", "key")).where(F.length("key") >= least_chars)
+        rows = docs.select("id", F.explode(F.array_distinct(F.filter(keys, lambda k: F.length(k) >= least_chars))).alias("key"))
+    else:  # the text is hashed once, before it becomes lines
+        whole = docs.select("id", F.xxhash64("body").alias("text_hash"), keys.alias("keys"))
+        rows = whole.select("id", "text_hash", F.posexplode("keys").alias("line_no", "key")).where(F.length("key") >= least_chars)
     return rows.withColumns({"h1": F.xxhash64("key"), "h2": F.xxhash64(F.lit("second"), "key")}).drop("key")
 
 
@@ -178,7 +178,7 @@ def without_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     index = scratch.save(line_index(held.where(~frequent), shards))
     asked = long_lines(rows, least_chars, once=False)
     hot = held.where(frequent).select("h1", "h2", "n", "keep")
-    answered = asked.join(F.broadcast(hot), ["h1", "h2"], "left")
+    answered = scratch.save(asked.join(F.broadcast(hot), ["h1", "h2"], "left"))
     here = answered.where("n is not null").select("id", "text_hash", "line_no", "keep")
     there = probed(answered.where("n is null").select("id", "text_hash", "line_no", "h1", "h2"), index, shards).select("id", "text_hash", "line_no", "keep")
     gone = here.unionByName(there).where(~F.col("id").eqNullSafe(F.col("keep")))
