@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Scratch
 
@@ -105,31 +106,51 @@ def long_lines(docs: DataFrame, least_chars: int, once: bool) -> DataFrame:
     return rows.withColumns({"h1": F.xxhash64("key"), "h2": F.xxhash64(F.lit("second"), "key")}).drop("key")
 
 
+def packed(bits: list[bytes], sizes: list[int], prints: np.ndarray, counts: np.ndarray, keeps: pa.Array) -> bytes:
+    """A shard's arrays as one value; rows that carry none then cost nothing."""
+    batch = pa.RecordBatch.from_arrays([pa.array(prints), pa.array(counts), keeps], names=["prints", "counts", "keeps"])
+    batch = batch.replace_schema_metadata({"sizes": ",".join(map(str, sizes)), "bits": b"".join(bits)})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked_shard(value: bytes) -> tuple[Shard, pa.Array, pa.Array]:
+    """The shard, and its counts and keepers by slot."""
+    with pa.ipc.open_stream(value) as stream:
+        batch = stream.read_next_batch()
+    sizes = [int(x) for x in batch.schema.metadata[b"sizes"].decode().split(",")]
+    ends = np.cumsum([-(-n // 8) for n in sizes])
+    bits = [batch.schema.metadata[b"bits"][e - -(-n // 8) : e] for n, e in zip(sizes, ends)]
+    return Shard(bits, sizes, batch.column("prints").to_numpy()), batch.column("counts"), batch.column("keeps")
+
+
 def line_index(lines: DataFrame, shards: int) -> DataFrame:
-    """Minimal perfect hashes over ``lines(h1, h2, n, keep)``, one row per shard that has lines.
+    """``(shard, arrays)``: minimal perfect hashes over ``lines(h1, h2, n, keep)``, one row per shard that has lines.
 
-    ``prints``, ``counts`` and ``keeps`` are arrays by slot; ``keep`` is of any type.
+    The arrays by slot are fingerprints, counts and keepers; ``keep`` is of any type.
     """
-    kind = dict(lines.dtypes)["keep"]
+    kind = to_arrow_type(lines.schema["keep"].dataType)
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         h1, h2 = group["h1"].to_numpy(np.int64), group["h2"].to_numpy(np.int64)
         bits, sizes, slots = perfect_hash(h1, h2)
         order = np.argsort(slots)
         keeps = group["keep"].astype(object).where(group["keep"].notna(), None).to_numpy()[order]
-        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "bits": [bits], "sizes": [sizes], "prints": [h2[order]], "counts": [group["n"].to_numpy(np.int64)[order]], "keeps": [list(keeps)]})
+        arrays = packed(bits, sizes, h2[order], group["n"].to_numpy(np.int64)[order], pa.array(list(keeps), kind))
+        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "arrays": [arrays]})
 
     dealt = lines.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(build, f"shard int, bits array<binary>, sizes array<long>, prints array<long>, counts array<long>, keeps array<{kind}>")
+    return dealt.groupBy("shard").applyInPandas(build, "shard int, arrays binary")
 
 
-def probed(lines: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+def probed(lines: DataFrame, index: DataFrame, shards: int, keep_type: str) -> DataFrame:
     """The rows of ``lines(id, text_hash, line_no, h1, h2)`` that the index has, with ``n`` and ``keep``."""
     own = ["id", "text_hash", "line_no", "h1", "h2"]
     asked = lines.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), F.lit(True).alias("asks"), *own)
     both = asked.unionByName(index.withColumn("asks", F.lit(False)), allowMissingColumns=True)
     ordered = both.repartition("shard").sortWithinPartitions("shard", "asks")
-    kind = index.schema["keeps"].dataType.elementType.simpleString()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, shard, counts, keeps = None, None, None, None
@@ -138,9 +159,8 @@ def probed(lines: DataFrame, index: DataFrame, shards: int) -> DataFrame:
             heads = np.flatnonzero(~asks)
             for at, to in zip([0, *(heads + 1)], [*heads, len(asks)]):
                 if at:
-                    number, head = numbers[at - 1], batch.slice(at - 1, 1)
-                    array = lambda c: head.column(c)[0].values
-                    shard, counts, keeps = Shard(array("bits").to_pylist(), array("sizes").to_pylist(), array("prints").to_numpy()), array("counts"), array("keeps")
+                    number = numbers[at - 1]
+                    shard, counts, keeps = unpacked_shard(batch.column("arrays")[at - 1].as_py())
                 mine = at + np.flatnonzero(numbers[at:to] == number) if shard else []
                 if not len(mine):
                     continue
@@ -151,7 +171,7 @@ def probed(lines: DataFrame, index: DataFrame, shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rows.columns, counts.take(slot), keeps.take(slot)], names=[*own, "n", "keep"])
 
     types = dict(lines.dtypes)
-    return ordered.mapInArrow(answer, f"id {types['id']}, text_hash long, line_no int, h1 long, h2 long, n long, keep {kind}")
+    return ordered.mapInArrow(answer, f"id {types['id']}, text_hash long, line_no int, h1 long, h2 long, n long, keep {keep_type}")
 
 
 def without_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, least_chars: int = 40, least_docs: int = 5, scratch: Scratch | None = None) -> DataFrame:
@@ -180,7 +200,7 @@ def without_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     hot = held.where(frequent).select("h1", "h2", "n", "keep")
     answered = scratch.save(asked.join(F.broadcast(hot), ["h1", "h2"], "left"))
     here = answered.where("n is not null").select("id", "text_hash", "line_no", "keep")
-    there = probed(answered.where("n is null").select("id", "text_hash", "line_no", "h1", "h2"), index, shards).select("id", "text_hash", "line_no", "keep")
+    there = probed(answered.where("n is null").select("id", "text_hash", "line_no", "h1", "h2"), index, shards, dict(held.dtypes)["keep"]).select("id", "text_hash", "line_no", "keep")
     gone = here.unionByName(there).where(~F.col("id").eqNullSafe(F.col("keep")))
     gone = gone.groupBy("id", "text_hash").agg(F.collect_set("line_no").alias("gone")).select(F.col("id").alias("gone_id"), "text_hash", "gone")
     rows = rows.withColumn("own_hash", F.xxhash64("body"))
