@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -59,6 +60,27 @@ def fixed_point(w: np.ndarray, gz: np.ndarray, slope: np.ndarray, n: float) -> n
     return orthogonal(gz / n - (slope / n)[:, None] * w)
 
 
+@dataclass
+class Step:
+    """How far a round goes: all the way, and half as far whenever ``patience`` rounds bring no progress, so that rounds that circle settle."""
+
+    size: float = 1.0
+    best: float = math.inf
+    waited: int = 0
+    patience: int = 8
+
+    def taken(self, w: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, float]:
+        """The next rotation, and how far the rows of ``new`` are off those of w, signs aside."""
+        same = (new * w).sum(1)
+        off = float(np.max(np.abs(np.abs(same) - 1)))
+        out = new if self.size == 1 else orthogonal((1 - self.size) * w + self.size * np.where(same < 0, -1, 1)[:, None] * new)
+        self.waited = 0 if off < 0.9 * self.best else self.waited + 1
+        self.best = min(self.best, off)
+        if self.waited >= self.patience:
+            self.size, self.best, self.waited = max(self.size / 2, 1 / 16), off, 0
+        return out, off
+
+
 def thinned(blocks: DataFrame, every: int) -> DataFrame:
     """Blocks with every ``every``-th sample of the whole signal."""
     kept = F.filter("values", lambda v, i: F.pmod(F.col("start") + i, F.lit(every)) == 0)
@@ -84,7 +106,8 @@ def _totals(frames: DataFrame, add: Callable[[np.ndarray, tuple[np.ndarray, ...]
                     x = np.asarray(data, float).reshape(len(channels), -1)
                     part = add(x, shared.value[r] if shared.value is not None else ())
                     held[r] = held[r] + part if r in held else part
-        yield pd.DataFrame({"recording": list(held), "total": [t.ravel() for t in held.values()]})
+        if held:
+            yield pd.DataFrame({"recording": list(held), "total": [t.ravel() for t in held.values()]})
 
     out: dict[str, np.ndarray] = {}
     for row in frames.mapInPandas(run, "recording string, total array<double>").collect():
@@ -113,6 +136,7 @@ def _fit_wave(frames: DataFrame, names: dict[str, list[str]], p: Ica) -> pd.Data
         g = np.tanh(own[2] @ z)
         return np.concatenate([(g @ z.T).ravel(), (1 - g**2).sum(1)])
 
+    steps = {r: Step() for r in w}
     open_ = set(w)
     for _ in range(p.iterations):
         if not open_:
@@ -120,10 +144,9 @@ def _fit_wave(frames: DataFrame, names: dict[str, list[str]], p: Ica) -> pd.Data
         found = _totals(frames, moments, {r: (mean[r], white[r], w[r]) for r in open_})
         for r in list(open_):
             k = len(w[r])
-            new = fixed_point(w[r], found[r][: k * k].reshape(k, k), found[r][k * k :], n[r])
-            if np.max(np.abs(np.abs((new * w[r]).sum(1)) - 1)) < p.tolerance:
+            w[r], off = steps[r].taken(w[r], fixed_point(w[r], found[r][: k * k].reshape(k, k), found[r][k * k :], n[r]))
+            if off < p.tolerance:
                 open_.discard(r)
-            w[r] = new
     rows = []
     for r in sorted(w):
         unmix = w[r] @ white[r]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import artifacts, averages, epochs, ica, labels, markers, qc, signal, tfr
 from ..params import Contrast, Ica, Rejection, Tfr, Window
 from ..sources import sinks
+from ..sources.lineage import written
 
 
 def preview(rows: DataFrame, *order: str, most: int = 5) -> DataFrame:
@@ -166,11 +167,13 @@ def preprocess(blocks: DataFrame, m: DataFrame, codes: DataFrame, sfreq: float,
     """Workload A: clean blocks, epochs, averages, grand averages and QC rows of all recordings at once.
 
     Recordings that can't be aligned, or end without epochs of a condition,
-    appear in ``qc`` with their status and give no averages.
+    appear in ``qc`` with their status and give no averages.  The filtered
+    signal, the signal without components and the cut epochs are written to the
+    checkpoint folder, since much is computed from each.
     """
     clean = signal.average_reference(checked_blocks(blocks, sfreq, p.block_size))
     kernels = [signal.notch_taps(f, sfreq) for f in p.notch if f < sfreq / 2] + [signal.band_pass_taps(p.low, p.high, sfreq)]
-    clean = signal.fir(clean, *kernels)  # one ordered pass for all filters
+    clean = written(signal.fir(clean, *kernels))  # one ordered pass for all filters; much reads the result
     eog = artifacts.eog_correlation(clean)
     # EOG channels where there are any, else the proxies; no rate without either
     chosen = artifacts.blink_channels(clean, p.proxies).where(F.size("channels") > 0)
@@ -183,7 +186,8 @@ def preprocess(blocks: DataFrame, m: DataFrame, codes: DataFrame, sfreq: float,
         recorded = clean.select("recording").distinct().join(rate, "recording", "left")
         wanted = recorded.where(ica.gate(p.ica.mode, own, other, p.ica.gate_per_min)).select("recording")
         # what the fit and the EOG scores need comes from one more pass, over the recordings that are fitted
-        both = signal.filtered(clean.join(wanted, "recording", "left_semi"), {"fit": [signal.band_pass_taps(p.ica.high_pass, p.ica.low_pass, sfreq)], "eye": [signal.band_pass_taps(*p.ica.eog_band, sfreq)]})
+        both = signal.filtered(clean.join(written(wanted), "recording", "left_semi"), {"fit": [signal.band_pass_taps(p.ica.high_pass, p.ica.low_pass, sfreq)], "eye": [signal.band_pass_taps(*p.ica.eog_band, sfreq)]})
+        both = written(both)
         view = lambda c: both.withColumn("values", F.col(c)).drop("fit", "eye")
         model = ica.fit(view("fit"), p.ica)
         eog_blocks = clean.where("kind = 'eog'")
@@ -199,7 +203,7 @@ def preprocess(blocks: DataFrame, m: DataFrame, codes: DataFrame, sfreq: float,
         fitted = sizes.join(exclude, "recording", "left").join(used, "recording", "left")
         by_kind = F.when(F.col("recording").isNotNull(), F.coalesce("source", F.lit("eog")))  # fitted, but nothing stood out
         fitted = fitted.withColumn("source", by_kind)
-        clean = ica.remove(clean, model, exclude)
+        clean, fitted = written(ica.remove(clean, model, exclude)), written(fitted)
     files = markers.missing_files(blocks, codes, m, p.on_missing_codes, p.on_missing_markers)
     every, codes = codes, labels.only_codes(codes, p.contrast.keep)
     kept, status = markers.alignment(markers.without_spans(m), codes, p.gap_s)
@@ -208,7 +212,7 @@ def preprocess(blocks: DataFrame, m: DataFrame, codes: DataFrame, sfreq: float,
     events = labels.conditions(labels.with_trial_labels(coded, tokens), p.contrast)
     free = epochs.events_without_bad_spans(events, m, sfreq, p.tmin, p.tmax)
     cut = epochs.cut(clean, free.select("recording", "seq", "pos", "code", "condition"), p.tmin, p.tmax, p.block_size)
-    cut = epochs.baseline(cut, *p.baseline) if p.baseline else cut
+    cut = written(epochs.baseline(cut, *p.baseline) if p.baseline else cut)
     good = epochs.reject(epochs.reject(cut, artifacts.blinks(cut, p.limits)), artifacts.voltage(cut, p.limits))
     summary = qc_summary(cut, p.limits, rate.drop("source"), eog)
     counts = qc.event_counts(every, codes, coded, (*p.contrast.standard, *p.contrast.deviant))
