@@ -40,18 +40,20 @@ FROM turns GROUP BY conv_id
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of the archives made from ``pages``, with the verdict of an audit against a damaged replica.
 
-    The replica is derived from the same pages: where the md5 of the id starts
-    with 00, the first character of the payload is overwritten.
+    The replica is derived from the same pages, by the md5 of their ids: where
+    it starts with 00 the first character of the payload is overwritten, with 01
+    a character is put before it, and with 02 the record is missing.
     """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    hit = (F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2) == "00") & (F.length("html") > 0)
+    kind = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
     other = F.when(F.col("html").startswith("!"), "?").otherwise("!")
-    damaged = pages.withColumn("html", F.when(hit, F.concat(other, F.expr("substring(html, 2)"))).otherwise(F.col("html")))
+    html = F.when((kind == "00") & (F.length("html") > 0), F.concat(other, F.expr("substring(html, 2)"))).when(kind == "01", F.concat(F.lit("!"), F.coalesce("html", F.lit("")))).otherwise(F.col("html"))
+    damaged = pages.where(F.coalesce(kind != "02", F.lit(True))).withColumn("html", html)
     n_files = warc.files_needed(pages)
     ours, theirs = warc.leaves(pages, n_files), warc.leaves(damaged, n_files)
     scratch = Scratch(spark)
-    rows = warc.audited(ours, theirs, scratch)
-    return scratch.result(rows.select("page_id", "archive", F.col("start").alias("record_offset"), F.col("length").alias("record_length"), F.col("digest").alias("record_sha256"), "corrupt"))
+    rows = warc.audited(ours, theirs, scratch).where("verdict <> 'extra'")
+    return scratch.result(rows.select("page_id", "archive", F.col("start").alias("record_offset"), F.col("length").alias("record_length"), F.col("digest").alias("record_sha256"), (F.col("verdict") != "same").alias("corrupt"), "verdict"))
 
 
 OP2_SQL = """
@@ -69,7 +71,10 @@ placed AS (
   SELECT *, CAST('0x' || substr(m, 1, 8) AS BIGINT) % (SELECT files FROM n) AS archive, strlen(record) AS record_length FROM records)
 SELECT page_id, archive,
        CAST(sum(record_length) OVER (PARTITION BY archive ORDER BY page_id, url ROWS UNBOUNDED PRECEDING) - record_length AS BIGINT) AS record_offset,
-       record_length, sha256(record) AS record_sha256, substr(m, 1, 2) = '00' AND length(html) > 0 AS corrupt
+       record_length, sha256(record) AS record_sha256,
+       substr(m, 1, 2) = '00' AND length(html) > 0 OR substr(m, 1, 2) IN ('01', '02') AS corrupt,
+       CASE WHEN substr(m, 1, 2) = '00' AND length(html) > 0 OR substr(m, 1, 2) = '01' THEN 'differs'
+            WHEN substr(m, 1, 2) = '02' THEN 'missing' ELSE 'same' END AS verdict
 FROM placed
 """
 
