@@ -7,6 +7,8 @@ kept; all but the last return the columns of ``documents``.
 from __future__ import annotations
 
 import pathlib
+import weakref
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,47 +22,66 @@ from evoked_spark.llm.queries_text import MODEL_PATH
 from evoked_spark.llm.simhash import drop_near_copies
 
 
-_called: list[Scratch] = []
+class Owned:
+    """Scratch tables of stages that are called without one.
 
+    They belong to the DataFrame that the stage returned: once that object is
+    gone, the next call of any stage deletes them.  A stage keeps its input, so
+    results that are handed on without being written stay readable as well.
+    Who goes on with a frame derived from a result, and calls more stages, keeps
+    the result or hands the stage a ``Scratch`` of their own.
+    """
 
-def _own(spark: SparkSession, docs: DataFrame) -> Scratch:
-    """Scratch tables of a stage that is called by itself.
+    def __init__(self):
+        self.stages: list[tuple[weakref.ref, Scratch, DataFrame]] = []
 
-    What it returns reads them.  They go when another stage is called with
-    documents that don't come from them: its predecessor's result has been
-    written and reread by then.  ``run`` owns its tables and doesn't come here.
-    """
-    for old in [s for s in _called if not s.feeds(docs)]:
-        old.clear()
-        _called.remove(old)
-    _called.append(Scratch(spark))
-    return _called[-1]
+    def clear_unused(self) -> None:
+        while gone := [scratch for result, scratch, _ in self.stages if result() is None]:
+            self.stages = [s for s in self.stages if s[1] not in gone]  # lets go of inputs, which can free the stage before
+            for scratch in gone:
+                scratch.clear()
+
+    def result(self, stage: Callable[[Scratch], DataFrame], spark: SparkSession, docs: DataFrame, scratch: Scratch | None) -> DataFrame:
+        if scratch is not None:
+            return stage(scratch)
+        self.clear_unused()
+        own = Scratch(spark)
+        out = stage(own)
+        self.stages.append((weakref.ref(out), own, docs))
+        return out
+
+
+_owned = Owned()
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """Drops what the base rules or a certified rule of its language reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return judged(docs, labels, scratch=scratch or _own(spark, docs)).where("kept").select("rec.*")
+    return _owned.result(lambda own: judged(docs, labels, scratch=own).where("kept").select("rec.*"), spark, docs, scratch)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
-    return drop_exact_copies(docs, scratch=scratch or _own(spark, docs))
+    return _owned.result(lambda own: drop_exact_copies(docs, scratch=own), spark, docs, scratch)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
-    return drop_near_copies(docs, scratch=scratch or _own(spark, docs))
+    return _owned.result(lambda own: drop_near_copies(docs, scratch=own), spark, docs, scratch)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once or twice."""
-    return mixed(docs, scratch=scratch or _own(spark, docs))
+    return _owned.result(lambda own: mixed(docs, scratch=own), spark, docs, scratch)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """The ids of every document, and whether decoding them gives its text back."""
     model = pathlib.Path(MODEL_PATH).read_bytes()
-    rows = pieces.encoded(docs, model, carry=["doc_id", "lang", "source"], verify=True, scratch=scratch or _own(spark, docs))
-    return rows.select("rec.doc_id", "rec.lang", "rec.source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+    def encoded(own: Scratch) -> DataFrame:
+        rows = pieces.encoded(docs, model, carry=["doc_id", "lang", "source"], verify=True, scratch=own)
+        return rows.select("rec.doc_id", "rec.lang", "rec.source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+    return _owned.result(encoded, spark, docs, scratch)
 
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mixing", mix_sources), ("tokenize", tokenize)]
