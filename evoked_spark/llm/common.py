@@ -72,11 +72,6 @@ class Scratch:
         self._delete(self.base)
         _open.discard(self)
 
-    def feeds(self, df: DataFrame) -> bool:
-        """Whether ``df`` reads any of these tables."""
-        name = self.base.rsplit("/", 1)[-1]
-        return any(f"/{name}/" in path for path in df.inputFiles())
-
     def _delete(self, path: str) -> None:
         self.made.discard(path)
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)

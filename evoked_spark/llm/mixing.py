@@ -22,6 +22,8 @@ from .common import Scratch, words
 
 #: Weights that the sources take in turn, by code point order of their names.
 WEIGHTS = (3, 1, 2)
+#: Copies that one task orders at the cut, and the finest buckets of finish times.
+EDGE_COPIES, FINEST = 10_000, 2**40
 
 
 def source_targets(sizes: DataFrame, budget_share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -84,30 +86,36 @@ def fair_queue(docs: DataFrame, most: int = 2, budget_share: float = 1.5, weight
         return F.struct(finish.alias("finish"), F.col("place"), F.col("size"))
 
     # a target is reached at time 1; time 2 and later matter only where single documents outweigh targets
-    bucket_of = lambda key: F.least(F.floor(key["finish"] * buckets), F.lit(2 * buckets)).cast("int")
+    bucket_of = lambda key, scale: F.least(F.floor(key["finish"] * scale), F.lit(2 * scale)).cast("long")
     narrow = scratch.save(queued.select("size", "place", "source_size", "target", "queued"))
     copies = narrow.select(F.explode(F.array(*[place(i) for i in range(most)])).alias("key")).where("key.finish is not null")
-    copies = copies.withColumn("bucket", bucket_of(F.col("key")))
 
-    # the cut is one row: the bucket where the budget is used up, and the last copy inside it
+    # the cut: the bucket where the budget is used up, split by the same rule until it is small, and the last copy inside it
     budget = targets.agg(F.sum("target")).first()[0] or 0.0
-    sums = copies.groupBy("bucket").agg(F.sum("key.size").alias("tokens"))
-    upto = F.sum("tokens").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
-    crossing = sums.withColumn("upto", upto).where(F.col("upto") > budget).orderBy("bucket").first()
-    edge = last = None
-    if crossing is not None:
+    edge, last, start, scale, inside = None, None, 0, buckets, copies
+    while True:
+        sums = inside.groupBy(bucket_of(F.col("key"), scale).alias("bucket")).agg(F.sum("key.size").alias("tokens"), F.count("*").alias("n"))
+        upto = F.lit(start) + F.sum("tokens").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
+        crossing = sums.withColumn("upto", upto).where(F.col("upto") > budget).orderBy("bucket").first()
+        if crossing is None:  # only where everything is taken
+            break
         edge, start = crossing["bucket"], crossing["upto"] - crossing["tokens"]
-        running = F.lit(start) + F.sum("key.size").over(W.partitionBy("bucket").orderBy("key").rangeBetween(W.unboundedPreceding, 0))
-        last = copies.where(F.col("bucket") == edge).withColumn("running", running).where(F.col("running") <= budget).agg(F.max("key")).first()[0]
+        inside = inside.where(bucket_of(F.col("key"), scale) == edge)
+        if crossing["n"] <= EDGE_COPIES or scale * buckets > FINEST:
+            break
+        scale *= buckets
+    if edge is not None:
+        running = F.lit(start) + F.sum("key.size").over(W.orderBy("key").rangeBetween(W.unboundedPreceding, 0))
+        last = inside.withColumn("running", running).where(F.col("running") <= budget).agg(F.max("key")).first()[0]
 
     def taken(copy: int) -> Column:
         key = place(copy)
         if edge is None:
             return F.when(key["finish"].isNotNull(), 1).otherwise(0)
-        inside_cut = bucket_of(key) < edge
+        inside_cut = bucket_of(key, scale) < edge
         if last is not None:
             cut = F.struct(*[F.lit(last[c]).cast(kind).alias(c) for c, kind in (("finish", "double"), ("place", "string"), ("size", "long"))])
-            inside_cut |= (bucket_of(key) == edge) & (key <= cut)
+            inside_cut |= (bucket_of(key, scale) == edge) & (key <= cut)
         return F.when(key["finish"].isNotNull() & inside_cut, 1).otherwise(0)
 
     taken_copies = sum((taken(i) for i in range(1, most)), taken(0)).cast("long")

@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from evoked_spark.llm import mixing
 from evoked_spark.llm.mixing import fair_queue, mixed
 
 
@@ -43,8 +44,9 @@ def plain(rows):
     return target, size, taken
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_mix_matches_plain_version(spark, seed):
+@pytest.mark.parametrize("seed, edge", [(0, 10_000), (1, 10_000), (2, 10_000), (2, 0), (1, 3)])
+def test_mix_matches_plain_version(spark, monkeypatch, seed, edge):
+    monkeypatch.setattr(mixing, "EDGE_COPIES", edge)  # the bucket at the cut is split again and again
     rng = random.Random(seed)
     names = ["b", "a", "Z", "é", None][: 3 + seed]
     rows = [(i, None if i % 17 == 0 else " ".join("w" * rng.randrange(0, 60)), rng.choice(names + names[:1] * 6)) for i in range(300)]

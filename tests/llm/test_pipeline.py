@@ -1,5 +1,6 @@
 """The stages against brute-force versions on the smallest tables."""
 
+import gc
 import re
 from collections import defaultdict
 
@@ -48,3 +49,19 @@ def test_stages(spark, tmp_path):
 
     before, after = kept["tokenize"]
     assert sorted(r.doc_id for r in after) == sorted(r.doc_id for r in before) and all(r.round_trip for r in after)
+
+
+def test_results_of_stages_stay_readable(spark):
+    """The same stage twice, stages on results that weren't written, and tables that go with their result."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    one = corpus_pipeline.exact_dedup(spark, docs, DIR)
+    two = corpus_pipeline.exact_dedup(spark, docs, DIR)
+    chained = corpus_pipeline.near_dedup(spark, corpus_pipeline.exact_dedup(spark, docs, DIR), DIR)
+    more = corpus_pipeline.mix_sources(spark, docs, DIR)
+    ids = [sorted(r.doc_id for r in df.select("doc_id").collect()) for df in (one, two, chained, more)]
+    assert ids[0] == ids[1] and set(ids[2]) <= set(ids[0]) and ids[3]
+    folders = [s[1] for s in corpus_pipeline._owned.stages]
+    del one, two, chained, more
+    gc.collect()
+    corpus_pipeline._owned.clear_unused()
+    assert len(folders) >= 4 and not corpus_pipeline._owned.stages
