@@ -624,6 +624,67 @@ def out3_qc_summary(spark, d):
     return jobs.qc_summary(T.epochs(spark, d), LIMITS).withColumn("epoch_reject_rate", fixed("epoch_reject_rate"))
 
 
+def _session(spark, d):
+    """Signal, one marker per block, BAD spans and codes of the recordings that the blocks make."""
+    b = T.blocks(spark, d)
+    at = b.select("recording", "block").distinct()
+    stimuli = at.select("recording", F.col("block").alias("mk"), F.lit("S  1").alias("desc"), (F.col("block") * T.BLOCK + 40 + F.col("block") % 7).alias("pos"), F.lit(1).cast("long").alias("size"), F.lit(T.SFREQ).alias("sfreq"))
+    spans = at.where("block % 10 = 2").select("recording", (F.col("block") + 1000).alias("mk"), F.lit("BAD_move").alias("desc"), (F.col("block") * T.BLOCK).alias("pos"), F.lit(30).cast("long").alias("size"), F.lit(T.SFREQ).alias("sfreq"))
+    return b, stimuli.unionAll(spans), T.codes(spark, d).join(at.select("recording").distinct(), "recording", "left_semi")
+
+
+SESSION = f"""{BL}, {PTP}, {CD},
+am AS (SELECT recording, s, avg(v) AS m FROM sg WHERE channel <> 'Fp1' GROUP BY ALL),
+ar AS (SELECT recording, channel, s, CASE channel WHEN 'Fp1' THEN v ELSE v - m END AS v FROM sg JOIN am USING (recording, s)),
+cr AS (SELECT a.recording, abs(corr(a.v, b.v)) AS r FROM ar a JOIN ar b ON a.recording = b.recording AND a.s = b.s WHERE a.channel = 'Fp1' AND b.channel <> 'Fp1' GROUP BY a.recording, b.channel),
+ce AS (SELECT recording, max(r) AS eog_corr_max, avg(r) AS eog_corr_mean FROM cr GROUP BY 1),
+br AS (SELECT recording, clusters / ((SELECT max(s) FROM sg g WHERE g.recording = cl.recording) / 80.0 / 60) AS rate FROM cl),
+mk AS (SELECT DISTINCT recording, block AS mk, block * 64 + 40 + block % 7 AS pos FROM sg),
+gp AS (SELECT *, pos / 80.0::DOUBLE - lag(pos / 80.0::DOUBLE) OVER o AS previous, lead(pos / 80.0::DOUBLE) OVER o - pos / 80.0::DOUBLE AS next FROM mk WINDOW o AS (PARTITION BY recording ORDER BY pos, mk)),
+own AS (SELECT * FROM cd WHERE recording IN (SELECT recording FROM sg)), k AS (SELECT * FROM own WHERE code IN (110, 111, 210, 211)),
+st AS (SELECT recording, m, coalesce(n, 0) AS n, coalesce(total, 0) AS total, m >= coalesce(n, 0) AND coalesce(n, 0) > 0 AS ok FROM (SELECT recording, count(*) AS m FROM mk GROUP BY 1)
+  LEFT JOIN (SELECT recording, count(*) AS n FROM k GROUP BY 1) USING (recording) LEFT JOIN (SELECT recording, count(*) AS total FROM own GROUP BY 1) USING (recording)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY greatest(coalesce(previous, 'inf'::DOUBLE), coalesce(next, 'inf'::DOUBLE)), pos, mk) AS rank FROM gp),
+kept AS (SELECT recording, pos, row_number() OVER (PARTITION BY recording ORDER BY pos, mk) AS seq FROM rk JOIN st USING (recording) WHERE ok AND rank <= n),
+ks AS (SELECT recording, code, row_number() OVER (PARTITION BY recording ORDER BY row_id, code) AS seq FROM k),
+ev AS (SELECT recording, seq, pos, CASE WHEN code IN (110, 210) THEN 'Standard' ELSE 'Deviant' END AS condition FROM kept JOIN ks USING (recording, seq)),
+bad AS (SELECT recording, mk * 64 AS f, mk * 64 + 30 AS t FROM mk WHERE mk % 10 = 2),
+fe AS (SELECT * FROM ev WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.recording = ev.recording AND f <= pos + 48 AND t > pos - 16)),
+ct AS (SELECT e.recording, seq, condition, channel, s - pos AS rel, v, count(*) OVER (PARTITION BY e.recording, seq, channel) AS n FROM fe e JOIN ar g ON e.recording = g.recording AND g.s BETWEEN pos - 16 AND pos + 48),
+bs AS (SELECT recording, seq, condition, channel, rel, v - avg(v) FILTER (rel BETWEEN -16 AND 0) OVER (PARTITION BY recording, seq, channel) AS u FROM ct WHERE n = 65),
+bk AS (SELECT DISTINCT recording, seq, true AS blink FROM (SELECT recording, seq, rel, max(u) OVER x - min(u) OVER x AS p FROM bs WHERE channel = 'Fp1' AND rel BETWEEN -16 AND 24
+  WINDOW x AS (PARTITION BY recording, seq ORDER BY rel ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)) WHERE rel <= 9 AND p * 1e6 >= 60),
+vo AS (SELECT DISTINCT recording, seq, true AS muscle FROM bs WHERE channel <> 'Fp1' AND rel BETWEEN -16 AND 24 AND abs(u) * 1e6 >= 40),
+ef AS (SELECT recording, seq, condition, coalesce(blink, false) AS bl, coalesce(muscle, false) AS mu FROM (SELECT DISTINCT recording, seq, condition FROM bs) LEFT JOIN bk USING (recording, seq) LEFT JOIN vo USING (recording, seq)),
+q AS (SELECT recording, count(*) AS n_epochs_before_artifact, count(*) FILTER (bl) AS n_blink_bad, count(*) FILTER (mu) AS n_muscle_bad, count(*) FILTER (bl OR mu) AS n_epochs_dropped,
+  count(*) FILTER (NOT (bl OR mu)) AS n_epochs_final, count(*) FILTER (NOT (bl OR mu) AND condition = 'Standard') AS n_standard_final, count(*) FILTER (NOT (bl OR mu) AND condition = 'Deviant') AS n_deviant_final,
+  count(*) FILTER (bl OR mu) / count(*) AS loss FROM ef GROUP BY 1),
+uc AS (SELECT recording, string_agg(CAST(code AS VARCHAR), ' ' ORDER BY code) AS unknown FROM (SELECT DISTINCT recording, code FROM own WHERE code NOT IN (110, 111, 210, 211)) GROUP BY 1),
+mc AS (SELECT recording, string_agg(CAST(code AS VARCHAR), ' ' ORDER BY code) AS missing FROM (SELECT DISTINCT recording, w.code FROM own, (VALUES (110), (111), (210), (211)) AS w(code)) x
+  WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.recording = x.recording AND own.code = x.code) GROUP BY 1),
+fin AS (SELECT *, CASE WHEN n_epochs_final = 0 THEN 'SKIP_EMPTY_EPOCHS' WHEN n_standard_final = 0 OR n_deviant_final = 0 THEN 'SKIP_EMPTY_CONDITION' ELSE 'OK' END AS status,
+  concat_ws('+', CASE WHEN rate > 20 THEN 'blink_rate>20/min' END, CASE WHEN loss > 0.2 THEN 'epoch_loss>0.20' END, CASE WHEN eog_corr_max > 0.3 THEN 'eog_corr>0.30' END, CASE WHEN rate > 20 THEN 'blink_rate>20/min' END) AS why
+  FROM q JOIN st USING (recording) JOIN ce USING (recording) JOIN br USING (recording) LEFT JOIN uc USING (recording) LEFT JOIN mc USING (recording))"""
+QC_FACTS = ("n_epochs_before_artifact", "n_blink_bad", "n_muscle_bad", "n_epochs_dropped", "n_epochs_final", "n_standard_final", "n_deviant_final")
+
+
+@query(f"""WITH {SESSION}
+SELECT recording AS subject, {', '.join(QC_FACTS)}, {R('loss')} AS epoch_reject_rate, status, 'eog' AS blink_source, {R('rate')} AS blinks_per_min, {R('eog_corr_max')} AS eog_corr_max, {R('eog_corr_mean')} AS eog_corr_mean,
+  why <> '' AS ica_recommended, why AS ica_recommend_reason, m AS markers_original, 0::BIGINT AS markers_dropped_by_gap, m - n AS markers_dropped_by_auto, total AS behavioral_codes_total, n AS behavioral_codes_used,
+  n AS n_events_used, n AS n_events_kept_stddev, {R('rate')} AS blink_rate_per_min, 0.0::DOUBLE AS blink_proxy_rate_per_min, false AS ica_applied, '' AS ica_exclude, coalesce(unknown, '') AS unknown_codes, coalesce(missing, '') AS missing_codes,
+  80.0::DOUBLE AS sfreq, '110 111 210 211' AS behavioral_keep_codes, 'off' AS ica_mode, 'EH' AS token1, 'IH' AS token2, recording || '.vhdr' AS raw_file, 'subject-' || recording || '.csv' AS subject_csv,
+  CASE status WHEN 'OK' THEN '' WHEN 'SKIP_EMPTY_EPOCHS' THEN 'every epoch was rejected' ELSE 'a condition has no epoch left' END AS error FROM fin
+UNION ALL BY NAME SELECT recording AS subject, m AS markers_original, 0::BIGINT AS markers_dropped_by_gap, 0::BIGINT AS markers_dropped_by_auto,
+  CASE WHEN total = 0 THEN 'SKIP_MISSING_SUBJECT_CSV' ELSE 'SKIP_ALIGNMENT_FAILED' END AS status, recording || '.vhdr' AS raw_file, 'subject-' || recording || '.csv' AS subject_csv,
+  CASE WHEN total = 0 THEN 'no file of behavioural codes' ELSE 'markers can''t be aligned with codes' END AS error FROM st WHERE NOT ok""")
+def out3_whole_rows(spark, d):
+    """The QC rows of the whole job, from signal to status; without filters and component fit, which have queries of their own."""
+    given = jobs.Preprocessing(CONTRAST, T.BLOCK, notch=(), low=None, high=None, limits=LIMITS, ica=Ica(mode="off"), tokens=("EH", "IH"))
+    rows = jobs.preprocess(*_session(spark, d), T.SFREQ, given)["qc"]
+    rows = rows.drop(*[c for c in rows.columns if c.startswith(("ica_fit_", "ica_find_"))])  # empty without a fit
+    return rows.withColumns({c: fixed(c) for c in ("epoch_reject_rate", "blinks_per_min", "eog_corr_max", "eog_corr_mean", "blink_rate_per_min")})
+
+
 QUANTILES = f"""{R('min(previous)')} AS gap_min, {', '.join(f"{R(f'quantile_cont(previous, {p / 100})')} AS gap_p{p}" for p in markers.PERCENTILES)}, {R('max(previous)')} AS gap_max"""
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -54,6 +55,7 @@ def _same(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return y[:, start : start + x.shape[1]]
 
 
+@lru_cache(maxsize=1024)
 def wavelets(freq: float, p: Tfr, sfreq: float, method: str) -> list[np.ndarray]:
     cycles = freq / p.cycles_divisor
     return [morlet(freq, cycles, sfreq)] if method == "morlet" else tapers(freq, cycles, sfreq)
