@@ -20,8 +20,11 @@ are joined to components.
 
 A group whose smallest document shares the signature but no passage may hold two
 others that do share one.  Groups that still span several components therefore
-meet again by what every similar pair has in common: 50 words with one word
-changed, left out or put in (or 45 words as they are).  A document sends the
+meet again by what a pair has in common whose passages differ by single words:
+50 words with one word changed, left out or put in (or 45 words as they are).
+Passages that are similar in another way, such as two halves swapped, have no
+such key; they meet by their signatures alone and stay apart where the smallest
+document of these isn't similar to them.  A document sends the
 hashes of its windows with one word left out, in steps of growing length;
 of each only those go on that documents of other components send too.  Equal
 hashes of the last step are similar passages, so there the smallest document never
