@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,9 @@ from .functions import codes as C
 from .operators import artifacts, averages, epochs, ica, labels, markers, qc, signal, tfr
 from .params import Contrast, Ica, Rejection, Tfr, Window
 from .plans import jobs
+from .sources import recordings, sinks
 from .sources import tables as T
+from .sources.lineage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -704,3 +707,56 @@ def out4_profile(spark, d):
     p = p.withColumns({c: fixed(c) for c in p.columns if c.startswith("gap_")})
     flat = {"marker_types": both("marker_types", "mtype", "n"), "top_descriptions": both("top_descriptions", "desc", "n"), "code_counts": both("code_counts", "code", "n"), "trials": both("trials", "code", "trial_role"), "first_descriptions": text("first_descriptions"), "candidate_kept": text("candidate_gaps.kept")}
     return p.withColumns(flat).drop("candidate_gaps")
+
+
+# 2.1 sources and sinks, on text and files that are made from the given tables
+
+
+@query(f"""WITH {MK} SELECT recording, CAST(mk AS INT) AS mk, d AS mtype, d AS "desc", pos, 1::BIGINT AS size, 0 AS chan FROM mk WHERE mk % 7 <> 0""")
+def src2_markers(spark, d):
+    """Marker files as text lines, with lines that lack fields and comments among them."""
+    m = T.markers(spark, d)
+    line = F.when(F.col("mk") % 7 == 0, F.format_string("Mk%d=%s,%s", "mk", "mtype", "desc")).otherwise(F.format_string("Mk%d= %s ,%s,%d.0,%d,0", "mk", "mtype", "desc", "pos", "size"))
+    lines = m.select("recording", F.explode(F.array(line, F.format_string("; Mk%d=x,y,1,1,0", "mk"), F.lit("[Marker Infos]"))).alias("value"))
+    return recordings.parse_markers(lines)
+
+
+def _new_folder(spark) -> str:
+    return f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+
+
+@query(ORACLE["agg9_window_amplitude"])
+def snk2_metric_csv(spark, d):
+    """The metric table, written as CSV and read again."""
+    path = _new_folder(spark)
+    sinks.save_csv(averages.erp_metrics(T.epochs(spark, d), MORE), path)
+    kinds = 'subject string, condition string, channel string, window string, tmin double, tmax double, mean_uV double, n_epochs long, status string'
+    return spark.read.option("header", True).schema(kinds).csv(path).withColumn("mean_uV", fixed("mean_uV"))
+
+
+@query(ORACLE["out1_erp_timeseries"])
+def snk3_timeseries_parquet(spark, d):
+    """The time series, written one folder per subject and read again."""
+    path = _new_folder(spark)
+    sinks.save_timeseries(averages.erp_timeseries(T.epochs(spark, d), -0.2, 0.4, factor=2), path)
+    return spark.read.parquet(path).withColumn("subject", F.col("subject").cast("string")).withColumn("amplitude_uv", fixed("amplitude_uv"))
+
+
+@query(f"""WITH {EP} SELECT recording, epoch_id, channel, {R('sum(CASE WHEN CAST(recording AS INT) % 2 = 1 THEN v ELSE -v END) * 1e6')} AS uv FROM sm WHERE recording <> '3' GROUP BY ALL""")
+def snk4_rerun(spark, d):
+    """A stage with the signs turned, then a rerun of the odd recordings, of which one has no epochs any more."""
+    folder, e = _new_folder(spark), T.epochs(spark, d)
+    names = e.select("recording").distinct()
+    odd = F.col("recording").cast("int") % 2 == 1
+    sinks.save_stage(e.withColumn("values", F.transform("values", lambda v: -v)), folder, "3_epochs", names, "first")
+    sinks.save_stage(e.where(odd & (F.col("recording") != "3")), folder, "3_epochs", names.where(odd), "second")
+    rows = sinks.read_stage(spark, folder, "3_epochs")
+    return rows.select("recording", "epoch_id", "channel", fixed(F.aggregate("values", F.lit(0.0), lambda s, v: s + v) * 1e6).alias("uv"))
+
+
+@query(f"""WITH {CD}, r AS (SELECT DISTINCT recording FROM cd), w(code) AS (VALUES (110), (111), (210), (211)),
+u AS (SELECT recording, string_agg(CAST(code AS VARCHAR), ' ' ORDER BY code) AS unknown FROM (SELECT DISTINCT recording, code FROM cd WHERE code NOT IN (110, 111, 210, 211)) GROUP BY 1),
+m AS (SELECT recording, string_agg(CAST(code AS VARCHAR), ' ' ORDER BY code) AS missing FROM r CROSS JOIN w WHERE NOT EXISTS (SELECT 1 FROM cd WHERE cd.recording = r.recording AND cd.code = w.code) GROUP BY 1)
+SELECT recording, coalesce(unknown, '') AS unknown_codes, coalesce(missing, '') AS missing_codes FROM r LEFT JOIN u USING (recording) LEFT JOIN m USING (recording)""")
+def val1_code_facts(spark, d):
+    return jobs.code_facts(T.codes(spark, d), CONTRAST)

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df``, written to the folder in ``spark.checkpoint.dir`` and read from there, so that lost executors cost no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one for checkpoints.
 
-    Where the setting is missing and the session runs on this machine alone, a
-    new temporary folder is made; on a cluster that is an error.
+    Where ``spark.checkpoint.dir`` is missing and the session runs on this
+    machine alone, a new temporary folder is made; on a cluster that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         base = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,4 +21,10 @@ def written(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(base)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder and read from there, so that lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
