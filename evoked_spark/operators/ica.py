@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..params import Ica
-from ..sources.lineage import written
+from ..sources.lineage import work_table, written
 from .artifacts import pair_correlations
 
 MODEL = "recording string, component int, channel string, unmix double, mix double"
@@ -170,14 +170,15 @@ def fit(blocks: DataFrame, p: Ica = Ica(), wave: int = 256) -> DataFrame:
     kept = thinned(blocks.where("kind = 'eeg'"), p.decimate)
     rows = kept.groupBy("recording", "block").agg(F.sort_array(F.collect_list(F.struct("channel", "values"))).alias("rows"))
     frames = rows.select("recording", "block", F.col("rows.channel").alias("channels"), F.flatten("rows.values").alias("data"))
-    frames = written(frames.repartitionByRange("recording", "block"))
-    n = frames.select("recording").distinct().count()
-    waves, models = max(1, -(-n // wave)), []
-    for i in range(waves):
-        part = frames.where(F.pmod(F.xxhash64("recording"), F.lit(waves)) == i) if waves > 1 else frames
-        names = {r["recording"]: r["channels"] for r in part.groupBy("recording").agg(F.first("channels").alias("channels")).collect()}
-        model = spark.createDataFrame(_fit_wave(part, names, p), MODEL)
-        models.append(written(model) if waves > 1 else model)
+    waves = max(1, -(-kept.select("recording").distinct().count() // wave))
+    frames = frames.withColumn("wave", F.pmod(F.xxhash64("recording"), F.lit(waves)).cast("int")).repartitionByRange("wave", "recording", "block")
+    models = []
+    with work_table(frames, "wave") as path:
+        for i in range(waves):  # reads its own folder, again and again
+            part = spark.read.schema(frames.schema).parquet(path).where(F.col("wave") == i)
+            names = {r["recording"]: r["channels"] for r in part.groupBy("recording").agg(F.first("channels").alias("channels")).collect()}
+            model = spark.createDataFrame(_fit_wave(part, names, p), MODEL)
+            models.append(written(model) if waves > 1 else model)
     return reduce(DataFrame.unionAll, models)
 
 

@@ -1,8 +1,11 @@
-"""Cutting lineage by reliable checkpoints."""
+"""Cutting lineage by tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +31,16 @@ def written(df: DataFrame) -> DataFrame:
     """``df``, written to the shared folder and read from there, so that lost executors cost no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+@contextmanager
+def work_table(df: DataFrame, *by: str) -> Iterator[str]:
+    """Writes ``df`` as Parquet, one folder per value of ``by``, and gives the path; it is deleted at the end, so nothing may read it later."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    try:
+        yield path
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
