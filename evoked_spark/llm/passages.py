@@ -21,10 +21,11 @@ are joined to components.
 A group whose smallest document shares the signature but no passage may hold two
 others that do share one.  Groups that still span several components therefore
 meet again by what a pair has in common whose passages differ by single words:
-50 words with one word changed, left out or put in (or 45 words as they are).
-Passages that are similar in another way, such as two halves swapped, have no
-such key; they meet by their signatures alone and stay apart where the smallest
-document of these isn't similar to them.  A document sends the
+50 words with one word changed, left out or put in (or 45 words as they are),
+or 50 words of which two parts are swapped.  Passages that are similar in
+another way, such as parts that are swapped and a word changed beside them,
+have no such key; they meet by their signatures alone and stay apart where the
+smallest document of these isn't similar to them.  A document sends the
 hashes of its windows with one word left out, in steps of growing length;
 of each only those go on that documents of other components send too.  Equal
 hashes of the last step are similar passages, so there the smallest document never
@@ -404,6 +405,30 @@ def passage_keys(words: Sums, starts: np.ndarray, kinds: np.ndarray, depth: int)
     return _mix(keys), at
 
 
+def rotation_keys(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, start) of the windows of PASSAGE_WORDS that hold a run from one of ``starts``; equal for windows that are each other with two parts swapped.
+
+    The key is the sum of the hashes of all shingles of the window read as a
+    circle, so it doesn't depend on where the circle is cut.
+    """
+    n, size = len(words), PASSAGE_WORDS
+    if n < size or not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = np.zeros(n - SHINGLE + 1, np.uint64)
+    for j in range(SHINGLE):
+        h += words[j : n - SHINGLE + 1 + j] * _ODD[j]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(_mix(h))])
+    i = np.unique(starts[:, None] - np.arange(size - HALF + 1))
+    i = i[(i >= 0) & (i + size <= n)]
+    key = sums[i + size - SHINGLE + 1] - sums[i]
+    for over in range(1, SHINGLE):  # shingles over the cut
+        turn = np.zeros(len(i), np.uint64)
+        for j in range(SHINGLE):
+            turn += words[i + (size - SHINGLE + over + j) % size] * _ODD[j]
+        key += _mix(turn)
+    return _mix(key), i
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """Verified links ``(row, id, other_row, other_id, start, stop, other_start, other_stop)``, positions in words, stop exclusive.
 
@@ -536,20 +561,39 @@ def _links(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tup
 
         return step
 
-    met = around
+    def rotations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                forwards = r.alive[(r.alive >> 2) & 1 == 0] >> 3
+                keys, at = rotation_keys(r.words.view(np.uint64), forwards)
+                out.append((keys.view(np.int64), np.full(len(keys), r.root), np.full(len(keys), r.part), at))
+            yield pd.DataFrame({c: np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k, c in enumerate(("key", "root", "part", "mark"))})
+
+    def elsewhere(sent: DataFrame) -> DataFrame:
+        """Those of which documents of other components send the key too."""
+        several = sent.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+        return sent.join(several.hint("merge"), "key", "left_semi")
+
+    def placed(met: DataFrame) -> DataFrame:
+        lo = F.col("at") + F.col("mark").cast("int")
+        at = around.select("part", "row", "at", F.size("words").alias("n"))
+        met = met.distinct().join(at.hint("merge"), "part")
+        return met.select("key", "root", "row", lo.alias("lo"), F.least(lo + PASSAGE_WORDS + 1, F.col("at") + F.col("n") - SHINGLE).alias("hi"))
+
+    met, sends = around, "key long, root long, part long, mark long"
     for depth in range(DEPTH + 2):
         met = met.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")  # few bytes, much work
-        sent = scratch.save(met.mapInPandas(steps(depth), "key long, root long, part long, mark long"))
-        several = sent.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-        met = sent.join(several.hint("merge"), "key", "left_semi")
+        if depth == 1:  # a run that others have may be one of two parts that are swapped
+            turned = scratch.save(met.mapInPandas(rotations, sends))
+        sent = scratch.save(met.mapInPandas(steps(depth), sends))
+        met = elsewhere(sent)
         if depth <= DEPTH:
             marks = met.groupBy("part").agg(F.collect_set("mark").alias("alive"))  # at most the places of one part of a text
             met = scratch.save(around.drop("alive").join(marks.hint("merge"), "part"))
         else:
-            lo = F.col("at") + F.col("mark").cast("int")
-            at = around.select("part", "row", "at", F.size("words").alias("n"))
-            met = met.distinct().join(at.hint("merge"), "part")
-            met = scratch.save(met.select("key", "root", "row", lo.alias("lo"), F.least(lo + PASSAGE_WORDS + 1, F.col("at") + F.col("n") - SHINGLE).alias("hi")))
+            met = scratch.save(placed(met).unionAll(placed(elsewhere(turned))))
+            scratch.drop(turned)
         scratch.drop(sent)
     hubs = scratch.save(hubs_of(met))
     own = met.join(hubs.hint("merge"), "key")

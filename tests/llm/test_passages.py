@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from evoked_spark.llm.common import Scratch, connected_components
-from evoked_spark.llm.passages import DEPTH, PASSAGE_WORDS, RUN, Sums, T, compact_windows, interval_keys, joined_components, joint_windows, passage_classes, passage_keys, repeated_passages, shared_passages, shingles, word_hashes
+from evoked_spark.llm.passages import DEPTH, PASSAGE_WORDS, RUN, Sums, T, compact_windows, interval_keys, joined_components, joint_windows, passage_classes, passage_keys, repeated_passages, rotation_keys, shared_passages, shingles, word_hashes
 
 
 def test_compact_windows_cover_every_range_once():
@@ -125,6 +125,33 @@ def test_all_pairs_are_found_beside_less_similar_documents(spark):
     assert [root[i] for i in range(len(texts))] == own
 
 
+def test_windows_that_are_rotations_have_equal_keys():
+    rng = random.Random(17)
+    for cut in (1, 7, 20, 25, 40, 49):
+        p, (a, b) = words(rng, 50), (words(rng, 30), words(rng, 12))
+        one, two = (word_hashes(" ".join(w).encode())[0] for w in (a + p + b, b + p[cut:] + p[:cut] + a))
+        here, there = (dict(zip(*(x.tolist() for x in rotation_keys(w, np.arange(len(w) - 24))))) for w in (one, two))
+        assert [(here[k], there[k]) for k in set(here) & set(there)].count((30, 12)) == 1
+    assert len(rotation_keys(one[:40], np.array([0]))[0]) == 0
+
+
+def test_swapped_halves_beside_documents_that_hold_both_apart(spark):
+    """Against brute force: parts of 25 and of 20 and 30 words swapped, under a smaller document with neither in a row."""
+    rng, texts = random.Random(18), []
+    for n in range(30):
+        cut = (25, 20, 30)[n % 3]
+        p = words(rng, 50)
+        x, y = p, p[cut:] + p[:cut]
+        texts += [p[:cut] + words(rng, 60) + p[cut:], words(rng, 30) + x + words(rng, 10), words(rng, 10) + y + words(rng, 30)]
+    hashes = [shingles(" ".join(w).encode())[0].tolist() for w in texts]
+    sets = [[set(h[i : i + T]) for i in range(len(h) - T + 1)] for h in hashes]
+    links = {(i, j) for g in range(0, len(texts), 3) for i in range(g, g + 3) for j in range(g, i) if any(len(a & b) >= 0.8 * len(a | b) for a in sets[i] for b in sets[j])}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    root = {r.id: r.component_id for r in passage_classes(docs).collect()}
+    assert len(links) == 30 and all(root[i] == root[j] for i, j in links)
+    assert all(root[g] == g and root[g + 1] == root[g + 2] == g + 1 for g in range(0, len(texts), 3))
+
+
 def test_long_text_and_clashing_columns(spark):
     rng = random.Random(16)
     giant = words(rng, 60_000)
