@@ -73,8 +73,7 @@ class Fir:
         if self.before is None:
             self.ready = [np.concatenate(self.ready)]
             first = self.ready[0][: self.half + 1]
-            # the window before the first sample: zeros that no output reaches, then the reflection
-            self.ready.insert(0, reflected(first, self.half, True))
+            self.ready.insert(0, reflected(first, self.half, True))  # the first output is that of the first sample
             self.before = np.zeros(0)
 
     def finish(self) -> np.ndarray:
