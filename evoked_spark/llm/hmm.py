@@ -9,15 +9,17 @@ tokens.  So the state and class tables are of fixed size, while the counts of
 words are a table of the corpus that is joined, never broadcast.
 
 Baum-Welch runs over every training text in every round: partitions compute
-expected counts, Spark adds them up.  Scores are exact: the
-scaled forward recursion runs over the whole text.
+expected counts, Spark adds them up.  Both these counts and the scores, by the
+scaled forward recursion, are exact and those of whole texts.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -30,7 +32,9 @@ from .common import Scratch
 
 #: Frequent words whose counts are sent to the tasks (each at most LONGEST characters), and those of them with a class of their own.
 HEAD_WORDS, CLASS_WORDS, SUFFIX_CLASSES, LONGEST = 65_536, 4096, 512, 32
-STATES, SEGMENT, BLOCK_TOKENS = 8, 512, 200_000
+STATES, BLOCK_TOKENS = 8, 200_000
+#: Steps between two scalings: 16 times the smallest move of a corpus of 10^18 tokens stay above the smallest double.
+EVERY = 16
 #: Baum-Welch ends when a round gains less than this for a token, or after so many rounds.
 LEAST_GAIN, ROUNDS = 0.01, 17
 #: Stands for the end token in tables of words; no word is empty.
@@ -88,18 +92,15 @@ def frequent_words(counts: DataFrame, most: int) -> pd.DataFrame:
     return short.where(F.col("bin") >= least).select("word", "c").toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
 
 
-def segments(classes: list[np.ndarray], most: int = BLOCK_TOKENS) -> Iterator[list[np.ndarray]]:
-    """Pieces of at most SEGMENT tokens, in blocks of about ``most`` tokens."""
-    block, size = [], 0
-    for row in classes:
-        for at in range(0, len(row), SEGMENT):
-            block.append(row[at : at + SEGMENT])
-            size += len(block[-1])
-            if size >= most:
-                yield block
-                block, size = [], 0
-    if block:
-        yield block
+def blocks(lengths: np.ndarray, most: int = BLOCK_TOKENS) -> Iterator[np.ndarray]:
+    """Places of rows of like length, longest first, in blocks of at most ``most`` tokens or one row."""
+    order = np.argsort(-lengths, kind="stable")
+    upto = np.cumsum(lengths[order])
+    at, done = 0, 0
+    while at < len(order):
+        stop = max(int(np.searchsorted(upto, done + most, side="right")), at + 1)
+        yield order[at:stop]
+        at, done = stop, int(upto[stop - 1])
 
 
 class Hmm:
@@ -116,56 +117,106 @@ class Hmm:
         np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
         return Hmm(np.full(states, 1 / states), move, emit / emit.sum(0))
 
+    @cached_property
+    def scaled(self) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions over the largest of their class, and the natural log of that largest one.
+
+        So a step makes a sum of alphas smaller by no more than the smallest
+        move, and ``EVERY`` steps in a row need no scaling.
+        """
+        top = self.emit.max(1)
+        return self.emit / top[:, None], np.log(top)
+
     @staticmethod
     def _layout(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Order by falling length; all symbols step by step, in that order; where each step begins."""
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
         order = np.argsort(-lengths, kind="stable")
-        flat = np.concatenate([rows[i] for i in order]).astype(np.int64)
+        flat = np.concatenate([rows[i] for i in order])
         starts = np.concatenate([[0], np.cumsum(lengths[order])[:-1]])
         running = np.searchsorted(-lengths[order], -np.arange(lengths.max()), side="left")
         return order, np.concatenate([flat[starts[:n] + t] for t, n in enumerate(running)]), np.concatenate([[0], np.cumsum(running)])
 
     def log_likelihood(self, rows: list[np.ndarray]) -> np.ndarray:
         """Natural log of the probability of each class sequence (none is empty), by the scaled forward recursion."""
-        if not rows:
-            return np.zeros(0)
-        order, symbols, steps = self._layout(rows)
-        total, alpha = np.zeros(len(rows)), None
-        for at, upto in zip(steps[:-1], steps[1:]):
-            e = self.emit[symbols[at:upto]]
-            alpha = e * self.start if alpha is None else (alpha[: upto - at] @ self.move) * e
-            scale = alpha.sum(1)
-            total[: upto - at] += np.log(scale)
-            alpha /= scale[:, None]
         out = np.empty(len(rows))
-        out[order] = total
-        return out
-
-    def expected(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected counts of starts, moves and emissions, and the log-likelihood: the E step of Baum-Welch."""
-        _, symbols, steps = self._layout(rows)
-        s = len(self.start)
-        alphas, scales = self.emit[symbols], np.empty(len(symbols))
-        moves, before = np.zeros((s, s)), None
-        for at, upto in zip(steps[:-1].tolist(), steps[1:].tolist()):
+        emit, top = self.scaled
+        for block in blocks(np.fromiter(map(len, rows), np.int64, len(rows)), 5 * BLOCK_TOKENS):  # alphas of one step at a time are kept
+            order, symbols, steps = self._layout([rows[i] for i in block])
+            total, alpha = np.zeros(len(block)), None
+            for t, (at, upto) in enumerate(zip(steps[:-1].tolist(), steps[1:].tolist())):
+                n = upto - at
+                if alpha is not None and n < len(alpha):  # rows that ended a step before
+                    total[n : len(alpha)] += np.log(alpha[n:].sum(1))
+                e = emit[symbols[at:upto]]
+                alpha = e * self.start if alpha is None else (alpha[:n] @ self.move) * e
+                if t % EVERY == EVERY - 1:
+                    scale = alpha.sum(1)
+                    total[:n] += np.log(scale)
+                    alpha /= scale[:, None]
+            total[: len(alpha)] += np.log(alpha.sum(1))
+            out[block[order]] = total
+        return out + np.fromiter((top[r].sum() for r in rows), float, len(rows))
+
+    def _forward(self, alphas: np.ndarray, steps: list[int], first: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Turns the emissions of steps ``first``, ``first + 1`` ... into alphas; those of the last step, and the scale of each place."""
+        scales = np.ones(len(alphas))
+        for t, (at, upto) in enumerate(zip(steps[:-1], steps[1:]), first):
             alpha = alphas[at:upto]
             alpha *= self.start if before is None else before[: upto - at] @ self.move
-            scale = alpha.sum(1)
-            alpha /= scale[:, None]
-            scales[at:upto], before = scale, alpha
-        weighted = self.emit[symbols]
-        weighted /= scales[:, None]  # becomes emission * beta / scale, from the last step on
-        spans = list(zip(steps[:-1].tolist(), steps[1:].tolist()))
-        for (at, upto), (_, behind) in zip(spans[-2::-1], spans[:0:-1]):
-            n = behind - upto
-            later = weighted[upto:behind]
-            moves += alphas[at : at + n].T @ later
-            beta = later @ self.move.T
-            alphas[at : at + n] *= beta
-            weighted[at : at + n] *= beta
-        emits = np.stack([np.bincount(symbols, weights=alphas[:, k], minlength=len(self.emit)) for k in range(s)], axis=1)
-        return alphas[: steps[1]].sum(0), moves * self.move, emits, float(np.log(scales).sum())
+            if t % EVERY == EVERY - 1:
+                scale = alpha.sum(1)
+                alpha /= scale[:, None]
+                scales[at:upto] = scale
+            before = alpha
+        return before.copy(), scales
+
+    def expected(self, rows: list[np.ndarray], most: int = BLOCK_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts of starts, moves and emissions, and the log-likelihood: the E step of Baum-Welch, over whole rows.
+
+        Rows run side by side, in stretches of steps that hold ``most`` tokens.
+        Where there are several, a first pass keeps the alphas between them
+        alone, and the alphas of a stretch are made again when the way back
+        reaches it; so a row of any length needs the memory of one stretch, and
+        its counts are those of the whole row.
+        """
+        _, symbols, steps = self._layout(rows)
+        emit, top = self.scaled
+        s, move_back = len(self.start), self.move.T.copy()
+        cuts = [0]
+        while cuts[-1] < len(steps) - 1:
+            cuts.append(max(int(np.searchsorted(steps, steps[cuts[-1]] + most, side="right")) - 1, cuts[-1] + 1))
+        spans = list(zip(cuts[:-1], cuts[1:]))
+        entering: list[np.ndarray | None] = [None]
+        for a, b in spans[:-1]:
+            entering.append(self._forward(emit[symbols[steps[a] : steps[b]]], (steps[a : b + 1] - steps[a]).tolist(), a, entering[-1])[0])
+        moves, emits, starts = np.zeros((s, s)), np.zeros((len(emit), s)), np.zeros(s)
+        likelihood, later = 0.0, np.zeros((0, s))  # emission * beta / scale of the step behind
+        for (a, b), before in zip(spans[::-1], entering[::-1]):
+            own, local = symbols[steps[a] : steps[b]], (steps[a : b + 1] - steps[a]).tolist()
+            alphas = emit[own]
+            _, scales = self._forward(alphas, local, a, before)
+            weighted = emit[own]
+            weighted /= scales[:, None]
+            behind = np.append(np.diff(local)[1:], len(later))  # rows that go on after each step
+            ends = np.concatenate([np.arange(at + n, upto) for at, upto, n in zip(local[:-1], local[1:], behind.tolist()) if at + n < upto] or [np.zeros(0, int)])
+            rest = alphas[ends].sum(1)
+            likelihood += float(np.log(scales).sum() + np.log(rest).sum() + top[own].sum())
+            alphas[ends] /= rest[:, None]
+            weighted[ends] /= rest[:, None]
+            for at, upto in zip(local[-2::-1], local[:0:-1]):
+                n = len(later)
+                if n:
+                    moves += alphas[at : at + n].T @ later
+                    beta = later @ move_back
+                    alphas[at : at + n] *= beta
+                    weighted[at : at + n] *= beta
+                later = weighted[at:upto]
+            later = later.copy()
+            emits += np.stack([np.bincount(own, weights=alphas[:, k], minlength=len(emit)) for k in range(s)], axis=1)
+            if a == 0:
+                starts = alphas[: local[1]].sum(0)
+        return starts, moves * self.move, emits, likelihood
 
     @staticmethod
     def from_counts(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, share: np.ndarray, prior: float = 50.0) -> Hmm:
@@ -177,10 +228,11 @@ class Hmm:
 
 
 def train(rows: DataFrame, share: np.ndarray, rounds: int = ROUNDS, least_gain: float = LEAST_GAIN) -> Hmm:
-    """Baum-Welch over ``rows(classes)``; every round takes every row, whole, in segments.
+    """Baum-Welch over ``rows(classes)``; every round takes every row, whole.
 
     Ends when a round has gained less than ``least_gain`` (natural log of the
-    probability of a token, on average), or after ``rounds``.
+    probability of a token, on average), or after ``rounds``, with a warning if
+    the last one gained more than that.
     """
     model = Hmm.initial(share)
     states, last = len(model.start), None
@@ -190,8 +242,10 @@ def train(rows: DataFrame, share: np.ndarray, rounds: int = ROUNDS, least_gain:
         def e_step(batches: Iterator[pd.DataFrame], start=start, move=move, emit=emit) -> Iterator[pd.DataFrame]:
             own, total = Hmm(start, move, emit), None
             for batch in batches:
-                for block in segments([np.asarray(c) for c in batch["classes"]]):
-                    found = np.concatenate([*[np.ravel(x) for x in own.expected(block)], [sum(map(len, block))]])
+                classes = [np.asarray(c) for c in batch["classes"]]
+                for block in blocks(np.fromiter(map(len, classes), np.int64, len(classes))):
+                    chosen = [classes[i] for i in block]
+                    found = np.concatenate([*[np.ravel(x) for x in own.expected(chosen)], [sum(map(len, chosen))]])
                     total = found if total is None else total + found
             if total is not None:
                 at = np.flatnonzero(total)
@@ -207,6 +261,9 @@ def train(rows: DataFrame, share: np.ndarray, rounds: int = ROUNDS, least_gain:
         if last is not None and mean - last < least_gain:
             break
         last = mean
+    else:
+        if rounds:
+            warnings.warn(f"training ended unsettled after {rounds} rounds")
     return model
 
 
