@@ -32,7 +32,7 @@ from .common import Scratch
 
 #: Frequent words whose counts are sent to the tasks (each at most LONGEST characters), and those of them with a class of their own.
 HEAD_WORDS, CLASS_WORDS, SUFFIX_CLASSES, LONGEST = 65_536, 4096, 512, 32
-STATES, BLOCK_TOKENS = 8, 200_000
+STATES, BLOCK_TOKENS = 8, 400_000
 #: Steps between two scalings: 16 times the smallest move of a corpus of 10^18 tokens stay above the smallest double.
 EVERY = 16
 #: Baum-Welch ends when a round gains less than this for a token, or after so many rounds.
@@ -108,6 +108,7 @@ class Hmm:
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit  # (S), (S, S), (classes, S)
+        self.room: np.ndarray | None = None
 
     @staticmethod
     def initial(share: np.ndarray, seed: int = 11, states: int = STATES) -> Hmm:
@@ -141,7 +142,7 @@ class Hmm:
         """Natural log of the probability of each class sequence (none is empty), by the scaled forward recursion."""
         out = np.empty(len(rows))
         emit, top = self.scaled
-        for block in blocks(np.fromiter(map(len, rows), np.int64, len(rows)), 5 * BLOCK_TOKENS):  # alphas of one step at a time are kept
+        for block in blocks(np.fromiter(map(len, rows), np.int64, len(rows)), 2 * BLOCK_TOKENS):  # alphas of one step at a time are kept
             order, symbols, steps = self._layout([rows[i] for i in block])
             total, alpha = np.zeros(len(block)), None
             for t, (at, upto) in enumerate(zip(steps[:-1].tolist(), steps[1:].tolist())):
@@ -160,10 +161,10 @@ class Hmm:
 
     def _forward(self, alphas: np.ndarray, steps: list[int], first: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Turns the emissions of steps ``first``, ``first + 1`` ... into alphas; those of the last step, and the scale of each place."""
-        scales = np.ones(len(alphas))
+        scales, move = np.ones(len(alphas)), self.move
         for t, (at, upto) in enumerate(zip(steps[:-1], steps[1:]), first):
             alpha = alphas[at:upto]
-            alpha *= self.start if before is None else before[: upto - at] @ self.move
+            alpha *= self.start if before is None else before[: upto - at].dot(move)
             if t % EVERY == EVERY - 1:
                 scale = alpha.sum(1)
                 alpha /= scale[:, None]
@@ -171,6 +172,12 @@ class Hmm:
             before = alpha
         return before.copy(), scales
 
+    def _room(self, size: int) -> np.ndarray:
+        """Memory for two arrays of ``size`` by states, the same one for every block: fresh pages cost as much as the sums in them."""
+        if self.room is None or self.room.shape[1] < size:
+            self.room = np.empty((2, size, len(self.start)))
+        return self.room
+
     def expected(self, rows: list[np.ndarray], most: int = BLOCK_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts of starts, moves and emissions, and the log-likelihood: the E step of Baum-Welch, over whole rows.
 
@@ -187,6 +194,7 @@ class Hmm:
         while cuts[-1] < len(steps) - 1:
             cuts.append(max(int(np.searchsorted(steps, steps[cuts[-1]] + most, side="right")) - 1, cuts[-1] + 1))
         spans = list(zip(cuts[:-1], cuts[1:]))
+        room = self._room(max(steps[b] - steps[a] for a, b in spans))
         entering: list[np.ndarray | None] = [None]
         for a, b in spans[:-1]:
             entering.append(self._forward(emit[symbols[steps[a] : steps[b]]], (steps[a : b + 1] - steps[a]).tolist(), a, entering[-1])[0])
@@ -194,9 +202,10 @@ class Hmm:
         likelihood, later = 0.0, np.zeros((0, s))  # emission * beta / scale of the step behind
         for (a, b), before in zip(spans[::-1], entering[::-1]):
             own, local = symbols[steps[a] : steps[b]], (steps[a : b + 1] - steps[a]).tolist()
-            alphas = emit[own]
+            alphas, weighted = room[0, : len(own)], room[1, : len(own)]
+            np.take(emit, own, axis=0, out=weighted, mode="clip")
+            alphas[:] = weighted
             _, scales = self._forward(alphas, local, a, before)
-            weighted = emit[own]
             weighted /= scales[:, None]
             behind = np.append(np.diff(local)[1:], len(later))  # rows that go on after each step
             ends = np.concatenate([np.arange(at + n, upto) for at, upto, n in zip(local[:-1], local[1:], behind.tolist()) if at + n < upto] or [np.zeros(0, int)])
@@ -207,10 +216,8 @@ class Hmm:
             for at, upto in zip(local[-2::-1], local[:0:-1]):
                 n = len(later)
                 if n:
-                    moves += alphas[at : at + n].T @ later
-                    beta = later @ move_back
-                    alphas[at : at + n] *= beta
-                    weighted[at : at + n] *= beta
+                    moves += alphas[at : at + n].T.dot(later)
+                    room[:, at : at + n] *= later.dot(move_back)
                 later = weighted[at:upto]
             later = later.copy()
             emits += np.stack([np.bincount(own, weights=alphas[:, k], minlength=len(emit)) for k in range(s)], axis=1)
