@@ -62,7 +62,7 @@ def features(text: str | None) -> list[str]:
 
 @dataclass
 class ToxicityModel:
-    """Weights of a bounded vocabulary; small enough to be sent to every task."""
+    """Weights of the words that a bounded sample tells apart; small enough to be sent to every task."""
 
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -5.0
@@ -138,13 +138,13 @@ def fit(x: Rows, y: np.ndarray, swaps: Rows, times: np.ndarray, strength: float
     return w
 
 
-def train(labelled: DataFrame, max_words: int = 20_000, level: float = 0.01, least_docs: int = 5, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, strength: float = 5.0) -> ToxicityModel:
+def train(labelled: DataFrame, level: float = 0.01, least_docs: int = 5, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, strength: float = 5.0) -> ToxicityModel:
     """The model of ``labelled(text, label)``, a sample that the caller has bounded: its word counts go to the driver.
 
     The vocabulary is every word in at least ``least_docs`` documents whose
     frequency differs between the labels at ``level`` after correction for the
-    number of words, and the group names; ``max_words`` bounds the model, the
-    most telling first.
+    number of words, and the group names: all of them, whose number the sample
+    bounds, as each needs ``least_docs`` of its documents.
     """
     kinds = {t: kind for kind in terms for t in kind}
 
@@ -162,8 +162,8 @@ def train(labelled: DataFrame, max_words: int = 20_000, level: float = 0.01, lea
     p = (F.col("n0") + F.col("n1")) / (n0 + n1)
     z = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
     stems = [t[:STEM] + "*" for t in kinds if len(t) > STEM]  # a swap must change nothing but the names
-    best = df.where(~F.col("word").isin(stems)).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(max_words)
-    chosen = sorted({r["word"] for r in best.select("word").collect()} | set(kinds))  # at most max_words and the names
+    telling = df.where(~F.col("word").isin(stems) & (z >= least_z)).select("word")
+    chosen = sorted({r["word"] for r in telling.collect()} | set(kinds))  # words of the bounded sample
     place = {w: i for i, w in enumerate(chosen)}
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
