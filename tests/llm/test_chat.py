@@ -4,6 +4,7 @@ import hashlib
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from evoked_spark.llm import chat
 
@@ -43,3 +44,17 @@ def test_conversations(spark):
     assert out["null"].turns_sha256 == sha("\nx\n") and out["null"].loss_sha256 == sha("") and out["3"].n_turns == 2
     empty = m.where("false")
     assert chat.chosen_paths(empty).count() == 0
+    assert chat.digests(chat.formatted(chat.chosen_paths(empty), empty.select("tree", "node", "role", "text"))).count() == 0
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = "</s>[INST] \\ é\n" * 100_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long)] + [(2, i, ("user", "assistant")[i % 2], str(i)) for i in range(600)]
+    conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for c in ("tree", "node", "parent", "leaf", "score", "formatted"):
+        conversations = conversations.withColumn(c, F.lit("other"))
+    m = chat.conversation_tree(conversations)
+    out = {r.tree: r for r in chat.digests(chat.formatted(chat.chosen_paths(m), m.select("tree", "node", "role", "text"))).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert out["1"].turns_sha256 == sha(f"user\n{long}\nassistant\n{long}\n") and (out["1"].loss_chars, out["1"].loss_sha256) == (len(long), sha(long))
+    assert out["2"].n_turns == 600 and out["2"].loss_sha256 == sha("".join(str(i) for i in range(1, 600, 2)))

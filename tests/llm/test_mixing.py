@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from evoked_spark.llm import mixing
 from evoked_spark.llm.mixing import fair_queue, mixed
@@ -70,3 +71,16 @@ def test_edges(spark):
     same = spark.createDataFrame([(7, "a b c", "s")] * 6 + [(None, "d e", None)] * 4, schema)
     rows = fair_queue(same).collect()
     assert len(rows) == 10 and sorted(r.copies for r in rows) == sorted(r.copies for r in fair_queue(same).collect())
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rows = [(1, "w " * 1_500_000, "a"), (2, "x" * 2_000_000, "a"), (3, "w\x0b" * 700_000, "b"), (4, "one two", "b"), (5, "\x85 \u3000", None)]
+    target, size, taken = plain(rows)
+    assert size == [1_500_000, 1, 700_000, 2, 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for c in ("size", "target", "copies", "copy", "queue", "bucket", "place", "finish"):
+        docs = docs.withColumn(c, F.lit("other"))
+    got = {r.doc_id: r.copies for r in fair_queue(docs).select("rec.doc_id", "copies").collect()}
+    assert [got[i] for i, *_ in rows] == taken
+    out = mixed(docs)
+    assert out.columns == docs.columns and out.count() == sum(taken) and out.where("size <> 'other' or copies <> 'other'").count() == 0
