@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -90,21 +91,29 @@ def thinned(blocks: DataFrame, every: int) -> DataFrame:
 Matrices = dict[str, tuple[np.ndarray, ...]]
 
 
-def _totals(frames: DataFrame, add: Callable[[np.ndarray, tuple[np.ndarray, ...]], np.ndarray], given: Matrices | None) -> dict[str, np.ndarray]:
-    """add(samples, matrices of the recording), summed over all frames of each recording of ``given`` (None: of all).
+def whole_samples(channels: Sequence[str], rows: Sequence[np.ndarray], names: Sequence[str]) -> np.ndarray:
+    """Channels ``names`` x those samples of a frame at which each of them has a value."""
+    own = dict(zip(channels, rows))
+    n = min(len(own.get(c, ())) for c in names)
+    x = np.array([np.asarray(own[c], float)[:n] for c in names]) if n else np.zeros((len(names), 0))
+    return x[:, ~np.isnan(x).any(0)]
+
+
+def _totals(frames: DataFrame, names: dict[str, list[str]], add: Callable[[np.ndarray, tuple[np.ndarray, ...]], np.ndarray], given: Matrices | None) -> dict[str, np.ndarray]:
+    """add(whole samples, matrices of the recording), summed over all frames of each recording of ``given`` (None: of all).
 
     Tasks add up what they read; frames are ordered by recording, so the driver
     gets about one small array per task and recording.
     """
-    shared = frames.sparkSession.sparkContext.broadcast(given)
+    shared = frames.sparkSession.sparkContext.broadcast((names, given))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = {}
+        names, given = shared.value
         for batch in batches:
             for r, channels, data in zip(batch["recording"], batch["channels"], batch["data"]):
-                if shared.value is None or r in shared.value:
-                    x = np.asarray(data, float).reshape(len(channels), -1)
-                    part = add(x, shared.value[r] if shared.value is not None else ())
+                if given is None or r in given:
+                    part = add(whole_samples(channels, data, names[r]), given[r] if given is not None else ())
                     held[r] = held[r] + part if r in held else part
         if held:
             yield pd.DataFrame({"recording": list(held), "total": [t.ravel() for t in held.values()]})
@@ -119,7 +128,7 @@ def _totals(frames: DataFrame, add: Callable[[np.ndarray, tuple[np.ndarray, ...]
 
 def _fit_wave(frames: DataFrame, names: dict[str, list[str]], p: Ica) -> pd.DataFrame:
     """The models of some recordings; every round is one pass over their frames."""
-    sums = _totals(frames, lambda x, _: np.append(x.sum(1), x.shape[1]), None)
+    sums = _totals(frames, names, lambda x, _: np.append(x.sum(1), x.shape[1]), None)
     mean = {r: t[:-1] / max(t[-1], 1) for r, t in sums.items() if t[-1]}
     n = {r: sums[r][-1] for r in mean}
 
@@ -127,7 +136,7 @@ def _fit_wave(frames: DataFrame, names: dict[str, list[str]], p: Ica) -> pd.Data
         c = x - own[0][:, None]
         return c @ c.T
 
-    cov = {r: t.reshape(len(mean[r]), -1) / n[r] for r, t in _totals(frames, products, {r: (m,) for r, m in mean.items()}).items()}
+    cov = {r: t.reshape(len(mean[r]), -1) / n[r] for r, t in _totals(frames, names, products, {r: (m,) for r, m in mean.items()}).items()}
     white = {r: whitening(cov[r], mean[r], p) for r in mean}
     w = {r: first_rotation(len(v), p) for r, v in white.items() if len(v)}
 
@@ -141,7 +150,7 @@ def _fit_wave(frames: DataFrame, names: dict[str, list[str]], p: Ica) -> pd.Data
     for _ in range(p.iterations):
         if not open_:
             break
-        found = _totals(frames, moments, {r: (mean[r], white[r], w[r]) for r in open_})
+        found = _totals(frames, names, moments, {r: (mean[r], white[r], w[r]) for r in open_})
         for r in list(open_):
             k = len(w[r])
             w[r], off = steps[r].taken(w[r], fixed_point(w[r], found[r][: k * k].reshape(k, k), found[r][k * k :], n[r]))
@@ -159,26 +168,34 @@ def _fit_wave(frames: DataFrame, names: dict[str, list[str]], p: Ica) -> pd.Data
 def fit(blocks: DataFrame, p: Ica = Ica(), wave: int = 256) -> DataFrame:
     """``ica_model`` rows per recording, from EEG blocks that were filtered before.
 
-    Every sample that decimation leaves takes part.  Means, covariances and the
+    Every sample that decimation leaves takes part, if each channel of the
+    recording has a value there: the fit is one of vectors over the channels.
+    Recordings with other samples, such as an end that some channels lack, are
+    counted in a warning.  Means, covariances and the
     rounds of the fixed point are sums over frames, so a recording may lie in
     any number of tasks; the driver holds the small matrices of ``wave``
     recordings at a time.  Recordings of a wave go through their rounds
     together until each has settled or ``p.iterations`` are over.  A recording
-    without samples, or without variance, has no rows.
+    without such samples, or without variance, has no rows.
     """
     spark = blocks.sparkSession
     kept = thinned(blocks.where("kind = 'eeg'"), p.decimate)
     rows = kept.groupBy("recording", "block").agg(F.sort_array(F.collect_list(F.struct("channel", "values"))).alias("rows"))
-    frames = rows.select("recording", "block", F.col("rows.channel").alias("channels"), F.flatten("rows.values").alias("data"))
+    frames = rows.select("recording", "block", F.col("rows.channel").alias("channels"), F.col("rows.values").alias("data"))
     waves = max(1, -(-kept.select("recording").distinct().count() // wave))
     frames = frames.withColumn("wave", F.pmod(F.xxhash64("recording"), F.lit(waves)).cast("int")).repartitionByRange("wave", "recording", "block")
-    models = []
+    models, ragged = [], 0
     with work_table(frames, "wave") as path:
         for i in range(waves):  # reads its own folder, again and again
             part = spark.read.schema(frames.schema).parquet(path).where(F.col("wave") == i)
-            names = {r["recording"]: r["channels"] for r in part.groupBy("recording").agg(F.first("channels").alias("channels")).collect()}
+            lengths = F.transform("data", lambda v: F.size(F.filter(v, lambda s: s.isNotNull() & ~F.isnan(s))))
+            facts = part.groupBy("recording").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("channels")))).alias("channels"), F.min(F.size("channels")).alias("fewest"), F.bool_or(F.array_min(lengths) < F.array_max(F.transform("data", F.size))).alias("gaps")).collect()
+            names = {r["recording"]: r["channels"] for r in facts}
+            ragged += sum(r["gaps"] or r["fewest"] < len(r["channels"]) for r in facts)
             model = spark.createDataFrame(_fit_wave(part, names, p), MODEL)
             models.append(written(model) if waves > 1 else model)
+    if ragged:
+        warnings.warn(f"{ragged} recordings have samples that some of their channels lack; the fit leaves these samples out", stacklevel=2)
     return reduce(DataFrame.unionAll, models)
 
 

@@ -142,6 +142,19 @@ def test_fit_of_noise_settles_and_flat_recordings_have_no_components(spark):
     assert ica.fit(b.where("false")).count() == 0
 
 
+def test_fit_with_an_end_that_some_channels_lack(spark):
+    names, p = list("abcd"), Ica(decimate=1, components=2)
+    x = RNG.normal(size=(4, 2)) @ RNG.laplace(size=(2, 900)) + RNG.normal(size=(4, 900)) * 0.01
+    b = as_blocks(spark, x, 100, names)
+    ragged = b.where("block < 8 or channel = 'b'").withColumn("values", F.when(F.col("block") == 7, F.slice("values", 1, F.when(F.col("channel") == "c", 40).otherwise(100))).otherwise(F.col("values")))
+    alone = as_blocks(spark, x, 100, names, recording="none whole").where("block % 4 = array_position(array('a', 'b', 'c', 'd'), channel) - 1")
+    with pytest.warns(UserWarning, match="2 recordings have samples that some of their channels lack"):
+        got = ica.fit(ragged.unionAll(alone), p).toPandas()
+    want = ica.fit(as_blocks(spark, x[:, :740], 100, names), p).toPandas()
+    assert set(got["recording"]) == {"1"} and got["channel"].tolist() == want["channel"].tolist()
+    assert np.allclose(got["unmix"], want["unmix"], atol=1e-6) and np.allclose(got["mix"], want["mix"], atol=1e-6)
+
+
 def test_eog_channel_in_the_given_order(spark):
     t = np.arange(3000)
     blink, saccade = np.sin(t / 40.0), np.sign(np.sin(t / 77.0))
