@@ -167,11 +167,12 @@ def preprocess(blocks: DataFrame, m: DataFrame, codes: DataFrame, sfreq: float,
     """Workload A: clean blocks, epochs, averages, grand averages and QC rows of all recordings at once.
 
     Recordings that can't be aligned, or end without epochs of a condition,
-    appear in ``qc`` with their status and give no averages.  The filtered
+    appear in ``qc`` with their status and give no averages.  Blocks without an
+    EEG channel count as signal, but no epoch reaches into them.  The filtered
     signal, the signal without components and the cut epochs are written to the
     checkpoint folder, since much is computed from each.
     """
-    clean = signal.average_reference(checked_blocks(blocks, sfreq, p.block_size))
+    clean = signal.average_reference(checked_blocks(blocks, sfreq, p.block_size), "referenced")
     kernels = [signal.notch_taps(f, sfreq) for f in p.notch if f < sfreq / 2] + [signal.band_pass_taps(p.low, p.high, sfreq)]
     clean = written(signal.fir(clean, *kernels))  # one ordered pass for all filters; much reads the result
     eog = artifacts.eog_correlation(clean)
@@ -211,7 +212,7 @@ def preprocess(blocks: DataFrame, m: DataFrame, codes: DataFrame, sfreq: float,
     tokens = dict(zip(("token1", "token2"), p.tokens or ()))
     events = labels.conditions(labels.with_trial_labels(coded, tokens), p.contrast)
     free = epochs.events_without_bad_spans(events, m, sfreq, p.tmin, p.tmax)
-    cut = epochs.cut(clean, free.select("recording", "seq", "pos", "code", "condition"), p.tmin, p.tmax, p.block_size)
+    cut = epochs.cut(clean.where("referenced").drop("referenced"), free.select("recording", "seq", "pos", "code", "condition"), p.tmin, p.tmax, p.block_size)
     cut = written(epochs.baseline(cut, *p.baseline) if p.baseline else cut)
     good = epochs.reject(epochs.reject(cut, artifacts.blinks(cut, p.limits)), artifacts.voltage(cut, p.limits))
     summary = qc_summary(cut, p.limits, rate.drop("source"), eog)
@@ -226,7 +227,7 @@ def preprocess(blocks: DataFrame, m: DataFrame, codes: DataFrame, sfreq: float,
     rows = qc.stacked(summary, skipped).withColumns({"raw_file": F.format_string(p.raw_file, "subject"), "subject_csv": F.format_string(p.codes_file, "subject"), "error": qc.error(F.col("status"))})
     ok = summary.where("status = 'OK'").select(F.col("subject").alias("recording"))
     waves = averages.evoked(good.join(ok, "recording", "left_semi"))
-    return {"signal": clean, "ica_model": model, "epochs": good, "evoked": waves, "grand_average": averages.grand_average(waves), "qc": rows}
+    return {"signal": clean.drop("referenced"), "ica_model": model, "epochs": good, "evoked": waves, "grand_average": averages.grand_average(waves), "qc": rows}
 
 
 #: Stages of a run, in the order in which they are made.

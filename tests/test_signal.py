@@ -59,6 +59,14 @@ def test_average_reference(spark):
     assert np.allclose(got[:3].sum(0), 0) and np.allclose(got[3], x[3])
 
 
+def test_blocks_without_a_reference(spark):
+    x = RNG.normal(size=(3, 60))
+    b = as_blocks(spark, x, 20, ["a", "b", "VEOG"], eog=["VEOG"]).where("block < 2 or channel = 'VEOG'")
+    got = signal.average_reference(b)
+    assert got.columns == b.columns and {(r.channel, r.block) for r in got.collect()} == {(c, k) for c in ("a", "b", "VEOG") for k in (0, 1)}
+    assert {(r.channel, r.block) for r in signal.average_reference(b, "known").where("not known").collect()} == {("VEOG", 2)}
+
+
 def test_cut_does_not_depend_on_blocks(spark):
     x = RNG.normal(size=(1, 300))
     ev = spark.createDataFrame([("1", 1, 10), ("1", 2, 100), ("1", 3, 130), ("1", 4, 295)], "recording string, seq long, pos long")
