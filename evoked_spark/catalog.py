@@ -17,7 +17,7 @@ from .params import Contrast, Ica, Rejection, Tfr, Window
 from .plans import jobs
 from .sources import recordings, sinks
 from .sources import tables as T
-from .sources.lineage import shared_folder
+from .sources.lineage import shared_folder, work_table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -633,7 +633,9 @@ def _session(spark, d):
     at = b.select("recording", "block").distinct()
     stimuli = at.select("recording", F.col("block").alias("mk"), F.lit("S  1").alias("desc"), (F.col("block") * T.BLOCK + 40 + F.col("block") % 7).alias("pos"), F.lit(1).cast("long").alias("size"), F.lit(T.SFREQ).alias("sfreq"))
     spans = at.where("block % 10 = 2").select("recording", (F.col("block") + 1000).alias("mk"), F.lit("BAD_move").alias("desc"), (F.col("block") * T.BLOCK).alias("pos"), F.lit(30).cast("long").alias("size"), F.lit(T.SFREQ).alias("sfreq"))
-    return b, stimuli.unionAll(spans), T.codes(spark, d).join(at.select("recording").distinct(), "recording", "left_semi")
+    with work_table(T.orders(spark, d).join(written(at.select("recording").distinct()), "recording", "left_semi")) as path:  # so that its size is known where it meets the lines
+        codes = written(T.codes(spark, d, spark.read.parquet(path)))
+    return b, stimuli.unionAll(spans), codes
 
 
 SESSION = f"""{BL}, {PTP}, {CD},

@@ -169,8 +169,8 @@ def preprocess(blocks: DataFrame, m: DataFrame, codes: DataFrame, sfreq: float,
     Recordings that can't be aligned, or end without epochs of a condition,
     appear in ``qc`` with their status and give no averages.  Blocks without an
     EEG channel count as signal, but no epoch reaches into them.  The filtered
-    signal, the signal without components and the cut epochs are written to the
-    checkpoint folder, since much is computed from each.
+    signal, the signal without components, the codes and the cut epochs are
+    written to the checkpoint folder, since much is computed from each.
     """
     clean = signal.average_reference(checked_blocks(blocks, sfreq, p.block_size), "referenced")
     kernels = [signal.notch_taps(f, sfreq) for f in p.notch if f < sfreq / 2] + [signal.band_pass_taps(p.low, p.high, sfreq)]
@@ -205,6 +205,7 @@ def preprocess(blocks: DataFrame, m: DataFrame, codes: DataFrame, sfreq: float,
         by_kind = F.when(F.col("recording").isNotNull(), F.coalesce("source", F.lit("eog")))  # fitted, but nothing stood out
         fitted = fitted.withColumn("source", by_kind)
         clean, fitted = written(ica.remove(clean, model, exclude)), written(fitted)
+    codes = written(codes)
     files = markers.missing_files(blocks, codes, m, p.on_missing_codes, p.on_missing_markers)
     every, codes = codes, labels.only_codes(codes, p.contrast.keep)
     kept, status = markers.alignment(markers.without_spans(m), codes, p.gap_s)

@@ -33,10 +33,15 @@ def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").cast("string").alias("recording"), F.col("event_id").alias("mk"), F.col("event_type").alias("mtype"), F.col("event_type").alias("desc"), pos.alias("pos"), F.lit(1).cast("long").alias("size"), F.lit(1e6).alias("sfreq"))
 
 
-def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").cast("string").alias("recording"))
+
+
+def codes(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+    """Codes of all orders, or of some of them."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    own = orders(spark, sf_dir) if own is None else own
     q = F.col("l_quantity").cast("int")
     code = 100 * (1 + (F.col("l_linenumber") - 1) % 4) + F.when(q % 10 == 0, 0).otherwise(10) + F.when(q % 5 == 1, 1).otherwise(0)
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-    return joined.select(F.col("o_custkey").cast("string").alias("recording"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("row_id"), code.cast("int").alias("code"))
+    joined = lines.join(own, lines.l_orderkey == own.o_orderkey)
+    return joined.select("recording", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("row_id"), code.cast("int").alias("code"))

@@ -270,6 +270,22 @@ def test_data_are_checked_during_the_job(spark):
     assert facts == {"1": ("", "112"), "2": ("999", "111 112")}
 
 
+def test_job_computes_the_codes_once(spark):
+    b = as_blocks(spark, RNG.normal(size=(3, 600)) * 1e-6, 100, ["Fz", "Cz", "VEOG"], eog=["VEOG"])
+    m = spark.createDataFrame([("1", i, "S  1", 60 + 100 * i, 1, 100.0) for i in range(5)], "recording string, mk long, desc string, pos long, size long, sfreq double")
+    codes = spark.createDataFrame([("1", i, 110 + i % 2) for i in range(5)], "recording string, row_id long, code int")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    p = jobs.Preprocessing(Contrast((110,), (111,)), 100, notch=(), low=None, high=None, tmin=-0.2, tmax=0.3, ica=Ica(mode="off"))
+    assert jobs.preprocess(b, m, codes.mapInPandas(counted, codes.schema), 100.0, p)["qc"].count() == 1
+    assert read.value == 5
+
+
 def test_metrics_job_with_missing_and_extra_conditions(spark):
     x = RNG.normal(size=(9, 81))
     e = as_epochs(spark, x, conditions=["Standard"] * 4 + ["Deviant"] * 3 + ["Other"] * 2)
