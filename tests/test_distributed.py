@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evoked_spark import catalog
 from evoked_spark.functions.windows import peak_to_peak, sliding
 from evoked_spark.operators import artifacts, averages, epochs, ica, markers, signal, streams
 from evoked_spark.operators import vectors as vector_module
@@ -155,6 +156,16 @@ def test_fit_with_an_end_that_some_channels_lack(spark):
     assert np.allclose(got["unmix"], want["unmix"], atol=1e-6) and np.allclose(got["mix"], want["mix"], atol=1e-6)
 
 
+def test_clean_query_where_the_last_block_lacks_channels(spark, tmp_path):
+    given = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 252")  # the second recording begins with two channels of five
+    given.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    given.where("vec_id < 238").coalesce(1).write.parquet(str(tmp_path / "short" / "embeddings.parquet"))
+    assert catalog.QUERIES["ica2_to_4_clean"](spark, str(tmp_path)).count() == 252 * 64
+    with pytest.warns(UserWarning, match="1 recordings have samples"):
+        got = catalog.QUERIES["ica2_to_4_clean"](spark, str(tmp_path / "short"))
+    assert got.count() == 238 * 64 and got.where("uv is null or isnan(uv)").count() == 0
+
+
 def test_eog_channel_in_the_given_order(spark):
     t = np.arange(3000)
     blink, saccade = np.sin(t / 40.0), np.sign(np.sin(t / 77.0))
