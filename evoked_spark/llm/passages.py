@@ -534,6 +534,13 @@ def _links(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tup
     around = around.mapInPandas(contexts, "row long, root long, at int, words array<long>, alive array<long>")
     around = scratch.save(around.withColumn("part", F.monotonically_increasing_id()))
     scratch.drop(rooted)
+    sends, places = "key long, root long, part long, mark long", "key long, root long, row long, lo int, hi int"
+    table = lambda out, schema: pd.DataFrame({c.split()[0]: np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k, c in enumerate(schema.split(", "))})
+
+    def placed(r, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Keys of passages with the document and the shingles they may reach over."""
+        lo = r.at + at
+        return keys, np.full(len(keys), r.root), np.full(len(keys), r.row), lo, np.minimum(lo + PASSAGE_WORDS + 1, r.at + len(r.words) - SHINGLE)
 
     def steps(depth: int):
         """Sends the keys of one depth; passages are read forwards and backwards, so that what is apart is in their second half."""
@@ -556,8 +563,8 @@ def _links(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tup
                             keys, at = passage_keys(own, starts[here], kinds[here], DEPTH)
                             marks = np.maximum(n - at - PASSAGE_WORDS - 1, 0) if backwards else at
                         keys = _mix(keys + np.uint64(backwards)).view(np.int64)
-                        out.append((keys, np.full(len(keys), r.root), np.full(len(keys), r.part), marks))
-                yield pd.DataFrame({c: np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k, c in enumerate(("key", "root", "part", "mark"))})
+                        out.append((keys, np.full(len(keys), r.root), np.full(len(keys), r.part), marks) if depth <= DEPTH else placed(r, keys, marks))
+                yield table(out, sends if depth <= DEPTH else places)
 
         return step
 
@@ -567,32 +574,26 @@ def _links(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tup
             for r in batch.itertuples(index=False):
                 forwards = r.alive[(r.alive >> 2) & 1 == 0] >> 3
                 keys, at = rotation_keys(r.words.view(np.uint64), forwards)
-                out.append((keys.view(np.int64), np.full(len(keys), r.root), np.full(len(keys), r.part), at))
-            yield pd.DataFrame({c: np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k, c in enumerate(("key", "root", "part", "mark"))})
+                out.append(placed(r, keys.view(np.int64), at))
+            yield table(out, places)
 
     def elsewhere(sent: DataFrame) -> DataFrame:
         """Those of which documents of other components send the key too."""
         several = sent.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
         return sent.join(several.hint("merge"), "key", "left_semi")
 
-    def placed(met: DataFrame) -> DataFrame:
-        lo = F.col("at") + F.col("mark").cast("int")
-        at = around.select("part", "row", "at", F.size("words").alias("n"))
-        met = met.distinct().join(at.hint("merge"), "part")
-        return met.select("key", "root", "row", lo.alias("lo"), F.least(lo + PASSAGE_WORDS + 1, F.col("at") + F.col("n") - SHINGLE).alias("hi"))
-
-    met, sends = around, "key long, root long, part long, mark long"
+    met = around
     for depth in range(DEPTH + 2):
         met = met.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")  # few bytes, much work
         if depth == 1:  # a run that others have may be one of two parts that are swapped
-            turned = scratch.save(met.mapInPandas(rotations, sends))
-        sent = scratch.save(met.mapInPandas(steps(depth), sends))
+            turned = scratch.save(met.mapInPandas(rotations, places))
+        sent = scratch.save(met.mapInPandas(steps(depth), sends if depth <= DEPTH else places))
         met = elsewhere(sent)
         if depth <= DEPTH:
             marks = met.groupBy("part").agg(F.collect_set("mark").alias("alive"))  # at most the places of one part of a text
             met = scratch.save(around.drop("alive").join(marks.hint("merge"), "part"))
         else:
-            met = scratch.save(placed(met).unionAll(placed(elsewhere(turned))))
+            met = scratch.save(met.distinct().unionAll(elsewhere(turned).distinct()))
             scratch.drop(turned)
         scratch.drop(sent)
     hubs = scratch.save(hubs_of(met))
