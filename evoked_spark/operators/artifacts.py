@@ -80,12 +80,16 @@ def pair_correlations(left: DataFrame, right: DataFrame) -> DataFrame:
     """``(recording, a, b, r)`` for every channel of ``left`` with every one of ``right``; both are blocks.
 
     Blocks of one recording meet by number and give their means and centred
-    products.  These are merged about the means of the whole, so that a large
+    products, over the samples that both have if one is longer.  These are merged about the means of the whole, so that a large
     offset costs no digits; r is NULL where a side is constant.
     """
     a = left.select("recording", "block", F.col("channel").alias("a"), F.col("values").alias("x"), S.mean(F.col("values")).alias("mx"))
     b = right.select("recording", "block", F.col("channel").alias("b"), F.col("values").alias("y"), S.mean(F.col("values")).alias("my"))
-    met = a.join(b, ["recording", "block"]).where(F.size("x") > 0)
+    met = a.join(b, ["recording", "block"])
+    both, even = F.least(F.size("x"), F.size("y")), F.size("x") == F.size("y")
+    cut = lambda v: F.when(even, F.col(v)).otherwise(F.slice(v, 1, both))
+    centre = lambda v: F.when(even, F.col(f"m{v}")).otherwise(S.mean(F.slice(v, 1, both)))
+    met = met.withColumns({"mx": centre("x"), "my": centre("y"), "x": cut("x"), "y": cut("y")}).where(F.size("x") > 0)
     c = lambda p, q: centred_products(F.col(p), F.col(q), F.col(f"m{p}"), F.col(f"m{q}"))
     parts = met.select("recording", "a", "b", F.size("x").cast("double").alias("n"), "mx", "my", c("x", "y").alias("xy"), c("x", "x").alias("xx"), c("y", "y").alias("yy"))
     pair = W.partitionBy("recording", "a", "b")

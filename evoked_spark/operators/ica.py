@@ -217,8 +217,16 @@ def _matrix(model: list, channels: list[str], weight: str) -> tuple[list[int], n
     return own, out
 
 
+def _padded(rows: Sequence[np.ndarray]) -> np.ndarray:
+    """Channels x samples of the longest row; shorter rows end in zeros, which add nothing to a weighted sum."""
+    out = np.zeros((len(rows), max(map(len, rows))))
+    for to, v in zip(out, rows):
+        to[: len(v)] = v
+    return out
+
+
 def sources(blocks: DataFrame, model: DataFrame) -> DataFrame:
-    """Component signals as blocks, channel ``ICAnnn``: weighted sums of the channels of a block."""
+    """Component signals as blocks, channel ``ICAnnn``: weighted sums, at each sample, of the channels of a block that have it."""
     schema = "recording string, component int, block long, start long, sfreq double, values array<double>"
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,7 +234,7 @@ def sources(blocks: DataFrame, model: DataFrame) -> DataFrame:
             out = []
             for r in batch.itertuples(index=False):
                 own, unmix = _matrix(r.model, r.channels, "unmix")
-                values = unmix @ np.stack(r.data)
+                values = unmix @ _padded(r.data)
                 out += [(r.recording, k, r.block, r.start, r.sfreq, v) for k, v in zip(own, values)]
             yield pd.DataFrame(out, columns=["recording", "component", "block", "start", "sfreq", "values"])
 
@@ -288,8 +296,8 @@ def remove(blocks: DataFrame, model: DataFrame, exclude: DataFrame) -> DataFrame
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                gone = _matrix(r.model, r.channels, "mix")[1].T @ (_matrix(r.model, r.channels, "unmix")[1] @ np.stack(r.data))
-                out += [(r.recording, c, r.block, v) for c, v in zip(r.channels, gone)]
+                gone = _matrix(r.model, r.channels, "mix")[1].T @ (_matrix(r.model, r.channels, "unmix")[1] @ _padded(r.data))
+                out += [(r.recording, c, r.block, v[: len(own)]) for c, v, own in zip(r.channels, gone, r.data)]
             yield pd.DataFrame(out, columns=["recording", "channel", "block", "gone"])
 
     gone = _with_model(blocks, bad, "unmix", "mix").mapInPandas(shares, "recording string, channel string, block long, gone array<double>")

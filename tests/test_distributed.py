@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -166,6 +167,31 @@ def test_clean_query_where_the_last_block_lacks_channels(spark, tmp_path):
     assert got.count() == 238 * 64 and got.where("uv is null or isnan(uv)").count() == 0
 
 
+def test_clean_query_where_vectors_have_other_lengths(spark, tmp_path):
+    given = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 250")
+    n = F.when(F.col("vec_id") % 31 == 7, 40).when(F.col("vec_id") == 248, 0).otherwise(64)  # of each channel, Fp1 too, some are shorter
+    given.withColumn("embedding", F.slice("embedding", 1, n)).coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    with pytest.warns(UserWarning, match="1 recordings have samples"):
+        got = catalog.QUERIES["ica2_to_4_clean"](spark, str(tmp_path))
+    assert got.count() == 249 * 64 - 8 * 24 and got.where("uv is null or isnan(uv)").count() == 0
+
+
+@pytest.mark.parametrize("name", ["agg11_eog_correlation", "ica2_sources", "ica3_component_outliers", "ica4_removed"])
+def test_queries_on_vectors_of_other_lengths_give_what_their_sql_gives(spark, tmp_path, name):
+    given = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    n = F.when(F.col("vec_id") % 31 == 7, 40).otherwise(64)
+    given.withColumn("embedding", F.slice("embedding", 1, n)).coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = db.sql(catalog.ORACLE[name]).df().dropna()  # the SQL counts 64 samples a vector, NULL where there is none
+    got = catalog.QUERIES[name](spark, str(tmp_path)).toPandas()[list(want.columns)]
+    keys = [c for c in ("recording", "channel", "component", "s") if c in want]
+    got, want = (x.sort_values(keys).reset_index(drop=True) for x in (got, want))
+    assert len(got) == len(want) > 0
+    for c in want:
+        assert np.allclose(got[c], want[c], atol=2e-6, equal_nan=True) if want[c].dtype.kind == "f" else got[c].tolist() == want[c].tolist()
+
+
 def test_eog_channel_in_the_given_order(spark):
     t = np.arange(3000)
     blink, saccade = np.sin(t / 40.0), np.sign(np.sin(t / 77.0))
