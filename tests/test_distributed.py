@@ -213,6 +213,11 @@ def test_outliers_in_rounds(spark):
     assert few.exclude == [30] and few.candidates == [30, 31]
 
 
+def test_two_components_are_never_more_than_a_deviation_off(spark):
+    rows = [(str(i), k, float(v)) for i in range(200) for k, v in enumerate(RNG.normal(size=2))]
+    assert ica.eog_outliers(spark.createDataFrame(rows, "recording string, component int, r double"), z=1.0).count() == 0
+
+
 def test_bad_spans_of_events(spark):
     ev = spark.createDataFrame([("1", i, 100 * i) for i in range(1, 60)] + [("2", 1, 100)], "recording string, seq long, pos long")
     bad = spark.createDataFrame([("1", "Bad x", 490, 20), ("1", "good", 700, 5), ("1", "BAD", 3000, 2500), ("1", "bad", 110, 0)], "recording string, desc string, pos long, size long")
